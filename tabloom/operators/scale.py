@@ -93,24 +93,14 @@ def fit_power_transform(df: DataFrame, method: str = "yeo-johnson", columns=None
         if any(v is not None and v <= 0 for v in lows):
             raise ValueError("box-cox requires strictly positive values; use 'yeo-johnson'.")
     change = _yeo_johnson if method == "yeo-johnson" else _box_cox
-    centre, step = {n: 0.0 for n in names}, 0.5
+    narrow = df.select(*[c(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    centre, step = [0.0] * len(names), 0.5
     for _ in range(5):
-        grid = {n: [round(centre[n] + step * k, 10) for k in range(-10, 11)] for n in names}
-        aggs = []
-        for i, n in enumerate(names):
-            x = c(n).cast("double")
-            jac = F.signum(x) * F.log1p(F.abs(x)) if method == "yeo-johnson" else F.log(x)
-            aggs += [F.count(x).alias(f"n{i}"), F.sum(jac).alias(f"j{i}")]
-            aggs += [F.var_pop(change(x, lam)).alias(f"v{i}_{k}") for k, lam in enumerate(grid[n])]
-        row = df.agg(*aggs).first()
-        for i, n in enumerate(names):
-            scores = [(-0.5 * row[f"n{i}"] * math.log(row[f"v{i}_{k}"]) + (lam - 1) * row[f"j{i}"], -k, lam)
-                      for k, lam in enumerate(grid[n]) if row[f"v{i}_{k}"] and math.isfinite(row[f"v{i}_{k}"])]
-            if scores:
-                centre[n] = max(scores)[2]
-            else:
-                centre[n] = 1.0
+        grid = [[round(mid + step * k, 10) for k in range(-10, 11)] for mid in centre]
+        for i, best in _likelihood_peaks(narrow, grid, method).items():
+            centre[i] = best
         step /= 10
+    centre = dict(zip(names, centre))
     changed = df.select(*[change(c(n).cast("double"), centre[n]).alias(n) for n in names])
     scaler = fit_standard_scale(changed)
 
@@ -120,6 +110,43 @@ def fit_power_transform(df: DataFrame, method: str = "yeo-johnson", columns=None
     return Fitted(apply, {"lambdas": centre})
 
 
+def _likelihood_peaks(narrow: DataFrame, grid: list[list[float]], method: str) -> dict[int, float]:
+    """Best lambda of each column's grid. Arrow batches are reduced to (n, mean, M2) per lambda in the
+    tasks, so what is aggregated is a few numbers per batch."""
+    signed = method == "yeo-johnson"
+
+    def moments(batches):
+        for batch in batches:
+            out = []
+            for i, lams in enumerate(grid):
+                x = batch[f"x{i}"].to_numpy(dtype=float)
+                x = x[~np.isnan(x)]
+                if not len(x):
+                    continue
+                size = np.log1p(np.abs(x)) if signed else np.log(x)
+                up = x >= 0 if signed else np.ones(len(x), dtype=bool)
+                jacobian = float(np.sum(np.where(up, size, -size)))
+                for k, lam in enumerate(lams):
+                    power = np.where(up, lam, 2 - lam)
+                    safe = np.where(np.abs(power) < 1e-12, 1.0, power)
+                    y = np.where(np.abs(power) < 1e-12, size, np.expm1(power * size) / safe)
+                    y = np.where(up, y, -y)
+                    out.append((i, k, float(len(y)), float(y.mean()), float(((y - y.mean()) ** 2).sum()), jacobian))
+            yield pd.DataFrame(out, columns=["i", "k", "n", "mean", "m2", "jac"])
+
+    parts = narrow.mapInPandas(moments, "i int, k int, n double, mean double, m2 double, jac double")
+    total = F.sum("n")
+    spread = F.sum("m2") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) - F.pow(F.sum(F.col("n") * F.col("mean")), 2) / total
+    rows = parts.groupBy("i", "k").agg(total.alias("n"), (spread / total).alias("var"), F.sum("jac").alias("jac")).collect()
+    best: dict[int, tuple[float, int]] = {}
+    for row in rows:
+        if row["var"] and row["var"] > 0 and math.isfinite(row["var"]):
+            score = -0.5 * row["n"] * math.log(row["var"]) + (grid[row["i"]][row["k"]] - 1) * row["jac"]
+            if row["i"] not in best or (score, -row["k"]) > best[row["i"]]:
+                best[row["i"]] = (score, -row["k"])
+    return {i: grid[i][-k] for i, (_, k) in best.items()}
+
+
 def power_transform(df, method="yeo-johnson", columns=None, exclude=None):
     return fit_power_transform(df, method, columns, exclude).transform(df)
 
