@@ -107,17 +107,16 @@ def running_sums(counted: DataFrame, group: list[str], order: list[str], sums: d
     part = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(c(s)).alias(f"_t_{n}") for n, s in sums.items()])
     over = Window.partitionBy(*keys).orderBy("_bucket") if group else Window.orderBy("_bucket")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
-                                              for n in sums])
+    offsets = part.select(*[k.alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
+                          *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
     inside = (Window.partitionBy(*keys, "_bucket").orderBy("_key")
               .rowsBetween(Window.unboundedPreceding, -1))
     local = bucketed.select("*", *[F.coalesce(F.sum(c(s)).over(inside), F.lit(0)).alias(f"_l_{n}") for n, s in sums.items()])
-    match = local["_bucket"] == offsets["_bucket"]
-    for g in group:
-        match = match & local[g].eqNullSafe(offsets[g])
-    joined = local.join(offsets, match)
-    return joined.select(*[local[n] for n in counted.columns],
-                         *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+    match = F.col("_bucket") == F.col("_b")
+    for i, k in enumerate(keys):
+        match = match & k.eqNullSafe(F.col(f"_g{i}"))
+    return local.join(offsets, match).select(*[c(n) for n in counted.columns],
+                                             *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
 def rows_up_to_rank(df: DataFrame, order: list[str], rank: int, nulls_last: bool = True,

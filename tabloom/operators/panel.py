@@ -54,7 +54,7 @@ def dense_panel(df: DataFrame, time_column: str, group_by: list[str], freq: str
         work = df
     work = work.where(c(time_column).isNotNull())
     keys = [c(g) for g in group_by]
-    cells = work.select(*keys, c(time_column)).distinct()
+    cells = work.select(*[k.alias(f"_g{i}") for i, k in enumerate(keys)], c(time_column).alias("_t")).distinct()
     groups = df.select(*keys).distinct()
     if dated:
         first, last = work.agg(F.min(c(time_column)), F.max(c(time_column))).first()
@@ -63,9 +63,9 @@ def dense_panel(df: DataFrame, time_column: str, group_by: list[str], freq: str
         grid = groups.select(*keys, F.explode(_period_range(F.lit(first), F.lit(last), freq)).alias(time_column))
     else:
         grid = _label_grid(groups, work.select(c(time_column)).distinct(), group_by, time_column)
-    match = grid[time_column] == cells[time_column]
-    for g in group_by:
-        match = match & grid[g].eqNullSafe(cells[g])
+    match = c(time_column) == F.col("_t")
+    for i, k in enumerate(keys):
+        match = match & k.eqNullSafe(F.col(f"_g{i}"))
     absent = grid.join(cells, match, "left_anti")
     blank = absent.select(*[c(f.name) if f.name in group_by or f.name == time_column
                             else F.lit(None).cast(f.dataType).alias(f.name) for f in work.schema])

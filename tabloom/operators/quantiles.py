@@ -12,9 +12,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tabloom.functions.columns import c, unused_name
+from tabloom.functions.columns import c
 
 DIRECT_ROWS = 2_000_000      # up to here one percentile() buffer per column is acceptable
 FINAL_VALUES = 50_000        # values gathered in one buffer at the end of the narrowing
@@ -158,9 +158,12 @@ def grouped_quantiles(df: DataFrame, group: list[str], column: str, probs: Itera
     counted = (df.where(value.isNotNull()).groupBy(*keys, value.alias("v"))
                .agg(F.count("*").alias("cnt")))
     ranked = prefix_counts(counted, group, ["v"], "cnt", "before")
-    totals = df.groupBy(*keys).agg(F.count(value).alias("n"))
-    joined = ranked.join(totals, _same_keys(ranked, totals, group), "right").select(
-        *[totals[g] for g in group], totals["n"], ranked["v"], ranked["cnt"], ranked["before"])
+    totals = df.groupBy(*[c(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.count(value).alias("n"))
+    match = F.lit(True)
+    for i, g in enumerate(group):
+        match = match & c(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = ranked.join(totals, match, "right").select(
+        *[F.col(f"_g{i}").alias(g) for i, g in enumerate(group)], "n", "v", "cnt", "before")
     picks = []
     for i, p in enumerate(probs):
         position = F.lit(p) * (F.col("n") - 1)
@@ -173,9 +176,3 @@ def grouped_quantiles(df: DataFrame, group: list[str], column: str, probs: Itera
          * (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))) for i, p in enumerate(probs)]
     return grouped.select(*keys, "n", F.when(F.col("n") > 0, F.array(*q)).alias("q"))
 
-
-def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    match = F.lit(True)
-    for k in keys:
-        match = match & left[k].eqNullSafe(right[k])
-    return match
