@@ -140,7 +140,7 @@ class SvcModel(CustomModel):
     def fit(train: DataFrame, classes: int, max_iter: int = 100, reg: float = 1e-4, calibrate: bool = True, folds: int = 3,
             weight: str | None = None, seed: int = 42) -> "SvcModel":
         targets = [1] if classes == 2 else list(range(classes))
-        svc = LinearSVC(maxIter=max_iter, regParam=reg, featuresCol="features", labelCol="_y", standardization=False)
+        svc = LinearSVC(maxIter=max_iter, regParam=reg, featuresCol="features", labelCol="_y", standardization=False, tol=1e-4)
         if weight:
             svc = svc.setWeightCol(weight)
         models, scale = [], []

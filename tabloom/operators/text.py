@@ -57,3 +57,135 @@ def text_length_features(df: DataFrame, columns: list[str]) -> DataFrame:
         new[f"{n}_word_count"] = words
         new[f"{n}_mean_word_length"] = F.when(words > 0, letters / words).otherwise(F.when(words == 0, 0.0))
     return replace_columns(df, new)
+
+
+def words(col: Column) -> Column:
+    """Lower-case words of letters and digits (any script)."""
+    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def ngrams(tokens: Column, low: int, high: int) -> Column:
+    """All runs of ``low`` to ``high`` words, joined by blanks."""
+    parts = []
+    for n in range(low, high + 1):
+        if n == 1:
+            parts.append(tokens)
+            continue
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
+        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+    return F.concat(*parts)
+
+
+def _terms(df: DataFrame, column: str, key: str, ngram_range: tuple[int, int]) -> DataFrame:
+    """(key, term, tf): counts per document and term."""
+    exploded = df.select(c(key).alias("key"), F.explode(ngrams(words(c(column)), *ngram_range)).alias("term"))
+    return exploded.groupBy("key", "term").agg(F.count("*").alias("tf"))
+
+
+def top_terms(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """The most frequent terms: (term, total, documents), ties in term order."""
+    require_column(df, column)
+    return (_terms(df, column, key, ngram_range).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("documents"))
+            .orderBy(F.desc("total"), "term").limit(int(max_features)))
+
+
+def _vocabulary(df: DataFrame, column: str, key: str, max_features: int, ngram_range: tuple[int, int]) -> list:
+    """At most ``max_features`` terms, read to the driver in term order."""
+    return sorted(top_terms(df, column, key, max_features, ngram_range).collect(), key=lambda r: r["term"])
+
+
+def fit_count_vectorize(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 1)):
+    """Bag of words over the top terms: a sparse map term -> count per document.
+
+    The vocabulary is bounded by ``max_features``, so it travels as a literal set and rows are not shuffled.
+    """
+    from tabloom.operators.fitted import Fitted
+
+    vocabulary = _vocabulary(df, column, key, max_features, ngram_range)
+    terms = F.array(*[F.lit(r["term"]) for r in vocabulary]).cast("array<string>")
+
+    def apply(other: DataFrame) -> DataFrame:
+        found = F.filter(ngrams(words(c(column)), *ngram_range), lambda t: F.array_contains(terms, t))
+        distinct = F.array_sort(F.array_distinct(found))
+        counts = F.transform(distinct, lambda t: F.size(F.filter(found, lambda u: u == t)))
+        return other.withColumn(f"{column}_counts", F.map_from_arrays(distinct, counts))
+
+    return Fitted(apply, {"vocabulary": [r["term"] for r in vocabulary]})
+
+
+def count_vectorize(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    return fit_count_vectorize(df, column, key, max_features, ngram_range).transform(df)
+
+
+def tfidf_terms(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
+    """Long form (key, term, tf, tfidf): tf * (ln((1 + n) / (1 + df)) + 1), each document scaled to length 1."""
+    from pyspark.sql import Window
+
+    counted = _terms(df, column, key, ngram_range)
+    vocabulary = top_terms(df, column, key, max_features, ngram_range)
+    rows = df.count()
+    # the vocabulary has at most max_features rows
+    joined = counted.join(F.broadcast(vocabulary), "term")
+    weight = F.col("tf") * (F.log((1.0 + rows) / (1.0 + F.col("documents"))) + 1)
+    norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy("key")))
+    return joined.select("key", "term", "tf", (weight / norm).alias("tfidf"))
+
+
+def fit_tfidf_vectorize(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 2)):
+    """Adds ``<column>_tfidf``, an ML vector over the top terms."""
+    from pyspark.ml.functions import array_to_vector
+
+    from tabloom.operators.fitted import Fitted
+
+    vocabulary = _vocabulary(df, column, key, max_features, tuple(ngram_range))
+    rows = df.count()
+    terms = F.array(*[F.lit(r["term"]) for r in vocabulary]).cast("array<string>")
+    import math
+
+    idf = F.array(*[F.lit(math.log((1 + rows) / (1 + r["documents"])) + 1) for r in vocabulary])
+
+    def apply(other: DataFrame) -> DataFrame:
+        found = F.filter(ngrams(words(c(column)), *ngram_range), lambda t: F.array_contains(terms, t))
+        raw = F.zip_with(F.transform(terms, lambda t: F.size(F.filter(F.col("_found"), lambda u: u == t)).cast("double")), idf, lambda a, b: a * b)
+        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, v: s + v * v))
+        scaled = F.transform("_raw", lambda v: F.when(F.col("_norm") > 0, v / F.col("_norm")).otherwise(0.0))
+        return (other.withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("_raw", raw)
+                .withColumn("_norm", norm).withColumn(f"{column}_tfidf", array_to_vector(scaled)).drop("_found", "_raw", "_norm"))
+
+    return Fitted(apply, {"vocabulary": [r["term"] for r in vocabulary]})
+
+
+def tfidf_vectorize(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
+    return fit_tfidf_vectorize(df, column, key, max_features, ngram_range).transform(df)
+
+
+def lsa_text(df: DataFrame, column: str, key: str, n_components: int = 20, max_features: int = 1_000,
+             ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """Latent components lsa_1.. of the TF-IDF rows by a truncated singular value decomposition.
+
+    Only the features x features Gram matrix is gathered (``max_features`` squared numbers), its
+    leading eigenvectors become literals of the projection; signs make the largest loading positive.
+    """
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    from tabloom.models.gram import cross_products
+
+    ready = tfidf_vectorize(df, column, key, max_features, ngram_range)
+    name = f"{column}_tfidf"
+    gram = cross_products(ready, name).get(0.0)
+    if gram is None:
+        raise ValueError("No documents.")
+    values, vectors = np.linalg.eigh(gram[2])
+    count = min(n_components, len(values))
+    axes = vectors[:, ::-1][:, :count]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(count)] >= 0, 1.0, -1.0)
+
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_numpy()).astype(float) @ axes) if len(x) else [], dtype=object)
+
+    out = ready.withColumn("_lsa", project(vector_to_array(name)))
+    return out.select(*[c(n) for n in df.columns], *[F.col("_lsa")[i].alias(f"lsa_{i + 1}") for i in range(count)])
