@@ -30,8 +30,12 @@ def top_terms(spark, sf):
 
 @query("count_vectorize", f"WITH {TERMS} SELECT doc_id, term, CAST(tf AS INT) AS n FROM tf WHERE term IN (SELECT term FROM v)")
 def count_vectorize(spark, sf):
-    out = text.count_vectorize(docs(spark, sf), "text", "doc_id", 50)
-    return out.select("doc_id", F.explode("text_counts").alias("term", "n"))
+    from pyspark.ml.functions import vector_to_array
+
+    fitted = text.fit_count_vectorize(docs(spark, sf), "text", "doc_id", 50)
+    terms = F.array(*[F.lit(t) for t in fitted.state["vocabulary"]])
+    out = fitted.transform(docs(spark, sf)).select("doc_id", F.posexplode(vector_to_array("text_counts")).alias("i", "n"))
+    return out.where("n > 0").select("doc_id", terms[F.col("i")].alias("term"), F.col("n").cast("int"))
 
 
 @query("tfidf_terms", f"""WITH {TERMS}, j AS (SELECT doc_id, term, tf, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + documents)) + 1) AS w FROM tf JOIN v USING (term))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import c, existing, replace_columns, require_column
@@ -66,13 +69,14 @@ def words(col: Column) -> Column:
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` words, joined by blanks."""
+    # shifted copies are zipped: a lambda that closed over the token array would split the text once per word
     parts = []
     for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+        length = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        run = tokens if n == 1 else F.slice(tokens, F.lit(1), length)
+        for shift in range(1, n):
+            run = F.zip_with(run, F.slice(tokens, F.lit(shift + 1), length), lambda x, y: F.concat_ws(" ", x, y))
+        parts.append(run)
     return F.concat(*parts)
 
 
@@ -94,23 +98,23 @@ def _vocabulary(df: DataFrame, column: str, key: str, max_features: int, ngram_r
     return sorted(top_terms(df, column, key, max_features, ngram_range).collect(), key=lambda r: r["term"])
 
 
-def fit_count_vectorize(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 1)):
-    """Bag of words over the top terms: a sparse map term -> count per document.
+def _counted(df: DataFrame, column: str, terms: list[str], ngram_range: tuple[int, int], output: str) -> DataFrame:
+    """Sparse count vectors over a fixed vocabulary by the hash lookup of the ML transformer."""
+    from pyspark.ml.feature import CountVectorizerModel
 
-    The vocabulary is bounded by ``max_features``, so it travels as a literal set and rows are not shuffled.
-    """
-    from tabloom.operators.fitted import Fitted
+    model = CountVectorizerModel.from_vocabulary(terms, inputCol="_tokens", outputCol=output)
+    tokens = F.coalesce(ngrams(words(c(column)), *ngram_range), F.array().cast("array<string>"))
+    return model.transform(df.withColumn("_tokens", tokens)).drop("_tokens")
 
-    vocabulary = _vocabulary(df, column, key, max_features, ngram_range)
-    terms = F.array(*[F.lit(r["term"]) for r in vocabulary]).cast("array<string>")
 
-    def apply(other: DataFrame) -> DataFrame:
-        found = F.filter(ngrams(words(c(column)), *ngram_range), lambda t: F.array_contains(terms, t))
-        distinct = F.array_sort(F.array_distinct(found))
-        counts = F.transform(distinct, lambda t: F.size(F.filter(found, lambda u: u == t)))
-        return other.withColumn(f"{column}_counts", F.map_from_arrays(distinct, counts))
+def fit_count_vectorize(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 1)):
+    """Adds ``<column>_counts``, a sparse vector over the top terms in term order; rows are not shuffled."""
+    from tabloom.operators.fitted import Fitted
 
-    return Fitted(apply, {"vocabulary": [r["term"] for r in vocabulary]})
+    terms = [r["term"] for r in _vocabulary(df, column, key, max_features, ngram_range)]
+    if not terms:
+        raise ValueError("No terms found.")
+    return Fitted(lambda other: _counted(other, column, terms, ngram_range, f"{column}_counts"), {"vocabulary": terms})
 
 
 def count_vectorize(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
@@ -132,27 +136,25 @@ def tfidf_terms(df: DataFrame, column: str, key: str, max_features: int = 100, n
 
 
 def fit_tfidf_vectorize(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 2)):
-    """Adds ``<column>_tfidf``, an ML vector over the top terms."""
-    from pyspark.ml.functions import array_to_vector
+    """Adds ``<column>_tfidf``, a sparse vector over the top terms, each document scaled to length 1."""
+    from pyspark.ml.feature import ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
 
     from tabloom.operators.fitted import Fitted
 
     vocabulary = _vocabulary(df, column, key, max_features, tuple(ngram_range))
+    if not vocabulary:
+        raise ValueError("No terms found.")
     rows = df.count()
-    terms = F.array(*[F.lit(r["term"]) for r in vocabulary]).cast("array<string>")
-    import math
-
-    idf = F.array(*[F.lit(math.log((1 + rows) / (1 + r["documents"])) + 1) for r in vocabulary])
+    terms = [r["term"] for r in vocabulary]
+    weights = Vectors.dense([math.log((1 + rows) / (1 + r["documents"])) + 1 for r in vocabulary])
+    weigh = ElementwiseProduct(scalingVec=weights, inputCol="_tf", outputCol="_weighted")
+    scale = Normalizer(p=2.0, inputCol="_weighted", outputCol=f"{column}_tfidf")
 
     def apply(other: DataFrame) -> DataFrame:
-        found = F.filter(ngrams(words(c(column)), *ngram_range), lambda t: F.array_contains(terms, t))
-        raw = F.zip_with(F.transform(terms, lambda t: F.size(F.filter(F.col("_found"), lambda u: u == t)).cast("double")), idf, lambda a, b: a * b)
-        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, v: s + v * v))
-        scaled = F.transform("_raw", lambda v: F.when(F.col("_norm") > 0, v / F.col("_norm")).otherwise(0.0))
-        return (other.withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("_raw", raw)
-                .withColumn("_norm", norm).withColumn(f"{column}_tfidf", array_to_vector(scaled)).drop("_found", "_raw", "_norm"))
+        return scale.transform(weigh.transform(_counted(other, column, terms, tuple(ngram_range), "_tf"))).drop("_tf", "_weighted")
 
-    return Fitted(apply, {"vocabulary": [r["term"] for r in vocabulary]})
+    return Fitted(apply, {"vocabulary": terms})
 
 
 def tfidf_vectorize(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
@@ -181,8 +183,6 @@ def lsa_text(df: DataFrame, column: str, key: str, n_components: int = 20, max_f
     axes = vectors[:, ::-1][:, :count]
     axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(count)] >= 0, 1.0, -1.0)
 
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def project(x: pd.Series) -> pd.Series:
         return pd.Series(list(np.stack(x.to_numpy()).astype(float) @ axes) if len(x) else [], dtype=object)

@@ -68,7 +68,8 @@ def drift_stream(reference: DataFrame, stream: DataFrame, ts: str, window: str =
     """Starts the query: counts per (window, column, bin) in append mode, drift per closed window handed
     to ``sink(df, batch_id)``. Rows later than the watermark are dropped."""
     baseline = DriftBaseline(reference, columns, n_bins)
-    counts = binned(stream.withWatermark(ts, watermark), baseline, ts, window)
+    # watermarks need an instant; a zone-less column is read in the session zone
+    counts = binned(stream.withColumn(ts, c(ts).cast("timestamp")).withWatermark(ts, watermark), baseline, ts, window)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
