@@ -200,12 +200,16 @@ def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     for (a, b), (r, _) in found.items():
         i, j = names.index(a), names.index(b)
         matrix[i, j] = matrix[j, i] = 0.0 if r is None else r
-    try:
-        diagonal = np.diag(np.linalg.inv(matrix))
-    except np.linalg.LinAlgError:
-        diagonal = np.full(size, np.inf)
-    rows = [(n, float(np.round(v, 2)) if np.isfinite(v) and v < 1e12 else float("inf"), bool(v > 10 or not np.isfinite(v)))
-            for n, v in zip(names, diagonal)]
+    # columns that others determine exactly have no finite inflation; a numerically singular inverse is noise
+    singular = np.linalg.cond(matrix) > 1e14
+    diagonal = np.full(size, np.inf) if singular else np.diag(np.linalg.inv(matrix))
+    if singular:
+        for i in range(size):
+            others = [j for j in range(size) if j != i]
+            fit = np.linalg.lstsq(matrix[np.ix_(others, others)], matrix[others, i], rcond=1e-12)[0]
+            rest = 1 - float(matrix[others, i] @ fit)
+            diagonal[i] = 1 / rest if rest > 1e-10 else np.inf
+    rows = [(n, float(np.round(v, 2)), bool(v > 10)) for n, v in zip(names, diagonal)]
     return _frame(df, rows, "column string, vif double, high boolean")
 
 

@@ -78,11 +78,13 @@ def test_drift_report_with_nulls_and_label(spark):
 
 def test_vif_and_mutual_information(spark):
     rng = np.random.default_rng(8)
-    x = rng.normal(size=500)
-    df = spark.createDataFrame([(float(a), float(a * 2 + 0.01 * b), float(b), int(a > 0)) for a, b in zip(x, rng.normal(size=500))],
-                               "a double, b double, c double, y int")
+    a, noise, c = (rng.normal(size=500) for _ in range(3))
+    rows = [(float(p), float(2 * p + 0.01 * q), float(r), int(p > 0)) for p, q, r in zip(a, noise, c)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int")
     got = {r.column: r.vif for r in describe.vif(df, ["a", "b", "c"]).collect()}
-    assert got["a"] > 100 and got["c"] < 200
+    assert got["a"] > 100 and got["b"] > 100 and got["c"] < 1.1
+    exact = {r.column: r.vif for r in describe.vif(df.withColumn("d", F.col("a") * 3), ["a", "c", "d"]).collect()}
+    assert exact["a"] == exact["d"] == float("inf") and exact["c"] < 1.1
     mi = [r.feature for r in describe.mutual_information(df, "y").collect()]
     assert mi[-1] == "c"
     with pytest.raises(ValueError):
