@@ -25,7 +25,7 @@ def sales(spark, sf):
 SMALL = {"Random Forest": {"n_estimators": 10, "max_depth": 5}, "Extra Trees": {"n_estimators": 10, "max_depth": 5},
          "Bagging": {"n_estimators": 5, "max_depth": 5}, "AdaBoost": {"n_estimators": 5}, "Gradient Boosting": {"n_estimators": 5},
          "Hist Gradient Boosting": {"n_estimators": 5}, "MLP": {"hidden_layer_sizes": (8,), "max_iter": 20}, "SGD Classifier": {"max_iter": 10},
-         "Linear SVC": {"max_iter": 10}}
+         "Linear SVC": {"max_iter": 10}, "SVC (RBF)": {"max_iter": 10, "n_components": 64}}
 
 
 def board(spark, result):

@@ -128,7 +128,7 @@ CLASSIFIERS: dict[str, Fitter] = {
     "Gradient Boosting": _boosted_trees(120),
     "Hist Gradient Boosting": _boosted_trees(200, depth=5),
     "K-Nearest Neighbors": lambda t, s: NeighbourModel.fit(t, s.classes, s.get("n_neighbors", 5)),
-    "SVC (RBF)": lambda t, s: FourierSvcModel.fit(t, s.classes, s.size, weight=s.weight, seed=s.seed),
+    "SVC (RBF)": lambda t, s: FourierSvcModel.fit(t, s.classes, s.size, s.get("n_components", 256), s.weight, s.seed, s.get("max_iter", 100)),
     "MLP": _perceptron,
     "Bagging": _forest(20, subset="all"),
 }

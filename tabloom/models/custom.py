@@ -191,14 +191,15 @@ class FourierSvcModel(CustomModel):
         return df.withColumn("features", array_to_vector(compute(vector_to_array("features"))))
 
     @staticmethod
-    def fit(train: DataFrame, classes: int, size: int, terms: int = FOURIER_TERMS, weight: str | None = None, seed: int = 42) -> "FourierSvcModel":
+    def fit(train: DataFrame, classes: int, size: int, terms: int = FOURIER_TERMS, weight: str | None = None, seed: int = 42,
+            max_iter: int = 100) -> "FourierSvcModel":
         moments = cross_products(train, "features")[0.0]
         cells = moments[0] * size
         spread = np.trace(moments[2]) / cells - (moments[1].sum() / cells) ** 2
         gamma = 1.0 / (size * spread) if spread > 0 else 1.0
         mapped = FourierSvcModel._map(train, size, gamma, terms, seed).persist()
         try:
-            inner = SvcModel.fit(mapped, classes, weight=weight, seed=seed)
+            inner = SvcModel.fit(mapped, classes, max_iter, weight=weight, seed=seed)
         finally:
             mapped.unpersist()
         return FourierSvcModel({"size": size, "gamma": gamma, "terms": terms, "seed": seed, "inner": inner.params}, inner.nested)

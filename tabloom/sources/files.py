@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabloom.functions.columns import nan_to_null
 
@@ -64,14 +64,15 @@ def load_dataset(spark: SparkSession, path: str, table: str | None = None) -> Da
 
 
 def write_dataset(df: DataFrame, root: str, name: str, operation: str = "", parent: str = "", source_type: str = "derived") -> dict:
-    """Parquet under ``root`` plus a metadata row; the row count is observed during the write."""
+    """Parquet under ``root`` plus a metadata row; the row count comes from the written footers."""
     if not df.columns:
         raise ValueError("The operation produced an empty dataset.")
     dataset_id = f"{name}_{uuid.uuid4().hex[:8]}"
     path = f"{root}/data/{dataset_id}"
-    seen = Observation(dataset_id)
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
-    rows = seen.get["rows"]
+    df.write.mode("errorifexists").parquet(path)
+    # answered from the footers of the files just written. An Observation would leave its manager in the
+    # session, which later ML fits then fail to serialize.
+    rows = df.sparkSession.read.parquet(path).count()
     if rows == 0:
         raise ValueError("The operation produced an empty dataset.")
     record = {"dataset_id": dataset_id, "name": name, "source_name": name, "source_type": source_type, "file_path": path,
