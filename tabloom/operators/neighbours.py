@@ -20,6 +20,7 @@ from tabloom.functions.columns import c
 
 BLOCK = 2_000                # rows per side of one distance block
 MAX_PIVOTS = 256
+MAX_GROUPS = 1_000           # values of the restricting column; the cell table is groups x pivots
 
 
 def _vector(df: DataFrame, features: list[str] | str) -> Column:
@@ -74,15 +75,16 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, features: list[str] | st
     leaves out the right row with the left row's own id.
     """
     group = c(within).cast("string") if within else F.lit("")
-    known_l, known_r = left, right
     ids = {f.name: f.dataType for f in left.schema}, {f.name: f.dataType for f in right.schema}
-    lefts = known_l.select(c(left_id).alias("lid"), _vector(left, features).alias("vec"), F.coalesce(group, F.lit("")).alias("grp"))
-    rights = known_r.select(c(right_id).alias("rid"), _vector(right, features).alias("vec"), F.coalesce(group, F.lit("")).alias("grp"))
+    lefts = left.select(c(left_id).alias("lid"), _vector(left, features).alias("vec"), F.coalesce(group, F.lit("")).alias("grp"))
+    rights = right.select(c(right_id).alias("rid"), _vector(right, features).alias("vec"), F.coalesce(group, F.lit("")).alias("grp"))
     out = T.StructType([T.StructField("left_id", ids[0][left_id]), T.StructField("right_id", ids[1][right_id]),
                         T.StructField("distance", T.DoubleType())])
     rows = rights.count()
     if rows == 0:
         return left.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(1))
+    if within and rights.select("grp").distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        raise ValueError(f"'{within}' has more than {MAX_GROUPS} values.")
     need = k + 1 if exclude_same else k
     count = max(1, min(max_pivots, int(math.sqrt(rows / 4))))
     pivots = np.array([r[0] for r in rights.orderBy(F.xxhash64("rid"), "rid").limit(count).select("vec").collect()], dtype=float)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.columns import c
+from tabloom.session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 512
@@ -102,7 +103,8 @@ def prefix_counts(counted: DataFrame, group: list[str], order: list[str], count:
 def running_sums(counted: DataFrame, group: list[str], order: list[str], sums: dict[str, str],
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Exclusive prefix sums ``{new column: summed column}`` per group along ``order``."""
-    bucketed = with_bucket(counted, order, True, rows_per_bucket)
+    # read three times below (size, sample, sums): materialised once, so the table behind it is scanned once
+    bucketed = with_bucket(cut_lineage(counted), order, True, rows_per_bucket)
     keys = [c(g) for g in group]
     part = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(c(s)).alias(f"_t_{n}") for n, s in sums.items()])
     over = Window.partitionBy(*keys).orderBy("_bucket") if group else Window.orderBy("_bucket")
@@ -145,11 +147,9 @@ def rows_up_to_rank(df: DataFrame, order: list[str], rank: int, nulls_last: bool
         if size == rows:
             break
         keyed, rank, rows = span, rank - passed, size
-    row = keyed.groupBy("_key").count().orderBy("_key").limit(rank + 1).collect() if rows <= final_rows else None
-    if row is None:
-        raise ValueError("order_by keys do not identify rows: add a unique key")
+    # equal keys are counted together, so a key shared by many rows is one entry
     seen = 0
-    for key, size in row:
+    for key, size in keyed.groupBy("_key").count().orderBy("_key").limit(min(rank + 1, final_rows)).collect():
         seen += size
         if seen > rank:
             return _literal(key, kind)

@@ -8,7 +8,10 @@ from tabloom.functions.columns import c, require_column, string_columns
 from tabloom.functions.seeded import seeded_key
 from tabloom.operators.dates import parse_timestamp, parseable_counts
 from tabloom.operators.describe import seeded_sample
-from tabloom.operators.ordered import split_at
+from tabloom.operators.ordered import rows_up_to_rank, sort_keys, split_at
+
+MAX_CLASSES = 10_000
+SORTED_SAMPLE = 100_000
 
 
 def _time_key(df: DataFrame, time_column: str) -> tuple[DataFrame, str]:
@@ -59,14 +62,16 @@ def random_split(df: DataFrame, key: list[str], test_size: float = 0.2, seed: in
         test = max(1, round(rows * test_size))
         left, right = split_at(hashed, ["_order"] + key, test)
         return right.drop("_order"), left.drop("_order")
-    sizes = {r[0]: r[1] for r in df.groupBy(c(stratify)).count().collect()}
-    train = test = None
+    sizes = {r[0]: r[1] for r in df.groupBy(c(stratify)).count().limit(MAX_CLASSES + 1).collect()}
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"'{stratify}' has more than {MAX_CLASSES} classes.")
+    place = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(sort_keys(hashed, ["_order"] + key))])
+    held = F.lit(False)
     for value, size in sorted(sizes.items(), key=lambda t: str(t[0])):
-        part = hashed.where(c(stratify).eqNullSafe(F.lit(value)))
-        left, right = split_at(part, ["_order"] + key, max(1, round(size * test_size)))
-        test = left if test is None else test.unionByName(left)
-        train = right if train is None else train.unionByName(right)
-    return train.drop("_order"), test.drop("_order")
+        mine = c(stratify).eqNullSafe(F.lit(value))
+        cut = rows_up_to_rank(hashed.where(mine), ["_order"] + key, max(1, round(size * test_size)))
+        held = held | (mine & (place < cut))
+    return hashed.where(~held).drop("_order"), hashed.where(held).drop("_order")
 
 
 def with_fold(df: DataFrame, key: list[str], folds: int, seed: int = 42, name: str = "_fold") -> DataFrame:
@@ -77,4 +82,9 @@ def with_fold(df: DataFrame, key: list[str], folds: int, seed: int = 42, name: s
 
 def sample_rows(df: DataFrame, max_rows: int, key: list[str], seed: int = 42) -> DataFrame:
     """At most ``max_rows`` rows, uniform without replacement; the table itself when it is smaller."""
-    return seeded_sample(df, max_rows, key, seed)
+    if max_rows <= SORTED_SAMPLE:
+        return seeded_sample(df, max_rows, key, seed)
+    if df.count() <= max_rows:
+        return df
+    # a large sample is a filter at a counted cut, not a sort gathered in one task
+    return split_at(df.withColumn("_order", seeded_key(seed, *key)), ["_order"] + key, max_rows)[0].drop("_order")
