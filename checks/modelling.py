@@ -186,10 +186,10 @@ def forecast_chart_series(spark, sf):
 def run_table(spark, sf):
     """A runs table out of the line items: a run per ship mode month, a 'model' per line number with its metrics."""
     parts = lines(spark, sf).withColumn("run_id", F.date_format("l_shipdate", "'run_'yyyyMM"))
-    entry = parts.groupBy("run_id", "l_linenumber").agg(F.avg("l_discount").alias("f1"), F.round(F.avg("l_tax"), 3).alias("acc"), F.max("l_shipdate").alias("at"))
+    entry = parts.groupBy("run_id", "l_linenumber").agg(F.avg("l_discount").alias("f1"), F.round(F.avg("l_tax"), 9).alias("acc"), F.max("l_shipdate").alias("at"))
     status = F.when(F.col("l_linenumber") == 7, "failed").otherwise("success")
     model = F.concat(F.lit("model "), F.col("l_linenumber").cast("string"))
-    metrics = F.when(status == "success", F.create_map(F.lit("f1_weighted"), F.round("f1", 4), F.lit("accuracy"), F.col("acc"))).otherwise(
+    metrics = F.when(status == "success", F.create_map(F.lit("f1_weighted"), F.round("f1", 9), F.lit("accuracy"), F.col("acc"))).otherwise(
         F.create_map().cast("map<string,double>"))
     each = F.struct(model.alias("model"), status.alias("status"), metrics.alias("metrics"), F.lit("").alias("error"))
     out = entry.groupBy("run_id").agg(F.max("at").alias("trained_at"), F.collect_list(each).alias("leaderboard"))
@@ -201,7 +201,7 @@ def run_table(spark, sf):
 
 
 RUN_TABLE = """e AS (SELECT strftime(l_shipdate, 'run_%Y%m') AS run_id, 'model ' || l_linenumber AS model, CASE WHEN l_linenumber = 7 THEN 'failed' ELSE 'success' END AS status,
-  round(avg(l_discount), 4) AS f1, round(avg(l_tax), 3) AS acc, max(l_shipdate) AS seen FROM lineitem GROUP BY 1, 2, 3)"""
+  round(avg(l_discount), 9) AS f1, round(avg(l_tax), 9) AS acc, max(l_shipdate) AS seen FROM lineitem GROUP BY 1, 2, 3)"""
 
 
 @query("rank_leaderboard", f"""WITH {RUN_TABLE} SELECT run_id, model, status, CASE WHEN status = 'success' THEN CAST(row_number() OVER (PARTITION BY run_id, status ORDER BY f1 DESC, acc DESC, model) AS INT) END AS rank FROM e""")

@@ -88,15 +88,15 @@ def pairplot_sample(spark, sf):
 
 _BOX = f"""WITH q AS (SELECT l_returnflag AS g, quantile_cont(l_extendedprice, 0.25) q1, quantile_cont(l_extendedprice, 0.5) q2, quantile_cont(l_extendedprice, 0.75) q3 FROM lineitem GROUP BY 1),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
-SELECT l_returnflag, count(*) AS n, {r("any_value(q1)", 4)} AS q1, {r("any_value(q2)", 4)} AS median, {r("any_value(q3)", 4)} AS q3, {r("any_value(lo)", 4)} AS lower_fence,
-  {r("any_value(hi)", 4)} AS upper_fence, min(l_extendedprice) FILTER (l_extendedprice BETWEEN lo AND hi) AS whisker_low,
+SELECT l_returnflag, count(*) AS n, {r("any_value(q1)")} AS q1, {r("any_value(q2)")} AS median, {r("any_value(q3)")} AS q3, {r("any_value(lo)")} AS lower_fence,
+  {r("any_value(hi)")} AS upper_fence, min(l_extendedprice) FILTER (l_extendedprice BETWEEN lo AND hi) AS whisker_low,
   max(l_extendedprice) FILTER (l_extendedprice BETWEEN lo AND hi) AS whisker_high, count(*) FILTER (NOT l_extendedprice BETWEEN lo AND hi) AS outliers
 FROM lineitem JOIN f ON l_returnflag = g GROUP BY 1"""
 
 
 @query("box_stats", _BOX)
 def box_stats(spark, sf):
-    return rounded(describe.box_stats(lines(spark, sf), "l_extendedprice", "l_returnflag"), 4)
+    return rounded(describe.box_stats(lines(spark, sf), "l_extendedprice", "l_returnflag"))
 
 
 @query("grouped_quantiles_bucketed", f"""SELECT l_returnflag, count(*) AS n, {r("quantile_cont(l_extendedprice, 0.1)", 4)} AS q10, {r("quantile_cont(l_extendedprice, 0.5)", 4)} AS q50,
