@@ -7,7 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tabloom.functions.columns import c, datetime_columns, is_integer, is_numeric, numeric_columns, require_column
 from tabloom.operators.quantiles import exact_quantiles, quantiles
 
+# fixed values: role and balance limits, and the advice texts
 IDENTIFIER_SHARE = 0.8
+IMBALANCE_RATIO = 3.0
+IMBALANCED = "Apply SMOTE / resampling before training."
+BALANCED = "Class balance looks acceptable."
 SAMPLE_ROWS = 200
 
 
@@ -135,9 +139,8 @@ def class_balance(df: DataFrame, column: str) -> DataFrame:
     ratio = F.max("class_count") / F.min("class_count")
     return class_counts(df, column).agg(
         F.lit(column).alias("column"), F.count("*").alias("n_classes"), F.round(ratio, 3).alias("imbalance_ratio"),
-        (ratio > 3.0).alias("is_imbalanced"),
-        F.when(ratio > 3.0, "Apply SMOTE / resampling before training.")
-         .otherwise("Class balance looks acceptable.").alias("recommendation"))
+        (ratio > IMBALANCE_RATIO).alias("is_imbalanced"),
+        F.when(ratio > IMBALANCE_RATIO, IMBALANCED).otherwise(BALANCED).alias("recommendation"))
 
 
 def outlier_summary(df: DataFrame, exact: bool = True) -> DataFrame:

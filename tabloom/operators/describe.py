@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabloom.functions.columns import (c, categorical_columns, is_integer, is_numeric, numeric_columns, require_column,
                                        require_numeric, string_columns)
-from tabloom.functions.pvalues import normal_quantile, normal_two_sided, t_two_sided
+from tabloom.functions.pvalues import normal_quantile, t_two_sided
 from tabloom.functions.seeded import seeded_key
 from tabloom.operators import aggregate
 from tabloom.operators.clean import constant_columns, pairwise_correlations
@@ -18,7 +18,10 @@ from tabloom.operators.joins import lookup_join
 from tabloom.operators.quantiles import exact_quantiles, grouped_quantiles
 from tabloom.operators.scale import right_closed_code
 
+# fixed values: largest Shapiro-Wilk sample and the advice texts
 SHAPIRO_ROWS = 5_000
+LOOKS_NORMAL = "Distribution looks approximately normal."
+NOT_NORMAL = "Non-normal; consider log_transform, power_transform, or quantile_transform."
 
 
 def _frame(df: DataFrame, rows: list, schema: str) -> DataFrame:
@@ -180,8 +183,7 @@ def normality_test(df: DataFrame, column: str, key: list[str] | None = None, see
         w, wp = shapiro_wilk(np.array([r["x"] for r in picked.collect()]))
         w, wp = (None, None) if w != w else (w, wp)
     normal = True if p is None else p > 0.05
-    advice = ("Distribution looks approximately normal." if normal
-              else "Non-normal; consider log_transform, power_transform, or quantile_transform.")
+    advice = LOOKS_NORMAL if normal else NOT_NORMAL
     return _frame(df, [(column, n, row["mean"], row["std"], row["skew"], row["kurt"], w, wp, None if wp is None else wp > 0.05,
                         k2, p, None if p is None else p > 0.05, advice)],
                   "column string, n long, mean double, std double, skewness double, kurtosis double, shapiro_stat double, "

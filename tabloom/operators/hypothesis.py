@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from tabloom.functions.columns import c, require_column, require_numeric
-from tabloom.functions.pvalues import chi2_tail, f_tail, normal_two_sided, t_two_sided
+from tabloom.functions.pvalues import chi2_tail, f_tail, t_two_sided
 from tabloom.operators.ordered import ROWS_PER_BUCKET, prefix_counts
 
 MAX_GROUPS = 10_000

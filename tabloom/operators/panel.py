@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tabloom.functions.columns import c, datetime_columns, is_numeric, require_column, string_columns
 from tabloom.operators.dates import parse_timestamp, parseable_counts
 from tabloom.operators.ordered import ROWS_PER_SERIES_TASK, over_series, with_position
+from tabloom.session import cut_lineage
 
 PERIODS_PER_CHUNK = 1_000
 
@@ -52,17 +53,19 @@ def dense_panel(df: DataFrame, time_column: str, group_by: list[str], freq: str
         work = df.withColumn(time_column, period_end(stamp.cast("timestamp"), freq))
     else:
         work = df
+    # one scan gives the distinct cells; groups, range and the anti join all read that small table
+    seen = cut_lineage(work.select(*[c(g).alias(f"_g{i}") for i, g in enumerate(group_by)], c(time_column).alias("_t")).distinct())
     work = work.where(c(time_column).isNotNull())
     keys = [c(g) for g in group_by]
-    cells = work.select(*[k.alias(f"_g{i}") for i, k in enumerate(keys)], c(time_column).alias("_t")).distinct()
-    groups = df.select(*keys).distinct()
+    cells = seen.where(F.col("_t").isNotNull())
+    groups = seen.select(*[F.col(f"_g{i}").alias(g) for i, g in enumerate(group_by)]).distinct()
     if dated:
-        first, last = work.agg(F.min(c(time_column)), F.max(c(time_column))).first()
+        first, last = cells.agg(F.min("_t"), F.max("_t")).first()
         if first is None:
             return work
         grid = groups.select(*keys, F.explode(_period_range(F.lit(first), F.lit(last), freq)).alias(time_column))
     else:
-        grid = _label_grid(groups, work.select(c(time_column)).distinct(), group_by, time_column)
+        grid = _label_grid(groups, cells.select(F.col("_t").alias(time_column)).distinct(), group_by, time_column)
     match = c(time_column) == F.col("_t")
     for i, k in enumerate(keys):
         match = match & k.eqNullSafe(F.col(f"_g{i}"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabloom.operators import aggregate, clean, dates, encode, impute, isolation, panel, resample, scale, selection, text
 from tabloom.operators.describe import quality_recommendations
+from tabloom.session import cut_lineage
 
 OPERATORS: dict[str, Callable[..., DataFrame]] = {
     f.__name__: f for f in (
@@ -55,7 +56,13 @@ def select_expressions(df: DataFrame, expressions: list[str]) -> DataFrame:
     return df.selectExpr(*expressions)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint between steps."""
+    return cut_lineage(df)
+
+
 OPERATORS["select_expressions"] = select_expressions
+OPERATORS["materialize"] = materialize
 
 
 def apply_operation(df: DataFrame, name: str, params: dict | None = None) -> DataFrame:
@@ -105,9 +112,15 @@ class Recipe:
 
 def forecast_recipe(time_column: str, group_by: list[str], value: str, freq: str = "M", lags=(1, 3, 12), windows=(3, 6, 12), leads=(1,),
                     calendar: bool = False) -> Recipe:
-    """Dense panel, lags, previous-row rolling means, lead targets, and calendar cycles when asked."""
+    """Dense panel, lags, previous-row rolling means, lead targets, and calendar cycles when asked.
+
+    The aggregated input is materialised before the panel and the panel before its windows, so the
+    large tables behind them are scanned once.
+    """
     keys = {"group_by": list(group_by), "time_column": time_column}
-    steps = [("dense_panel", {**keys, "freq": freq, "fill_value": 0}),
+    steps = [("materialize", {}),
+             ("dense_panel", {**keys, "freq": freq, "fill_value": 0}),
+             ("materialize", {}),
              ("create_lag_features", {**keys, "column": value, "lags": list(lags)}),
              ("create_rolling_features", {**keys, "column": value, "windows": list(windows), "agg": "mean"}),
              ("create_lead_target", {**keys, "column": value, "leads": list(leads)})]
