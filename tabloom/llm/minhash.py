@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabloom.llm.common import components, runs, written
 
-BATCHES = 5  # a signature is compared in so many batches
+FINE, BATCHES = 512, 8  # hashes of a comparison signature, one byte each, and the batches they are compared in
 BLOCK = 512  # members of one bucket that are compared in one piece
 WORD_CACHE = 400_000
 
@@ -51,40 +51,48 @@ def shingle_set(text: str | None, words: int, hashes: dict) -> np.ndarray:
     return np.unique(_mixed(joined + np.uint64(size)))
 
 
-def _signature(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _lowest(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """MinHash values: the lowest of each hash function over a set."""
     lowest = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), 1024):
-        block = shingles[start:start + 1024, None] * factors[None, :] + offsets[None, :]
-        np.minimum(lowest, block.min(axis=0), out=lowest)
-    return (lowest >> np.uint64(32)).astype("<u4")
+    for start in range(0, len(shingles), 512):
+        np.minimum(lowest, (shingles[start:start + 512, None] * factors[None, :] + offsets[None, :]).min(axis=0), out=lowest)
+    return lowest
 
 
-def _sketches(words: int, size: int):
-    """Per text: number of shingles, a 128-bit digest of the set, the MinHash signature."""
+def _sketches(words: int, bands: int, rows: int):
+    """Per text: number of shingles, a 128-bit digest of the set, a key for each band of MinHash values."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, factors, offsets = _WordHashes(), _odd_numbers(size, 5), _odd_numbers(size, 7)
+        hashes, factors, offsets = _WordHashes(), _odd_numbers(bands * rows, 5), _odd_numbers(bands * rows, 7)
+        weights, marks = _odd_numbers(rows, 13), _odd_numbers(bands, 17)
         for batch in batches:
-            counts, digests, signatures = [], [], []
+            counts, digests, keys = [], [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), words, hashes)
                 counts.append(len(shingles))
                 digests.append(np.array([shingles.sum(), _mixed(shingles).sum()], "<u8").tobytes())
-                signatures.append(_signature(shingles, factors, offsets).tobytes() if len(shingles) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                                              pa.array(signatures, pa.binary())], ["id", "n_shingles", "digest", "signature"])
+                if len(shingles):
+                    values = _lowest(shingles, factors, offsets).reshape(bands, rows)
+                    keys.append(_mixed(_mixed(values) @ weights + marks).view(np.int64))
+                else:
+                    keys.append(np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists],
+                                             ["id", "n_shingles", "digest", "keys"])
     return run
 
 
-def _sets(words: int):
+def _details(words: int):
+    """Per text: the signature that pairs are compared by, and the whole set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes, factors, offsets = _WordHashes(), _odd_numbers(FINE, 23), _odd_numbers(FINE, 29)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 sets = [shingle_set(text.as_py(), words, hashes) for text in part.column(1)]
+                signatures = [(_lowest(x, factors, offsets) >> np.uint64(40)).astype(np.uint8).tobytes() for x in sets]
                 values = pa.array(np.concatenate(sets).view(np.int64))
-                offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, values)], ["id", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signatures, pa.binary()), lists], ["node", "signature", "shingles"])
     return run
 
 
@@ -102,9 +110,9 @@ def least_matches(compared: int, threshold: float, miss: float) -> int:
     return compared
 
 
-def _schedule(size: int, threshold: float, miss: float) -> list[tuple[int, int, int]]:
-    step = size // BATCHES
-    return [(start, start + step, least_matches(start + step, threshold, miss)) for start in range(0, step * BATCHES, step)]
+def _schedule(threshold: float, miss: float) -> list[tuple[int, int, int]]:
+    step = FINE // BATCHES
+    return [(start, start + step, least_matches(start + step, threshold, miss)) for start in range(0, FINE, step)]
 
 
 def _survivors(left: np.ndarray, right: np.ndarray, schedule) -> np.ndarray:
@@ -117,28 +125,28 @@ def _survivors(left: np.ndarray, right: np.ndarray, schedule) -> np.ndarray:
     return alive
 
 
-def _matrix(column, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, size)
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FINE)
 
 
-def _pairs_pruned(size: int, schedule):
+def _pairs_pruned(schedule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                keep = pa.array(_survivors(_matrix(part.column(2), size), _matrix(part.column(3), size), schedule))
+                keep = pa.array(_survivors(_matrix(part.column(2)), _matrix(part.column(3)), schedule))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
     return run
 
 
-def _blocks_pruned(size: int, schedule):
+def _blocks_pruned(schedule):
     """Pairs of different classes within a block pair of one bucket that the comparisons leave; nothing else is emitted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ("bucket", "first", "second")):
             nodes = np.array(group.column("node").to_pylist(), dtype=object)
             classes = np.array(group.column("class").to_pylist(), dtype=object)
             block, first, second = group.column("block").to_numpy(), group.column("first")[0].as_py(), group.column("second")[0].as_py()
-            signatures = _matrix(group.column("signature"), size)
+            signatures = _matrix(group.column("signature"))
             rows, cols = np.flatnonzero(block == first), np.flatnonzero(block == second)
             for start in range(0, len(rows), 64):
                 i, j = (x.ravel() for x in np.meshgrid(rows[start:start + 64], cols, indexing="ij"))
@@ -153,12 +161,10 @@ def _blocks_pruned(size: int, schedule):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int, kind: str) -> DataFrame:
+def _linked(pairs: DataFrame, details: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have ``100 * intersection >= percent * union``."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(texts.join(needed, "id", "left_semi").mapInArrow(_sets(words), f"id {kind}, shingles array<bigint>"), "shingles")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    left = details.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = details.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"),
                                                          (F.size("left") + F.size("right")).alias("total"))
     return both.where((F.col("shared") > 0) & (100 * F.col("shared") >= percent * (F.col("total") - F.col("shared")))).select("a", "b").distinct()
@@ -171,10 +177,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns ``(id_col, n_shingles, component_id, kept)``, one row per input row.
 
     1. Rows with equal shingle sets are one class (a grouped minimum); only its smallest id goes on.
-    2. MinHash signatures of ``bands * rows`` values make ``bands`` bucket keys per class.
+    2. ``bands`` keys, each of ``rows`` MinHash values, put a class in buckets.
     3. Each member of a bucket is compared with the bucket's smallest member, so candidates grow with the members, not their square.
-       Signatures are compared in batches; after each, a pair is dropped when its posterior chance of reaching the threshold is below
-       ``miss``. Survivors are verified on their full sets; verified links make components.
+       Finer signatures are compared in batches; after each, a pair is dropped when its posterior chance of reaching the threshold is
+       below ``miss``. Survivors are verified on their full sets; verified links make components.
     4. Pairs of one bucket that lie in different components are compared in blocks of bounded size in the same way. Pairs inside one
        component need no comparison: they cannot change the result.
 
@@ -184,28 +190,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows fall in one class. An id with several texts is one node: it links with whatever one of them links. Rows with a NULL id
     are linked with nothing, get a NULL component and are kept. Very long texts are read whole; a text's set is held in one task.
     """
-    size, kind = bands * rows, dict(df.dtypes)[id_col]
-    schedule = _schedule(size, percent / 100, miss)
+    kind, schedule = dict(df.dtypes)[id_col], _schedule(percent / 100, miss)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketched = written(texts.mapInArrow(_sketches(words, size), f"id {kind}, n_shingles bigint, digest binary, signature binary"), "sketches")
+    sketched = written(texts.mapInArrow(_sketches(words, bands, rows), f"id {kind}, n_shingles bigint, digest binary, keys array<bigint>"), "sketches")
     filled = sketched.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = written(filled.groupBy("digest", "n_shingles").agg(F.min("id").alias("node")), "classes")
-    signatures = filled.select(F.col("id").alias("node"), "digest", "signature").join(classes.select("digest", "node"), ["digest", "node"], "left_semi")
-    signatures = written(signatures.select("node", "signature").distinct(), "signatures")
+    first = filled.select("digest", F.col("id").alias("node"), "keys").join(classes.select("digest", "node"), ["digest", "node"], "left_semi")
 
-    keys = F.array(*[F.xxhash64(F.substring("signature", 4 * rows * b + 1, 4 * rows), F.lit(b)) for b in range(bands)])
-    members = signatures.select("node", F.explode(keys).alias("bucket"))
+    members = first.select("node", F.explode("keys").alias("bucket")).distinct()
     pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     members = written(members.join(pivots, "bucket"), "buckets")
-
-    def signed(pairs: DataFrame) -> DataFrame:
-        left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("left"))
-        right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    met = members.select(F.col("node").alias("id")).distinct()
+    details = written(texts.join(met.hint("merge"), "id", "left_semi").mapInArrow(_details(words), f"node {kind}, signature binary, shingles array<bigint>"), "details")
 
     starred = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = written(signed(starred).mapInArrow(_pairs_pruned(size, schedule), f"a {kind}, b {kind}"), "survivors")
-    links = written(_linked(pairs, texts, words, percent, kind), "links")
+    left = details.select(F.col("node").alias("a"), F.col("signature").alias("left"))
+    right = details.select(F.col("node").alias("b"), F.col("signature").alias("right"))
+    signed = starred.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    pairs = written(signed.mapInArrow(_pairs_pruned(schedule), f"a {kind}, b {kind}"), "survivors")
+    links = written(_linked(pairs, details, percent), "links")
     found = written(components(links), "components")
 
     split = members.join(found, "node", "left").select("bucket", "node", "pivot", "members", F.coalesce("component", "node").alias("class"))
@@ -213,13 +216,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = mixed.where("low != high and members > 2").select("bucket")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rest = (split.join(mixed, "bucket").withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(signatures, "node")
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(details.select("node", "signature"), "node")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "class", "block", "signature"))
     rest = rest.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
-    crossed = rest.mapInArrow(_blocks_pruned(size, schedule), f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    crossed = rest.mapInArrow(_blocks_pruned(schedule), f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     crossed = written(crossed.distinct().join(starred, ["a", "b"], "left_anti"), "crossed")
-    more = _linked(crossed, texts, words, percent, kind)
+    more = _linked(crossed, details, percent)
     found = written(components(links.union(more)), "components") if crossed.take(1) else found
 
     named = classes.join(found, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("component"))
