@@ -59,40 +59,50 @@ def _lowest(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> n
     return lowest
 
 
+def _band_keys(bands: int, rows: int):
+    """Function from a set to a key for each band of its MinHash values."""
+    factors, offsets = _odd_numbers(bands * rows, 5), _odd_numbers(bands * rows, 7)
+    weights, marks = _odd_numbers(rows, 13), _odd_numbers(bands, 17)
+
+    def keys(shingles: np.ndarray) -> np.ndarray:
+        if not len(shingles):
+            return np.empty(0, np.int64)
+        return _mixed(_mixed(_lowest(shingles, factors, offsets).reshape(bands, rows)) @ weights + marks).view(np.int64)
+    return keys
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([*values, np.empty(0, np.int64)]).astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
+
+
 def _sketches(words: int, bands: int, rows: int):
-    """Per text: number of shingles, a 128-bit digest of the set, a key for each band of MinHash values."""
+    """Per text: number of shingles, a 128-bit digest of the set, the band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, factors, offsets = _WordHashes(), _odd_numbers(bands * rows, 5), _odd_numbers(bands * rows, 7)
-        weights, marks = _odd_numbers(rows, 13), _odd_numbers(bands, 17)
+        hashes, band_keys = _WordHashes(), _band_keys(bands, rows)
         for batch in batches:
             counts, digests, keys = [], [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), words, hashes)
                 counts.append(len(shingles))
                 digests.append(np.array([shingles.sum(), _mixed(shingles).sum()], "<u8").tobytes())
-                if len(shingles):
-                    values = _lowest(shingles, factors, offsets).reshape(bands, rows)
-                    keys.append(_mixed(_mixed(values) @ weights + marks).view(np.int64))
-                else:
-                    keys.append(np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists],
+                keys.append(band_keys(shingles))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), _lists(keys)],
                                              ["id", "n_shingles", "digest", "keys"])
     return run
 
 
-def _details(words: int):
-    """Per text: the signature that pairs are compared by, and the whole set."""
+def _details(words: int, bands: int, rows: int):
+    """Per text: the signature that pairs are compared by, the band keys, the whole set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, factors, offsets = _WordHashes(), _odd_numbers(FINE, 23), _odd_numbers(FINE, 29)
+        hashes, factors, offsets, band_keys = _WordHashes(), _odd_numbers(FINE, 23), _odd_numbers(FINE, 29), _band_keys(bands, rows)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 sets = [shingle_set(text.as_py(), words, hashes) for text in part.column(1)]
                 signatures = [(_lowest(x, factors, offsets) >> np.uint64(40)).astype(np.uint8).tobytes() for x in sets]
-                values = pa.array(np.concatenate(sets).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signatures, pa.binary()), lists], ["node", "signature", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signatures, pa.binary()), _lists([band_keys(x) for x in sets]),
+                                                  _lists([x.view(np.int64) for x in sets])], ["node", "signature", "keys", "shingles"])
     return run
 
 
@@ -140,13 +150,14 @@ def _pairs_pruned(schedule):
 
 
 def _blocks_pruned(schedule):
-    """Pairs of different classes within a block pair of one bucket that the comparisons leave; nothing else is emitted."""
+    """Pairs of different classes within a block pair of one bucket that the comparisons leave; a pair comes from its first common bucket only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ("bucket", "first", "second")):
             nodes = np.array(group.column("node").to_pylist(), dtype=object)
             classes = np.array(group.column("class").to_pylist(), dtype=object)
             block, first, second = group.column("block").to_numpy(), group.column("first")[0].as_py(), group.column("second")[0].as_py()
-            signatures = _matrix(group.column("signature"))
+            signatures, bucket = _matrix(group.column("signature")), group.column("bucket")[0].as_py()
+            keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
             rows, cols = np.flatnonzero(block == first), np.flatnonzero(block == second)
             for start in range(0, len(rows), 64):
                 i, j = (x.ravel() for x in np.meshgrid(rows[start:start + 64], cols, indexing="ij"))
@@ -155,9 +166,12 @@ def _blocks_pruned(schedule):
                     differ &= i < j
                 i, j = i[differ], j[differ]
                 keep = _survivors(signatures[i], signatures[j], schedule)
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i[keep]].tolist(), group.schema.field("node").type),
-                                                      pa.array(nodes[j[keep]].tolist(), group.schema.field("node").type)], ["a", "b"])
+                i, j = i[keep], j[keep]
+                own = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == bucket
+                i, j = i[own], j[own]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i].tolist(), group.schema.field("node").type),
+                                                      pa.array(nodes[j].tolist(), group.schema.field("node").type)], ["a", "b"])
     return run
 
 
@@ -201,7 +215,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     members = written(members.join(pivots, "bucket"), "buckets")
     met = members.select(F.col("node").alias("id")).distinct()
-    details = written(texts.join(met.hint("merge"), "id", "left_semi").mapInArrow(_details(words), f"node {kind}, signature binary, shingles array<bigint>"), "details")
+    details = written(texts.join(met.hint("merge"), "id", "left_semi").mapInArrow(_details(words, bands, rows),
+                      f"node {kind}, signature binary, keys array<bigint>, shingles array<bigint>"), "details")
 
     starred = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     left = details.select(F.col("node").alias("a"), F.col("signature").alias("left"))
@@ -216,9 +231,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = mixed.where("low != high and members > 2").select("bucket")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rest = (split.join(mixed, "bucket").withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(details.select("node", "signature"), "node")
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(details.select("node", "signature", "keys"), "node")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "class", "block", "signature"))
+            .select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "class", "block", "signature", "keys"))
     rest = rest.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
     crossed = rest.mapInArrow(_blocks_pruned(schedule), f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     crossed = written(crossed.distinct().join(starred, ["a", "b"], "left_anti"), "crossed")
