@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import minhash
+from tabloom.llm import minhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op7_minhash_near_dedup")
 def op7(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op9_warc_chunked_records")
+def op9(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
