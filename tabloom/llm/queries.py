@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm import minhash, warc
+from tabloom.llm import minhash, packing, quality, toxicity, warc
+from tabloom.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scored(documents: DataFrame, score: Column, least: float) -> DataFrame:
+    out = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
 @query("op7_minhash_near_dedup")
 def op7(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -33,3 +40,23 @@ def op7(spark, sf_dir):
 @query("op9_warc_chunked_records")
 def op9(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query("op10_quality_additive_model")
+def op10(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(documents, table(spark, sf_dir, "labels"))
+    return scored(documents, model.score(F.col("text")), 0.3)
+
+
+@query("op2_toxicity_gated_network")
+def op2(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))
+    return scored(documents, model.score(F.col("text")), 0.5)
+
+
+@query("op6_retrieval_packing")
+def op6(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
