@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from tabloom.llm.chunks import ChunkTable
 from tabloom.llm.common import written
 
-CHUNKS_KEPT = 250_000  # distinct chunks of text whose ids a task keeps
 GROUP_CHUNKS = 150_000  # chunks that are encoded together
 SHARD_TOKENS, SHARD_ROWS = 3_000_000, 3_000  # an index holds about so much; a task makes one after another
 QUERY_TERMS = 24  # most telling terms of a seed that the index is asked for
@@ -28,41 +28,20 @@ def chunks_of(text: str | None) -> list[str]:
     return [c for c in re.split("[ \t\n\r]+", text) if c] if SEPARATORS.search(text) else text.split()
 
 
-class ChunkIds:
-    """Token ids of texts; each distinct chunk is tokenised once for as long as it is kept."""
+class ChunkIds(ChunkTable):
+    """Token ids of the parts of texts between white space."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.rows, self.values, self.ends = {}, np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def _encoded(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encoded(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(list(chunks), add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
 
-    def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        parts = [chunks_of(t) for t in texts]
-        flat = [c for part in parts for c in part]
-        new = [c for c in dict.fromkeys(flat) if c not in self.rows]
-        kept = [c for c in new if len(c) <= 64][:max(0, CHUNKS_KEPT - len(self.rows))]
-        if kept:
-            values, sizes = self._encoded(kept)
-            self.rows |= {c: len(self.rows) + k for k, c in enumerate(kept)}
-            self.values, self.ends = np.append(self.values, values), np.append(self.ends, self.ends[-1] + np.cumsum(sizes))
-        rows, values, ends = self.rows, self.values, self.ends
-        if passing := [c for c in new if c not in self.rows]:
-            more, sizes = self._encoded(passing)
-            rows = rows | {c: len(rows) + k for k, c in enumerate(passing)}
-            values, ends = np.append(values, more), np.append(ends, ends[-1] + np.cumsum(sizes))
-        index = np.fromiter(map(rows.__getitem__, flat), np.int64, len(flat))
-        sizes = ends[index + 1] - ends[index]
-        stops = np.cumsum(sizes)
-        out = values[np.repeat(ends[index] - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
-        bounds = np.append(0, stops)[np.cumsum([0, *map(len, parts)])]
-        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
-
 
 def _tokenised(path: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +51,7 @@ def _tokenised(path: str, end_id: int, dtype: str):
             for k, text in enumerate(texts):
                 size += len(text or "") // 6 + 1
                 if size >= GROUP_CHUNKS or k == len(texts) - 1:
-                    ids = [np.append(x, end_id).astype(dtype).tobytes() for x in chunks.ids(texts[start:k + 1])]
+                    ids = [np.append(x, end_id).astype(dtype).tobytes() for x in chunks.ids([chunks_of(t) for t in texts[start:k + 1]])]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), pa.array(ids, pa.binary())], ["id", "ids"])
                     start, size = k + 1, 0
     return run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm import minhash, packing, quality, toxicity, vector_dedup, vector_search, warc
+from tabloom.llm import language, minhash, packing, quality, sentencepieces, toxicity, urls, vector_dedup, vector_search, warc
 from tabloom.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,29 @@ def op4(spark, sf_dir):
 def op8(spark, sf_dir):
     found = vector_search.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@query("op1_sentencepiece_viterbi")
+def op1(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                        F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+@query("op3_language_bloom_filters")
+def op3(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    filters = language.fit_languages(documents)
+    found = filters.score(F.col("text"))
+    out = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found.alias("found"))
+    return out.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+URL_RULES = [urls.parse_rule(text, verdict) for text, verdict in (
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
+
+
+@query("op5_url_boosted_trees")
+def op5(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
