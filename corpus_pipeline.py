@@ -36,7 +36,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
     groups = minhash.near_duplicates(docs, "doc_id", "text", percent=80)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("gone"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,8 +128,8 @@ def fit_urls(df: DataFrame, url_col: str, label: Column, *, training_rows: int =
     if made.select("label").distinct().count() < 2:
         return UrlModel(None, [], "block" if made.where("label = 1").take(1) else "allow")
     packed = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="f_vector").transform(made)
-    boosted = GBTClassifier(featuresCol="f_vector", labelCol="label", probabilityCol="f_probability", rawPredictionCol="f_raw", predictionCol="f_prediction",
-                            maxIter=trees, maxDepth=depth, maxBins=32, seed=seed).fit(packed)
+    boosted = GBTClassifier(featuresCol="f_vector", labelCol="label", predictionCol="f_prediction", maxIter=trees, maxDepth=depth, maxBins=32, seed=seed)
+    boosted = boosted.setRawPredictionCol("f_raw").setProbabilityCol("f_probability").fit(packed)
     return UrlModel(boosted, suffixes)
 
 
