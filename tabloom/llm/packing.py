@@ -3,57 +3,95 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm.chunks import ChunkTable
 from tabloom.llm.common import written
 
-GROUP_CHUNKS = 150_000  # chunks that are encoded together
+GROUP_BYTES = 32 << 20  # texts that are tokenised together
 SHARD_TOKENS, SHARD_ROWS = 3_000_000, 3_000  # an index holds about so much; a task makes one after another
 QUERY_TERMS = 24  # most telling terms of a seed that the index is asked for
 K1, B = 1.2, 0.75
-SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, text to the tokenizer
+LETTERS = "abcdefghijklmnopqrstuvwxyzß" + "".join(map(chr, range(0xE0, 0x100))).replace("÷", "")
+ENDING = ".,!?;:|#$%&*\"()[]{}+=/~^@`-_\\"  # no apostrophe, which starts some pre-tokens, no < or >, which stand in special tokens
+PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]{1,64}[.,!?;:|#$%&*\"()\[\]{}+=/~^@`\-_\\]*$"
+SAMPLES = ("Word", "straße.", "ÉTÉ!!", "niño,***", "a\")", "oneandanother###")
+# byte-level vocabularies write bytes outside printable Latin-1 as the characters from 256 on
+BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """Parts of a text between white space, which no token crosses."""
-    if not text:
-        return []
-    return [c for c in re.split("[ \t\n\r]+", text) if c] if SEPARATORS.search(text) else text.split()
+class TextIds:
+    """Token ids of texts, by the distinct parts between ASCII white space, which no token crosses.
 
-
-class ChunkIds(ChunkTable):
-    """Token ids of the parts of texts between white space."""
+    A word of Latin letters is one pre-token, and so is a run of punctuation behind it, so their ids come from the tokenizer's own model and
+    from the tokenizer; each distinct word is asked for once. All other parts go through the whole tokenizer. Words are only taken apart
+    this way where the tokenizer is found to treat some samples so.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def encoded(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(list(chunks), add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
+        self.tokenizer, self.parted = Tokenizer.from_file(path), True
+        found = self._parts(pa.array(SAMPLES))
+        self.parted = [x.tolist() for x in np.split(found[0], np.cumsum(found[1])[:-1])] == self._whole(SAMPLES)
+
+    def _whole(self, parts: Sequence[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(list(parts), add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts one after another, and how many each has."""
+        plain = pc.match_substring_regex(parts, PLAIN) if self.parted else pa.array(np.zeros(len(parts), bool))
+        low = pc.utf8_lower(parts.filter(plain))
+        words, ends = pc.utf8_rtrim(low, ENDING).dictionary_encode(), pc.utf8_ltrim(low, LETTERS).dictionary_encode()
+        pieces = [*map(self._word, words.dictionary.to_pylist()), *self._whole(ends.dictionary.to_pylist()), *self._whole(parts.filter(pc.invert(plain)).to_pylist())]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        values = np.fromiter(chain.from_iterable(pieces), np.int32, int(sizes.sum()))
+        first, second = np.full(len(parts), -1), np.full(len(parts), -1)
+        plain = plain.to_numpy(zero_copy_only=False)
+        first[plain], second[plain] = words.indices.to_numpy(), ends.indices.to_numpy() + len(words.dictionary)
+        first[~plain] = np.arange((~plain).sum()) + len(words.dictionary) + len(ends.dictionary)
+        both = np.stack([first, second], axis=1).ravel()
+        return _gathered(values, sizes, both[both >= 0]), sizes[first] + np.where(second >= 0, sizes[second], 0)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the bounds of each text; NULL texts have none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        parts = lists.flatten().dictionary_encode()
+        values, sizes = self._parts(parts.dictionary)
+        index = parts.indices.to_numpy()
+        stops = np.append(0, np.cumsum(sizes[index]))
+        offsets = lists.offsets.to_numpy()
+        return _gathered(values, sizes, index), stops[offsets - offsets[0]]
+
+
+def _gathered(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Runs of ``values`` (of ``sizes``, one after another) in the order of ``index``."""
+    begins, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
+    stops = np.cumsum(lengths)
+    return values[np.repeat(begins - (stops - lengths), lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
 
 
 def _tokenised(path: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkIds(path)
+        tokens = TextIds(path)
         for batch in batches:
-            texts, start, size = batch.column(1).to_pylist(), 0, 0
-            for k, text in enumerate(texts):
-                size += len(text or "") // 6 + 1
-                if size >= GROUP_CHUNKS or k == len(texts) - 1:
-                    ids = [np.append(x, end_id).astype(dtype).tobytes() for x in chunks.ids([chunks_of(t) for t in texts[start:k + 1]])]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), pa.array(ids, pa.binary())], ["id", "ids"])
-                    start, size = k + 1, 0
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(sizes // GROUP_BYTES, prepend=-1)).tolist() + [batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                part = batch.slice(start, end - start)
+                ids, bounds = tokens.ids(part.column(1))
+                rows = [np.append(ids[a:b], end_id).astype(dtype).tobytes() for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["id", "ids"])
     return run
 
 
@@ -105,9 +143,10 @@ def _placed(window: int, weights: Weights):
             first, second = [], []
             for raw in batch.column(1):
                 terms, weight = weights.terms(_rest(np.frombuffer(raw.as_buffer(), weights.dtype), window))
-                top = terms[np.lexsort((terms, -weight))[:2]].tolist() + [-1, -1]
-                first.append(top[0])
-                second.append(top[1])
+                first.append(int(terms[weight.argmax()]) if len(terms) else -1)
+                if len(terms):
+                    weight[weight.argmax()] = -1
+                second.append(int(terms[weight.argmax()]) if len(terms) > 1 else -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array(second, pa.int64())],
                                              ["id", "ids", "first", "second"])
     return run
@@ -118,7 +157,7 @@ class _Index:
 
     def __init__(self, rests: Sequence[np.ndarray], weights: Weights):
         found = [weights.terms(r) for r in rests]
-        self.queries = [terms[np.lexsort((terms, -weight))[:QUERY_TERMS]] for terms, weight in found]
+        self.queries = [terms if len(terms) <= QUERY_TERMS else terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]] for terms, weight in found]
         rows = np.repeat(np.arange(len(rests)), [len(t) for t, _ in found])
         terms = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int64)
         order = np.argsort(terms, kind="stable")

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabloom.llm.chunks import Numbered
 from tabloom.llm.common import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -262,32 +263,18 @@ class GatedReader:
                     self.p[k] = (self.p[k] * (1 - now * DECAY * table) - now * m[k] / (1 - 0.9 ** step) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
 
 
-class _Types(dict):
-    """Numbers words in the order they come; ``new`` lists those without gate inputs so far."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-
 class _Scorer:
     """Scores documents in a task; keeps the gate inputs of a bounded number of word types."""
 
     def __init__(self, reader: GatedReader):
-        self.reader, self.types, self.gates = reader, _Types(), reader.projected([])
+        self.reader, self.types, self.gates = reader, Numbered(), reader.projected([])
 
     def windows(self, documents: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = np.array([len(d) for d in documents], np.int64)
         types = np.fromiter(map(self.types.__getitem__, chain.from_iterable(documents)), np.int64, int(counts.sum()))
         gates = np.concatenate([self.gates, self.reader.projected(self.types.new)], axis=1)
-        for word in self.types.new[max(0, TYPES_KEPT - self.gates.shape[1]):]:
-            del self.types[word]
-        self.types.new, self.gates = [], gates[:, :TYPES_KEPT]
+        self.types.settle(TYPES_KEPT)
+        self.gates = gates[:, :TYPES_KEPT]
         starts = [window_starts(int(c)) for c in counts]
         owner = np.repeat(np.arange(len(documents)), [len(s) for s in starts])
         starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)

@@ -1,13 +1,14 @@
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from tabloom.llm.packing import ChunkIds, chunks_of, pack
+from tabloom.llm.packing import TextIds, pack
 from tests.llm.awkward import documents, empty, prose
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 HARD = ["a\x1cb c\x1dd\x1e e\x1f", "x\x85y\xa0z", " a b　c", "ÀÉÎ I'M DON'T it's 'tis we've", "<|endoftext|> a<|startoftext|>b", "ΑΣ Σ ΣΑ\nΣ",
-        "é ́a ﬁ İI ǅ", "\x0ba\x0cb\x00c", "", "  \n ", None, "漢字かな 123 4a5b6 !!??..", "a᠎b﻿c", "\U0001F600 x", "z" * 300]
+        "é ́a ﬁ İI ǅ", "\x0ba\x0cb\x00c", "", "  \n ", None, "漢字かな 123 4a5b6 !!??..", "a᠎b﻿c", "\U0001F600 x", "z" * 300, "Straße. ÑANDÚ,*** ÷ a× İx ſt K Å ẞ <|ENDOFTEXT|> x<|y can't. o'' (a) a) 's. Ÿ!"]
 
 
 def library(text):
@@ -17,8 +18,11 @@ def library(text):
 
 
 def test_ids_are_the_tokenizers(spark):
-    found = ChunkIds(PATH).ids([chunks_of(t) for t in HARD])
-    assert [x.tolist() for x in found] == [library(t) for t in HARD]
+    tokens = TextIds(PATH)
+    assert tokens.parted
+    for texts in (HARD, [t for t in HARD if t], [None, ""], HARD[3:5] * 3):
+        ids, bounds = tokens.ids(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library(t) for t in texts]
 
 
 def checked(df, window=2048, **options):
