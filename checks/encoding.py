@@ -133,7 +133,7 @@ _TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(htm
  '\s+', ' ', 'g'))"""
 
 
-@query("html_to_text", f"""SELECT page_id, substr(t, 1, 2000) AS content, length(t) > 2000 AS truncated, CAST(least(length(t), 2000) AS INT) AS chars_returned
+@query("html_to_text", f"""SELECT page_id, t AS content, false AS truncated, CAST(length(t) AS INT) AS chars_returned
 FROM (SELECT page_id, {_TEXT} AS t FROM pages)""")
 def html_to_text(spark, sf):
-    return text.html_to_text(table(spark, sf, "pages").select("page_id", "html"), "html", 2000).drop("html")
+    return text.html_to_text(table(spark, sf, "pages").select("page_id", "html"), "html").drop("html")

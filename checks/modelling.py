@@ -37,14 +37,14 @@ def board(spark, result):
 def train_classifiers(spark, sf):
     """Every classifier of the catalogue on document features, small settings."""
     s = training.TrainingSettings("toxic", ["doc_id"], class_weight="balanced", params=SMALL, parallelism=4)
-    return board(spark, training.train_automl(document_features(spark, sf), s))
+    return board(spark, training.train_candidates(document_features(spark, sf), s))
 
 
 @query("train_regressors")
 def train_regressors(spark, sf):
     """Every regressor of the catalogue, split by time, small settings."""
     s = training.TrainingSettings("price", ["o_orderkey"], time_column="o_orderdate", params=SMALL, parallelism=4)
-    return board(spark, training.train_automl(sales(spark, sf), s))
+    return board(spark, training.train_candidates(sales(spark, sf), s))
 
 
 @query("train_custom_model")
@@ -52,7 +52,7 @@ def train_custom_model(spark, sf):
     s = training.TrainingSettings("toxic", ["doc_id"])
     extra = [{"name": "Shallow Tree", "class": "pyspark.ml.classification.DecisionTreeClassifier", "params": {"maxDepth": 2}},
              {"name": "Broken", "class": "pyspark.ml.classification.FMClassifier", "params": {"maxIter": -1}}]
-    return board(spark, training.train_automl(document_features(spark, sf), s, extra, ["Baseline (Majority)"]))
+    return board(spark, training.train_candidates(document_features(spark, sf), s, extra, ["Baseline (Majority)"]))
 
 
 def fit_all(df, target, name, key, task, classes=None):
@@ -319,7 +319,7 @@ def stacking_ensemble(spark, sf):
 @query("score_new_rows")
 def score_new_rows(spark, sf):
     df = document_features(spark, sf)
-    result = training.train_automl(df, training.TrainingSettings("toxic", ["doc_id"]), include_models=["Logistic Regression"])
+    result = training.train_candidates(df, training.TrainingSettings("toxic", ["doc_id"]), include_models=["Logistic Regression"])
     return training.score(result.model, df).select("doc_id", "prediction", F.to_json("probabilities").alias("probabilities"))
 
 
@@ -328,7 +328,7 @@ def test_saved_runs(spark, sf):
     """Train, save model and splits, then re-evaluate from disk."""
     from tabloom import sources
 
-    result = training.train_automl(sales(spark, sf), training.TrainingSettings("price", ["o_orderkey"], time_column="o_orderdate"), include_models=["Linear Regression", "Baseline (Mean)"])
+    result = training.train_candidates(sales(spark, sf), training.TrainingSettings("price", ["o_orderkey"], time_column="o_orderdate"), include_models=["Linear Regression", "Baseline (Mean)"])
     root = scratch(spark, "runs")
     paths = sources.write_splits(result.train, result.test, root, result.run_id)
     found = []

@@ -15,9 +15,11 @@ from tabloom import sources
 
 
 def scratch(spark, kind):
-    """Fresh folder in the shared checkpoint folder, or a temporary one on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Fresh folder in the shared checkpoint folder; only a local master may do with a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="tabloom-files-")
     return f"{root}/{kind}-{uuid.uuid4().hex[:8]}"
 

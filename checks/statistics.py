@@ -78,12 +78,12 @@ def histogram(spark, sf):
 
 @query("scatter_sample", """SELECT o_custkey, o_totalprice, o_orderpriority FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 2000""")
 def scatter_sample(spark, sf):
-    return describe.scatter_sample(table(spark, sf, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], "o_orderpriority")
+    return describe.scatter_sample(table(spark, sf, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], 2_000, "o_orderpriority")
 
 
 @query("pairplot_sample", """SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 2000""")
 def pairplot_sample(spark, sf):
-    return describe.pairplot_sample(table(spark, sf, "orders"), ["o_orderkey"])
+    return describe.pairplot_sample(table(spark, sf, "orders"), ["o_orderkey"], ["o_orderkey", "o_custkey", "o_totalprice"], 2_000)
 
 
 _BOX = f"""WITH q AS (SELECT l_returnflag AS g, quantile_cont(l_extendedprice, 0.25) q1, quantile_cont(l_extendedprice, 0.5) q2, quantile_cont(l_extendedprice, 0.75) q3 FROM lineitem GROUP BY 1),
@@ -123,7 +123,7 @@ def missing_pattern(spark, sf):
 @query("missing_mask", f"""WITH {GAPPY} SELECT l_orderkey IS NULL AS l_orderkey, l_quantity IS NULL AS l_quantity, l_returnflag IS NULL AS l_returnflag
   FROM gappy ORDER BY gappy.l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 100""")
 def missing_mask(spark, sf):
-    out = describe.missing_mask(gappy(spark, sf), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    out = describe.missing_mask(gappy(spark, sf), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 100)
     return out.select("l_orderkey", "l_quantity", "l_returnflag")
 
 
@@ -136,7 +136,7 @@ def line_series(spark, sf):
 @query("line_series_sliced", f"""WITH e AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)
 SELECT min(ts) AS ts, {r("avg(value)")} AS value FROM events, e GROUP BY least(floor((epoch_us(ts) - lo) / ((hi - lo) / 500)), 499)""")
 def line_series_sliced(spark, sf):
-    return rounded(describe.line_series(table(spark, sf, "events"), "ts", ["value"], max_points=500))
+    return rounded(describe.line_series(table(spark, sf, "events"), "ts", ["value"], slices=500))
 
 
 @query("qq_points")

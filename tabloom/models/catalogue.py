@@ -61,11 +61,14 @@ def _tree(train: DataFrame, spec: FitSpec):
     return _weighted(make(maxDepth=spec.get("max_depth", 8), seed=spec.seed), spec).fit(train)
 
 
+DEEPEST = 30  # trees without a depth of their own; the deepest the tree learner takes
+
+
 def _forest(trees: int, leaf: int = 1, bootstrap: bool = True, subset: str = "auto"):
     def fit(train: DataFrame, spec: FitSpec):
         make = RandomForestClassifier if spec.task == CLASSIFICATION else RandomForestRegressor
         model = make(numTrees=spec.get("n_estimators", trees), minInstancesPerNode=spec.get("min_samples_leaf", leaf),
-                     maxDepth=spec.get("max_depth", None) or 12, featureSubsetStrategy=spec.get("subset", subset), seed=spec.seed)
+                     maxDepth=spec.get("max_depth", None) or DEEPEST, featureSubsetStrategy=spec.get("subset", subset), seed=spec.seed)
         return _weighted(model.setBootstrap(bootstrap), spec).fit(train)
     return fit
 

@@ -10,7 +10,6 @@ from tabloom.operators.hypothesis import _rank_sums
 from tabloom.operators.ordered import ROWS_PER_BUCKET, with_position
 from tabloom.operators.quantiles import exact_quantiles
 
-MAX_POINTS = 5_000
 
 
 def roc_auc(df: DataFrame, label: str, score: str, positive=1, rows_per_bucket: int = ROWS_PER_BUCKET) -> float | None:
@@ -96,16 +95,16 @@ def time_axis(df: DataFrame, time_column: str | None = None) -> Column | None:
     return None
 
 
-def diagnostics_series(df: DataFrame, key: list[str], time_column: str | None = None, max_points: int = MAX_POINTS,
+def diagnostics_series(df: DataFrame, key: list[str], time_column: str | None = None, max_points: int | None = None,
                        rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Rows in time order (key order without a time axis) with ``position``, every n // max_points-th kept."""
+    """Rows in time order (key order without a time axis) with ``position``; with ``max_points`` every n // max_points-th."""
     axis = time_axis(df, time_column)
     work = df.withColumn("_axis", axis) if axis is not None else df
     order = (["_axis"] if axis is not None else []) + key
     placed = with_position(work, order, "position", rows_per_bucket=rows_per_bucket)
-    rows = df.count()
-    step = max(1, rows // max_points) if rows > max_points else 1
-    return placed.where(F.col("position") % step == 0).drop("_axis")
+    if max_points is not None:
+        placed = placed.where(F.col("position") % max(1, df.count() // max_points) == 0)
+    return placed.drop("_axis")
 
 
 def residuals(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -123,7 +122,7 @@ def predicted_vs_actual(df: DataFrame, label: str, prediction: str) -> DataFrame
 
 
 def forecast_series(df: DataFrame, label: str, prediction: str, key: list[str], time_column: str | None = None,
-                    max_points: int = MAX_POINTS) -> DataFrame:
+                    max_points: int | None = None) -> DataFrame:
     """(position, series, value) of actual and predicted along time."""
     placed = diagnostics_series(df, key, time_column, max_points)
     both = F.array(F.struct(F.lit("actual").alias("series"), c(label).cast("double").alias("value")),

@@ -12,7 +12,6 @@ IDENTIFIER_SHARE = 0.8
 IMBALANCE_RATIO = 3.0
 IMBALANCED = "Apply SMOTE / resampling before training."
 BALANCED = "Class balance looks acceptable."
-SAMPLE_ROWS = 200
 
 
 def _aggregate(df: DataFrame, column: str, how: str, order_by: list[str] | None, approx: bool) -> Column:
@@ -70,18 +69,21 @@ def _countable(df: DataFrame, name: str) -> Column:
     return F.to_json(c(name)) if isinstance(df.schema[name].dataType, T.MapType) else c(name)
 
 
+def _sample_text(df: DataFrame, name: str) -> Column:
+    nested = isinstance(df.schema[name].dataType, (T.MapType, T.ArrayType, T.StructType))
+    return F.to_json(c(name)) if nested else c(name).cast("string")
+
+
 def profile_columns(df: DataFrame, exact: bool = True, samples: bool = True) -> DataFrame:
-    """One row per column: type, role, missing and distinct counts, up to five sample values."""
-    shown: dict[str, list[str]] = {n: [] for n in df.columns}
-    if samples:
-        for row in df.limit(SAMPLE_ROWS).collect():
-            for n in df.columns:
-                if row[n] is not None and len(shown[n]) < 5:
-                    shown[n].append(str(row[n]))
+    """One row per column: type, role, missing and distinct counts, up to five sample values by hash."""
     distinct = F.count_distinct if exact else F.approx_count_distinct
     aggs = [F.count("*").alias("_rows")]
     for i, n in enumerate(df.columns):
         aggs += [F.count(c(n)).alias(f"k{i}"), distinct(_countable(df, n)).alias(f"u{i}")]
+        if samples:
+            text = _sample_text(df, n)
+            aggs.append(F.array_distinct(F.array_compact(F.array(*[
+                F.min_by(text, F.when(text.isNotNull(), F.xxhash64(text, F.lit(k)))) for k in range(5)]))).alias(f"s{i}"))
     rows = F.col("_rows")
     entries = []
     for i, n in enumerate(df.columns):
@@ -91,7 +93,7 @@ def profile_columns(df: DataFrame, exact: bool = True, samples: bool = True) ->
                   F.when(rows > 0, missing / rows * 100).otherwise(0.0).alias("missing_pct"),
                   F.col(f"u{i}").alias("unique_count")]
         if samples:
-            fields.append(F.array(*[F.lit(v) for v in shown[n]]).cast("array<string>").alias("sample_values"))
+            fields.append(F.col(f"s{i}").alias("sample_values"))
         entries.append(F.struct(*fields))
     return df.agg(*aggs).select(F.inline(F.array(*entries)))
 

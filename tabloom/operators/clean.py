@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.functions.columns import c, existing, is_numeric, numeric_columns, replace_columns, require_column
 from tabloom.operators.fitted import Fitted
@@ -56,6 +56,13 @@ def drop_constant(df: DataFrame) -> DataFrame:
     return df.drop(*constant)
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson r over rows where both are known, NULL where one of them does not vary there."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(x, y) / F.when(spread > 0, spread)))
+
+
 def pairwise_correlations(df: DataFrame, columns: list[str],
                           partners: list[str] | None = None) -> dict[tuple[str, str], tuple[float | None, int]]:
     """{(a, b): (Pearson r, complete pairs)} for a before b; NULL-safe per pair."""
@@ -69,7 +76,7 @@ def pairwise_correlations(df: DataFrame, columns: list[str],
         aggs = []
         for i, (a, b) in enumerate(block):
             x, y = c(a).cast("double"), c(b).cast("double")
-            aggs += [F.corr(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
+            aggs += [pearson(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
         row = df.agg(*aggs).first()
         for i, pair in enumerate(block):
             r = row[f"r{i}"]

@@ -242,16 +242,14 @@ def seeded_sample(df: DataFrame, max_rows: int, key: list[str], seed: int = 42)
     return df.orderBy(seeded_key(seed, *key), *[c(k) for k in key]).limit(max_rows)
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, key: list[str], color: str | None = None, max_rows: int = 2_000,
-                   seed: int = 42) -> DataFrame:
+def scatter_sample(df: DataFrame, x: str, y: str, key: list[str], max_rows: int, color: str | None = None, seed: int = 42) -> DataFrame:
     names = list(dict.fromkeys([require_column(df, x), require_column(df, y)] + ([color] if color else [])))
     return seeded_sample(df, max_rows, key, seed).select(*[c(n) for n in names])
 
 
-def pairplot_sample(df: DataFrame, key: list[str], columns: list[str] | None = None, color: str | None = None,
-                    max_rows: int = 2_000, seed: int = 42) -> DataFrame:
-    """Up to four numeric columns, the first four when none of those asked for fits."""
-    names = (numeric_columns(df, columns) if columns else [])[:4] or numeric_columns(df)[:4]
+def pairplot_sample(df: DataFrame, key: list[str], columns: list[str], max_rows: int, color: str | None = None, seed: int = 42) -> DataFrame:
+    """A seeded sample of the numeric ones of ``columns``."""
+    names = numeric_columns(df, columns)
     if len(names) < 2:
         raise ValueError("pairplot needs at least 2 numeric columns.")
     return seeded_sample(df, max_rows, key, seed).select(*[c(n) for n in names], *([c(color)] if color else []))
@@ -309,22 +307,24 @@ def missing_pattern(df: DataFrame) -> DataFrame:
     return df.groupBy(bits.alias("pattern")).agg(F.count("*").alias("rows"))
 
 
-def missing_mask(df: DataFrame, order_by: list[str], max_rows: int = 100) -> DataFrame:
-    """NULL mask of the first rows along an order."""
+def missing_mask(df: DataFrame, order_by: list[str], max_rows: int) -> DataFrame:
+    """NULL mask of the first ``max_rows`` rows along an order."""
     return df.orderBy(*[c(n) for n in order_by]).limit(max_rows).select(*[c(n).isNull().alias(n) for n in df.columns])
 
 
-def line_series(df: DataFrame, x: str, ys: list[str], color: str | None = None, max_points: int = 5_000) -> DataFrame:
-    """Sorted points; a longer series becomes the mean per equal slice of the x range instead of a head."""
+def line_series(df: DataFrame, x: str, ys: list[str], color: str | None = None, slices: int | None = None) -> DataFrame:
+    """Sorted points; with ``slices`` the mean in each of so many equal slices of the x range."""
     names = [require_column(df, x)] + [require_column(df, y) for y in ys] + ([color] if color else [])
     known = df.where(c(x).isNotNull())
-    if known.limit(max_points + 1).count() <= max_points:
+    if slices is None:
         return known.select(*[c(n) for n in names]).orderBy(c(x))
     stamp = not is_numeric(df, x)
     key = F.unix_micros(c(x).cast("timestamp")) if stamp else c(x).cast("double")
     low, high = known.agg(F.min(key), F.max(key)).first()
-    step = (high - low) / max_points or 1
-    slot = F.least(F.floor((key - F.lit(low)) / F.lit(step)), F.lit(max_points - 1)).cast("long")
+    if low is None:
+        return known.select(*[c(n) for n in names])
+    step = (high - low) / slices or 1
+    slot = F.least(F.floor((key - F.lit(low)) / F.lit(step)), F.lit(slices - 1)).cast("long")
     group = [slot.alias("_slot")] + ([c(color)] if color else [])
     at = F.min(c(x)).alias(x)
     out = known.groupBy(*group).agg(at, *[F.avg(c(y)).alias(y) for y in ys])

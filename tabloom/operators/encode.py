@@ -156,6 +156,8 @@ def fit_target_encode(df: DataFrame, columns: list[str] | None, target_column: s
         raise ValueError("No categorical columns to target-encode (besides the target).")
     y = numeric_target(df, target_column, order_by)
     overall = df.agg(F.avg(y)).first()[0]
+    if overall is None:
+        raise ValueError(f"'{target_column}' has no value to encode by.")
     tables = {}
     for n in names:
         stats = (df.where(c(n).isNotNull()).groupBy(c(n).alias("key"))

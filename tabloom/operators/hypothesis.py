@@ -10,16 +10,18 @@ from tabloom.functions.columns import c, require_column, require_numeric
 from tabloom.functions.pvalues import chi2_tail, f_tail, t_two_sided
 from tabloom.operators.ordered import ROWS_PER_BUCKET, prefix_counts
 
-MAX_GROUPS = 10_000
 
-
-def _moments(df: DataFrame, column: str, group: str) -> list:
+def _moments(df: DataFrame, column: str, group: str) -> DataFrame:
     x = c(column).cast("double")
-    rows = (df.where(x.isNotNull() & c(group).isNotNull()).groupBy(c(group).alias("g"))
-            .agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
-            .orderBy("g").limit(MAX_GROUPS + 1).collect())
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"'{group}' has more than {MAX_GROUPS} groups.")
+    return (df.where(x.isNotNull() & c(group).isNotNull()).groupBy(c(group).alias("g"))
+            .agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var")))
+
+
+def _two(groups: DataFrame, test: str) -> list:
+    """The rows of exactly two groups, in group order."""
+    rows = groups.orderBy("g").limit(3).collect()
+    if len(rows) != 2:
+        raise ValueError(f"{test} compares exactly 2 groups, found {'more' if len(rows) > 2 else len(rows)}.")
     return rows
 
 
@@ -36,10 +38,7 @@ def ttest(df: DataFrame, column: str, group: str | None = None, paired: str | No
         dof = float(row["n"] - 1)
         kind = "paired"
     else:
-        groups = _moments(df, column, require_column(df, group, "group"))
-        if len(groups) != 2:
-            raise ValueError(f"ttest needs exactly 2 groups, got {len(groups)}.")
-        a, b = groups
+        a, b = _two(_moments(df, column, require_column(df, group, "group")), "ttest")
         if a["n"] < 2 or b["n"] < 2:
             raise ValueError("Each group needs at least 2 values.")
         va, vb = a["var"] / a["n"], b["var"] / b["n"]
@@ -60,13 +59,15 @@ def ttest(df: DataFrame, column: str, group: str | None = None, paired: str | No
 def anova(df: DataFrame, column: str, group: str) -> DataFrame:
     """One-way F from group counts, means and variances."""
     groups = _moments(df, require_numeric(df, column), require_column(df, group, "group"))
-    if len(groups) < 2:
-        raise ValueError("anova needs at least 2 groups.")
-    n = sum(g["n"] for g in groups)
-    grand = sum(g["n"] * g["mean"] for g in groups) / n
-    between = sum(g["n"] * (g["mean"] - grand) ** 2 for g in groups)
-    within = sum((g["n"] - 1) * (g["var"] or 0.0) for g in groups)
-    d1, d2 = len(groups) - 1, n - len(groups)
+    x = c(column).cast("double")
+    grand = df.where(x.isNotNull() & c(group).isNotNull()).agg(F.avg(x)).first()[0]
+    gap = F.col("mean") - F.lit(grand).cast("double")
+    row = groups.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * gap * gap).alias("between"),
+                     F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("within")).first()
+    if row["k"] < 2:
+        raise ValueError("An analysis of variance takes 2 groups or more.")
+    between, within = row["between"], row["within"]
+    d1, d2 = row["k"] - 1, row["n"] - row["k"]
     f = (between / d1) / (within / d2) if d2 > 0 and within > 0 else None
     p = None if f is None else f_tail(f, d1, d2)
     return df.sparkSession.createDataFrame([(column, f, d1, d2, p, p is not None and p < 0.05)],
@@ -84,10 +85,7 @@ def _rank_sums(df: DataFrame, column: str, group: str, rows_per_bucket: int):
     values = cells.groupBy("v").agg(F.sum("k").alias("cnt"))
     ranked = prefix_counts(values, [], ["v"], "cnt", "before", rows_per_bucket)
     ranked = ranked.select("v", "cnt", (F.col("before") + (F.col("cnt") + 1) / 2).alias("midrank"))
-    sums = (cells.join(ranked, "v").groupBy("g").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("midrank")).alias("ranks"))
-            .orderBy("g").limit(MAX_GROUPS + 1).collect())
-    if len(sums) > MAX_GROUPS:
-        raise ValueError(f"'{group}' has more than {MAX_GROUPS} groups.")
+    sums = cells.join(ranked, "v").groupBy("g").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("midrank")).alias("ranks"))
     t = F.col("cnt").cast("double")
     ties = values.agg(F.sum(t * t * t - t)).first()[0] or 0.0
     return sums, ties
@@ -96,8 +94,7 @@ def _rank_sums(df: DataFrame, column: str, group: str, rows_per_bucket: int):
 def mannwhitney(df: DataFrame, column: str, group: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """U of the smaller group value; normal approximation with tie and continuity correction."""
     sums, ties = _rank_sums(df, require_numeric(df, column), require_column(df, group, "group"), rows_per_bucket)
-    if len(sums) != 2:
-        raise ValueError(f"mannwhitney needs exactly 2 groups, got {len(sums)}.")
+    sums = _two(sums, "mannwhitney")
     n1, n2 = sums[0]["n"], sums[1]["n"]
     n = n1 + n2
     u = sums[0]["ranks"] - n1 * (n1 + 1) / 2
@@ -110,13 +107,14 @@ def mannwhitney(df: DataFrame, column: str, group: str, rows_per_bucket: int = R
 
 def kruskal_wallis(df: DataFrame, column: str, group: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     sums, ties = _rank_sums(df, require_numeric(df, column), require_column(df, group, "group"), rows_per_bucket)
-    if len(sums) < 2:
-        raise ValueError("kruskal_wallis needs at least 2 groups.")
-    n = sum(s["n"] for s in sums)
-    h = 12 / (n * (n + 1)) * sum(s["ranks"] ** 2 / s["n"] for s in sums) - 3 * (n + 1)
+    row = sums.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("ranks") * F.col("ranks") / F.col("n")).alias("squares")).first()
+    if row["k"] < 2:
+        raise ValueError("A rank analysis of variance takes 2 groups or more.")
+    n = row["n"]
+    h = 12 / (n * (n + 1)) * row["squares"] - 3 * (n + 1)
     correction = 1 - ties / (float(n) ** 3 - n)
     h = h / correction if correction > 0 else None
-    dof = len(sums) - 1
+    dof = row["k"] - 1
     p = None if h is None else chi2_tail(h, dof)
     return df.sparkSession.createDataFrame([(column, h, dof, p, p is not None and p < 0.05)],
                                            "column string, statistic double, dof long, p double, significant boolean")

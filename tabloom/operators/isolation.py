@@ -51,8 +51,11 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
 
 def fit_isolation_forest(df: DataFrame, columns: list[str] | None = None, exclude: list[str] | None = None,
                          target_column: str | None = None, contamination="auto", seed: int = 42,
-                         trees: int = TREES, subsample: int = SUBSAMPLE) -> Fitted:
-    """Medians fill gaps. ``transform`` adds ``anomaly_score`` in (0, 1) and ``is_anomaly``."""
+                         trees: int = TREES, subsample: int = SUBSAMPLE, key: list[str] | None = None) -> Fitted:
+    """Medians fill gaps. ``transform`` adds ``anomaly_score`` in (0, 1) and ``is_anomaly``.
+
+    Each tree draws its own ``subsample`` rows, by a hash of ``key`` (of all columns without one: then equal rows are drawn together).
+    """
     names = [n for n in numeric_columns(df, columns, exclude) if n != target_column]
     if not names:
         raise ValueError("Isolation Forest needs numeric columns.")
@@ -60,16 +63,12 @@ def fit_isolation_forest(df: DataFrame, columns: list[str] | None = None, exclud
     point = F.array(*[F.coalesce(c(n).cast("double"), F.lit(medians[n])) for n in names])
     rows = df.count()
     size = min(subsample, rows)
-    points = df.select(point.alias("x"), F.xxhash64(*[c(n) for n in df.columns], F.lit(seed)).alias("h"))
+    points = df.select(point.alias("x"), F.xxhash64(*[c(n) for n in key or df.columns], F.lit(seed)).alias("h"))
     uniform = lambda *keys: F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(2 ** 53))
-    if rows > 8 * trees * subsample:
-        # one hash picks the rows of all trees together, a second one deals them out
-        picked = points.where(uniform(F.col("h"), F.lit(1)) < F.lit(1.3 * trees * size / rows)).withColumn(
-            "tree", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(trees)).cast("int"))
-    else:
-        every = F.sequence(F.lit(0), F.lit(trees - 1))
-        share = min(1.0, 1.3 * size / rows)
-        picked = points.withColumn("tree", F.explode(F.filter(every, lambda t: uniform(F.col("h"), t) < F.lit(share))))
+    # a tree draws its rows by hash; the share is so much larger that fewer than asked for come with a chance of about 1e-9
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    share = min(1.0, (size + 6 * math.sqrt(size) + 12) / max(rows, 1))
+    picked = points.withColumn("tree", F.explode(F.filter(every, lambda t: uniform(F.col("h"), t) < F.lit(share))))
     order = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree"), "x")
     sampled = picked.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= size)
     limit = max(1, math.ceil(math.log2(max(size, 2))))

@@ -74,10 +74,10 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, features: list[str] | st
     ``within`` restricts neighbours to rows with an equal value of that column. ``exclude_same``
     leaves out the right row with the left row's own id.
     """
-    group = c(within).cast("string") if within else F.lit("")
+    group = F.coalesce(F.concat(F.lit("="), c(within).cast("string")), F.lit("")) if within else F.lit("")  # NULL is a group of its own
     ids = {f.name: f.dataType for f in left.schema}, {f.name: f.dataType for f in right.schema}
-    lefts = left.select(c(left_id).alias("lid"), _vector(left, features).alias("vec"), F.coalesce(group, F.lit("")).alias("grp"))
-    rights = right.select(c(right_id).alias("rid"), _vector(right, features).alias("vec"), F.coalesce(group, F.lit("")).alias("grp"))
+    lefts = left.select(c(left_id).alias("lid"), _vector(left, features).alias("vec"), group.alias("grp"))
+    rights = right.select(c(right_id).alias("rid"), _vector(right, features).alias("vec"), group.alias("grp"))
     out = T.StructType([T.StructField("left_id", ids[0][left_id]), T.StructField("right_id", ids[1][right_id]),
                         T.StructField("distance", T.DoubleType())])
     rows = rights.count()

@@ -156,6 +156,28 @@ def rows_up_to_rank(df: DataFrame, order: list[str], rank: int, nulls_last: bool
     raise ValueError("rank beyond the table")
 
 
+PREFIX_DIGITS = 5
+
+
+def first_in_group(df: DataFrame, group: str, order: str, ties: list[str], wanted: Column) -> DataFrame:
+    """Adds ``_first``: whether a row is among the first ``wanted`` of its group by ``order``, a hexadecimal hash, and ``ties``.
+
+    ``wanted`` is an expression of ``_n``, the group's rows. Rows are counted by group and leading digits of the hash; only the rows of the
+    one stretch where a group's cut falls are ranked, so a group of any size, and any number of groups, works in bounded tasks.
+    """
+    stretch = F.substring(F.col(order), 1, PREFIX_DIGITS)
+    counted = df.groupBy(c(group).alias("_g"), stretch.alias("_s")).agg(F.count("*").alias("_k"))
+    ahead = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_before", F.coalesce(F.sum("_k").over(ahead), F.lit(0))).withColumn("_n", F.sum("_k").over(Window.partitionBy("_g")))
+    counted = counted.withColumn("_wanted", wanted)
+    placed = df.join(counted, c(group).eqNullSafe(F.col("_g")) & (stretch == F.col("_s")))
+    whole, none = F.col("_before") + F.col("_k") <= F.col("_wanted"), F.col("_before") >= F.col("_wanted")
+    rank = F.row_number().over(Window.partitionBy("_g", "_s").orderBy(*sort_keys(df, [order] + ties)))
+    cut = placed.where(~whole & ~none).withColumn("_first", rank <= F.col("_wanted") - F.col("_before"))
+    clear = placed.where(whole | none).withColumn("_first", whole)
+    return clear.union(cut).select(*[c(n) for n in df.columns], "_first")
+
+
 def split_at(df: DataFrame, order: list[str], rank: int) -> tuple[DataFrame, DataFrame]:
     """(first ``rank`` rows, the others) in the order; a filter on each side, no global sort."""
     cut = rows_up_to_rank(df, order, rank)

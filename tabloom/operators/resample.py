@@ -8,7 +8,8 @@ from tabloom.functions.columns import c, is_numeric, numeric_columns, require_co
 from tabloom.functions.seeded import seeded_fraction, seeded_key
 from tabloom.operators.impute import null_counts
 from tabloom.operators.neighbours import knn_join
-from tabloom.operators.ordered import rows_up_to_rank, sort_keys, with_position
+from tabloom.operators.joins import lookup_join
+from tabloom.operators.ordered import first_in_group, with_position
 
 CLASS_LIMIT = 20
 
@@ -18,7 +19,7 @@ def _classes(df: DataFrame, target: str, key: list[str], numeric_only: str | Non
     require_column(df, target, "target_column")
     for k in key:
         require_column(df, k, "key")
-    counts = {r[0]: r[1] for r in df.groupBy(c(target)).count().limit(10_001).collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(c(target)).count().collect()}
     if is_numeric(df, target) and len([v for v in counts if v is not None]) > CLASS_LIMIT:
         raise ValueError("Resampling is for classification targets; this target looks continuous.")
     features = df.drop(target)
@@ -38,35 +39,26 @@ def _k(k_neighbors: int, smallest: int) -> int:
     return max(1, min(int(k_neighbors), smallest - 1)) if smallest > 1 else 1
 
 
-def _first_of_class(df: DataFrame, target: str, value, key: list[str], rows: int, seed: int) -> DataFrame:
-    """``rows`` rows of one class in seeded order: a filter at a counted cut, no sort of the class."""
-    part = df.where(c(target) == F.lit(value)).withColumn("_order", seeded_key(seed, *key))
-    cut = rows_up_to_rank(part, ["_order"] + key, rows)
-    order = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(sort_keys(part, ["_order"] + key))])
-    return part.where(order < cut).drop("_order")
+def _first_of_classes(df: DataFrame, target: str, key: list[str], wanted: Column, seed: int) -> DataFrame:
+    """The first ``wanted`` rows (of ``_n``) of every class in seeded order."""
+    known = df.where(c(target).isNotNull()).withColumn("_order", seeded_key(seed, *key))
+    return first_in_group(known, target, "_order", key, wanted).where("_first").drop("_order", "_first")
 
 
 def random_undersample(df: DataFrame, target: str, key: list[str], seed: int = 42) -> DataFrame:
     """Every class down to the smallest."""
     counts = _classes(df, target, key)
-    least = min(counts.values())
-    out = None
-    for value, n in sorted(counts.items(), key=lambda t: str(t[0])):
-        part = df.where(c(target) == F.lit(value)) if n == least else _first_of_class(df, target, value, key, least, seed)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _first_of_classes(df, target, key, F.lit(min(counts.values())), seed)
 
 
 def random_oversample(df: DataFrame, target: str, key: list[str], seed: int = 42) -> DataFrame:
     """Every class up to the largest: whole copies of the class plus a seeded remainder."""
     counts = _classes(df, target, key)
     most = max(counts.values())
-    copies = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(most // n))])[c(target)]
-    out = (df.where(c(target).isNotNull()).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy"))
-    for value, n in sorted(counts.items(), key=lambda t: str(t[0])):
-        if most % n:
-            out = out.unionByName(_first_of_class(df, target, value, key, most % n, seed))
-    return out
+    known = df.where(c(target).isNotNull())
+    sizes = known.groupBy(c(target)).agg(F.count("*").alias("_n")).withColumn("_rows", F.col("_n"))
+    whole = lookup_join(known, sizes, [target], "_n").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.floor(F.lit(most) / F.col("_rows")).cast("int"))))
+    return whole.drop("_copy", "_rows").unionByName(_first_of_classes(df, target, key, F.lit(most) % F.col("_n"), seed))
 
 
 def _numbered(base: DataFrame, seed: int, key: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import c, is_numeric, numeric_columns, replace_columns, require_column, require_numeric
 from tabloom.operators.fitted import Fitted
-from tabloom.operators.quantiles import DIRECT_ROWS, approx_quantiles, exact_quantiles, quantiles
+from tabloom.operators.quantiles import approx_quantiles, exact_quantiles, quantiles
 
 
 def _names(df, columns, exclude, verb="scale"):
@@ -152,16 +152,18 @@ def power_transform(df, method="yeo-johnson", columns=None, exclude=None):
 
 
 def fit_quantile_transform(df: DataFrame, output_distribution: str = "normal", n_quantiles: int = 1000,
-                           columns=None, exclude=None) -> Fitted:
-    """Rank-preserving map through reference quantiles, interpolated from both sides for ties."""
+                           columns=None, exclude=None, exact: bool = True) -> Fitted:
+    """Rank-preserving map through reference quantiles, interpolated from both sides for ties.
+
+    The quantiles are order statistics at every size; ``exact=False`` takes them from a sketch.
+    """
     if output_distribution not in {"normal", "uniform"}:
         raise ValueError("output_distribution must be 'normal' (default) or 'uniform'.")
     names = _names(df, columns, exclude, "transform")
     rows = df.count()
     count = max(min(int(n_quantiles), rows), 2)
     share = np.linspace(0, 1, count)
-    # a thousand exact order statistics of a huge column are not worth a thousand narrowings
-    found = (exact_quantiles(df, names, share.tolist()) if rows <= DIRECT_ROWS
+    found = (exact_quantiles(df, names, share.tolist()) if exact
              else approx_quantiles(df, names, share.tolist(), 100_000))
     normal = output_distribution == "normal"
 

@@ -16,8 +16,6 @@ from tabloom.operators.fitted import Fitted
 from tabloom.operators.quantiles import exact_quantiles
 from tabloom.operators.scale import fit_standard_scale
 
-MAX_CLASSES = 10_000
-
 
 def _setup(df: DataFrame, target: str, key: list[str] | None) -> tuple[DataFrame, list[str], str]:
     """(rows with a target and medians filled in, candidate columns, task)."""
@@ -41,13 +39,17 @@ def f_scores(df: DataFrame, target: str, key: list[str] | None = None) -> DataFr
         aggs = [F.count("*").alias("n")]
         for i, n in enumerate(names):
             aggs += [F.avg(c(n)).alias(f"m{i}"), F.var_pop(c(n)).alias(f"v{i}")]
-        groups = filled.groupBy(c(target)).agg(*aggs).limit(MAX_CLASSES + 1).collect()
-        total, k = sum(g["n"] for g in groups), len(groups)
+        grand = filled.agg(*[F.avg(c(n)).alias(n) for n in names]).first()
+        sums = [F.count("*").alias("k"), F.sum("n").alias("total")]
+        for i, n in enumerate(names):
+            gap = F.col(f"m{i}") - F.lit(grand[n])
+            sums += [F.sum(F.col("n") * gap * gap).alias(f"b{i}"), F.sum(F.col("n") * F.col(f"v{i}")).alias(f"w{i}")]
+        found = filled.groupBy(c(target)).agg(*aggs).agg(*sums).first()
+        if found["k"] < 2 or found["total"] <= found["k"]:
+            raise ValueError(f"'{target}' needs two classes, and more rows than classes.")
         rows = []
         for i, n in enumerate(names):
-            grand = sum(g["n"] * g[f"m{i}"] for g in groups) / total
-            between = sum(g["n"] * (g[f"m{i}"] - grand) ** 2 for g in groups) / (k - 1)
-            within = sum(g["n"] * g[f"v{i}"] for g in groups) / (total - k)
+            between, within = found[f"b{i}"] / (found["k"] - 1), found[f"w{i}"] / (found["total"] - found["k"])
             rows.append((n, between / within if within > 0 else None))
     return df.sparkSession.createDataFrame(rows, "feature string, f double")
 

@@ -272,7 +272,7 @@ def stationarity_test(df: DataFrame, column: str, order_by: list[str], group_by:
         p = _adf_p(stat) if stat == stat else float("nan")
         k_stat, k_p = _kpss(x)
         a, k = bool(p < 0.05), bool(k_p > 0.05)
-        verdict = ("Stationary" if a and k else "Non-stationary" if not a and not k else "Conflicting")
+        verdict = ("Undefined" if not (p == p and k_p == k_p) else "Stationary" if a and k else "Non-stationary" if not a and not k else "Conflicting")
         return pd.DataFrame([keys + [len(x), stat, p, a, k_stat, k_p, k, verdict]], columns=schema.names)
 
     found = work.groupBy(*[c(g) for g in group]).applyInPandas(test, schema)

@@ -8,9 +8,8 @@ from tabloom.functions.columns import c, require_column, string_columns
 from tabloom.functions.seeded import seeded_key
 from tabloom.operators.dates import parse_timestamp, parseable_counts
 from tabloom.operators.describe import seeded_sample
-from tabloom.operators.ordered import rows_up_to_rank, sort_keys, split_at
+from tabloom.operators.ordered import first_in_group, split_at
 
-MAX_CLASSES = 10_000
 SORTED_SAMPLE = 100_000
 
 
@@ -53,8 +52,8 @@ def random_split(df: DataFrame, key: list[str], test_size: float = 0.2, seed: in
                  stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact share of rows by seeded key, per class when ``stratify`` names one.
 
-    The cut of each class is an order statistic of the seeded key, found by counting; a class
-    holding most of the table is never sorted in one task.
+    The cut of each class is found by counting; neither the number of classes nor the size of one is
+    bounded, and no class is sorted in one task.
     """
     hashed = df.withColumn("_order", seeded_key(seed, *key))
     if stratify is None or not stratifiable(df, stratify, test_size):
@@ -62,16 +61,9 @@ def random_split(df: DataFrame, key: list[str], test_size: float = 0.2, seed: in
         test = max(1, round(rows * test_size))
         left, right = split_at(hashed, ["_order"] + key, test)
         return right.drop("_order"), left.drop("_order")
-    sizes = {r[0]: r[1] for r in df.groupBy(c(stratify)).count().limit(MAX_CLASSES + 1).collect()}
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"'{stratify}' has more than {MAX_CLASSES} classes.")
-    place = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(sort_keys(hashed, ["_order"] + key))])
-    held = F.lit(False)
-    for value, size in sorted(sizes.items(), key=lambda t: str(t[0])):
-        mine = c(stratify).eqNullSafe(F.lit(value))
-        cut = rows_up_to_rank(hashed.where(mine), ["_order"] + key, max(1, round(size * test_size)))
-        held = held | (mine & (place < cut))
-    return hashed.where(~held).drop("_order"), hashed.where(held).drop("_order")
+    wanted = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(test_size))).cast("long"))
+    placed = first_in_group(hashed, stratify, "_order", key, wanted)
+    return placed.where(~F.col("_first")).drop("_order", "_first"), placed.where("_first").drop("_order", "_first")
 
 
 def with_fold(df: DataFrame, key: list[str], folds: int, seed: int = 42, name: str = "_fold") -> DataFrame:

@@ -28,14 +28,12 @@ def page_text(col: Column) -> Column:
     return F.trim(col)
 
 
-def html_to_text(df: DataFrame, column: str, max_chars: int = 10_000) -> DataFrame:
-    """Visible text of a page, cut to 500..10000 characters, with a flag when it was longer."""
+def html_to_text(df: DataFrame, column: str, max_chars: int | None = None) -> DataFrame:
+    """Visible text of a page; with ``max_chars`` cut to so many characters, with a flag when it was longer."""
     require_column(df, column)
-    limit = min(max(500, int(max_chars)), 10_000)
-    whole = page_text(c(column))
-    return (df.withColumn("_text", whole)
-            .withColumn("content", F.substring("_text", 1, limit))
-            .withColumn("truncated", F.length("_text") > limit)
+    whole = df.withColumn("_text", page_text(c(column)))
+    content = F.col("_text") if max_chars is None else F.substring("_text", 1, int(max_chars))
+    return (whole.withColumn("content", content).withColumn("truncated", F.length("_text") > F.length("content"))
             .withColumn("chars_returned", F.length("content")).drop("_text"))
 
 

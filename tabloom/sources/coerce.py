@@ -9,19 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabloom.functions.columns import c, replace_columns, string_columns
 from tabloom.operators.dates import parse_timestamp
 
-# fixed values: words that mark a column name as a date, and the accepted rates
-DATE_WORDS = ("date", "time", "timestamp", "datetime", "dt", "created", "updated", "modified", "start", "end", "opened",
-              "closed", "birth", "expir", "arrival", "departure", "scheduled", "posted", "submitted", "recorded", "logged", "at")
+# fixed values: column names that suggest a date, and the accepted rates
+DATE_NAME = re.compile(
+    r"(^|[_\s\-\.])(date|time|timestamp|datetime|dt|created|updated|modified|start|end|opened|closed|birth|expir|arrival|departure|scheduled|"
+    r"posted|submitted|recorded|logged|at)([_\s\-\.]|$)", re.IGNORECASE)
 PARSED_WITH_NAME = 0.80
 PARSED_WITHOUT_NAME = 0.95
 NEW_NULLS_DATE = 0.05
 NEW_NULLS_NUMBER = 0.02
 
-_DATE_NAME = re.compile(r"(?:^|[_\s.-])(?:" + "|".join(DATE_WORDS) + r")(?:[_\s.-]|$)", re.IGNORECASE)
-
 
 def name_suggests_date(name: str) -> bool:
-    return _DATE_NAME.search(name) is not None
+    return DATE_NAME.search(name) is not None
 
 
 def _number(name: str) -> Column:

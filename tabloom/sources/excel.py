@@ -8,7 +8,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -49,23 +49,43 @@ def first_sheet(content: bytes) -> list[list[str | None]]:
     return rows
 
 
+def _header(sheet: list[list[str | None]]) -> list[str]:
+    """Names of the first row, as many as the widest row has cells."""
+    width, names = max(map(len, sheet), default=0), []
+    for i in range(width):
+        name = sheet[0][i] if i < len(sheet[0]) and sheet[0][i] is not None else f"column_{i}"
+        names.append(name if name not in names else f"{name}_{i}")
+    return names
+
+
 def read_excel(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """First sheet of every workbook matching ``path``; the header comes from the first file."""
+    """First sheet of every workbook matching ``path``, columns matched by name.
+
+    The columns are those of all files, in the order of the files; a name that one sheet repeats gets its position, and so do cells beyond
+    the header. Only names reach the driver.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    first = files.orderBy("path").limit(1).select("content").collect()
-    if not first:
-        raise ValueError(f"no workbook at {path}")
-    sheet = first_sheet(bytes(first[0]["content"]))
-    if not sheet:
-        raise ValueError("The workbook is empty.")
-    header = [str(h) if h is not None else f"column_{i}" for i, h in enumerate(sheet[0])]
+
+    def headers(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                names = _header(first_sheet(bytes(content)))
+                yield pd.DataFrame({"path": name, "position": range(len(names)), "name": names})
+
+    seen = files.mapInPandas(headers, "path string, position int, name string")
+    found = seen.groupBy("name").agg(F.min(F.struct("path", "position")).alias("at")).orderBy("at").collect()
+    if not found:
+        raise ValueError(f"No filled workbook at {path}.")
+    header = [r["name"] for r in found]
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
 
     def rows(batches):
         for batch in batches:
             for content in batch["content"]:
-                body = first_sheet(bytes(content))[1:]
-                yield pd.DataFrame([(r + [None] * len(header))[:len(header)] for r in body], columns=header, dtype=object)
+                sheet = first_sheet(bytes(content))
+                names = _header(sheet)
+                body = pd.DataFrame([r + [None] * (len(names) - len(r)) for r in sheet[1:]], columns=names, dtype=object)
+                yield body.reindex(columns=header).astype(object).where(lambda x: x.notna(), None)
 
     texts = files.mapInPandas(rows, schema)
     if not infer:

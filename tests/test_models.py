@@ -27,7 +27,7 @@ def linear(spark):
 def test_classifiers_beat_the_baseline(separable):
     names = ["Baseline (Majority)", "Logistic Regression", "Gaussian Naive Bayes", "Linear Discriminant Analysis", "Quadratic Discriminant Analysis",
              "Random Forest", "AdaBoost", "K-Nearest Neighbors"]
-    result = training.train_automl(separable, training.TrainingSettings("y", ["id"], 0.25, params=SMALL, parallelism=4), include_models=names)
+    result = training.train_candidates(separable, training.TrainingSettings("y", ["id"], 0.25, params=SMALL, parallelism=4), include_models=names)
     scores = {e["model"]: e["metrics"].get("f1_weighted") for e in result.leaderboard}
     assert all(e["status"] == "success" for e in result.leaderboard), result.leaderboard
     assert result.task_type == "classification"
@@ -37,7 +37,7 @@ def test_classifiers_beat_the_baseline(separable):
 
 def test_failed_models_are_recorded(separable):
     extra = [{"name": "Broken", "class": "pyspark.ml.classification.LinearSVC", "params": {}}]
-    events = list(training.train_automl_stream(separable, training.TrainingSettings("y", ["id"]), extra, ["Baseline (Majority)"]))
+    events = list(training.candidate_events(separable, training.TrainingSettings("y", ["id"]), extra, ["Baseline (Majority)"]))
     board = events[-1]["result"].leaderboard
     assert [e["rank"] for e in board] == [1, None] and board[1]["status"] == "failed"
     with pytest.raises(ValueError):
@@ -102,7 +102,7 @@ def test_pca_and_selection(spark):
 
 
 def test_runs_table_round_trip(spark, linear, tmp_path):
-    result = training.train_automl(linear, training.TrainingSettings("revenue", ["id"]), include_models=["Baseline (Mean)", "Linear Regression"])
+    result = training.train_candidates(linear, training.TrainingSettings("revenue", ["id"]), include_models=["Baseline (Mean)", "Linear Regression"])
     runs.write_run(result, str(tmp_path))
     table = runs.read_runs(spark, str(tmp_path))
     assert runs.leaderboard_view(table).first().model == "Linear Regression"
