@@ -10,8 +10,7 @@ from tabloom.functions.columns import c, datetime_columns, is_numeric
 from tabloom.operators.impute import mode_value
 from tabloom.operators.quantiles import exact_quantiles
 
-ONE_HOT_LIMIT = 1_000        # categories per column above which values are hashed instead of indexed
-HASH_SLOTS = 256
+HASH_SLOTS = 1 << 18
 
 
 def _sql_name(name: str) -> str:
@@ -32,9 +31,12 @@ def _as_double(df: DataFrame, name: str) -> str:
     return f"CAST({_sql_name(name)} AS DOUBLE)"
 
 
-def build_preprocessor(train: DataFrame, features: list[str], output: str = "features") -> PipelineModel:
+def build_preprocessor(train: DataFrame, features: list[str], output: str = "features", hashed_columns: tuple[str, ...] = ()) -> PipelineModel:
     """Median fill and standardising for numbers, flags and dates (as seconds); mode fill and one-hot
-    for the rest, values unseen in training becoming all zeros."""
+    for the rest, values unseen in training becoming all zeros.
+
+    One-hot vectors are sparse, so any number of levels is indexed; the columns in ``hashed_columns`` are hashed to HASH_SLOTS slots instead.
+    """
     if not features:
         raise ValueError("No usable feature columns were found.")
     numeric = numeric_features(train, features)
@@ -54,8 +56,7 @@ def build_preprocessor(train: DataFrame, features: list[str], output: str = "fea
     for i, n in enumerate(other):
         mode = mode_value(train.select(c(n).cast("string").alias(n)), n)
         pieces.append(f"coalesce(CAST({_sql_name(n)} AS STRING), {_sql_text('' if mode is None else mode)}) AS `_cat_{i}`")
-        levels = train.select(c(n).cast("string")).distinct().limit(ONE_HOT_LIMIT + 1).count()
-        (hashed if levels > ONE_HOT_LIMIT else index).append(i)
+        (hashed if n in hashed_columns else index).append(i)
     stages = [SQLTransformer(statement=f"SELECT {', '.join(pieces)} FROM __THIS__")]
     if index:
         stages.append(StringIndexer(inputCols=[f"_cat_{i}" for i in index], outputCols=[f"_idx_{i}" for i in index],

@@ -60,7 +60,8 @@ def pearson(x: Column, y: Column) -> Column:
     """Pearson r over rows where both are known, NULL where one of them does not vary there."""
     both = x.isNotNull() & y.isNotNull()
     spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(x, y) / F.when(spread > 0, spread)))
+    r = F.covar_pop(x, y) / F.when(spread > 0, spread)
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def pairwise_correlations(df: DataFrame, columns: list[str],
