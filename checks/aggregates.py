@@ -64,7 +64,7 @@ def numeric_summary(spark, sf):
 
 
 @query("class_balance", """SELECT 'toxic' AS "column", count(*) AS n_classes, round(max(k) / min(k), 3) AS imbalance_ratio, max(k) / min(k) > 3 AS is_imbalanced,
-  CASE WHEN max(k) / min(k) > 3 THEN 'Apply SMOTE / resampling before training.' ELSE 'Class balance looks acceptable.' END AS recommendation
+  CASE WHEN max(k) / min(k) > 3 THEN 'One class is rare: balance the rows before a fit.' ELSE 'The classes are of similar size.' END AS recommendation
 FROM (SELECT toxic, count(*) AS k FROM labels GROUP BY 1)""")
 def class_balance(spark, sf):
     return aggregate.class_balance(table(spark, sf, "labels"), "toxic")

@@ -47,21 +47,21 @@ def categorical_columns(df: DataFrame, columns: Iterable[str] | None = None) ->
 
 def require_column(df: DataFrame, name: str | None, param: str = "column") -> str:
     if not name or name not in df.columns:
-        raise ValueError(f"{param} required and must exist. Available: {df.columns[:20]}")
+        raise ValueError(f"The table has no column {name!r} ({param}).")
     return name
 
 
 def require_numeric(df: DataFrame, name: str | None, param: str = "column") -> str:
     require_column(df, name, param)
     if not is_numeric(df, name):
-        raise ValueError(f"Column '{name}' must be numeric.")
+        raise ValueError(f"Column {name!r} is not numeric.")
     return name
 
 
 def existing(df: DataFrame, columns: Iterable[str] | None) -> list[str]:
     found = [n for n in (columns or ()) if n in df.columns]
     if not found:
-        raise ValueError("None of the specified columns exist.")
+        raise ValueError("The table has none of these columns.")
     return found
 
 

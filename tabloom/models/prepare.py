@@ -38,7 +38,7 @@ def build_preprocessor(train: DataFrame, features: list[str], output: str = "fea
     One-hot vectors are sparse, so any number of levels is indexed; the columns in ``hashed_columns`` are hashed to HASH_SLOTS slots instead.
     """
     if not features:
-        raise ValueError("No usable feature columns were found.")
+        raise ValueError("There is no feature column.")
     numeric = numeric_features(train, features)
     other = [n for n in features if n not in numeric]
     pieces = ["*"]

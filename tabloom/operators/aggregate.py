@@ -10,8 +10,8 @@ from tabloom.operators.quantiles import exact_quantiles, quantiles
 # fixed values: role and balance limits, and the advice texts
 IDENTIFIER_SHARE = 0.8
 IMBALANCE_RATIO = 3.0
-IMBALANCED = "Apply SMOTE / resampling before training."
-BALANCED = "Class balance looks acceptable."
+IMBALANCED = "One class is rare: balance the rows before a fit."
+BALANCED = "The classes are of similar size."
 
 
 def _aggregate(df: DataFrame, column: str, how: str, order_by: list[str] | None, approx: bool) -> Column:
@@ -37,15 +37,15 @@ def groupby_aggregate(df: DataFrame, group_by: list[str], aggregations: dict[str
                       order_by: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Aggregate per group; rows with a NULL key are left out, unknown columns ignored."""
     if not group_by:
-        raise ValueError("group_by must list at least one column.")
+        raise ValueError("Name the columns to group by.")
     if not aggregations:
-        raise ValueError("aggregations dict required.")
+        raise ValueError("Name what to aggregate.")
     lost = [g for g in group_by if g not in df.columns]
     if lost:
-        raise ValueError(f"group_by columns not found: {lost}. Available: {df.columns[:20]}")
+        raise ValueError(f"The table has no columns {lost} to group by.")
     known = {n: how for n, how in aggregations.items() if n in df.columns}
     if not known:
-        raise ValueError(f"None of the aggregation columns exist. Available columns: {df.columns[:20]}")
+        raise ValueError("The table has none of the columns to aggregate.")
     suffixed = any(isinstance(how, (list, tuple)) for how in known.values())
     aggs = []
     for n, how in known.items():
@@ -149,7 +149,7 @@ def outlier_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """IQR and z-score outliers per numeric column; z uses the sample deviation."""
     names = numeric_columns(df)
     if not names:
-        raise ValueError("No numeric columns for outlier summary.")
+        raise ValueError("The table has no numeric column to look for outliers in.")
     found = {n: q for n, q in quantiles(df, names, [0.25, 0.75], exact).items() if q[0] is not None}
     names = list(found)
     moments = df.agg(*[a for i, n in enumerate(names)

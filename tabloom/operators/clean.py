@@ -22,7 +22,7 @@ def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def rename_columns(df: DataFrame, rename: dict[str, str]) -> DataFrame:
     known = {old: new for old, new in (rename or {}).items() if old in df.columns}
     if not known:
-        raise ValueError(f"None of the columns to rename exist. Available: {df.columns[:20]}")
+        raise ValueError("The table has none of the columns to rename.")
     return df.withColumnsRenamed(known)
 
 
@@ -52,7 +52,7 @@ def constant_columns(df: DataFrame) -> list[str]:
 def drop_constant(df: DataFrame) -> DataFrame:
     constant = constant_columns(df)
     if not constant:
-        raise ValueError("No constant (zero-variance) columns found.")
+        raise ValueError("Every column varies.")
     return df.drop(*constant)
 
 
@@ -89,7 +89,7 @@ def correlated_columns(df: DataFrame, threshold: float = 0.95) -> list[str]:
     """The later column of every pair whose absolute correlation exceeds the threshold."""
     columns = numeric_columns(df)
     if len(columns) < 2:
-        raise ValueError("Need at least 2 numeric columns to assess correlation.")
+        raise ValueError("A correlation takes two numeric columns.")
     correlations = pairwise_correlations(df, columns)
     late = {b for (a, b), (r, _) in correlations.items() if r is not None and abs(r) > threshold}
     return [n for n in columns if n in late]
@@ -98,7 +98,7 @@ def correlated_columns(df: DataFrame, threshold: float = 0.95) -> list[str]:
 def drop_correlated(df: DataFrame, threshold: float = 0.95) -> DataFrame:
     late = correlated_columns(df, threshold)
     if not late:
-        raise ValueError(f"No numeric pairs correlated above {threshold}.")
+        raise ValueError(f"No pair of columns correlates beyond {threshold}.")
     return df.drop(*late)
 
 
@@ -129,7 +129,7 @@ def zscore_outlier_removal(df: DataFrame, threshold: float = 3.0, columns=None,
     """Rows whose every tested value lies within ``threshold`` population deviations; NULL passes."""
     names = [n for n in numeric_columns(df, columns, exclude) if n != target_column]
     if not names:
-        raise ValueError("No numeric columns for z-score outlier removal.")
+        raise ValueError("The table has no numeric column to score.")
     row = df.agg(*[a for i, n in enumerate(names)
                    for a in (F.avg(c(n)).alias(f"m{i}"), F.stddev_pop(c(n)).alias(f"s{i}"))]).first()
     keep = F.lit(True)
@@ -152,17 +152,17 @@ def _clipped(col, low, high):
 def clip_values(df: DataFrame, column: str, min=None, max=None) -> DataFrame:
     require_column(df, column)
     if min is None and max is None:
-        raise ValueError("Provide min and/or max to clip to.")
+        raise ValueError("Give a lower or an upper bound.")
     return replace_columns(df, {column: _clipped(c(column), min, max)})
 
 
 def fit_winsorize(df: DataFrame, lower: float = 0.01, upper: float = 0.99, columns=None,
                   exclude=None, exact: bool = True) -> Fitted:
     if not 0 <= lower < upper <= 1:
-        raise ValueError("Need 0 <= lower < upper <= 1 (e.g. lower=0.01, upper=0.99).")
+        raise ValueError(f"Shares must rise from 0 to 1, not from {lower} to {upper}.")
     names = numeric_columns(df, columns, exclude)
     if not names:
-        raise ValueError("No numeric columns to winsorize.")
+        raise ValueError("The table has no numeric column to pull in.")
     limits = quantiles(df, names, [lower, upper], exact)
     limits = {n: v for n, v in limits.items() if v[0] is not None}
 

@@ -50,13 +50,13 @@ def parseable_counts(df: DataFrame, names: list[str]) -> dict[str, tuple[int, in
 def datetime_parse(df: DataFrame, columns: list[str]) -> DataFrame:
     """Parse the named columns; a column where nothing parses stays as it is."""
     if not [n for n in (columns or []) if n in df.columns]:
-        raise ValueError("columns required - list the column(s) to parse as datetime.")
+        raise ValueError("Name the columns to read as dates.")
     names = existing(df, columns)
     counts = parseable_counts(df, [n for n in names if n in string_columns(df)])
     already = [n for n in names if n in datetime_columns(df)]
     good = [n for n, (_, parsed) in counts.items() if parsed]
     if not good and not already:
-        raise ValueError(f"None of {names} could be parsed as datetime.")
+        raise ValueError(f"No value of {names} reads as a date.")
     return replace_columns(df, {n: parse_timestamp(c(n)) for n in good})
 
 

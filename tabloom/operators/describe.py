@@ -20,8 +20,8 @@ from tabloom.operators.scale import right_closed_code
 
 # fixed values: largest Shapiro-Wilk sample and the advice texts
 SHAPIRO_ROWS = 5_000
-LOOKS_NORMAL = "Distribution looks approximately normal."
-NOT_NORMAL = "Non-normal; consider log_transform, power_transform, or quantile_transform."
+LOOKS_NORMAL = "Close to a normal distribution."
+NOT_NORMAL = "Far from a normal distribution; a log, power or quantile transform may help."
 
 
 def _frame(df: DataFrame, rows: list, schema: str) -> DataFrame:
@@ -42,7 +42,7 @@ def target_correlation(df: DataFrame, target: str) -> DataFrame:
     """Correlation of each numeric column with the target, strongest first; top five per sign marked."""
     require_column(df, target, "target_column")
     if not is_numeric(df, target):
-        raise ValueError(f"Target '{target}' must be numeric for correlation.")
+        raise ValueError(f"The target {target!r} is not numeric.")
     found = {a: r for (a, _), (r, _) in pairwise_correlations(df, [n for n in numeric_columns(df) if n != target], [target]).items()}
     ranked = sorted(found, key=lambda n: (found[n] is None, -abs(found[n] or 0.0), n))
     positive = [n for n in ranked if (found[n] or 0) > 0][:5]
@@ -78,7 +78,7 @@ def mutual_information(df: DataFrame, target: str, columns: list[str] | None = N
     require_column(df, target, "target_column")
     names = [n for n in numeric_columns(df, columns) if n != target]
     if not names:
-        raise ValueError("No numeric feature columns for mutual information.")
+        raise ValueError("No numeric column beside the target.")
     known = df.where(c(target).isNotNull())
     y = _target_code(known, target, bins)
     found = exact_quantiles(known, names, [i / bins for i in range(bins + 1)] + [0.5])
@@ -195,7 +195,7 @@ def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Variance inflation on complete cases: the diagonal of the inverse correlation matrix."""
     names = numeric_columns(df, columns)
     if len(names) < 2:
-        raise ValueError("VIF needs at least 2 numeric columns.")
+        raise ValueError("Inflation takes two numeric columns.")
     found = pairwise_correlations(df.dropna(subset=names), names)
     size = len(names)
     matrix = np.eye(size)
@@ -251,7 +251,7 @@ def pairplot_sample(df: DataFrame, key: list[str], columns: list[str], max_rows:
     """A seeded sample of the numeric ones of ``columns``."""
     names = numeric_columns(df, columns)
     if len(names) < 2:
-        raise ValueError("pairplot needs at least 2 numeric columns.")
+        raise ValueError("Pairs take two numeric columns.")
     return seeded_sample(df, max_rows, key, seed).select(*[c(n) for n in names], *([c(color)] if color else []))
 
 

@@ -31,7 +31,7 @@ def fit_one_hot_encode(df: DataFrame, columns: list[str] | None = None, max_uniq
         levels = {n: category_levels(df, n, max_unique) for n in string_columns(df)}
         levels = {n: v for n, v in levels.items() if len(v) <= max_unique}
     if not levels:
-        raise ValueError("No suitable columns to one-hot encode.")
+        raise ValueError("No column is fit for one-hot encoding.")
 
     def apply(other: DataFrame) -> DataFrame:
         kept = [c(n) for n in other.columns if n not in levels]
@@ -61,7 +61,7 @@ def fit_ordinal_encode(df: DataFrame, columns: list[str] | None = None) -> Fitte
     """Codes by sorted category, NULL being a category of its own; unseen values become -1."""
     names = categorical_columns(df, columns)
     if not names:
-        raise ValueError("No categorical columns to ordinal-encode.")
+        raise ValueError("No column is fit for ordinal encoding.")
     tables = {}
     for n in names:
         text = not is_numeric(df, n)
@@ -109,7 +109,7 @@ def label_encode(df, column, order_by):
 def fit_frequency_encode(df: DataFrame, columns: list[str] | None = None, normalize: bool = True) -> Fitted:
     names = categorical_columns(df, columns)
     if not names:
-        raise ValueError("No categorical columns to frequency-encode.")
+        raise ValueError("No column is fit for frequency encoding.")
     tables = {}
     for n in names:
         counted = df.where(c(n).isNotNull()).groupBy(c(n).alias("key")).agg(F.count("*").alias("cnt"))
@@ -153,7 +153,7 @@ def fit_target_encode(df: DataFrame, columns: list[str] | None, target_column: s
     require_column(df, target_column, "target_column")
     names = [n for n in categorical_columns(df, columns) if n != target_column]
     if not names:
-        raise ValueError("No categorical columns to target-encode (besides the target).")
+        raise ValueError("No column beside the target is fit for target encoding.")
     y = numeric_target(df, target_column, order_by)
     overall = df.agg(F.avg(y)).first()[0]
     if overall is None:
@@ -205,7 +205,7 @@ def hash_encode(df: DataFrame, columns: list[str] | None = None, n_features: int
     """Signed feature hashing: one slot of the vector holds +1 or -1. NULL hashes as its text."""
     names = categorical_columns(df, columns)
     if not names:
-        raise ValueError("No categorical columns to hash-encode.")
+        raise ValueError("No column is fit for hash encoding.")
     if expand and n_features > MAX_EXPANDED:
         raise ValueError(f"n_features above {MAX_EXPANDED} columns: use the array form.")
     out = df

@@ -59,7 +59,7 @@ def constant_impute(df: DataFrame, columns: list[str] | None = None, fill_value=
 def add_missing_indicators(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = [n for n in (columns or [n for n, k in null_counts(df).items() if k]) if n in df.columns]
     if not names:
-        raise ValueError("No columns with missing values to flag.")
+        raise ValueError("No column has a gap to mark.")
     return replace_columns(df, {f"{n}_was_missing": c(n).isNull().cast("int") for n in names})
 
 
@@ -76,7 +76,7 @@ def knn_impute(df: DataFrame, n_neighbors: int = 5, columns: list[str] | None =
 
     names = numeric_columns(df, columns, [key] + list(exclude or []) if key else exclude)
     if not names:
-        raise ValueError("KNN imputation needs numeric columns.")
+        raise ValueError("Neighbours are found by numeric columns, and there are none.")
     if key is None:
         raise ValueError("key required: a unique column that identifies rows")
     n_neighbors = max(1, int(n_neighbors))
@@ -130,7 +130,7 @@ def fit_iterative_impute(df: DataFrame, max_iter: int = 10, columns: list[str] |
 
     names = numeric_columns(df, columns, exclude)
     if not names:
-        raise ValueError("Iterative imputation needs numeric columns.")
+        raise ValueError("Regressions fill numeric columns, and there are none.")
     missing = {n: k for n, k in null_counts(df.select(*[c(n) for n in names])).items()}
     stats = df.agg(*[a for i, n in enumerate(names) for a in (F.avg(c(n)).alias(f"m{i}"), F.stddev_pop(c(n)).alias(f"s{i}"))]).first()
     mean = {n: stats[f"m{i}"] or 0.0 for i, n in enumerate(names)}

@@ -58,7 +58,7 @@ def fit_isolation_forest(df: DataFrame, columns: list[str] | None = None, exclud
     """
     names = [n for n in numeric_columns(df, columns, exclude) if n != target_column]
     if not names:
-        raise ValueError("Isolation Forest needs numeric columns.")
+        raise ValueError("The forest splits numeric columns, and there are none.")
     medians = {n: q[0] if q[0] is not None else 0.0 for n, q in exact_quantiles(df, names, [0.5]).items()}
     point = F.array(*[F.coalesce(c(n).cast("double"), F.lit(medians[n])) for n in names])
     rows = df.count()

@@ -39,10 +39,10 @@ def dense_panel(df: DataFrame, time_column: str, group_by: list[str], freq: str
     """
     require_column(df, time_column, "time_column")
     if not group_by:
-        raise ValueError("group_by must list at least one column.")
+        raise ValueError("Name the columns that tell the series apart.")
     missing = [g for g in group_by if g not in df.columns]
     if missing:
-        raise ValueError(f"group_by columns not found: {missing}")
+        raise ValueError(f"The table has no columns {missing} to tell series apart.")
     dated = time_column in datetime_columns(df)
     stamp = c(time_column)
     if not dated and time_column in string_columns(df):
@@ -92,9 +92,9 @@ def _label_grid(groups: DataFrame, labels: DataFrame, group_by: list[str], time_
 def _check_series(df: DataFrame, column: str, steps: list[int], group_by, time_column, name: str) -> None:
     require_column(df, column)
     if not steps or not all(isinstance(n, int) and not isinstance(n, bool) and n > 0 for n in steps):
-        raise ValueError(f"{name} must be a list of positive integers, e.g. [1,3,12].")
+        raise ValueError(f"{name} takes whole numbers above zero.")
     if not group_by:
-        raise ValueError("group_by required.")
+        raise ValueError("Name the columns that tell the series apart.")
     for g in group_by:
         require_column(df, g, "group_by")
     require_column(df, time_column, "time_column")
@@ -123,7 +123,7 @@ def create_rolling_features(df: DataFrame, column: str, windows: list[int], grou
     _check_series(df, column, windows, group_by, time_column, "windows")
     functions = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "min": F.min, "max": F.max}
     if agg not in functions:
-        raise ValueError("agg must be one of mean|sum|std|min|max.")
+        raise ValueError(f"Unknown rolling statistic {agg!r}.")
     return over_series(df, group_by, [time_column] + list(tiebreak or []), max(windows), 0,
                        lambda w: {f"{column}_roll_{n}_{agg}":
                                   _keyed(group_by, functions[agg](c(column)).over(w.rowsBetween(-n, -1))) for n in windows},

@@ -21,17 +21,17 @@ def _classes(df: DataFrame, target: str, key: list[str], numeric_only: str | Non
         require_column(df, k, "key")
     counts = {r[0]: r[1] for r in df.groupBy(c(target)).count().collect()}
     if is_numeric(df, target) and len([v for v in counts if v is not None]) > CLASS_LIMIT:
-        raise ValueError("Resampling is for classification targets; this target looks continuous.")
+        raise ValueError("The target has too many numbers to be classes.")
     features = df.drop(target)
     if any(null_counts(features).values()):
-        raise ValueError("Resamplers cannot handle missing values - impute first (e.g. impute_missing).")
+        raise ValueError("Fill the gaps before balancing classes.")
     counts.pop(None, None)
     if numeric_only:
         texts = [n for n in features.columns if n not in key and not is_numeric(df, n)]
         if texts:
-            raise ValueError(f"{numeric_only} only supports numeric features; encode categoricals first (categorical columns: {texts[:8]}).")
+            raise ValueError(f"{numeric_only} works on numbers; encode {texts[:8]} first.")
     if len(counts) < 2:
-        raise ValueError("Resampling needs at least two classes.")
+        raise ValueError("There is one class only, nothing to balance.")
     return counts
 
 

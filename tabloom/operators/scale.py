@@ -17,7 +17,7 @@ from tabloom.operators.quantiles import approx_quantiles, exact_quantiles, quant
 def _names(df, columns, exclude, verb="scale"):
     names = numeric_columns(df, columns, exclude)
     if not names:
-        raise ValueError(f"No numeric columns to {verb} (use columns / exclude).")
+        raise ValueError(f"The selection holds no numeric column to {verb}.")
     return names
 
 
@@ -86,12 +86,12 @@ def _box_cox(x: Column, lam: float) -> Column:
 def fit_power_transform(df: DataFrame, method: str = "yeo-johnson", columns=None, exclude=None) -> Fitted:
     """Maximum-likelihood lambda per column (profile over a grid, refined), then standardised."""
     if method not in {"yeo-johnson", "box-cox"}:
-        raise ValueError("method must be 'yeo-johnson' (default) or 'box-cox'.")
+        raise ValueError(f"Unknown power transform {method!r}: yeo-johnson and box-cox are there.")
     names = _names(df, columns, exclude, "transform")
     if method == "box-cox":
         lows = df.agg(*[F.min(c(n)).alias(f"a{i}") for i, n in enumerate(names)]).first()
         if any(v is not None and v <= 0 for v in lows):
-            raise ValueError("box-cox requires strictly positive values; use 'yeo-johnson'.")
+            raise ValueError("A Box-Cox transform is defined above zero only; Yeo-Johnson takes any number.")
     change = _yeo_johnson if method == "yeo-johnson" else _box_cox
     narrow = df.select(*[c(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
     centre, step = [0.0] * len(names), 0.5
@@ -158,7 +158,7 @@ def fit_quantile_transform(df: DataFrame, output_distribution: str = "normal", n
     The quantiles are order statistics at every size; ``exact=False`` takes them from a sketch.
     """
     if output_distribution not in {"normal", "uniform"}:
-        raise ValueError("output_distribution must be 'normal' (default) or 'uniform'.")
+        raise ValueError(f"Unknown output distribution {output_distribution!r}: normal and uniform are there.")
     names = _names(df, columns, exclude, "transform")
     rows = df.count()
     count = max(min(int(n_quantiles), rows), 2)
@@ -197,7 +197,7 @@ def _log1p_floor(name: str) -> Column:
 def log_transform(df: DataFrame, columns: list[str]) -> DataFrame:
     names = [n for n in (columns or []) if n in df.columns]
     if not names:
-        raise ValueError("No valid columns for log_transform.")
+        raise ValueError("None of the columns given is numeric, so there is nothing to take logarithms of.")
     return replace_columns(df, {f"{n}_log1p": _log1p_floor(n) for n in names})
 
 
@@ -239,7 +239,7 @@ def interaction_features(df: DataFrame, pairs: list) -> DataFrame:
     new = {f"{p[0]}_x_{p[1]}": c(p[0]) * c(p[1]) for p in (pairs or [])
            if isinstance(p, (list, tuple)) and len(p) == 2 and all(n in df.columns and is_numeric(df, n) for n in p)}
     if not new:
-        raise ValueError("No valid numeric pairs to multiply.")
+        raise ValueError("No pair of the columns given is numeric on both sides.")
     return replace_columns(df, new)
 
 
@@ -247,14 +247,14 @@ def polynomial_features(df: DataFrame, columns: list[str], degree: int = 2) -> D
     new = {f"{n}_pow{d}": F.pow(c(n).cast("double"), F.lit(float(d))) for n in (columns or [])
            if n in df.columns and is_numeric(df, n) for d in range(2, int(degree) + 1)}
     if not new:
-        raise ValueError("No valid numeric columns for polynomial_features.")
+        raise ValueError("None of the columns given is numeric, so there are no powers to make.")
     return replace_columns(df, new)
 
 
 def cyclical_encode(df: DataFrame, column: str, period: float) -> DataFrame:
     require_numeric(df, column)
     if period is None:
-        raise ValueError("period required (e.g. 12 for month, 7 for dayofweek, 24 for hour).")
+        raise ValueError("Give the length of the cycle, such as 24 for hours of a day.")
     angle = F.lit(2 * math.pi) * c(column) / F.lit(float(period))
     return replace_columns(df, {f"{column}_sin": F.sin(angle), f"{column}_cos": F.cos(angle)})
 
@@ -264,7 +264,7 @@ def fourier_features(df: DataFrame, column: str | None = None, period: float | N
     """Sine and cosine terms of a position; a date becomes whole days since the earliest one."""
     name = require_column(df, column or time_column)
     if period is None:
-        raise ValueError("period required (the seasonal cycle length, e.g. 12 for monthly-yearly).")
+        raise ValueError("Give the length of the season in steps of the column.")
     if is_numeric(df, name):
         position = c(name).cast("double")
     else:
@@ -273,7 +273,7 @@ def fourier_features(df: DataFrame, column: str | None = None, period: float | N
         stamp = parsed_timestamp(df, name)
         first = df.agg(F.min(F.unix_micros(stamp))).first()[0]
         if first is None:
-            raise ValueError(f"'{name}' is neither numeric nor parseable as a date.")
+            raise ValueError(f"Column {name!r} holds neither numbers nor dates.")
         position = F.floor((F.unix_micros(stamp) - F.lit(first)) / F.lit(86_400_000_000)).cast("double")
     new = {}
     for k in range(1, max(1, int(order)) + 1):

@@ -32,7 +32,7 @@ def chronological_split(df: DataFrame, time_column: str, test_size: float = 0.2,
     rows = df.count()
     cut = int(rows * (1.0 - test_size))
     if cut < 2 or cut >= rows:
-        raise ValueError(f"Chronological split with test_size={test_size} produced unusable train ({cut}) / test ({rows - cut}) sizes.")
+        raise ValueError(f"A test share of {test_size} leaves {cut} rows before the cut and {rows - cut} after it.")
     order = [key] + [n for n in (tiebreak or df.columns) if n != key]
     train, test = split_at(work, order, cut)
     return train.select(*[c(n) for n in df.columns]), test.select(*[c(n) for n in df.columns])

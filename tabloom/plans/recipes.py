@@ -68,7 +68,7 @@ OPERATORS["materialize"] = materialize
 def apply_operation(df: DataFrame, name: str, params: dict | None = None) -> DataFrame:
     operation = OPERATORS.get(name) or _functions.get(name)
     if operation is None:
-        raise ValueError(f"Unknown operation: {name}")
+        raise ValueError(f"No operation is called {name!r}.")
     out = operation(df, **(params or {}))
     if not isinstance(out, DataFrame):
         raise ValueError(f"Operation '{name}' must return a DataFrame.")

@@ -112,9 +112,9 @@ class SqliteSource(DataSource):
         tables = _tables(_files(self.options["path"])[0])
         wanted = self.options.get("table")
         if wanted and wanted not in tables:
-            raise ValueError(f"Table '{wanted}' not found. Available tables: {tables}")
+            raise ValueError(f"No table is called {wanted!r}; there are: {tables}")
         if not tables:
-            raise ValueError("The database has no tables.")
+            raise ValueError("The database is empty.")
         return wanted or tables[0]
 
     def schema(self) -> T.StructType:

@@ -37,8 +37,9 @@ def test_classifiers_beat_the_baseline(separable):
 
 def test_failed_models_are_recorded(separable):
     extra = [{"name": "Broken", "class": "pyspark.ml.classification.LinearSVC", "params": {}}]
-    events = list(training.candidate_events(separable, training.TrainingSettings("y", ["id"]), extra, ["Baseline (Majority)"]))
-    board = events[-1]["result"].leaderboard
+    seen = []
+    board = training.train_candidates(separable, training.TrainingSettings("y", ["id"]), extra, ["Baseline (Majority)"], seen.append).leaderboard
+    assert sorted(e["model"] for e in seen) == ["Baseline (Majority)", "Broken"] and seen[-1]["done"] == seen[-1]["of"] == 2
     assert [e["rank"] for e in board] == [1, None] and board[1]["status"] == "failed"
     with pytest.raises(ValueError):
         catalogue.custom_fitter({"name": "x", "class": "os.system"})
