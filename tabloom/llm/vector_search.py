@@ -13,6 +13,9 @@ from tabloom.llm.common import written
 from tabloom.llm.vectors import blocks, dimension, kmeans, matrix, nearest, prepared, sample
 
 
+CELL_ROWS = 32  # vectors in a cell, on average, as long as there are at most 128 x 128 cells
+
+
 class MultiIndex:
     """Two codebooks; a cell is a pair of centroids. ``spread`` is the mean squared residual per component of each centroid."""
 
@@ -54,7 +57,7 @@ class MultiIndex:
         def beyond(level):  # close to the normal tail
             return n / (1 + np.exp(np.clip(1.702 * (level - at) / scale, -50, 50)))
         low, high = at.min() - 8 * scale.max(), at.max() + 8 * scale.max()
-        for _ in range(40):
+        for _ in range(24):
             level = (low + high) / 2
             low, high = (level, high) if beyond(level).sum() > k else (low, level)
         expected = np.zeros(self.counts.shape)
@@ -166,7 +169,7 @@ def nearest_vectors(df: DataFrame, queries: Column, id_col: str = "vec_id", vect
     entries = vectors.distinct().withColumn("copy", F.row_number().over(order)).where(F.col("copy") <= k + 1)
     entries = written(entries.select("id", "key", "vector"), "entries")
     total = entries.count()
-    index = MultiIndex(sample(entries, total, training_rows, dtype, size, seed), int(np.clip(np.sqrt(total / 8), 1, 128)), seed)
+    index = MultiIndex(sample(entries, total, training_rows, dtype, size, seed), int(np.clip(np.sqrt(total / CELL_ROWS), 1, 128)), seed)
     celled = written(entries.select("id", "vector").mapInArrow(_celled(index, dtype, size), f"id {kind}, vector binary, cell bigint"), "cells")
     for row in celled.groupBy("cell").agg(F.count("*").alias("n")).collect():  # no more than pairs of centroids
         index.counts.flat[row["cell"]] = row["n"]
@@ -176,6 +179,7 @@ def nearest_vectors(df: DataFrame, queries: Column, id_col: str = "vec_id", vect
     entries = celled.withColumn("block", (F.element_at(starts, cell) + F.pmod(F.xxhash64("id"), F.element_at(widths, cell))).cast("long"))
     asking = asking.select("id", "vector").mapInArrow(_celled(index, dtype, size), f"id {kind}, vector binary, cell bigint")
     asking = asking.withColumn("asking", F.floor(F.element_at(starts, cell) / 16).cast("long")).select("id", "vector", "asking")
+    asking = asking.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "id")
     probes = written(asking.mapInArrow(_probed(index, first, number, k, share, dtype, size),
                                        f"id {kind}, vector binary, asking bigint, asked bigint, cells array<bigint>"), "probes")
     met = probes.select(F.col("asking").alias("asker"), F.col("asked").alias("block")).distinct()
