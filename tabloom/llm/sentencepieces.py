@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from tabloom.llm.chunks import ChunkTable
 
 MARK = "▁"
-GROUP_CHARS = 2_500_000  # characters of texts that are encoded together
-PAIRS_KEPT = 2_000_000
+GROUP_CHARS = 1_500_000  # characters of texts that are encoded together
+PAIRS_KEPT = 400_000
 
 
 class Pieces:
@@ -76,7 +76,7 @@ class PrefixViterbi:
     """
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.pairs, self.alone = pieces, {}, {}
+        self.pieces, self.pairs = pieces, {}
 
     def merged(self, text: str) -> list[str]:
         """Segmentation by merging the best-ranked neighbours, leftmost first, over and over."""
@@ -92,24 +92,25 @@ class PrefixViterbi:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, left: str | None, right: str) -> bool:
-        """Whether the merges of both side by side leave the boundary between them. ``None``: nothing, or an unknown character."""
-        if left is None:
-            known = self.alone.get(right)
-            if known is None:
-                known = self.alone[right] = len(right) == 1 or len(self.merged(right)) == 1
-            return known
-        known = self.pairs.get((left, right))
+    def _follows(self, left: int, right: int) -> bool:
+        """Whether the merges of both pieces side by side leave the boundary between them. -1: nothing, or an unknown character."""
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
-            known = left + right not in self.pieces.ids and self.merged(left + right) == [left, right]
+            b = self.pieces.names[right]
+            if left < 0:
+                known = len(b) == 1 or len(self.merged(b)) == 1
+            else:
+                a = self.pieces.names[left]
+                known = a + b not in self.pieces.ids and self.merged(a + b) == [a, b]
             if len(self.pairs) < PAIRS_KEPT:
-                self.pairs[left, right] = known
+                self.pairs[key] = known
         return known
 
     def segment(self, words: Sequence[str]) -> dict[str, list[int]]:
         ids, scores, tails, out = self.pieces.ids, self.pieces.scores, self.pieces.tails, {}
         ranked, lowest = self.pieces.ranked, self.pieces.lowest
-        last, begin, best, before = [None], [0], [0.0], ""  # by position: last piece (None: unknown character), its start, its score
+        last, begin, best, before = [-1], [0], [0.0], ""  # by position: last piece (-1: unknown character), its start, its score
         for word in sorted(set(words)):
             same = 0
             for x, y in zip(before, word):
@@ -118,27 +119,26 @@ class PrefixViterbi:
                 same += 1
             del last[same + 1:], begin[same + 1:], best[same + 1:]
             for end in range(same + 1, len(word) + 1):
-                piece, start, top = None, end - 1, best[end - 1] + lowest
+                piece, start, top = -1, end - 1, best[end - 1] + lowest
                 for length in tails.get(word[end - 2:end], (1,)) if end > 1 else (1,):
                     at = end - length
                     if at < 0:
                         continue
-                    name = word[at:end]
-                    found = ids.get(name)
+                    found = ids.get(word[at:end])
                     if found is None:
                         continue
                     if ranked:
-                        if self._follows(last[at] if at else None, name):
-                            piece, start = name, at
+                        if self._follows(last[at] if at else -1, found):
+                            piece, start = found, at
                             break
                     elif best[at] + scores[found] > top:
-                        piece, start, top = name, at, best[at] + scores[found]
+                        piece, start, top = found, at, best[at] + scores[found]
                 last.append(piece)
                 begin.append(start)
                 best.append(top)
             parts, end = [], len(word)
             while end:
-                parts.append([ids[last[end]]] if last[end] is not None else self.pieces.unknown_ids(word[end - 1]))
+                parts.append([last[end]] if last[end] >= 0 else self.pieces.unknown_ids(word[end - 1]))
                 end = begin[end]
             out[word] = [i for part in reversed(parts) for i in part]
             before = word
@@ -206,6 +206,15 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "ids")
 
 
+def round_trip(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, text_col, ids, decoded)``: ``encode`` and ``decode`` in one pass, for checking that texts come back."""
+    kind = dict(df.dtypes)[id_col]
+    encoded, decoded = _encoded(model), _decoded(model)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInArrow(lambda batches: decoded(encoded(batches)), f"id {kind}, text string, ids binary, decoded string")
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "ids", "decoded")
+
+
 def decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded``, the text of the ids: marks become blanks, the first one goes. NULL ids decode to NULL, unknown ones to a sign."""
     kind = dict(df.dtypes)[id_col]

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from tabloom.llm.sentencepieces import MARK, MarkedWords, Pieces, PrefixViterbi, decode, encode
+from tabloom.llm.sentencepieces import MARK, MarkedWords, Pieces, PrefixViterbi, decode, encode, round_trip
 from tests.llm.awkward import documents, empty
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,7 +22,7 @@ def test_ids_are_the_librarys():
 def test_documents_round_trip(spark):
     library, df = sentencepiece.SentencePieceProcessor(model_file=PATH), documents(spark)
     rows = decode(encode(df, PATH), PATH).collect()
-    assert len(rows) == df.count()
+    assert len(rows) == df.count() and sorted(map(str, rows)) == sorted(map(str, round_trip(df, PATH).collect()))
     for r in rows:
         ids = np.frombuffer(r.ids, "<u4").tolist()
         assert ids == library.encode(r.text or "")
