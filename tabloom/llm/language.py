@@ -117,8 +117,11 @@ def fit_languages(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id",
     """
     known = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).where(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    totals = known.groupBy("lang").agg(F.count("*").alias("total"))
-    picked = known.join(totals, "lang").where(hash_share(F.col("id"), F.least(F.lit(1.0), rows_per_language / F.col("total")), seed))
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a model holds a filter for each anyway
+    if not totals:
+        return LanguageFilters([], [])
+    shares = F.create_map(*[F.lit(x) for name in sorted(totals) for x in (name, min(1.0, rows_per_language / totals[name]))])
+    picked = known.where(hash_share(F.col("id"), shares[F.col("lang")], seed))
     counted = picked.select("text", "lang").mapInArrow(_document_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sizes = {r["lang"]: r["n"] for r in counted.where("gram = 0").collect()}
     names = sorted(sizes)
