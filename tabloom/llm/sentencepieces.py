@@ -13,7 +13,7 @@ from tabloom.llm.chunks import ChunkTable
 
 MARK = "▁"
 GROUP_CHARS = 1_500_000  # characters of texts that are encoded together
-PAIRS_KEPT = 400_000
+PAIRS_KEPT, TAILS_KEPT = 400_000, 100_000
 
 
 class Pieces:
@@ -25,11 +25,10 @@ class Pieces:
         used = [scores[k] for k in self.ids.values()]
         self.ranked = bool(used) and all(float(s).is_integer() and s <= 0 for s in used)
         self.lowest = min(used, default=0.0) - 10  # of an unknown character, where pieces have probabilities
-        tails: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}  # lengths of pieces by their last characters, three at most
         for name in self.ids:
-            if len(name) > 1:
-                tails.setdefault(name[-2:], set()).add(len(name))
-        self.tails = {t: (*sorted(lengths, reverse=True), 1) for t, lengths in tails.items()}  # lengths to try by the last two characters
+            self.tails.setdefault(name[-3:], set()).add(len(name))
+        self.tried: dict[str, tuple[int, ...]] = {}
         self.parting = "\n" if not any("\n" in n for n in self.ids) else ""  # a character in no piece parts words
 
     @classmethod
@@ -47,6 +46,16 @@ class Pieces:
         pieces.normalise = model.normalize
         return pieces
 
+    def lengths(self, tail: str) -> tuple[int, ...]:
+        """Lengths of the pieces that can end in ``tail`` (three characters, fewer at the start of a word), longest first."""
+        found = self.tried.get(tail)
+        if found is None:
+            found = set().union(*(self.tails.get(tail[k:], set()) for k in range(len(tail))))
+            found = tuple(sorted((n for n in found if n <= len(tail) or len(tail) == 3), reverse=True))
+            if len(self.tried) < TAILS_KEPT:
+                self.tried[tail] = found
+        return found
+
     def normalise(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
@@ -107,42 +116,66 @@ class PrefixViterbi:
                 self.pairs[key] = known
         return known
 
-    def segment(self, words: Sequence[str]) -> dict[str, list[int]]:
-        ids, scores, tails, out = self.pieces.ids, self.pieces.scores, self.pieces.tails, {}
-        ranked, lowest = self.pieces.ranked, self.pieces.lowest
-        last, begin, best, before = [-1], [0], [0.0], ""  # by position: last piece (-1: unknown character), its start, its score
-        for word in sorted(set(words)):
+    def segment(self, words: Sequence[str]) -> tuple[list[int], list[int]]:
+        """Ids of sorted words one after another, and how many each has."""
+        values, sizes, before = [], [], ""
+        last, begin, best = [-1], [0], [0.0]  # by position: last piece (-1: unknown character), its start, the score so far
+        extend = self._extend_ranked if self.pieces.ranked else self._extend_scored
+        for word in words:
             same = 0
             for x, y in zip(before, word):
                 if x != y:
                     break
                 same += 1
             del last[same + 1:], begin[same + 1:], best[same + 1:]
-            for end in range(same + 1, len(word) + 1):
-                piece, start, top = -1, end - 1, best[end - 1] + lowest
-                for length in tails.get(word[end - 2:end], (1,)) if end > 1 else (1,):
-                    at = end - length
-                    if at < 0:
-                        continue
-                    found = ids.get(word[at:end])
-                    if found is None:
-                        continue
-                    if ranked:
-                        if self._follows(last[at] if at else -1, found):
-                            piece, start = found, at
-                            break
-                    elif best[at] + scores[found] > top:
-                        piece, start, top = found, at, best[at] + scores[found]
-                last.append(piece)
-                begin.append(start)
-                best.append(top)
-            parts, end = [], len(word)
+            extend(word, same, last, begin, best)
+            found, end = [], len(word)
             while end:
-                parts.append([last[end]] if last[end] >= 0 else self.pieces.unknown_ids(word[end - 1]))
+                if last[end] >= 0:
+                    found.append(last[end])
+                else:
+                    found += self.pieces.unknown_ids(word[end - 1])[::-1]
                 end = begin[end]
-            out[word] = [i for part in reversed(parts) for i in part]
+            found.reverse()
+            values += found
+            sizes.append(len(found))
             before = word
-        return out
+        return values, sizes
+
+    def _extend_ranked(self, word: str, same: int, last: list, begin: list, best: list) -> None:
+        ids, tried, lengths, pairs, follows = self.pieces.ids, self.pieces.tried, self.pieces.lengths, self.pairs, self._follows
+        for end in range(same + 1, len(word) + 1):
+            tail = word[end - 3:end] if end > 2 else word[:end]
+            piece, start = -1, end - 1
+            for length in tried.get(tail) or lengths(tail):
+                at = end - length
+                if at < 0:
+                    continue
+                found = ids.get(word[at:end])
+                if found is None:
+                    continue
+                known = pairs.get(last[at] << 32 | found) if at else None
+                if known is None:
+                    known = follows(last[at] if at else -1, found)
+                if known:
+                    piece, start = found, at
+                    break
+            last.append(piece)
+            begin.append(start)
+            best.append(0.0)
+
+    def _extend_scored(self, word: str, same: int, last: list, begin: list, best: list) -> None:
+        ids, scores, lowest = self.pieces.ids, self.pieces.scores, self.pieces.lowest
+        for end in range(same + 1, len(word) + 1):
+            piece, start, top = -1, end - 1, best[end - 1] + lowest
+            for length in self.pieces.lengths(word[max(0, end - 3):end]):
+                at = end - length
+                found = ids.get(word[at:end]) if at >= 0 else None
+                if found is not None and best[at] + scores[found] > top:
+                    piece, start, top = found, at, best[at] + scores[found]
+            last.append(piece)
+            begin.append(start)
+            best.append(top)
 
 
 class MarkedWords(ChunkTable):
@@ -153,9 +186,12 @@ class MarkedWords(ChunkTable):
         self.viterbi = PrefixViterbi(pieces)
 
     def encoded(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.viterbi.segment(chunks)
-        rows = [found[c] for c in chunks]
-        return np.array([i for row in rows for i in row], np.int64), np.array([len(row) for row in rows], np.int64)
+        order = sorted(range(len(chunks)), key=chunks.__getitem__)
+        values, sizes = (np.array(x, np.int64) for x in self.viterbi.segment([chunks[k] for k in order]))
+        place = np.argsort(order)
+        ends, lengths = np.cumsum(sizes), sizes[place]
+        stops = np.cumsum(lengths)
+        return values[np.repeat((ends - sizes)[place] - (stops - lengths), lengths) + np.arange(len(values))], lengths
 
 
 def _encoded(path: str):
