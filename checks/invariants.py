@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from checks.cleaning import lines
 from checks.composing import event_stream
 from checks.neighbouring import document_features
+from checks.panels import BRAND_MONTHS, brand_months
 from checks.registry import query, r, rounded, table
 from checks.sourcing import scratch
 from tabloom import streaming
 from tabloom.models import train as training
 from tabloom.models.catalogue import REGRESSORS
 from tabloom.operators import clean, describe, isolation, resample, selection
+from tabloom.plans.recipes import forecast_recipe
 
 
 def with_constant(spark, sf):
@@ -132,3 +134,14 @@ def isolation_forest_share(spark, sf):
     both = df.withColumn("all", F.lit(1)).join(kept.select("event_id", F.lit(1).alias("kept")), "event_id", "full")
     return both.agg(F.count("all").alias("rows"), (F.count("kept") / F.count("all")).between(0.93, 0.96).alias("share_kept"),
                     (F.count_if(F.col("all").isNull()) == 0).alias("subset"))
+
+
+@query("forecast_recipe_tail", f"""WITH {BRAND_MONTHS}, feat AS (SELECT month, p_brand, l_quantity, max(l_quantity) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS top,
+  lead(l_quantity, 1) OVER w AS ahead FROM dense WINDOW w AS (PARTITION BY p_brand ORDER BY month)), known AS (SELECT * FROM feat WHERE ahead IS NOT NULL)
+SELECT month, {r("(sum(l_quantity) OVER (PARTITION BY p_brand) + 10 * avg(l_quantity) OVER ()) / (count(*) OVER (PARTITION BY p_brand) + 10)", 5)} AS p_brand,
+  {r("top")} AS l_quantity_roll_3_max, {r("ahead")} AS l_quantity_lead_1 FROM known""")
+def forecast_recipe_tail(spark, sf):
+    """Rolling maxima, leads, then the groups encoded by the value."""
+    steps = forecast_recipe("month", ["p_brand"], "l_quantity", lags=[1], windows=[3], leads=[1], rolling=("mean", "max"), encode=["p_brand"])
+    out = steps.run(brand_months(spark, sf))
+    return rounded(out.select("month", F.round("p_brand", 5).alias("p_brand"), "l_quantity_roll_3_max", "l_quantity_lead_1"))

@@ -16,7 +16,7 @@ def roc_auc(df: DataFrame, label: str, score: str, positive=1, rows_per_bucket:
     """Area under the ROC curve from mid-ranks over distinct scores."""
     marked = df.select((c(label) == F.lit(positive)).cast("int").alias("y"), c(score).alias("s"))
     sums, _ = _rank_sums(marked, "s", "y", rows_per_bucket)
-    by = {s["g"]: s for s in sums}
+    by = {s["g"]: s for s in sums.collect()}  # at most two
     if len(by) != 2:
         return None
     n1, n0 = by[1]["n"], by[0]["n"]

@@ -29,16 +29,18 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
 # the order stages should come in: cleaning, outliers, encoding, scaling, generation, selection, resampling
 STAGES = {
     "cleaning": ("drop_duplicates", "drop_high_missing", "drop_constant", "drop_correlated", "impute_missing", "constant_impute", "knn_impute",
-                 "iterative_impute", "add_missing_indicators", "datetime_parse", "text_clean"),
+                 "iterative_impute", "add_missing_indicators", "text_clean", "text_length_features"),
     "outliers": ("filter_outliers", "zscore_outlier_removal", "isolation_forest_outliers", "winsorize", "clip_values"),
-    "encoding": ("encode_dates", "one_hot_encode", "ordinal_encode", "label_encode", "frequency_encode", "target_encode", "hash_encode"),
-    "scaling": ("standard_scale", "minmax_scale", "robust_scale", "max_abs_scale", "power_transform", "quantile_transform"),
-    "generation": ("log_transform", "bin_numeric", "interaction_features", "polynomial_features", "cyclical_encode", "fourier_features"),
+    "encoding": ("datetime_parse", "encode_dates", "cyclical_encode", "one_hot_encode", "ordinal_encode", "label_encode", "frequency_encode", "target_encode", "hash_encode"),
+    "scaling": ("log_transform", "target_log_transform", "standard_scale", "minmax_scale", "robust_scale", "max_abs_scale", "power_transform",
+                "quantile_transform"),
+    "generation": ("bin_numeric", "interaction_features", "polynomial_features", "fourier_features", "groupby_aggregate", "dense_panel",
+                   "create_lag_features", "create_rolling_features", "create_lead_target"),
     "selection": ("select_k_best", "select_from_model", "rfe_select", "pca"),
     "resampling": ("random_oversample", "random_undersample", "smote", "borderline_smote", "adasyn", "smote_tomek", "smote_enn"),
 }
 
-LINEAGE = "step int, operation string, params string, columns_before int, columns_after int"
+LINEAGE = "step int, parent int, operation string, params string, columns_before int, columns_after int, rows_before long, rows_after long"
 
 _functions: dict[str, Callable[..., DataFrame]] = {}
 
@@ -84,15 +86,19 @@ class Recipe:
     def run(self, df: DataFrame, ordered: bool = False) -> DataFrame:
         return self.run_with_lineage(df, ordered)[0]
 
-    def run_with_lineage(self, df: DataFrame, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
-        """(result, lineage rows); ``ordered`` first puts the steps in stage order."""
-        rows = []
+    def run_with_lineage(self, df: DataFrame, ordered: bool = False, count_rows: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(result, lineage rows); ``ordered`` first puts the steps in stage order.
+
+        ``parent`` is the step whose output a step reads, 0 the input. ``count_rows`` costs a job per step; without it row counts are NULL.
+        """
+        rows, before = [], df.count() if count_rows else None
         steps = self.in_stage_order().steps if ordered else self.steps
         spark = df.sparkSession
         for i, (name, params) in enumerate(steps, 1):
             out = apply_operation(df, name, params)
-            rows.append((i, name, json.dumps(params, default=str), len(df.columns), len(out.columns)))
-            df = out
+            after = out.count() if count_rows else None
+            rows.append((i, i - 1, name, json.dumps(params, default=str), len(df.columns), len(out.columns), before, after))
+            df, before = out, after
         return df, spark.createDataFrame(rows, LINEAGE)
 
     def in_stage_order(self) -> "Recipe":
@@ -111,21 +117,29 @@ class Recipe:
 
 
 def forecast_recipe(time_column: str, group_by: list[str], value: str, freq: str = "M", lags=(1, 3, 12), windows=(3, 6, 12), leads=(1,),
-                    calendar: bool = False) -> Recipe:
-    """Dense panel, lags, previous-row rolling means, lead targets, and calendar cycles when asked.
+                    calendar: bool = False, aggregations: dict | None = None, rolling: tuple[str, ...] = ("mean",),
+                    encode: list[str] | None = None) -> Recipe:
+    """Dense panel, lags, previous-row rolling statistics and lead targets.
+
+    When asked, ``aggregations`` first bring the input to one row per group and time (``value`` is then the aggregate's name), ``calendar``
+    adds cycles of the year, and the group columns in ``encode`` are target-encoded by ``value`` last. The time column stays, for a
+    chronological split by ``train_candidates``.
 
     The aggregated input is materialised before the panel and the panel before its windows, so the
     large tables behind them are scanned once.
     """
     keys = {"group_by": list(group_by), "time_column": time_column}
-    steps = [("materialize", {}),
+    steps = [("groupby_aggregate", {"group_by": [*group_by, time_column], "aggregations": aggregations})] if aggregations else []
+    steps += [("materialize", {}),
              ("dense_panel", {**keys, "freq": freq, "fill_value": 0}),
              ("materialize", {}),
              ("create_lag_features", {**keys, "column": value, "lags": list(lags)}),
-             ("create_rolling_features", {**keys, "column": value, "windows": list(windows), "agg": "mean"}),
-             ("create_lead_target", {**keys, "column": value, "leads": list(leads)})]
+             *[("create_rolling_features", {**keys, "column": value, "windows": list(windows), "agg": how}) for how in rolling]]
+    steps.append(("create_lead_target", {**keys, "column": value, "leads": list(leads)}))
     if calendar:
         steps.append(("fourier_features", {"column": time_column, "period": 365.25, "order": 2}))
+    if encode:
+        steps.append(("target_encode", {"columns": list(encode), "target_column": value}))
     return Recipe(steps)
 
 
