@@ -14,7 +14,7 @@ from tabloom.llm.common import components, runs, written
 
 FINE, BATCHES = 512, 8  # hashes of a comparison signature, one byte each, and the batches they are compared in
 BLOCK = 512  # members of one bucket that are compared in one piece
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 class _WordHashes(dict):

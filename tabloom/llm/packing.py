@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabloom.llm.common import written
 
-GROUP_BYTES = 32 << 20  # texts that are tokenised together
-SHARD_TOKENS, SHARD_ROWS = 3_000_000, 3_000  # an index holds about so much; a task makes one after another
+GROUP_BYTES = 8 << 20  # texts that are tokenised together
+SHARD_TOKENS, SHARD_ROWS = 1_500_000, 2_000  # an index holds about so much; a task makes one after another
 QUERY_TERMS = 24  # most telling terms of a seed that the index is asked for
 K1, B = 1.2, 0.75
 LETTERS = "abcdefghijklmnopqrstuvwxyzß" + "".join(map(chr, range(0xE0, 0x100))).replace("÷", "")

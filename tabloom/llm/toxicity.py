@@ -16,8 +16,8 @@ from tabloom.llm.common import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW, STRIDE = 64, 48  # neighbouring windows share a quarter of their words
-TYPES_KEPT = 100_000  # projected words a task keeps
-CHUNK_WORDS = 150_000
+TYPES_KEPT = 50_000  # projected words a task keeps
+CHUNK_WORDS = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
