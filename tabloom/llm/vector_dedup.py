@@ -12,6 +12,7 @@ from tabloom.llm.common import components, written
 from tabloom.llm.vectors import blocks, chained, dimension, kmeans, matrix, nearest, prepared, sample
 
 SUBSPACES, CODES = 8, 256
+ROUNDING = 1e-9  # what bounds allow for sums in another order
 
 
 class Quantiser:
@@ -38,7 +39,12 @@ class Quantiser:
         far = np.maximum(0, (units ** 2).sum(axis=1)[:, None] - 2 * units @ self.centres.T + (self.centres ** 2).sum(axis=1)[None])
         gaps = self.gaps[home]
         beyond = far - far[np.arange(len(units)), home][:, None]
-        return beyond <= 2 * reach * np.where(gaps > 0, gaps, np.inf)
+        return beyond <= 2 * reach * np.where(gaps > 0, gaps, np.inf) + ROUNDING
+
+
+def _share(slack: float | None, size: int) -> float:
+    """Part of a distance that bounds allow for along one direction: the whole of it unless ``slack`` is given."""
+    return 1.0 if slack is None else min(1.0, slack / np.sqrt(size))
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -69,10 +75,10 @@ def _routed(quantiser: Quantiser, first: np.ndarray, number: np.ndarray, reach:
     return run
 
 
-def _block_links(quantiser: Quantiser, threshold: float, slack: float, dtype: str, size: int):
+def _block_links(quantiser: Quantiser, threshold: float, slack: float | None, dtype: str, size: int):
     """Links between the queries and the entries of one pair of blocks: weighted counts per query, and edges that span them."""
     radius = float(np.sqrt(2 - 2 * threshold))
-    share = min(1.0, slack / np.sqrt(size))
+    share = _share(slack, size)
 
     def run(queries: pa.Table, entries: pa.Table) -> pa.Table:
         kind = entries.schema.field("node").type
@@ -88,7 +94,7 @@ def _block_links(quantiser: Quantiser, threshold: float, slack: float, dtype: st
         home, codes, lost, fixed, held, x_unit, copies = (a[order] for a in (home, codes, lost, fixed, held, x_unit, copies))
         lists, begins = np.unique(home, return_index=True)
         ends = np.append(begins[1:], len(home))
-        limit = radius ** 2 + lost ** 2 + 2 * radius * lost * share
+        limit = radius ** 2 + lost ** 2 + 2 * radius * lost * share + ROUNDING
         counts, edges = np.zeros(len(asked), np.int64), []
         label = np.arange(len(names))
         for start in range(0, len(q), 256):
@@ -102,7 +108,10 @@ def _block_links(quantiser: Quantiser, threshold: float, slack: float, dtype: st
                 if not len(some):
                     continue
                 looked = sum(table[some][:, codes[begin:end, m]] for m, table in enumerate(tables))
-                i, j = np.nonzero(far[some, k][:, None] - 2 * looked + fixed[None, begin:end] <= limit[None, begin:end])
+                left = far[some, k][:, None] - 2 * looked + fixed[None, begin:end] <= limit[None, begin:end]
+                if left.any():  # one product sorts out most of what the codes leave
+                    left &= part[some] @ x_unit[begin:end].T >= threshold - ROUNDING
+                i, j = np.nonzero(left)
                 rows.append(some[i])
                 cols.append(j + begin)
             i, j = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (rows, cols))
@@ -129,7 +138,7 @@ def _block_links(quantiser: Quantiser, threshold: float, slack: float, dtype: st
     return run
 
 
-def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = 0.9, slack: float = 4.5,
+def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = 0.9, slack: float | None = None,
                            training_rows: int = 20_000, block_rows: int = 8192, seed: int = 0) -> DataFrame:
     """Links vectors whose cosine is ``threshold`` or more: ``(id_col, n_links, component_id, kept)``, one row per input row.
 
@@ -140,8 +149,9 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
        what the codes do not rule out is verified by the exact cosine in double precision.
     4. A pair of blocks returns counts and edges that span its links, never all pairs; components join the edges.
 
-    ``slack`` is the number of standard deviations, of a random direction's component, that probes and code distances allow for: a pair at
-    the threshold itself is missed with a chance of about 1e-5, closer ones with less. From sqrt(dimension) on nothing is missed.
+    Probes and code distances are bounded by the triangle inequality, so no pair is missed, whatever directions the vectors vary in; the
+    price is that vectors that differ in many directions probe most lists. With ``slack``, both allow only for that many standard deviations
+    of a random direction's component: less work, but pairs are missed unless vectors vary alike in all dimensions.
 
     Vectors that are NULL, zero, of another length than most, or hold NULL or non-finite components link with nothing and are kept; so do
     rows with a NULL id (their component is NULL). Repeated rows are links of each other. Extra columns are ignored.
@@ -160,7 +170,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     homed = written(nodes.select("node", "copies", "vector").mapInArrow(_homed(quantiser, dtype, size), f"node {kind}, copies bigint, home bigint, vector binary"), "homed")
     counted = {r["home"]: r["n"] for r in homed.groupBy("home").agg(F.count("*").alias("n")).collect()}  # no longer than the lists
     first, number = blocks([counted.get(k, 0) for k in range(len(quantiser.centres))], chained(quantiser.centres), block_rows)
-    reach = float(np.sqrt(2 - 2 * threshold)) * min(1.0, slack / np.sqrt(size))
+    reach = float(np.sqrt(2 - 2 * threshold)) * _share(slack, size)
 
     starts, widths = (F.array(*[F.lit(int(x)) for x in a]) for a in (first, number))
     block = F.element_at(starts, F.col("home").cast("int") + 1) + F.pmod(F.xxhash64("node"), F.element_at(widths, F.col("home").cast("int") + 1))

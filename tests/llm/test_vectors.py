@@ -57,6 +57,22 @@ def test_links_match_brute_force(spark, slack, block_rows):
         assert r.kept == (r.vec_id == r.component_id)
 
 
+def test_no_link_of_low_rank_vectors_is_missed(spark):
+    rng = np.random.default_rng(5)
+    spread = np.arange(1, 257) ** -0.5  # real embeddings vary in few directions
+    base = rng.normal(size=(1500, 256)) * spread
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=base.shape) * spread
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.92, (1500, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine ** 2) * other])
+    out = near_duplicate_vectors(frame(spark, list(enumerate(x))), threshold=0.9, block_rows=400).collect()
+    true = ((x @ x.T) >= 0.9).sum(axis=1) - 1
+    assert true.sum() >= 2990
+    assert {r.vec_id: r.n_links for r in out} == dict(enumerate(true.tolist()))
+
+
 def test_no_vectors(spark):
     assert near_duplicate_vectors(frame(spark, []), threshold=0.9).collect() == []
     assert nearest_vectors(frame(spark, []), F.lit(True)).collect() == []
