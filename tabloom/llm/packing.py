@@ -9,13 +9,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tabloom.llm.common import written
+from tabloom.llm.common import components, written
 
 GROUP_BYTES = 8 << 20  # texts that are tokenised together
 SHARD_TOKENS, SHARD_ROWS = 1_500_000, 2_000  # an index holds about so much; a task makes one after another
+INDEX_ROWS, ASKED_ROWS = 32_768, 20_000  # remainders of an index part, and those that ask all parts at once
+LINKS = 8  # nearest remainders over all data that a remainder is linked with
+LEVELS = 2  # groups of remainders, and groups of these
 QUERY_TERMS = 24  # most telling terms of a seed that the index is asked for
 K1, B = 1.2, 0.75
 LETTERS = "abcdefghijklmnopqrstuvwxyzß" + "".join(map(chr, range(0xE0, 0x100))).replace("÷", "")
@@ -136,28 +140,137 @@ class Weights:
         return terms, self.idf[terms] * often * (K1 + 1) / (often + K1 * (1 - B + B * len(rest) / self.mean))
 
 
-def _placed(window: int, weights: Weights):
-    """Adds the two most telling terms of a remainder, by which documents are put near each other."""
+def _asked(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The most telling terms of a remainder."""
+    return terms if len(terms) <= QUERY_TERMS else np.sort(terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]])
+
+
+def _indexed(window: int, weights: Weights):
+    """Parts of the inverted index of all remainders: nodes and lengths by row; rows and counts of each term, one term after another."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, rests = [], []
+
+        def part():
+            found = [np.unique(x, return_counts=True) for x in rests]
+            terms = np.concatenate([t for t, _ in found]).astype(np.int64)
+            order = np.argsort(terms, kind="stable")
+            rows = np.repeat(np.arange(len(rests)), [len(t) for t, _ in found])[order]
+            often = np.concatenate([n for _, n in found])[order]
+            values = np.array(nodes, "<i8"), np.array([*map(len, rests)], "<i4"), np.bincount(terms, minlength=len(weights.idf)).astype("<i4"), rows.astype("<u2"), often.astype("<u4")
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["nodes", "lengths", "sizes", "rows", "often"])
         for batch in batches:
-            first, second = [], []
-            for raw in batch.column(1):
-                terms, weight = weights.terms(_rest(np.frombuffer(raw.as_buffer(), weights.dtype), window))
-                first.append(int(terms[weight.argmax()]) if len(terms) else -1)
-                if len(terms):
-                    weight[weight.argmax()] = -1
-                second.append(int(terms[weight.argmax()]) if len(terms) > 1 else -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array(second, pa.int64())],
-                                             ["id", "ids", "first", "second"])
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rest = _rest(np.frombuffer(raw.as_py(), weights.dtype), window)
+                if len(rest):
+                    nodes.append(node)
+                    rests.append(rest)
+                if len(rests) == INDEX_ROWS:
+                    yield part()
+                    nodes, rests = [], []
+        if rests:
+            yield part()
     return run
 
 
+def _index_parts(files: Sequence[str], weights: Weights) -> Iterator[tuple]:
+    """``(nodes, bounds of each term, rows, BM25 weights, highest weight of each term)`` of one index part after another."""
+    for file in files:
+        system, path = FileSystem.from_uri(file)
+        with system.open_input_file(path) as raw:
+            for batch in pq.ParquetFile(raw).iter_batches(batch_size=1):
+                nodes, lengths, sizes, rows, often = (np.frombuffer(batch.column(k)[0].as_py(), t) for k, t in enumerate(("<i8", "<i4", "<i4", "<u2", "<u4")))
+                bounds = np.append(0, np.cumsum(sizes, dtype=np.int64))
+                weight = np.repeat(weights.idf, sizes) * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths[rows] / weights.mean))
+                top, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
+                top[some] = np.maximum.reduceat(weight, bounds[some])
+                yield nodes, bounds, rows.astype(np.int64), weight, top
+
+
+def _linked(files: Sequence[str], window: int, weights: Weights):
+    """The nearest remainders of each over all index parts, ties to the smaller node; also its most telling term, once without a neighbour."""
+    def answered(nodes: list[int], asked: list[np.ndarray], first: list[int]) -> pa.RecordBatch:
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(nodes)
+        least = np.zeros(len(nodes))
+        flat, starts = np.concatenate(asked), np.cumsum([0, *map(len, asked)])[:-1]
+        for others, bounds, rows, weight, top in _index_parts(files, weights):
+            most = np.add.reduceat(top[flat], starts) * (1 + 1e-9)
+            for k in np.flatnonzero((most > 0) & (most >= least)):
+                spans = [(bounds[t], bounds[t + 1]) for t in asked[k]]
+                score = np.bincount(np.concatenate([rows[a:b] for a, b in spans]), np.concatenate([weight[a:b] for a, b in spans]), len(others))
+                found = np.flatnonzero((score > 0) & (score >= least[k]))
+                found = found[others[found] != nodes[k]]
+                if len(found):
+                    near, index = np.unique(np.append(best[k][1], others[found]), return_index=True)  # repeated rows are one node
+                    scores = np.append(best[k][0], score[found])[index]
+                    order = np.lexsort((near, -scores))[:LINKS]
+                    best[k] = scores[order], near[order]
+                    if len(order) == LINKS:
+                        least[k] = scores[order[-1]]
+        a, term = (np.repeat(np.array(x, np.int64), [max(1, len(b)) for _, b in best]) for x in (nodes, first))
+        b = list(chain.from_iterable(b.tolist() or [None] for _, b in best))
+        score = list(chain.from_iterable(s.tolist() or [None] for s, _ in best))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(term), pa.array(b, pa.int64()), pa.array(score, pa.float64())], ["a", "term", "b", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, asked, first = [], [], []
+        for batch in batches:
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rest = _rest(np.frombuffer(raw.as_py(), weights.dtype), window)
+                if len(rest):
+                    terms, weight = weights.terms(rest)
+                    nodes.append(node)
+                    asked.append(_asked(terms, weight))
+                    first.append(int(terms[weight.argmax()]))
+                if len(nodes) == ASKED_ROWS:
+                    yield answered(nodes, asked, first)
+                    nodes, asked, first = [], [], []
+        if nodes:
+            yield answered(nodes, asked, first)
+    return run
+
+
+def links(tokens: DataFrame, window: int, weights: Weights) -> DataFrame:
+    """``(a, term, b, score)``: the ``LINKS`` best BM25 neighbours ``b`` of every remainder ``a`` over all of them, written."""
+    rests = tokens.select("node", "ids")
+    index = written(rests.mapInArrow(_indexed(window, weights), "nodes binary, lengths binary, sizes binary, rows binary, often binary"), "index")
+    files = sorted(index.inputFiles())
+    return written(rests.mapInArrow(_linked(files, window, weights), "a bigint, term bigint, b bigint, score double"), "links")
+
+
+def _ordered(tokens: DataFrame, found: DataFrame, rows_per_task: int) -> DataFrame:
+    """``(node, task, at)``: an order in which what is linked stands together, cut into tasks by rank alone.
+
+    Remainders join with their nearest, and the groups with the group of their nearest member; groups stand in the order of their telling terms.
+    """
+    nodes = tokens.select("node").distinct().join(found.groupBy(F.col("a").alias("node")).agg(F.min("term").alias("term")), "node", "left")
+    nodes = nodes.withColumn("g0", F.col("node"))
+    edges = found.where("b is not null").select("a", "b", "score")
+    for level in range(1, LEVELS + 1):
+        best = edges.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
+        joined = written(components(best), "groups")
+        nodes = nodes.join(joined.select(F.col("node").alias(f"g{level - 1}"), F.col("component").alias(f"g{level}")), f"g{level - 1}", "left")
+        nodes = nodes.withColumn(f"g{level}", F.coalesce(f"g{level}", f"g{level - 1}"))
+        if level < LEVELS:
+            for end in ("a", "b"):
+                edges = edges.join(joined.select(F.col("node").alias(end), F.col("component").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            edges = edges.where("a <> b")
+    keys = ["lead", *(f"g{level}" for level in range(LEVELS, 0, -1)), "node"]
+    nodes = nodes.withColumn("lead", F.min("term").over(Window.partitionBy(f"g{LEVELS}"))).select(*keys)
+    ranked = nodes.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranked = written(ranked.select("node", F.monotonically_increasing_id().alias("at")), "order")
+    part = F.shiftright("at", 33)
+    counts = {r["part"]: r["n"] for r in ranked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = np.append(0, np.cumsum([counts.get(k, 0) for k in range(max(counts, default=0) + 1)])).tolist()
+    at = F.element_at(F.array(*map(F.lit, before)), part.cast("int") + 1) + F.col("at").bitwiseAND((1 << 33) - 1)
+    return ranked.select("node", at.cast("long").alias("at")).withColumn("task", F.floor(F.col("at") / rows_per_task).cast("long"))
+
+
 class _Index:
     """Inverted index with BM25 weights over the remainders of one shard."""
 
     def __init__(self, rests: Sequence[np.ndarray], weights: Weights):
         found = [weights.terms(r) for r in rests]
-        self.queries = [terms if len(terms) <= QUERY_TERMS else terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]] for terms, weight in found]
+        self.queries = [_asked(terms, weight) for terms, weight in found]
         rows = np.repeat(np.arange(len(rests)), [len(t) for t, _ in found])
         terms = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int64)
         order = np.argsort(terms, kind="stable")
@@ -267,7 +380,7 @@ PIECES = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 def _packed(window: int, weights: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, kind = _Packer(window, weights, TaskContext.get().partitionId() << 40), None
+        packer = kind = task = None
         ids, documents, tokens = [], [], 0
 
         def rows(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -286,17 +399,20 @@ def _packed(window: int, weights: Weights):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", *PIECES])
         for batch in batches:
             kind = batch.schema.field(0).type
-            for id_, raw in zip(batch.column(0), batch.column(1)):
+            for id_, raw, now in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                if now != task:
+                    if packer is not None:
+                        yield from rows(chain(packer.shard(ids, documents), packer.last()))
+                    packer, task = _Packer(window, weights, now << 40), now
+                    ids, documents, tokens = [], [], 0
                 ids.append(id_.as_py())
                 documents.append(np.frombuffer(raw.as_py(), weights.dtype))
                 tokens += len(documents[-1])
                 if tokens >= SHARD_TOKENS or len(ids) >= SHARD_ROWS:
                     yield from rows(packer.shard(ids, documents))
                     ids, documents, tokens = [], [], 0
-        if ids:
-            yield from rows(packer.shard(ids, documents))
-        if packer.open:
-            yield from rows(packer.last())
+        if packer is not None:
+            yield from rows(chain(packer.shard(ids, documents), packer.last()))
     return run
 
 
@@ -309,8 +425,9 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     1. Texts are tokenised (``end_id`` after each) and written once; the number of remainders that hold each token is summed over all of
        them, a table no longer than the vocabulary.
-    2. Full windows of long documents are sequences of their own. Remainders are range-partitioned by their two most telling tokens and a
-       hash, so near ones meet and a hot token is split over many tasks; the number of tasks follows ``rows_per_task``.
+    2. Full windows of long documents are sequences of their own. Every remainder asks an inverted index of all remainders, written in parts,
+       for its nearest; parts whose highest weights cannot reach those found are passed over. Remainders stand with their nearest, groups of
+       them with the nearest group; tasks are ``rows_per_task`` of that order, whatever the size and the cluster.
     3. A task packs one shard of bounded size after another: an inverted index of the shard returns the unused neighbours of the seed;
        those that fit are taken whole, then one is cut to fill the window and opens the next. A window stays open from shard to shard; the
        last one of a task is cut into powers of two, which need no padding.
@@ -328,9 +445,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     counts = tokens.select("ids").mapInArrow(_term_counts(window, dtype), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     rows = counts.collect()  # no longer than the vocabulary
     weights = Weights([(r["term"], r["n"]) for r in rows], dtype)
-    parts = max(1, -(-weights.rests // rows_per_task), df.sparkSession.sparkContext.defaultParallelism if weights.rests > rows_per_task else 1)
-    placed = tokens.mapInArrow(_placed(window, weights), f"id {kind}, ids binary, first bigint, second bigint")
-    placed = placed.withColumn("spread", F.xxhash64("id", "ids"))
-    near = placed.repartitionByRange(parts, "first", "second", "spread").sortWithinPartitions("first", "second", "spread").select("id", "ids")
+    tokens = tokens.withColumn("node", F.xxhash64("id", "ids"))
+    order = _ordered(tokens, links(tokens, window, weights), rows_per_task)
+    near = tokens.join(order, "node").repartition("task").sortWithinPartitions("task", "at").select("id", "ids", "task")
     pieces = near.mapInArrow(_packed(window, weights), f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return pieces.withColumnRenamed("id", id_col)

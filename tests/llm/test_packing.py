@@ -69,6 +69,46 @@ def test_near_documents_share_sequences(spark):
     assert np.mean([len(s) for s in sequences.values()]) <= 3.5
 
 
+def test_nearest_documents_of_other_index_parts_meet(spark):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("bcdfgklmnprstvz"), 2)) + "aeiou"[k % 5] + "".join(rng.choice(list("bcdfgklmnprstvz"), 3)) for k in range(4000)]
+    rows = []
+    for k in range(1500):  # pairs share 60 words, and each has a rarer one of its own, repeated, that leads its weights
+        shared = " ".join(rng.choice(words, 60))
+        for side in (0, 1):
+            own = "".join(rng.choice(list("qwxyjh"), 5))
+            rows.append((2 * k + side, f"{shared} " + f"{own} " * 12))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sequences = {}
+    for r in pack(df, PATH, window=512, rows_per_task=1000).collect():
+        sequences.setdefault(r.doc_id, set()).add(r.sequence_id)
+    met = np.mean([bool(sequences[2 * k] & sequences[2 * k + 1]) for k in range(1500)])
+    assert met >= 0.8, met  # a partner that only fits cut may stand in the next window
+
+
+def test_links_are_the_nearest_of_all_index_parts(spark):
+    from tabloom.llm.packing import LINKS, Weights, _asked, _term_counts, links
+
+    rng = np.random.default_rng(1)
+    ids = [rng.zipf(1.3, rng.integers(5, 60)).clip(max=500).astype("<u2") for _ in range(400)]
+    tokens = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(ids)], "node long, ids binary").repartition(5)
+    counts = tokens.select("ids").mapInArrow(_term_counts(64, "<u2"), "term bigint, n bigint").groupBy("term").sum("n").collect()
+    weights = Weights([tuple(r) for r in counts], "<u2")
+    found = {}
+    for r in links(tokens, 64, weights).where("b is not null").collect():
+        found.setdefault(r.a, []).append((r.score, r.b))
+    dense = np.zeros((400, 501))
+    for k, x in enumerate(ids):
+        terms, weight = weights.terms(x)
+        dense[k, terms] = weight
+    for k, x in enumerate(ids):
+        score = dense[:, _asked(*weights.terms(x))].sum(axis=1)
+        score[k] = 0
+        best = np.sort(score[score > 0])[::-1][:LINKS]
+        assert np.allclose(sorted((s for s, _ in found.get(k, [])), reverse=True), best, rtol=1e-5)
+        assert all(abs(score[b] - s) < 1e-4 for s, b in found.get(k, []))
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_pieces_do_not_depend_on_partitions(spark, parts):
     df = documents(spark).where("doc_id is not null")
