@@ -180,7 +180,8 @@ def archived(df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_
     Columns: ``(id_col, payload_bytes, payload_digest, record_type, refers_to)``. Of rows with equal payloads of at least ``min_bytes`` that
     with the smallest id is a response, the others are revisits of it. A NULL text is an empty payload, a NULL url stands as ``urn:row:``
     and the id. Rows with a NULL id are written and read without one; they revisit a row with an id where one has their payload. Repeated
-    rows repeat their record. An empty table makes no archive. Memory is bounded by a chunk per record, whatever the payload's length.
+    rows repeat their record. An empty table makes no archive. Reading back holds a chunk per record; writing holds
+    a whole payload two or three times (digest, join, chunks of one row), so the longest payload has to fit an executor.
     """
     kind = dict(df.dtypes)[id_col]
     folder = folder or f"{shared_folder(df.sparkSession)}/warc-{uuid.uuid4().hex}"
