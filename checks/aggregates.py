@@ -42,6 +42,28 @@ def profile_columns(spark, sf):
     return rounded(aggregate.profile_columns(table(spark, sf, "customer")).drop("sample_values"))
 
 
+def _line_column(i, name, dtype, role):
+    return _column(i, name, dtype, role).replace("FROM customer", "FROM gappy")
+
+
+@query("profile_columns_lines", f"WITH {GAPPY} " + " UNION ALL ".join(_line_column(i, n, t, role) for i, (n, t, role) in enumerate((
+    ("l_orderkey", "bigint", "'numeric'"), ("l_linenumber", "int", "'numeric'"), ("l_partkey", "bigint", "'numeric'"), ("l_suppkey", "bigint", "'numeric'"),
+    ("l_quantity", "double", "'numeric'"), ("l_extendedprice", "double", "'numeric'"), ("l_discount", "double", "'numeric'"), ("l_returnflag", "string", "'categorical'"),
+    ("l_linestatus", "string", "'categorical'")))))
+def profile_columns_lines(spark, sf):
+    return rounded(aggregate.profile_columns(gappy(spark, sf)).drop("sample_values"))
+
+
+@query("profile_samples", """WITH v AS (SELECT DISTINCT c_mktsegment AS v FROM customer) SELECT 'c_mktsegment' AS name, list(v ORDER BY v) AS samples FROM v
+UNION ALL SELECT 'c_nationkey', NULL""")
+def profile_samples(spark, sf):
+    """Five values at most: all of a column with so few, five distinct ones of another."""
+    found = aggregate.profile_columns(table(spark, sf, "customer").select("c_mktsegment", "c_nationkey"))
+    few = F.when(F.col("unique_count") <= 5, F.array_sort("sample_values"))
+    return found.where((F.size("sample_values") == F.least(F.col("unique_count"), F.lit(5))) & (F.size(F.array_distinct("sample_values")) == F.size("sample_values"))).select(
+        "name", few.alias("samples"))
+
+
 @query("infer_roles", """SELECT 'o_orderkey' AS name, 'numeric' AS role UNION ALL SELECT 'o_custkey', 'numeric' UNION ALL
 SELECT 'o_orderstatus', CASE WHEN count(DISTINCT o_orderstatus) / count(*) > 0.8 THEN 'identifier/text' ELSE 'categorical' END FROM orders UNION ALL
 SELECT 'o_totalprice', 'numeric' UNION ALL SELECT 'o_orderdate', 'datetime' UNION ALL

@@ -54,7 +54,31 @@ def tfidf_vectorize(spark, sf):
 
 @query("lsa_text")
 def lsa_text(spark, sf):
-    return rounded(text.lsa_text(docs(spark, sf), "text", "doc_id", 5, 60).drop("text"))
+    return rounded(text.lsa_text(docs(spark, sf), "text", "doc_id").drop("text"))
+
+
+@query("lsa_text_shares", """SELECT true AS falling, true AS within, 20 AS components""")
+def lsa_text_shares(spark, sf):
+    """Facts of the default components: their energies fall, and together they hold no more than all rows do."""
+    out = text.lsa_text(docs(spark, sf), "text", "doc_id")
+    made = [n for n in out.columns if n.startswith("lsa_")]
+    energy = out.agg(*[F.sum(F.col(n) * F.col(n)).alias(n) for n in made], F.count("*").alias("rows"))
+    falling, total = F.lit(True), F.lit(0.0)
+    for a, b in zip(made, made[1:]):
+        falling = falling & (F.col(a) >= F.col(b) * (1 - 1e-6))
+    for n in made:
+        total = total + F.col(n)
+    return energy.select(falling.alias("falling"), ((total > 0) & (total <= F.col("rows"))).alias("within"), F.lit(len(made)).alias("components"))
+
+
+@query("lsa_text_topics", """SELECT o_orderkey, (o_custkey % 10 < 5)::INT::DOUBLE AS lsa_1, (o_custkey % 10 IN (5, 6, 7))::INT::DOUBLE AS lsa_2, (o_custkey % 10 = 8)::INT::DOUBLE AS lsa_3 FROM orders
+WHERE o_custkey % 10 < 9""")
+def lsa_text_topics(spark, sf):
+    """A planted corpus: every text holds the two words of its topic, so the components are the topics, the largest first."""
+    k = F.col("o_custkey") % 10
+    words = F.when(k < 5, "north wind").when(k < 8, "south sea").otherwise("east hill")
+    df = table(spark, sf, "orders").where(k < 9).select("o_orderkey", words.alias("words"))
+    return rounded(text.lsa_text(df, "words", "o_orderkey", 3).drop("words"), 5)
 
 
 @query("recipe_steps", """SELECT l_orderkey, l_linenumber, l_quantity AS qty, l_extendedprice, l_extendedprice * l_quantity AS total, l_quantity * l_discount AS qty_x_l_discount, l_discount

@@ -46,12 +46,12 @@ def leakage_scan_constant(spark, sf):
     return describe.leakage_scan(df, "l_quantity").select("column", "rule")
 
 
-@query("pca_two_columns", f"""WITH z AS (SELECT l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a,
-  (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS b FROM lineitem)
+@query("pca_two_columns", f"""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS a, 2000 * l_quantity + l_extendedprice AS b FROM lineitem),
+z AS (SELECT l_orderkey, l_linenumber, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b FROM b)
 SELECT l_orderkey, l_linenumber, {r("abs(a + b) / sqrt(2)", 5)} AS first, {r("abs(a - b) / sqrt(2)", 5)} AS second FROM z""")
 def pca_two_columns(spark, sf):
-    """Two standardised, positively correlated columns: the components are their sum and difference."""
-    df = lines(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    """Two standardised columns, the second largely made of the first: the components are their sum and difference at every scale."""
+    df = lines(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_quantity") * 2000 + F.col("l_extendedprice")).alias("mixed"))
     out = selection.pca(df, 2, key=["l_orderkey", "l_linenumber"])
     made = [n for n in out.columns if n not in df.columns]
     return rounded(out.select("l_orderkey", "l_linenumber", F.abs(F.col(made[0])).alias("first"), F.abs(F.col(made[1])).alias("second")), 5)

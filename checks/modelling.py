@@ -156,14 +156,22 @@ def forecasts(spark, sf):
     return o.select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("y_test"), (F.col("o_custkey") * 100.0).alias("y_pred"))
 
 
-@query("diagnostics_series", """WITH p AS (SELECT o_orderkey, o_orderdate, o_totalprice AS y_test, CAST(o_custkey * 100.0 AS DOUBLE) AS y_pred, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders),
-n AS (SELECT count(*) AS n FROM orders)
-SELECT p.* FROM p, n WHERE position % (CASE WHEN n > 5000 THEN greatest(1, n // 5000) ELSE 1 END) = 0""")
+PLACED = """p AS (SELECT o_orderkey, o_orderdate, o_totalprice AS y_test, CAST(o_custkey * 100.0 AS DOUBLE) AS y_pred, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders)"""
+THINNED = "position % greatest(1, (SELECT count(*) FROM orders) // 500) = 0"
+
+
+@query("diagnostics_series", f"WITH {PLACED} SELECT * FROM p")
 def diagnostics_series(spark, sf):
     out = evaluate.diagnostics_series(forecasts(spark, sf), ["o_orderkey"])
     return out.withColumn("position", F.col("position").cast("long"))
 
 
+@query("diagnostics_series_thinned", f"WITH {PLACED} SELECT * FROM p WHERE {THINNED}")
+def diagnostics_series_thinned(spark, sf):
+    out = evaluate.diagnostics_series(forecasts(spark, sf), ["o_orderkey"], max_points=500)
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
 @query("residuals", f"SELECT o_orderkey, o_orderdate, o_totalprice AS y_test, CAST(o_custkey * 100.0 AS DOUBLE) AS y_pred, {r('o_custkey * 100.0 - o_totalprice', 2)} AS residual FROM orders")
 def residuals(spark, sf):
     return rounded(evaluate.residuals(forecasts(spark, sf), "y_test", "y_pred"), 2)
@@ -175,9 +183,7 @@ def predicted_vs_actual(spark, sf):
     return evaluate.predicted_vs_actual(forecasts(spark, sf), "y_test", "y_pred")
 
 
-@query("forecast_chart_series", """WITH p AS (SELECT o_totalprice AS a, CAST(o_custkey * 100.0 AS DOUBLE) AS b, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders),
-n AS (SELECT count(*) AS n FROM orders), k AS (SELECT p.* FROM p, n WHERE position % (CASE WHEN n > 5000 THEN greatest(1, n // 5000) ELSE 1 END) = 0)
-SELECT position, 'actual' AS series, a AS value FROM k UNION ALL SELECT position, 'predicted', b FROM k""")
+@query("forecast_chart_series", f"""WITH {PLACED} SELECT position, 'actual' AS series, y_test AS value FROM p UNION ALL SELECT position, 'predicted', y_pred FROM p""")
 def forecast_chart_series(spark, sf):
     out = evaluate.forecast_series(forecasts(spark, sf), "y_test", "y_pred", ["o_orderkey"])
     return out.withColumn("position", F.col("position").cast("long"))

@@ -63,6 +63,26 @@ def knn_impute(spark, sf):
     return rounded(impute.knn_impute(df, 5, ["a", "b", "c"], key="c_custkey"))
 
 
+EIGHT = """g AS (SELECT c_custkey, CASE WHEN c_custkey % 2 <> 0 THEN c_acctbal / 1000 END AS a, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey::DOUBLE END AS b,
+CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey * 37 % 101)::DOUBLE END AS c FROM customer),
+s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM g),
+d AS (SELECT x.c_custkey AS k, y.c_custkey AS o, y.a, y.b, y.c, (coalesce(pow(x.a - y.a, 2), 0) + coalesce(pow(x.b - y.b, 2), 0) + coalesce(pow(x.c - y.c, 2), 0))
+  * 3.0 / ((x.a IS NOT NULL AND y.a IS NOT NULL)::INT + (x.b IS NOT NULL AND y.b IS NOT NULL)::INT + (x.c IS NOT NULL AND y.c IS NOT NULL)::INT) AS dist FROM g x CROSS JOIN g y
+  WHERE (x.a IS NULL OR x.b IS NULL OR x.c IS NULL) AND (x.a IS NOT NULL AND y.a IS NOT NULL OR x.b IS NOT NULL AND y.b IS NOT NULL OR x.c IS NOT NULL AND y.c IS NOT NULL))"""
+EIGHT_FILLS = ", ".join(f"f{n} AS (SELECT k, avg({n}) AS v FROM (SELECT k, {n}, row_number() OVER (PARTITION BY k ORDER BY dist, o) AS rn FROM d WHERE {n} IS NOT NULL) WHERE rn <= 5 GROUP BY 1)" for n in "abc")
+
+
+@query("knn_impute_patterns", f"""WITH {EIGHT}, {EIGHT_FILLS}
+SELECT c_custkey, {r("coalesce(a, fa.v, ma)")} AS a, {r("coalesce(b, fb.v, mb)")} AS b, {r("coalesce(c, fc.v, mc)")} AS c FROM g CROSS JOIN s LEFT JOIN fa ON fa.k = c_custkey
+LEFT JOIN fb ON fb.k = c_custkey LEFT JOIN fc ON fc.k = c_custkey""")
+def knn_impute_patterns(spark, sf):
+    """Three columns with all eight patterns of gaps, rows without any value included."""
+    k = F.col("c_custkey")
+    df = table(spark, sf, "customer").select(k, F.when(k % 2 != 0, F.col("c_acctbal") / 1000).alias("a"), F.when(k % 3 != 0, F.col("c_nationkey").cast("double")).alias("b"),
+                                             F.when(k % 5 != 0, (k * 37 % 101).cast("double")).alias("c"))
+    return rounded(impute.knn_impute(df, 5, ["a", "b", "c"], key="c_custkey"))
+
+
 @query("random_undersample", """SELECT doc_id, quality, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5('42|' || doc_id), doc_id) AS rn FROM labels)
 WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY toxic))""")
 def random_undersample(spark, sf):

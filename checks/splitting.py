@@ -72,6 +72,46 @@ def partial_autocorrelation(spark, sf):
     return rounded(series.acf_pacf(monthly(spark, sf), "total", ["month"], ["o_orderpriority"], 12))
 
 
+LAGGED = f"""WITH {MONTHLY}, p AS (SELECT o_orderpriority, month, total AS x, lag(total) OVER w AS x1, lag(total, 2) OVER w AS x2 FROM m WINDOW w AS (PARTITION BY o_orderpriority ORDER BY month))"""
+
+
+@query("partial_autocorrelation_two_lags", f"""{LAGGED}, k AS (SELECT o_orderpriority, covar_pop(x, x1) AS c01, covar_pop(x, x2) AS c02, covar_pop(x1, x2) AS c12, var_pop(x1) AS v1, var_pop(x2) AS v2 FROM p
+  WHERE x2 IS NOT NULL GROUP BY 1)
+SELECT o_orderpriority, 1 AS lag, {r("regr_slope(x, x1)")} AS pacf FROM p WHERE x1 IS NOT NULL GROUP BY 1
+UNION ALL SELECT o_orderpriority, 2, {r("(c02 * v1 - c01 * c12) / (v1 * v2 - c12 * c12)")} FROM k""")
+def partial_autocorrelation_two_lags(spark, sf):
+    found = series.acf_pacf(monthly(spark, sf), "total", ["month"], ["o_orderpriority"], 12)
+    return rounded(found.where("lag IN (1, 2)").select("o_orderpriority", "lag", "pacf"))
+
+
+@query("adf_fixed_lag", f"""{LAGGED}, d AS (SELECT o_orderpriority, x - x1 AS y, x1 AS l, x1 - x2 AS e FROM p WHERE x2 IS NOT NULL),
+k AS (SELECT o_orderpriority, count(*) AS n, covar_pop(y, l) AS yl, covar_pop(y, e) AS ye, covar_pop(l, e) AS le, var_pop(l) AS ll, var_pop(e) AS ee, var_pop(y) AS yy FROM d GROUP BY 1),
+b AS (SELECT *, (yl * ee - ye * le) / (ll * ee - le * le) AS b1, (ye * ll - yl * le) / (ll * ee - le * le) AS b2 FROM k)
+SELECT o_orderpriority, n + 2 AS n, {r("b1 / sqrt((yy - b1 * yl - b2 * ye) / (n - 3) * ee / (ll * ee - le * le))", 5)} AS adf_stat FROM b""")
+def adf_fixed_lag(spark, sf):
+    """The ADF statistic with one lagged difference, from two regressors in closed form."""
+    found = series.adf_test(monthly(spark, sf), "total", ["month"], ["o_orderpriority"], lags=1)
+    return rounded(found.select("o_orderpriority", "n", "adf_stat"), 5)
+
+
+KPSS_P = """CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - (stat - 0.347) / 0.116 * 0.05 WHEN stat <= 0.574 THEN 0.05 - (stat - 0.463) / 0.111 * 0.025
+  WHEN stat <= 0.739 THEN 0.025 - (stat - 0.574) / 0.165 * 0.015 ELSE 0.01 END"""
+
+
+@query("kpss_statistic", f"""WITH {MONTHLY}, e AS MATERIALIZED (SELECT o_orderpriority AS g, row_number() OVER (PARTITION BY o_orderpriority ORDER BY month) AS t, total - avg(total) OVER (PARTITION BY o_orderpriority) AS e,
+  count(*) OVER (PARTITION BY o_orderpriority) AS n FROM m),
+c AS MATERIALIZED (SELECT a.g, any_value(a.n) AS n, a.t - b.t AS k, sum(a.e * b.e) AS s FROM e a JOIN e b ON a.g = b.g AND a.t >= b.t GROUP BY 1, 3),
+w AS (SELECT g, any_value(n) AS n, sum(CASE WHEN k = 0 THEN s WHEN k <= floor(pow(n, 2.0 / 9)) THEN 2 * s END) AS s0, sum(CASE WHEN k > 0 AND k <= floor(pow(n, 2.0 / 9)) THEN 2 * k * s END) AS s1 FROM c GROUP BY 1),
+l AS (SELECT g, least(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)), n - 1) AS bw FROM w),
+v AS (SELECT c.g, any_value(c.n) AS n, sum(CASE WHEN k = 0 THEN s WHEN k <= bw THEN 2 * (1 - k / (bw + 1)) * s END) / any_value(c.n) AS longrun FROM c JOIN l USING (g) GROUP BY 1),
+q AS (SELECT g, sum(p * p) AS q FROM (SELECT g, sum(e) OVER (PARTITION BY g ORDER BY t) AS p FROM e) GROUP BY 1),
+k AS (SELECT g, n, q / n / n / longrun AS stat FROM v JOIN q USING (g))
+SELECT g AS o_orderpriority, n, {r("stat", 5)} AS kpss_stat, {r(KPSS_P, 4)} AS kpss_p FROM k""")
+def kpss_statistic(spark, sf):
+    found = series.kpss_test(monthly(spark, sf), "total", ["month"], ["o_orderpriority"])
+    return found.select("o_orderpriority", "n", (F.round("kpss_stat", 5) + 0.0).alias("kpss_stat"), (F.round("kpss_p", 4) + 0.0).alias("kpss_p"))
+
+
 @query("seasonal_decompose_trend", f"""WITH {MONTHLY}, p AS (SELECT *, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM m WINDOW w AS (PARTITION BY o_orderpriority ORDER BY month))
 SELECT * FROM (SELECT o_orderpriority, position, {r("total", 2)} AS observed, {r('''(sum(total) OVER (PARTITION BY o_orderpriority ORDER BY position ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)
   - 0.5 * (lag(total, 6) OVER (PARTITION BY o_orderpriority ORDER BY position) + lead(total, 6) OVER (PARTITION BY o_orderpriority ORDER BY position))) / 12''', 5)} AS trend, n FROM p)

@@ -1,6 +1,6 @@
 """Exploratory statistics, chart data and hypothesis tests."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks.cleaning import GAPPY, gappy, lines
 from checks.registry import query, r, rounded, table
@@ -154,6 +154,32 @@ def leakage_scan(spark, sf):
     return describe.leakage_scan(df, "o_totalprice").select("column", "rule")
 
 
+@query("leakage_identifiers", """WITH b AS MATERIALIZED (SELECT o_orderkey AS ascending, -o_orderkey AS descending, CAST((o_orderkey * 7919) % 1000003 AS BIGINT) AS shuffled,
+  regexp_replace(md5(CAST(o_orderkey AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS ref, o_totalprice + o_orderkey * 20 AS amount FROM orders),
+u AS (SELECT k, count(DISTINCT v) AS d, count(v) AS n FROM (UNPIVOT (SELECT CAST(ascending AS VARCHAR) AS ascending, CAST(descending AS VARCHAR) AS descending, CAST(shuffled AS VARCHAR) AS shuffled, ref FROM b)
+  ON COLUMNS(*) INTO NAME k VALUE v) GROUP BY k),
+s AS (SELECT ascending > lag(ascending) OVER w AS a, descending < lag(descending) OVER w AS d, shuffled > lag(shuffled) OVER w AS u, shuffled < lag(shuffled) OVER w AS v, ref > lag(ref) OVER w AS x, ref < lag(ref) OVER w AS y FROM b WINDOW w AS (ORDER BY ascending)),
+t AS (SELECT sum(a::INT) AS a, sum(d::INT) AS d, sum(u::INT) AS u, sum(v::INT) AS v, sum(x::INT) AS x, sum(y::INT) AS y, count(*) - 1 AS n FROM s),
+q AS (SELECT list_transform(quantile_cont(ascending::DOUBLE, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda z: z) AS qa, quantile_cont(shuffled::DOUBLE, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs FROM b),
+m AS (SELECT 'ascending' AS k, len(list_filter(qa, lambda z: z < ascending)) AS g, avg(amount) AS m FROM b, q GROUP BY ALL UNION ALL SELECT 'shuffled', len(list_filter(qs, lambda z: z < shuffled)), avg(amount) FROM b, q GROUP BY ALL),
+w AS (SELECT k, sum((m > p)::INT) AS up, sum((m < p)::INT) AS down FROM (SELECT k, m, lag(m) OVER (PARTITION BY k ORDER BY g) AS p FROM m) GROUP BY k),
+c AS (SELECT 'ascending' AS k, corr(ascending, amount) AS r FROM b UNION ALL SELECT 'descending', corr(descending, amount) FROM b UNION ALL SELECT 'shuffled', corr(shuffled, amount) FROM b)
+SELECT k AS "column", 'identifier' AS rule, format('{} of {} distinct', d, n) AS evidence FROM u WHERE d / n > 0.95
+UNION ALL SELECT k, 'target_proxy', 'r=' || format('{:.4f}', r) FROM c WHERE abs(r) > 0.95
+UNION ALL SELECT 'ref', 'uuid_identifier', format('{} of {} like a UUID', count_if(regexp_full_match(ref, '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}')), count(*)) FROM b
+UNION ALL SELECT k, 'identifier_trend', 'mean of the target rises over 10 stretches' FROM w WHERE up = 9 UNION ALL SELECT k, 'identifier_trend', 'mean of the target falls over 10 stretches' FROM w WHERE down = 9
+UNION ALL SELECT 'descending', 'identifier_trend', 'mean of the target falls over 10 stretches' FROM w WHERE k = 'ascending' AND up = 9
+UNION ALL SELECT 'ascending', 'monotone_identifier', format('rises in {} of {} steps', a, n) FROM t WHERE a / n >= 0.99 UNION ALL SELECT 'descending', 'monotone_identifier', format('falls in {} of {} steps', d, n) FROM t WHERE d / n >= 0.99
+UNION ALL SELECT 'shuffled', 'monotone_identifier', format('rises in {} of {} steps', u, n) FROM t WHERE u / n >= 0.99 UNION ALL SELECT 'shuffled', 'monotone_identifier', format('falls in {} of {} steps', v, n) FROM t WHERE v / n >= 0.99
+UNION ALL SELECT 'ref', 'monotone_identifier', format('rises in {} of {} steps', x, n) FROM t WHERE x / n >= 0.99 UNION ALL SELECT 'ref', 'monotone_identifier', format('falls in {} of {} steps', y, n) FROM t WHERE y / n >= 0.99""")
+def leakage_identifiers(spark, sf):
+    k = F.col("o_orderkey")
+    df = table(spark, sf, "orders").select(k.alias("ascending"), (-k).alias("descending"), ((k * 7919) % 1000003).alias("shuffled"),
+                                           F.regexp_replace(F.md5(k.cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5").alias("ref"),
+                                           (F.col("o_totalprice") + k * 20).alias("amount"))
+    return describe.leakage_scan(df, "amount", order_by=["ascending"])
+
+
 @query("quality_recommendations", f"""WITH {GAPPY}, b AS (SELECT l_discount, l_returnflag, l_quantity, pow(l_quantity, 4) AS steep, 1 AS one FROM gappy),
 m AS (SELECT avg(steep) AS m FROM b), s AS (SELECT avg(pow(steep - m, 3)) / pow(avg(pow(steep - m, 2)), 1.5) AS skew FROM b, m),
 miss AS (SELECT 'l_discount' AS "column", avg((l_discount IS NULL)::INT) AS share FROM b UNION ALL SELECT 'l_returnflag', avg((l_returnflag IS NULL)::INT) FROM b
@@ -169,6 +195,16 @@ def quality_recommendations(spark, sf):
     return describe.quality_recommendations(df)
 
 
+@query("quality_recommendations_series", """SELECT 'running' AS "column", 'ADF p > 0.05' AS finding, 'differencing, forecast_ar with d = 1' AS operator""")
+def quality_recommendations_series(spark, sf):
+    """A running total of random steps has a unit root, the amounts of the days have none."""
+    daily = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("amount"))
+    step = F.conv(F.substring(F.md5(F.col("day").cast("string")), 1, 8), 16, 10).cast("double") / 2.0 ** 32 - 0.5
+    df = daily.select("day", "amount", F.sum(step).over(Window.orderBy("day")).alias("running"))  # a row per day
+    found = describe.quality_recommendations(df, order_by=["day"])
+    return found.where(F.col("finding").startswith("ADF"))
+
+
 @query("ttest", f"""WITH g AS (SELECT l_linestatus, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1),
 a AS (SELECT * FROM g ORDER BY l_linestatus LIMIT 1), b AS (SELECT * FROM g ORDER BY l_linestatus DESC LIMIT 1)
 SELECT 'independent' AS test, {r("(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n))")} AS statistic, CAST(a.n + b.n - 2 AS DOUBLE) AS dof FROM a, b""")

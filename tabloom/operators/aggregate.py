@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.columns import c, datetime_columns, is_integer, is_numeric, numeric_columns, require_column
 from tabloom.operators.quantiles import exact_quantiles, quantiles
 
 # fixed values: role and balance limits, and the advice texts
 IDENTIFIER_SHARE = 0.8
+SAMPLES = 5
 IMBALANCE_RATIO = 3.0
 IMBALANCED = "One class is rare: balance the rows before a fit."
 BALANCED = "The classes are of similar size."
@@ -54,15 +55,15 @@ def groupby_aggregate(df: DataFrame, group_by: list[str], aggregations: dict[str
     return df.dropna(subset=group_by).groupBy(*[c(g) for g in group_by]).agg(*aggs)
 
 
-def _role(df: DataFrame, name: str, unique: Column, rows: Column) -> Column:
+def _role(df: DataFrame, name: str, unique: int, rows: int) -> str:
     kind = df.schema[name].dataType
     if isinstance(kind, T.BooleanType):
-        return F.lit("flag")
+        return "flag"
     if isinstance(kind, T.NumericType):
-        return F.lit("numeric")
+        return "numeric"
     if name in datetime_columns(df):
-        return F.lit("datetime")
-    return F.when((rows > 0) & (unique / rows > IDENTIFIER_SHARE), "identifier/text").otherwise("categorical")
+        return "datetime"
+    return "identifier/text" if rows and unique / rows > IDENTIFIER_SHARE else "categorical"
 
 
 def _countable(df: DataFrame, name: str) -> Column:
@@ -74,28 +75,54 @@ def _sample_text(df: DataFrame, name: str) -> Column:
     return F.to_json(c(name)) if nested else c(name).cast("string")
 
 
-def profile_columns(df: DataFrame, exact: bool = True, samples: bool = True) -> DataFrame:
-    """One row per column: type, role, missing and distinct counts, up to five sample values by hash."""
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    aggs = [F.count("*").alias("_rows")]
-    for i, n in enumerate(df.columns):
-        aggs += [F.count(c(n)).alias(f"k{i}"), distinct(_countable(df, n)).alias(f"u{i}")]
-        if samples:
-            text = _sample_text(df, n)
-            aggs.append(F.array_distinct(F.array_compact(F.array(*[
-                F.min_by(text, F.when(text.isNotNull(), F.xxhash64(text, F.lit(k)))) for k in range(5)]))).alias(f"s{i}"))
-    rows = F.col("_rows")
-    entries = []
+def column_values(df: DataFrame) -> DataFrame:
+    """(position, value, copies): each column's distinct known values as text with their numbers of rows; position -1 counts all rows.
+
+    Tasks count their own values before the shuffle, so repeated values travel once per task.
+    """
+    floats = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    cells = [F.struct(F.lit(-1).alias("position"), F.lit("").alias("value"))]
     for i, n in enumerate(df.columns):
-        missing = rows - F.col(f"k{i}")
-        fields = [F.lit(i).alias("position"), F.lit(n).alias("name"), F.lit(df.schema[n].dataType.simpleString()).alias("dtype"),
-                  _role(df, n, F.col(f"u{i}"), rows).alias("role"), missing.alias("missing_count"),
-                  F.when(rows > 0, missing / rows * 100).otherwise(0.0).alias("missing_pct"),
-                  F.col(f"u{i}").alias("unique_count")]
-        if samples:
-            fields.append(F.col(f"s{i}").alias("sample_values"))
-        entries.append(F.struct(*fields))
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+        text = (c(n) + F.lit(0.0)).cast("string") if n in floats else _sample_text(df, n)  # one zero
+        cells.append(F.struct(F.lit(i).alias("position"), text.alias("value")))
+    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).groupBy("position", "value").agg(F.count("*").alias("copies"))
+
+
+def profile_columns(df: DataFrame, exact: bool = True, samples: bool = True) -> DataFrame:
+    """One row per column: type, role, missing and distinct counts, up to five sample values by hash.
+
+    Everything comes from one shuffle of each task's distinct values (``column_values``). With ``exact=False`` distinct counts are sketches.
+    """
+    names = df.columns
+    values = column_values(df)
+    none = [F.lit(None).cast("string").alias("value"), F.lit(0).alias("place")]
+    if exact:
+        found = values.groupBy("position").agg(F.count("*").alias("unique_count"), F.sum("copies").alias("known"))
+    else:
+        sketches = [a for i, n in enumerate(names) for a in (F.count(c(n)).alias(f"k{i}"), F.approx_count_distinct(_countable(df, n)).alias(f"u{i}"))]
+        cells = [F.struct(F.lit(i).alias("position"), F.col(f"u{i}").alias("unique_count"), F.col(f"k{i}").alias("known")) for i in range(len(names))]
+        cells.append(F.struct(F.lit(-1).alias("position"), F.lit(1).cast("long").alias("unique_count"), F.col("_rows").alias("known")))
+        found = df.agg(F.count("*").alias("_rows"), *sketches).select(F.inline(F.array(*cells)))
+    found = found.select("position", "unique_count", "known", *none)
+    if samples:
+        place = F.row_number().over(Window.partitionBy("position").orderBy("hash", "value"))
+        chosen = values.where(F.col("position") >= 0).withColumn("hash", F.xxhash64("value")).withColumn("place", place).where(F.col("place") <= SAMPLES)
+        found = found.union(chosen.select("position", F.lit(None).cast("long"), F.lit(None).cast("long"), "value", "place"))
+    measured: dict[int, tuple[int, int]] = {}
+    picked: dict[int, list[str]] = {}
+    for r in sorted(found.collect(), key=lambda r: r["place"]):  # a row per column and sample
+        if r["place"]:
+            picked.setdefault(r["position"], []).append(r["value"])
+        else:
+            measured[r["position"]] = (r["unique_count"], r["known"])
+    rows = measured.get(-1, (0, 0))[1]
+    out = []
+    for i, n in enumerate(names):
+        unique, known = measured.get(i, (0, 0))
+        entry = (i, n, df.schema[n].dataType.simpleString(), _role(df, n, unique, rows), rows - known, (rows - known) / rows * 100 if rows else 0.0, unique)
+        out.append(entry + ((picked.get(i, []),) if samples else ()))
+    schema = "position int, name string, dtype string, role string, missing_count long, missing_pct double, unique_count long"
+    return df.sparkSession.createDataFrame(out, schema + (", sample_values array<string>" if samples else ""))
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -15,8 +15,10 @@ from tabloom.operators import aggregate
 from tabloom.operators.clean import constant_columns, pairwise_correlations
 from tabloom.operators.impute import null_counts
 from tabloom.operators.joins import lookup_join
+from tabloom.operators.ordered import steps
 from tabloom.operators.quantiles import exact_quantiles, grouped_quantiles
 from tabloom.operators.scale import right_closed_code
+from tabloom.operators.series import adf_test
 
 # fixed values: largest Shapiro-Wilk sample and the advice texts
 SHAPIRO_ROWS = 5_000
@@ -351,10 +353,48 @@ TARGET_WORDS = ("result", "flag", "label", "outcome", "y_", "target", "score", "
 FUTURE_WORDS = ("final", "outcome", "actual", "post", "result")
 LEAKAGE_R = 0.95
 UNIQUE_SHARE = 0.95
-
-
-def leakage_scan(df: DataFrame, target: str) -> DataFrame:
-    """(column, rule, evidence): proxies of the target, telling names, identifiers, after-the-fact names."""
+UUID_PATTERN = "^\\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\\}?$"
+UUID_SHARE = 0.95
+MONOTONE_SHARE = 0.99
+TREND_STRETCHES = 10
+ADF_P = 0.05
+
+
+def _identifier_trends(df: DataFrame, target: str, ids: list[str]) -> list[tuple[str, str, str]]:
+    """Integer identifiers along which the target's mean rises, or falls, over every one of ten equal stretches."""
+    cuts = {n: sorted({q for q in found if q is not None})
+            for n, found in exact_quantiles(df, ids, [i / TREND_STRETCHES for i in range(1, TREND_STRETCHES)]).items()} if ids else {}
+    ids = [n for n in ids if len(cuts[n]) == TREND_STRETCHES - 1]
+    if not ids:
+        return []
+    aggs = []
+    for i, n in enumerate(ids):
+        bounds = [float("-inf"), *cuts[n], float("inf")]
+        value = c(n).cast("double")
+        aggs += [F.avg(F.when((value > F.lit(low)) & (value <= F.lit(high)), c(target))).alias(f"m{i}_{k}") for k, (low, high) in enumerate(zip(bounds, bounds[1:]))]
+    row = df.agg(*aggs).first()
+    found = []
+    for i, n in enumerate(ids):
+        means = [row[f"m{i}_{k}"] for k in range(TREND_STRETCHES)]
+        if None in means:
+            continue
+        for word, ordered_means in (("rises", means), ("falls", means[::-1])):
+            if all(a < b for a, b in zip(ordered_means, ordered_means[1:])):
+                found.append((n, "identifier_trend", f"mean of the target {word} over {TREND_STRETCHES} stretches"))
+    return found
+
+
+def leakage_scan(df: DataFrame, target: str, order_by: list[str] | None = None) -> DataFrame:
+    """(column, rule, evidence): columns that may tell a model the target, or the row.
+
+    - ``target_proxy``: correlation with the target above 0.95; ``semantic_name``, ``future_name``: telling words in the name.
+    - ``identifier``: integers or strings that are nearly unique; ``uuid_identifier``: strings that nearly all look like UUIDs.
+    - ``identifier_trend``: a nearly unique integer along which the target's mean moves one way over ten equal stretches.
+    - ``monotone_identifier``: a nearly unique column that rises, or falls, in 99 % of the steps along ``order_by`` (columns that end in a
+      unique key; without them the rows have no order to follow). NULLs are passed over.
+
+    Distinct counts and patterns come from one aggregate; stretches from exact quantiles and one more; steps from one pass over ordered buckets.
+    """
     require_column(df, target, "target_column")
     found = []
     if is_numeric(df, target):
@@ -366,16 +406,31 @@ def leakage_scan(df: DataFrame, target: str) -> DataFrame:
         low = n.lower()
         found += [(n, "semantic_name", w) for w in TARGET_WORDS if w in low]
         found += [(n, "future_name", w) for w in FUTURE_WORDS if w in low]
-    ids = [n for n in others if is_integer(df, n) or n in string_columns(df)]
+    texts = [n for n in others if n in string_columns(df)]
+    ids = [n for n in others if is_integer(df, n) or n in texts]
     if ids:
-        row = df.agg(*[a for i, n in enumerate(ids) for a in (F.count_distinct(c(n)).alias(f"u{i}"), F.count(c(n)).alias(f"n{i}"))]).first()
-        found += [(n, "identifier", f"{row[f'u{i}']} of {row[f'n{i}']} distinct") for i, n in enumerate(ids)
-                  if row[f"n{i}"] and row[f"u{i}"] / row[f"n{i}"] > UNIQUE_SHARE]
+        row = df.agg(*[a for i, n in enumerate(ids) for a in (F.count_distinct(c(n)).alias(f"u{i}"), F.count(c(n)).alias(f"n{i}"))],
+                     *[F.count_if(c(n).rlike(UUID_PATTERN)).alias(f"p{ids.index(n)}") for n in texts]).first()
+        known = {n: row[f"n{i}"] for i, n in enumerate(ids)}
+        unique = [n for i, n in enumerate(ids) if known[n] and row[f"u{i}"] / known[n] > UNIQUE_SHARE]
+        found += [(n, "identifier", f"{row[f'u{ids.index(n)}']} of {known[n]} distinct") for n in unique]
+        found += [(n, "uuid_identifier", f"{row[f'p{ids.index(n)}']} of {known[n]} like a UUID") for n in texts
+                  if known[n] and row[f"p{ids.index(n)}"] / known[n] > UUID_SHARE]
+        if is_numeric(df, target):
+            found += _identifier_trends(df, target, [n for n in unique if is_integer(df, n)])
+        if order_by and unique:
+            for n, (count, rises, falls) in steps(df, order_by, unique).items():
+                found += [(n, "monotone_identifier", f"{word} in {k} of {count} steps") for word, k in (("rises", rises), ("falls", falls))
+                          if count and k / count >= MONOTONE_SHARE]
     return _frame(df, found, "column string, rule string, evidence string")
 
 
-def quality_recommendations(df: DataFrame, target: str | None = None) -> DataFrame:
-    """(column, finding, operator): the rule table applied to the measured quality of each column."""
+def quality_recommendations(df: DataFrame, target: str | None = None, order_by: list[str] | None = None, group_by: list[str] | None = None) -> DataFrame:
+    """(column, finding, operator): the rule table applied to the measured quality of each column.
+
+    With ``order_by`` the rows are a series, or one per ``group_by``: the target, or without one every numeric column, is tested for a unit root
+    (ADF, p > 0.05 in any series).
+    """
     rows: list[tuple[str, str, str]] = []
     total = df.count()
     gaps = null_counts(df)
@@ -400,6 +455,11 @@ def quality_recommendations(df: DataFrame, target: str | None = None) -> DataFra
         for r in aggregate.outlier_summary(df.select(*[c(n) for n in features])).collect() if features else []:
             if r["iqr_pct"] is not None and r["iqr_pct"] > 10:
                 rows.append((r["column"], "outlier rate > 10 %", "winsorize"))
+    if order_by:
+        along = set(order_by) | set(group_by or [])
+        for n in [target] if target in numeric else [n for n in features if n not in along and n not in constant]:
+            if adf_test(df, n, order_by, group_by).where(F.col("adf_p") > ADF_P).limit(1).count():
+                rows.append((n, "ADF p > 0.05", "differencing, forecast_ar with d = 1"))
     tested = [n for n in features if n not in constant]
     if len(tested) >= 2:
         rows += [(r["column"], "VIF > 10", "drop_correlated") for r in vif(df, tested).collect() if r["high"]]

@@ -209,3 +209,33 @@ def over_series(df: DataFrame, group: list[str], order: list[str], before: int,
     new = build(window)
     return (spread.select("*", *[col.alias(n) for n, col in new.items()])
             .where(F.col("_home") == F.col("_chunk")).drop("_pos", "_home", "_chunk"))
+
+
+def steps(df: DataFrame, order: list[str], columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, tuple[int, int, int]]:
+    """``{column: (steps, rises, falls)}`` between neighbouring known values of each column along the order; NULLs are passed over.
+
+    Every bucket gives its first and last known value and its rises and falls; the at most ``MAX_BUCKETS`` results are joined at their borders.
+    ``order`` should end in a unique key, else rows with equal keys stand in any order.
+    """
+    bucketed = with_bucket(df.select(*dict.fromkeys(order + columns)), order, True, rows_per_bucket)
+    before = Window.partitionBy("_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bucketed.select("_bucket", "_key", *[c(n).alias(f"v{i}") for i, n in enumerate(columns)],
+                             *[F.last(c(n), ignorenulls=True).over(before).alias(f"p{i}") for i, n in enumerate(columns)])
+    aggs = []
+    for i in range(len(columns)):
+        value, known = F.col(f"v{i}"), F.when(F.col(f"v{i}").isNotNull(), F.col("_key"))
+        aggs += [F.count(value).alias(f"n{i}"), F.count_if(value > F.col(f"p{i}")).alias(f"u{i}"), F.count_if(value < F.col(f"p{i}")).alias(f"d{i}"),
+                 F.min_by(value, known).alias(f"f{i}"), F.max_by(value, known).alias(f"l{i}")]
+    rows = placed.groupBy("_bucket").agg(*aggs).orderBy("_bucket").collect()
+    found = {}
+    for i, name in enumerate(columns):
+        known, rises, falls, last = 0, 0, 0, None
+        for row in rows:
+            if not row[f"n{i}"]:
+                continue
+            known, rises, falls = known + row[f"n{i}"], rises + row[f"u{i}"], falls + row[f"d{i}"]
+            if last is not None:
+                rises, falls = rises + (row[f"f{i}"] > last), falls + (row[f"f{i}"] < last)
+            last = row[f"l{i}"]
+        found[name] = (max(0, known - 1), rises, falls)
+    return found

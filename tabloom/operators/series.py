@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.columns import c, require_column, require_numeric
 from tabloom.functions.pvalues import normal_quantile
+from tabloom.operators import lagged
 from tabloom.operators.ordered import ROWS_PER_SERIES_TASK, over_series, with_position
-
-SHORT_SERIES = 100_000       # longest series handed to one Arrow group
+from tabloom.session import cut_lineage
 
 
 def _known(df: DataFrame, column: str, group_by: list[str]) -> DataFrame:
@@ -21,36 +21,31 @@ def _known(df: DataFrame, column: str, group_by: list[str]) -> DataFrame:
     return work if group_by else work.withColumn("_series", F.lit("all"))
 
 
+def _lagged(df: DataFrame, column: str, order_by: list[str], group_by: list[str] | None) -> tuple[DataFrame, list[str]]:
+    group = list(group_by or ["_series"])
+    known = _known(df, column, list(group_by or []))
+    return known.select(*[c(g) for g in group], *[c(o) for o in order_by if o not in group], c(column).cast("double").alias("_x")), group
+
+
+def _longest(base: DataFrame, group: list[str]) -> int:
+    return base.groupBy(*[c(g) for g in group]).count().agg(F.max("count")).first()[0] or 0
+
+
 def acf_pacf(df: DataFrame, column: str, order_by: list[str], group_by: list[str] | None = None, nlags: int = 40,
              max_rows: int = ROWS_PER_SERIES_TASK) -> DataFrame:
     """(series, lag, acf, pacf, band, significance) with the biased ACF and a regression PACF.
 
-    Lagged products are aggregated for all lags in one pass per series; the PACF of lag k is the
-    last coefficient of a least-squares regression whose normal equations come from those lagged
-    cross-products, solved per series in Arrow on at most (lags + 1)^2 numbers.
+    Lagged products are summed for all lags in one pass; the PACF of lag k is the last coefficient of a least-squares regression whose
+    normal equations follow from those sums and the ends of the series (``operators/lagged.py``), solved per series on a few numbers.
     """
     require_numeric(df, column)
-    group = list(group_by or ["_series"])
-    base = _known(df, column, list(group_by or [])).select(*[c(g) for g in group], *[c(o) for o in order_by if o not in group],
-                                                           c(column).cast("double").alias("_x"))
-    stats = base.groupBy(*[c(g) for g in group]).agg(F.count("*").alias("n"), F.avg("_x").alias("m"))
-    longest = stats.agg(F.max("n")).first()[0] or 0
+    base, group = _lagged(df, column, order_by, group_by)
+    longest = _longest(base, group)
     if longest < 4:
         raise ValueError("Need at least 4 observations for ACF/PACF.")
     top = max(1, min(int(nlags), longest // 2 - 1))
-    lagged = over_series(base, group, order_by, top, 0, lambda w: {f"_l{k}": F.lag("_x", k).over(w) for k in range(1, top + 1)}, max_rows)
-    joined = lagged.join(stats, group)
-    own_lags = F.greatest(F.lit(1), F.least(F.lit(nlags), F.floor(F.col("n") / 2) - 1)).cast("int")
-    d = lambda name: F.col(name) - F.col("m")
-    aggs = [F.first("n").alias("n"), F.sum(d("_x") * d("_x")).alias("c0"), F.first(own_lags).alias("lags")]
-    aggs += [F.sum(d("_x") * d(f"_l{k}")).alias(f"c{k}") for k in range(1, top + 1)]
-    names = ["_x"] + [f"_l{k}" for k in range(1, top + 1)]
-    depth = F.size(F.array_compact(F.array(*[F.col(n) for n in names]))) - 1
-    head = joined.select(*[c(g) for g in group], "n", "m", *[F.col(n) for n in names], own_lags.alias("lags"), depth.alias("depth"))
-    acf = joined.groupBy(*[c(g) for g in group]).agg(*aggs)
-    gram = _gram(head, group, names, top)
-    solved = acf.join(gram, group)
-    schema = T.StructType([solved.schema[g] for g in group] + [
+    summed = lagged.lag_sums(base, group, order_by, "_x", top, max_rows)
+    schema = T.StructType([summed.schema[g] for g in group] + [
         T.StructField("lag", T.IntegerType()), T.StructField("acf", T.DoubleType()), T.StructField("pacf", T.DoubleType()),
         T.StructField("band", T.DoubleType()), T.StructField("significant_acf", T.BooleanType()),
         T.StructField("significant_pacf", T.BooleanType())])
@@ -59,53 +54,18 @@ def acf_pacf(df: DataFrame, column: str, order_by: list[str], group_by: list[str
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                lags, band = int(row["lags"]), 1.96 / math.sqrt(row["n"])
-                size = top + 2
-                table = np.asarray(row["gram"], dtype=float).reshape(top + 1, size, size)
-                for k in range(lags + 1):
-                    a = 1.0 if k == 0 else row[f"c{k}"] / row["c0"] if row["c0"] else float("nan")
-                    p = 1.0
-                    if k:
-                        full = table[k]
-                        index = list(range(1, k + 1)) + [size - 1]
-                        p = float(np.linalg.lstsq(full[np.ix_(index, index)], full[index, 0], rcond=None)[0][k - 1])
+                found = lagged.Lags.of(row)
+                band = 1.96 / math.sqrt(found.rows)
+                for k in range(max(1, min(top, found.rows // 2 - 1)) + 1):
+                    a = 1.0 if k == 0 else found.sums[k] / found.sums[0] if found.sums[0] else float("nan")
+                    p = float(lagged.least_squares(found.gram(k + 1), 0, list(range(1, k + 2)))[0][k - 1]) if k and found.rows > k else 1.0 if not k else float("nan")
                     out.append([row[g] for g in group] + [k, a, p, band, k > 0 and abs(a) > band, k > 0 and abs(p) > band])
             yield pd.DataFrame(out, columns=schema.names)
 
-    found = solved.mapInPandas(solve, schema)
+    found = summed.mapInPandas(solve, schema)
     return found if group_by else found.drop("_series")
 
 
-def _gram(head: DataFrame, group: list[str], names: list[str], top: int) -> DataFrame:
-    """Per series the stacked Gram matrices of (x, lags, 1) over rows reaching back k rows, k = 0..top.
-
-    Partial sums are formed per Arrow batch, so what is shuffled is one matrix per batch and series.
-    """
-    size = top + 2
-    schema = T.StructType([head.schema[g] for g in group] + [T.StructField("part", T.ArrayType(T.DoubleType()))])
-
-    def partial(batches):
-        for batch in batches:
-            out = []
-            for key, rows in batch.groupby(group, dropna=False, sort=False):
-                values = rows[names].to_numpy(dtype=float) - rows["m"].to_numpy(dtype=float)[:, None]
-                depth = rows["depth"].to_numpy()
-                stacked = np.zeros((top + 1, size, size))
-                for k in range(1, top + 1):
-                    z = values[depth >= k][:, :k + 1]
-                    z1 = np.column_stack([z, np.ones(len(z))])
-                    index = list(range(k + 1)) + [size - 1]
-                    stacked[k][np.ix_(index, index)] += z1.T @ z1
-                out.append(list(key if isinstance(key, tuple) else (key,)) + [stacked.ravel()])
-            yield pd.DataFrame(out, columns=schema.names)
-
-    parts = head.mapInPandas(partial, schema)
-    length = (top + 1) * size * size
-    keys = [c(g) for g in group]
-    cells = parts.select(*keys, F.posexplode("part").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("gram"))
-
-
 def seasonal_decompose(df: DataFrame, column: str, order_by: list[str], group_by: list[str] | None = None,
                        period: int | None = None, model: str = "additive",
                        max_rows: int = ROWS_PER_SERIES_TASK) -> DataFrame:
@@ -196,135 +156,119 @@ def _adf_p(stat: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def _ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    rss = float(np.sum((y - x @ beta) ** 2))
-    return beta, rss, np.linalg.pinv(x.T @ x)
-
-
-def _adf(x: np.ndarray) -> float:
-    """t of the lagged level; lag order by AIC on a common sample, then refitted on the longest one."""
-    n = len(x)
-    most = max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
-    dx = np.diff(x)
-
-    def design(lags: int, start: int):
-        rows = range(start, len(dx))
-        cols = [np.array([x[t] for t in rows])] + [np.array([dx[t - k] for t in rows]) for k in range(1, lags + 1)]
-        return dx[start:], np.column_stack(cols + [np.ones(len(dx) - start)])
-
-    best, order = None, 0
-    for lags in range(most + 1):
-        y, z = design(lags, most)
-        _, rss, _ = _ols(y, z)
-        aic = len(y) * math.log(max(rss, 1e-300) / len(y)) + 2 * z.shape[1]
-        if best is None or aic < best:
-            best, order = aic, lags
-    y, z = design(order, order)
-    beta, rss, inverse = _ols(y, z)
-    dof = len(y) - z.shape[1]
-    return float(beta[0] / math.sqrt(rss / dof * inverse[0, 0])) if dof > 0 and rss > 0 else float("nan")
-
-
-def _kpss(x: np.ndarray) -> tuple[float, float]:
-    """Level KPSS with the automatic bandwidth of Hobijn, Franses and Ooms (1998)."""
-    n = len(x)
-    e = x - x.mean()
-    power = int(n ** (2 / 9))
-    s0 = float(e @ e) / n
-    s1 = 0.0
-    for k in range(1, power + 1):
-        gamma = 2 * float(e[k:] @ e[:-k]) / n
-        s0 += gamma
-        s1 += k * gamma
-    gamma_hat = 1.1447 * ((s1 / s0) ** 2) ** (1 / 3) if s0 else 0.0
-    lags = min(int(gamma_hat * n ** (1 / 3)), n - 1)
-    longrun = float(e @ e) / n + 2 * sum((1 - k / (lags + 1)) * float(e[k:] @ e[:-k]) / n for k in range(1, lags + 1))
-    stat = float(np.sum(np.cumsum(e) ** 2)) / n ** 2 / longrun if longrun > 0 else float("nan")
-    return stat, float(np.interp(stat, KPSS_LEVEL, KPSS_TAIL)) if stat == stat else float("nan")
-
-
-def _short_series(df: DataFrame, column: str, group: list[str], order_by: list[str]) -> DataFrame:
-    work = df.select(*[c(g) for g in group], *[c(o) for o in order_by if o not in group], c(column).cast("double").alias("_x"))
-    longest = work.groupBy(*[c(g) for g in group]).count().agg(F.max("count")).first()[0] or 0
-    if longest > SHORT_SERIES:
-        raise ValueError(f"a series has {longest} observations; aggregate it to coarser periods (at most {SHORT_SERIES}).")
-    return work
-
-
-def stationarity_test(df: DataFrame, column: str, order_by: list[str], group_by: list[str] | None = None) -> DataFrame:
-    """ADF and KPSS per series, many series in parallel; series need 8 to 100000 observations."""
+def adf_test(df: DataFrame, column: str, order_by: list[str], group_by: list[str] | None = None, lags: int | None = None,
+             max_rows: int = ROWS_PER_SERIES_TASK) -> DataFrame:
+    """(series, n, adf_stat, adf_p, adf_is_stationary): the ADF test with a constant, with ``lags`` differences or as many as AIC asks for.
+
+    Series of any length: the normal equations come from sums of lagged products (``operators/lagged.py``). Series with fewer than eight
+    values, or too few for ``lags``, and constant ones have no statistic.
+    """
     require_numeric(df, column)
+    base, group = _lagged(df, column, order_by, group_by)
+    top = max(1, (lagged.most_differences(_longest(base, group)) if lags is None else int(lags)) + 1)
+    summed = lagged.lag_sums(base, group, order_by, "_x", top, max_rows)
+    schema = T.StructType([summed.schema[g] for g in group] + [T.StructField("n", T.LongType()), T.StructField("adf_stat", T.DoubleType()),
+                                                                T.StructField("adf_p", T.DoubleType()), T.StructField("adf_is_stationary", T.BooleanType())])
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                found, stat = lagged.Lags.of(row), float("nan")
+                if found.rows >= max(8, 2 * (lags or 0) + 4):
+                    stat = lagged.adf_statistic(found, lags)
+                p = _adf_p(stat) if stat == stat else float("nan")
+                out.append([row[g] for g in group] + [found.rows, *((stat, p, bool(p < 0.05)) if stat == stat else (None, None, None))])
+            yield pd.DataFrame(out, columns=schema.names)
+
+    found = summed.mapInPandas(solve, schema)
+    return found if group_by else found.drop("_series")
+
+
+def kpss_test(df: DataFrame, column: str, order_by: list[str], group_by: list[str] | None = None, max_rows: int = ROWS_PER_SERIES_TASK) -> DataFrame:
+    """(series, n, kpss_stat, kpss_p, kpss_is_stationary): the KPSS test around a level with the automatic bandwidth, for series of any length.
+
+    The bandwidth comes from lagged sums, numerator and long-run variance from partial sums joined by place (``operators/lagged.py``).
+    """
+    require_numeric(df, column)
+    base, group = _lagged(df, column, order_by, group_by)
+    keys = [c(g) for g in group]
+    base = cut_lineage(base)
+    summed = lagged.lag_sums(base, group, order_by, "_x", max(1, int(_longest(base, group) ** (2 / 9))), max_rows)
+
+    def width(batches):
+        for batch in batches:
+            yield pd.DataFrame([[row[g] for g in group] + [lagged.kpss_bandwidth(lagged.Lags.of(row))] for row in batch.to_dict("records")], columns=group + ["bandwidth"])
+
+    widths = summed.mapInPandas(width, T.StructType([summed.schema[g] for g in group] + [T.StructField("bandwidth", T.LongType())]))
+    parts = lagged.kpss_parts(lagged.partial_sums(base, group, order_by, "_x"), widths, group)
+    longrun = F.col("moving") / (F.col("n") * (F.col("bandwidth") + 1))
+    stat = F.when(longrun > 0, F.col("numerator") / (F.col("n") * F.col("n")) / longrun)
+    # the tail probability by straight lines between the published critical values
+    points = list(zip(KPSS_LEVEL, KPSS_TAIL))
+    tail = F.when(F.col("kpss_stat") <= points[0][0], F.lit(points[0][1]))
+    for (x0, p0), (x1, p1) in zip(points, points[1:]):
+        tail = tail.when(F.col("kpss_stat") <= x1, p0 + (F.col("kpss_stat") - x0) * (p1 - p0) / (x1 - x0))
+    found = parts.select(*keys, "n", stat.alias("kpss_stat"))
+    found = found.withColumn("kpss_p", F.when(F.col("kpss_stat").isNotNull(), tail.otherwise(F.lit(points[-1][1]))))
+    found = found.withColumn("kpss_is_stationary", F.col("kpss_p") > 0.05)
+    return found if group_by else found.drop("_series")
+
+
+def stationarity_test(df: DataFrame, column: str, order_by: list[str], group_by: list[str] | None = None,
+                      max_rows: int = ROWS_PER_SERIES_TASK) -> DataFrame:
+    """ADF and KPSS per series with the four-way verdict; series need eight observations and may have any length."""
+    require_numeric(df, column)
+    work = df if group_by else df.withColumn("_series", F.lit("all"))
     group = list(group_by or ["_series"])
-    work = _short_series(_known(df, column, list(group_by or [])), column, group, order_by)
-    schema = T.StructType([work.schema[g] for g in group] + [
-        T.StructField("n", T.LongType()), T.StructField("adf_stat", T.DoubleType()), T.StructField("adf_p", T.DoubleType()),
-        T.StructField("adf_is_stationary", T.BooleanType()), T.StructField("kpss_stat", T.DoubleType()),
-        T.StructField("kpss_p", T.DoubleType()), T.StructField("kpss_is_stationary", T.BooleanType()),
-        T.StructField("verdict", T.StringType())])
-
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(order_by)["_x"].to_numpy(dtype=float)
-        keys = [rows[g].iloc[0] for g in group]
-        if len(x) < 8:
-            return pd.DataFrame([keys + [len(x), None, None, None, None, None, None, "Need at least 8 observations."]], columns=schema.names)
-        stat = _adf(x)
-        p = _adf_p(stat) if stat == stat else float("nan")
-        k_stat, k_p = _kpss(x)
-        a, k = bool(p < 0.05), bool(k_p > 0.05)
-        verdict = ("Undefined" if not (p == p and k_p == k_p) else "Stationary" if a and k else "Non-stationary" if not a and not k else "Conflicting")
-        return pd.DataFrame([keys + [len(x), stat, p, a, k_stat, k_p, k, verdict]], columns=schema.names)
-
-    found = work.groupBy(*[c(g) for g in group]).applyInPandas(test, schema)
+    adf = adf_test(work, column, order_by, group, max_rows=max_rows)
+    kpss = kpss_test(work, column, order_by, group, max_rows).drop("n")
+    short = F.col("n") < 8
+    both = adf.join(kpss, group)
+    for name in ("kpss_stat", "kpss_p", "kpss_is_stationary"):
+        both = both.withColumn(name, F.when(~short, F.col(name)))
+    a, k = F.col("adf_is_stationary"), F.col("kpss_is_stationary")
+    verdict = (F.when(short, "Need at least 8 observations.").when(a.isNull() | k.isNull(), "Undefined").when(a & k, "Stationary")
+               .when(~a & ~k, "Non-stationary").otherwise("Conflicting"))
+    found = both.select(*[c(g) for g in group], "n", "adf_stat", "adf_p", "adf_is_stationary", "kpss_stat", "kpss_p", "kpss_is_stationary", verdict.alias("verdict"))
     return found if group_by else found.drop("_series")
 
 
 def forecast_ar(df: DataFrame, column: str, order_by: list[str], group_by: list[str] | None = None, horizon: int = 12,
-                max_order: int = 12) -> DataFrame:
-    """Per series an AR(p) on levels or first differences, (p, d) by AIC; mean path and 95 % band."""
+                max_order: int = 12, max_rows: int = ROWS_PER_SERIES_TASK) -> DataFrame:
+    """Per series an AR(p) on levels or first differences, (p, d) by AIC; mean path and 95 % band. Series may have any length.
+
+    All candidates are solved from sums of lagged products; the path starts from the last values of the series.
+    """
     require_numeric(df, column)
-    group = list(group_by or ["_series"])
-    work = _short_series(_known(df, column, list(group_by or [])), column, group, order_by)
-    schema = T.StructType([work.schema[g] for g in group] + [
+    base, group = _lagged(df, column, order_by, group_by)
+    summed = lagged.lag_sums(base, group, order_by, "_x", int(max_order) + 1, max_rows)
+    schema = T.StructType([summed.schema[g] for g in group] + [
         T.StructField("step", T.IntegerType()), T.StructField("forecast", T.DoubleType()), T.StructField("lower", T.DoubleType()),
         T.StructField("upper", T.DoubleType()), T.StructField("p", T.IntegerType()), T.StructField("d", T.IntegerType())])
     z = normal_quantile(0.975)
 
-    def forecast(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(order_by)["_x"].to_numpy(dtype=float)
-        keys = [rows[g].iloc[0] for g in group]
-        best = None
-        top = min(max_order, max(0, len(x) // 3 - 2))
-        for d in (0, 1):
-            y = np.diff(x, d)
-            for p in range(top + 1):
-                # the same rows for every (p, d): the last len(x) - top - 1 observations
-                start = top + 1 - d
-                if len(y) - start < p + 2:
-                    continue
-                target = y[start:]
-                design = np.column_stack([np.ones(len(target))] + [y[start - k:len(y) - k] for k in range(1, p + 1)])
-                beta, rss, _ = _ols(target, design)
-                sigma2 = max(rss, 1e-300) / len(target)
-                aic = len(target) * math.log(sigma2) + 2 * (p + 1 + d)
-                if best is None or aic < best[0]:
-                    best = (aic, p, d, beta, sigma2, y)
+    def path(keys: list, found: lagged.Lags) -> list:
+        best = lagged.autoregression(found, max_order) if found.rows >= 3 else None
         if best is None:
-            return pd.DataFrame([keys + [h, float(x.mean()), None, None, 0, 0] for h in range(1, horizon + 1)], columns=schema.names)
-        _, p, d, beta, sigma2, y = best
-        past = list(y)
-        weights = [1.0]
-        out, level, spread = [], x[-1], 0.0
+            return [keys + [h, found.mean, None, None, 0, 0] for h in range(1, horizon + 1)]
+        p, d, beta, variance = best
+        past = list(np.diff(found.tail, d))
+        weights, out, level, spread = [1.0], [], found.tail[-1] + found.mean, 0.0
         for h in range(1, horizon + 1):
             nxt = float(beta[0] + sum(beta[k] * past[-k] for k in range(1, p + 1)))
             past.append(nxt)
-            level = level + nxt if d else nxt
+            level = level + nxt if d else nxt + found.mean
             if h > 1:
                 weights.append(float(sum(beta[k] * weights[h - 1 - k] for k in range(1, min(p, h - 1) + 1))))
             spread += (sum(weights) if d else weights[-1]) ** 2
-            width = z * math.sqrt(sigma2 * spread)
+            width = z * math.sqrt(variance * spread)
             out.append(keys + [h, level, level - width, level + width, p, d])
-        return pd.DataFrame(out, columns=schema.names)
+        return out
+
+    def forecast(batches):
+        for batch in batches:
+            yield pd.DataFrame([r for row in batch.to_dict("records") for r in path([row[g] for g in group], lagged.Lags.of(row))], columns=schema.names)
 
-    found = work.groupBy(*[c(g) for g in group]).applyInPandas(forecast, schema)
+    found = summed.mapInPandas(forecast, schema)
     return found if group_by else found.drop("_series")

@@ -163,27 +163,18 @@ def lsa_text(df: DataFrame, column: str, key: str, n_components: int = 20, max_f
              ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
     """Latent components lsa_1.. of the TF-IDF rows by a truncated singular value decomposition.
 
-    Only the features x features Gram matrix is gathered (``max_features`` squared numbers), its
-    leading eigenvectors become literals of the projection; signs make the largest loading positive.
+    The axes come from a randomised range finder over the sparse rows (``operators/sketch.py``); no features x features matrix is made.
+    Signs make the largest loading positive; documents without a known term get zeros.
     """
-    import numpy as np
-    from pyspark.ml.functions import vector_to_array
+    from tabloom.operators.sketch import leading_axes, times
 
-    from tabloom.models.gram import cross_products
-
-    ready = tfidf_vectorize(df, column, key, max_features, ngram_range)
-    name = f"{column}_tfidf"
-    gram = cross_products(ready, name).get(0.0)
-    if gram is None:
-        raise ValueError("No documents.")
-    values, vectors = np.linalg.eigh(gram[2])
-    count = min(n_components, len(values))
-    axes = vectors[:, ::-1][:, :count]
-    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(count)] >= 0, 1.0, -1.0)
+    ready = fit_tfidf_vectorize(df, column, key, max_features, ngram_range)
+    axes, _, parts = leading_axes(ready.transform(df), f"{column}_tfidf", len(ready.state["vocabulary"]), n_components)
+    count = axes.shape[1]
 
     @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(x.to_numpy()).astype(float) @ axes) if len(x) else [], dtype=object)
+    def project(indices: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series(list(times(pd.DataFrame({"indices": indices, "values": values}), axes)), dtype=object)
 
-    out = ready.withColumn("_lsa", project(vector_to_array(name)))
+    out = parts.withColumn("_lsa", project("indices", "values"))
     return out.select(*[c(n) for n in df.columns], *[F.col("_lsa")[i].alias(f"lsa_{i + 1}") for i in range(count)])
