@@ -112,7 +112,8 @@ def _mask_grams(df: DataFrame, names: list[str], mean: list[float], spread: list
                 rows = z[which == k]
                 mask = "".join("01"[int(g)] for g in kind)
                 total[mask] = total.get(mask, 0.0) + rows.T @ rows
-        yield pd.DataFrame({"mask": list(total), "part": [g.ravel() for g in total.values()]})
+        if total:
+            yield pd.DataFrame({"mask": list(total), "part": [g.ravel() for g in total.values()]})
 
     parts = slim.mapInPandas(partial, "mask string, part array<double>")
     cells = parts.select("mask", F.posexplode("part").alias("i", "v")).groupBy("mask", "i").agg(F.sum("v").alias("v")).collect()
