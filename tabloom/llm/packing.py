@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm.common import components, written
+from tabloom.llm.common import hash_share, written
+from tabloom.llm.vectors import blocks, chained, kmeans
 
 GROUP_BYTES = 8 << 20  # texts that are tokenised together
-SHARD_TOKENS, SHARD_ROWS = 1_500_000, 2_000  # an index holds about so much; a task makes one after another
-INDEX_ROWS, ASKED_ROWS = 32_768, 20_000  # remainders of an index part, and those that ask all parts at once
-LINKS = 8  # nearest remainders over all data that a remainder is linked with
-LEVELS = 2  # groups of remainders, and groups of these
-QUERY_TERMS = 24  # most telling terms of a seed that the index is asked for
+WORDS_KEPT = 250_000  # words whose ids a task keeps from group to group
+BATCH_ROWS = 2_048  # remainders whose terms are counted together
+SKETCH, CODE_BITS, LISTS = 256, 8, 1_024  # numbers of a sketched weight vector, planes that cut a list, most lists
+TOLERANCE, CHOICES = 0.4, 64  # lists within so many typical centre lengths of the nearest one are as good; random choices kept per term
+COMMON = 16  # terms in a sixteenth of a shard's rows or more are kept dense
+RANKED, PARTNER = 128, 0.5  # best neighbours of a seed that fill windows; share of rare terms that makes a close partner
+MOST_PARTITIONS = 20_000
 K1, B = 1.2, 0.75
 LETTERS = "abcdefghijklmnopqrstuvwxyzß" + "".join(map(chr, range(0xE0, 0x100))).replace("÷", "")
 ENDING = ".,!?;:|#$%&*\"()[]{}+=/~^@`-_\\"  # no apostrophe, which starts some pre-tokens, no < or >, which stand in special tokens
@@ -43,23 +45,35 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parted = Tokenizer.from_file(path), True
+        self.known: dict[str, bytes] = {}
         found = self._parts(pa.array(SAMPLES))
         self.parted = [x.tolist() for x in np.split(found[0], np.cumsum(found[1])[:-1])] == self._whole(SAMPLES)
 
     def _whole(self, parts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(parts), add_special_tokens=False)]
 
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, as bytes; the first ones that come are kept."""
+        known, tokenize = self.known, self.tokenizer.model.tokenize
+        out = []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                ids = array("I", [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS))]).tobytes()
+                if len(known) < WORDS_KEPT:
+                    known[word] = ids
+            out.append(ids)
+        return out
 
     def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct parts one after another, and how many each has."""
         plain = pc.match_substring_regex(parts, PLAIN) if self.parted else pa.array(np.zeros(len(parts), bool))
         low = pc.utf8_lower(parts.filter(plain))
         words, ends = pc.utf8_rtrim(low, ENDING).dictionary_encode(), pc.utf8_ltrim(low, LETTERS).dictionary_encode()
-        pieces = [*map(self._word, words.dictionary.to_pylist()), *self._whole(ends.dictionary.to_pylist()), *self._whole(parts.filter(pc.invert(plain)).to_pylist())]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        values = np.fromiter(chain.from_iterable(pieces), np.int32, int(sizes.sum()))
+        pieces = self._words(words.dictionary.to_pylist())
+        pieces += [array("I", ids).tobytes() for ids in chain(self._whole(ends.dictionary.to_pylist()), self._whole(parts.filter(pc.invert(plain)).to_pylist()))]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // array("I").itemsize
+        values = np.frombuffer(b"".join(pieces), np.uint32).astype(np.int32)
         first, second = np.full(len(parts), -1), np.full(len(parts), -1)
         plain = plain.to_numpy(zero_copy_only=False)
         first[plain], second[plain] = words.indices.to_numpy(), ends.indices.to_numpy() + len(words.dictionary)
@@ -104,198 +118,212 @@ def _rest(ids: np.ndarray, window: int) -> np.ndarray:
     return ids[len(ids) // window * window:]
 
 
-def _term_counts(window: int, dtype: str):
-    """Per batch: in how many remainders each token occurs; token -1 carries the lengths, -2 the number."""
+def _rests(column, dtype: str, window: int) -> Iterator[list[np.ndarray]]:
+    """The remainders of a column of ids, some rows at a time."""
+    raw = column.to_pylist()
+    for start in range(0, len(raw), BATCH_ROWS):
+        yield [_rest(np.frombuffer(r, dtype), window) for r in raw[start:start + BATCH_ROWS]]
+
+
+def _distinct(rests: Sequence[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, term, count)`` of every distinct term of every remainder, in the order of rows and terms, and the remainders' lengths."""
+    lengths = np.fromiter(map(len, rests), np.int64, len(rests))
+    if not lengths.sum():
+        return *(np.zeros(0, np.int64) for _ in range(3)), lengths
+    keys = np.repeat(np.arange(len(rests)) * vocabulary, lengths) + np.concatenate(rests)
+    keys, often = np.unique(keys, return_counts=True)
+    return keys // vocabulary, keys % vocabulary, often, lengths
+
+
+def _term_counts(window: int, dtype: str, vocabulary: int):
+    """Per task: in how many remainders each token occurs; token -1 carries the lengths, -2 the number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1, np.int64)
+        held = np.zeros(vocabulary, np.int64)
         rests = tokens = 0
         for batch in batches:
-            for raw in batch.column(0):
-                rest = _rest(np.frombuffer(raw.as_buffer(), dtype), window)
-                if len(rest):
-                    seen = np.unique(rest).astype(np.int64)
-                    if seen[-1] >= len(held):
-                        held = np.append(held, np.zeros(seen[-1] + 1 - len(held), np.int64))
-                    held[seen] += 1
-                    rests, tokens = rests + 1, tokens + len(rest)
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(held[some], [tokens, rests]))], ["term", "n"])
+            for some in _rests(batch.column(0), dtype, window):
+                _, terms, _, lengths = _distinct(some, vocabulary)
+                held += np.bincount(terms, minlength=vocabulary)
+                rests, tokens = rests + int((lengths > 0).sum()), tokens + int(lengths.sum())
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, [-1, -2])), pa.array(np.append(held[found], [tokens, rests]))], ["term", "n"])
     return run
 
 
 class Weights:
     """BM25 weights from the counts of all remainders."""
 
-    def __init__(self, rows, dtype: str):
+    def __init__(self, rows, dtype: str, vocabulary: int):
         counts = dict(rows)
-        self.dtype, self.rests = dtype, max(1, counts.pop(-2, 0))
+        self.dtype, self.vocabulary, self.rests = dtype, vocabulary, max(1, counts.pop(-2, 0))
         self.mean = max(1.0, counts.pop(-1, 0) / self.rests)
-        self.idf = np.zeros(max(counts, default=0) + 1, np.float32)
+        self.idf = np.zeros(vocabulary)
         for term, n in counts.items():
             self.idf[term] = np.log1p((self.rests - n + 0.5) / (n + 0.5))
 
-    def terms(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        terms, often = np.unique(rest, return_counts=True)
-        terms = terms.astype(np.int64)
-        return terms, self.idf[terms] * often * (K1 + 1) / (often + K1 * (1 - B + B * len(rest) / self.mean))
-
-
-def _asked(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The most telling terms of a remainder."""
-    return terms if len(terms) <= QUERY_TERMS else np.sort(terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]])
-
-
-def _indexed(window: int, weights: Weights):
-    """Parts of the inverted index of all remainders: nodes and lengths by row; rows and counts of each term, one term after another."""
+    def of(self, rests: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, term, weight)`` of every distinct term of every remainder."""
+        rows, terms, often, lengths = _distinct(rests, self.vocabulary)
+        return rows, terms, self.idf[terms] * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths[rows] / self.mean))
+
+
+class Lists:
+    """Shards of near remainders: k-means lists of sketched weight vectors, merged or cut to about ``rows`` rows by what a sample holds."""
+
+    def __init__(self, weights: Weights, seed: int = 0):
+        rng = np.random.default_rng(seed)
+        self.weights = weights
+        self.place, self.sign = rng.integers(0, SKETCH, weights.vocabulary), rng.choice([-1.0, 1.0], weights.vocabulary)
+        self.planes = rng.normal(size=(SKETCH, CODE_BITS))
+        self.luck, self.choice = rng.exponential(size=weights.vocabulary), rng.random((weights.vocabulary, CHOICES))
+
+    def sketched(self, rests: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors whose products estimate those of the weight vectors, zero without terms; and an anchor term of each remainder.
+
+        The anchor is a term drawn by weight with draws that all remainders share, so two of them have the same one as often as they are alike.
+        """
+        rows, terms, weight = self.weights.of(rests)
+        x = np.bincount(rows * SKETCH + self.place[terms], weight * self.sign[terms], len(rests) * SKETCH).reshape(-1, SKETCH)
+        order = np.lexsort((self.luck[terms] / np.maximum(weight, 1e-12), rows))
+        some, first = np.unique(rows[order], return_index=True)
+        anchor = np.zeros(len(rests), np.int64)
+        anchor[some] = terms[order][first]
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), anchor
+
+    def learn(self, sample: np.ndarray, anchor: np.ndarray, rows: int, seed: int = 0) -> None:
+        share = self.weights.rests / max(1, len(sample))
+        self.middle = sample.mean(axis=0) if len(sample) else np.zeros(SKETCH)
+        near = self._centred(sample)
+        self.centres = kmeans(near, int(np.clip(2 * self.weights.rests // rows, 1, LISTS)), seed)
+        home, code = self._cells(near, anchor)
+        counts = np.bincount(home, minlength=len(self.centres)) * share
+        self.first, self.number = blocks(np.ceil(counts).astype(np.int64), chained(self.centres), rows)
+        # a list of several shards is cut along its codes
+        self.cuts = [np.zeros(0)] * len(self.centres)
+        for k in np.flatnonzero(self.number > 1):
+            inside = np.sort(code[home == k])
+            self.cuts[k] = inside[(np.arange(1, self.number[k]) * len(inside) // self.number[k])]
+
+    def _centred(self, x: np.ndarray) -> np.ndarray:
+        x = x - self.middle
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def _cells(self, x: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """List and code of centred vectors: the sides of some planes through the list's centre.
+
+        Of lists that are nearly as near as the nearest one the anchor decides, so that like remainders between lists go the same way.
+        """
+        norms = (self.centres ** 2).sum(axis=1)
+        score = x @ self.centres.T - 0.5 * norms
+        close = score >= score.max(axis=1, keepdims=True) - TOLERANCE * np.sqrt(norms.mean())
+        home = np.where(close, self.choice[anchor][:, np.arange(len(norms)) % CHOICES], -1.0).argmax(axis=1)
+        return home, (((x - self.centres[home]) @ self.planes) > 0) @ (1 << np.arange(CODE_BITS))
+
+    def placed(self, rests: Sequence[np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shard and place in it of every remainder; rows on a cut that several shards share are dealt by their hash."""
+        x, anchor = self.sketched(rests)
+        home, code = self._cells(self._centred(x), anchor)
+        shard = self.first[home].copy()
+        for k in np.unique(home[self.number[home] > 1]):
+            mine = np.flatnonzero(home == k)
+            low, high = (np.searchsorted(self.cuts[k], code[mine], side) for side in ("left", "right"))
+            shard[mine] += low + nodes[mine] % (high - low + 1)
+        return shard, home * (1 << CODE_BITS) + code
+
+
+def _sampled(lists: Lists, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, rests = [], []
-
-        def part():
-            found = [np.unique(x, return_counts=True) for x in rests]
-            terms = np.concatenate([t for t, _ in found]).astype(np.int64)
-            order = np.argsort(terms, kind="stable")
-            rows = np.repeat(np.arange(len(rests)), [len(t) for t, _ in found])[order]
-            often = np.concatenate([n for _, n in found])[order]
-            values = np.array(nodes, "<i8"), np.array([*map(len, rests)], "<i4"), np.bincount(terms, minlength=len(weights.idf)).astype("<i4"), rows.astype("<u2"), often.astype("<u4")
-            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["nodes", "lengths", "sizes", "rows", "often"])
         for batch in batches:
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rest = _rest(np.frombuffer(raw.as_py(), weights.dtype), window)
-                if len(rest):
-                    nodes.append(node)
-                    rests.append(rest)
-                if len(rests) == INDEX_ROWS:
-                    yield part()
-                    nodes, rests = [], []
-        if rests:
-            yield part()
+            for some in _rests(batch.column(0), lists.weights.dtype, window):
+                x, anchor = lists.sketched([r for r in some if len(r)])
+                yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x.astype("<f4")], pa.binary()), pa.array(anchor)], ["x", "anchor"])
     return run
 
 
-def _index_parts(files: Sequence[str], weights: Weights) -> Iterator[tuple]:
-    """``(nodes, bounds of each term, rows, BM25 weights, highest weight of each term)`` of one index part after another."""
-    for file in files:
-        system, path = FileSystem.from_uri(file)
-        with system.open_input_file(path) as raw:
-            for batch in pq.ParquetFile(raw).iter_batches(batch_size=1):
-                nodes, lengths, sizes, rows, often = (np.frombuffer(batch.column(k)[0].as_py(), t) for k, t in enumerate(("<i8", "<i4", "<i4", "<u2", "<u4")))
-                bounds = np.append(0, np.cumsum(sizes, dtype=np.int64))
-                weight = np.repeat(weights.idf, sizes) * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths[rows] / weights.mean))
-                top, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
-                top[some] = np.maximum.reduceat(weight, bounds[some])
-                yield nodes, bounds, rows.astype(np.int64), weight, top
-
-
-def _linked(files: Sequence[str], window: int, weights: Weights):
-    """The nearest remainders of each over all index parts, ties to the smaller node; also its most telling term, once without a neighbour."""
-    def answered(nodes: list[int], asked: list[np.ndarray], first: list[int]) -> pa.RecordBatch:
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(nodes)
-        least = np.zeros(len(nodes))
-        flat, starts = np.concatenate(asked), np.cumsum([0, *map(len, asked)])[:-1]
-        for others, bounds, rows, weight, top in _index_parts(files, weights):
-            most = np.add.reduceat(top[flat], starts) * (1 + 1e-9)
-            for k in np.flatnonzero((most > 0) & (most >= least)):
-                spans = [(bounds[t], bounds[t + 1]) for t in asked[k]]
-                score = np.bincount(np.concatenate([rows[a:b] for a, b in spans]), np.concatenate([weight[a:b] for a, b in spans]), len(others))
-                found = np.flatnonzero((score > 0) & (score >= least[k]))
-                found = found[others[found] != nodes[k]]
-                if len(found):
-                    near, index = np.unique(np.append(best[k][1], others[found]), return_index=True)  # repeated rows are one node
-                    scores = np.append(best[k][0], score[found])[index]
-                    order = np.lexsort((near, -scores))[:LINKS]
-                    best[k] = scores[order], near[order]
-                    if len(order) == LINKS:
-                        least[k] = scores[order[-1]]
-        a, term = (np.repeat(np.array(x, np.int64), [max(1, len(b)) for _, b in best]) for x in (nodes, first))
-        b = list(chain.from_iterable(b.tolist() or [None] for _, b in best))
-        score = list(chain.from_iterable(s.tolist() or [None] for s, _ in best))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(term), pa.array(b, pa.int64()), pa.array(score, pa.float64())], ["a", "term", "b", "score"])
-
+def _placed(lists: Lists, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, asked, first = [], [], []
         for batch in batches:
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rest = _rest(np.frombuffer(raw.as_py(), weights.dtype), window)
-                if len(rest):
-                    terms, weight = weights.terms(rest)
-                    nodes.append(node)
-                    asked.append(_asked(terms, weight))
-                    first.append(int(terms[weight.argmax()]))
-                if len(nodes) == ASKED_ROWS:
-                    yield answered(nodes, asked, first)
-                    nodes, asked, first = [], [], []
-        if nodes:
-            yield answered(nodes, asked, first)
+            nodes = batch.column(2).to_numpy()
+            found = [lists.placed(some, nodes[k * BATCH_ROWS:(k + 1) * BATCH_ROWS]) for k, some in enumerate(_rests(batch.column(1), lists.weights.dtype, window))]
+            shard, place = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(shard, pa.int64()), pa.array(place, pa.int64())],
+                                             ["id", "ids", "node", "shard", "place"])
     return run
 
 
-def links(tokens: DataFrame, window: int, weights: Weights) -> DataFrame:
-    """``(a, term, b, score)``: the ``LINKS`` best BM25 neighbours ``b`` of every remainder ``a`` over all of them, written."""
-    rests = tokens.select("node", "ids")
-    index = written(rests.mapInArrow(_indexed(window, weights), "nodes binary, lengths binary, sizes binary, rows binary, often binary"), "index")
-    files = sorted(index.inputFiles())
-    return written(rests.mapInArrow(_linked(files, window, weights), "a bigint, term bigint, b bigint, score double"), "links")
-
-
-def _ordered(tokens: DataFrame, found: DataFrame, rows_per_task: int) -> DataFrame:
-    """``(node, task, at)``: an order in which what is linked stands together, cut into tasks by rank alone.
+class Index:
+    """Inverted index with BM25 weights over the remainders of one shard.
 
-    Remainders join with their nearest, and the groups with the group of their nearest member; groups stand in the order of their telling terms.
+    Terms of many rows are kept as rows of a dense table, the others as lists of rows and weights.
     """
-    nodes = tokens.select("node").distinct().join(found.groupBy(F.col("a").alias("node")).agg(F.min("term").alias("term")), "node", "left")
-    nodes = nodes.withColumn("g0", F.col("node"))
-    edges = found.where("b is not null").select("a", "b", "score")
-    for level in range(1, LEVELS + 1):
-        best = edges.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
-        joined = written(components(best), "groups")
-        nodes = nodes.join(joined.select(F.col("node").alias(f"g{level - 1}"), F.col("component").alias(f"g{level}")), f"g{level - 1}", "left")
-        nodes = nodes.withColumn(f"g{level}", F.coalesce(f"g{level}", f"g{level - 1}"))
-        if level < LEVELS:
-            for end in ("a", "b"):
-                edges = edges.join(joined.select(F.col("node").alias(end), F.col("component").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-            edges = edges.where("a <> b")
-    keys = ["lead", *(f"g{level}" for level in range(LEVELS, 0, -1)), "node"]
-    nodes = nodes.withColumn("lead", F.min("term").over(Window.partitionBy(f"g{LEVELS}"))).select(*keys)
-    ranked = nodes.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ranked = written(ranked.select("node", F.monotonically_increasing_id().alias("at")), "order")
-    part = F.shiftright("at", 33)
-    counts = {r["part"]: r["n"] for r in ranked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before = np.append(0, np.cumsum([counts.get(k, 0) for k in range(max(counts, default=0) + 1)])).tolist()
-    at = F.element_at(F.array(*map(F.lit, before)), part.cast("int") + 1) + F.col("at").bitwiseAND((1 << 33) - 1)
-    return ranked.select("node", at.cast("long").alias("at")).withColumn("task", F.floor(F.col("at") / rows_per_task).cast("long"))
-
-
-class _Index:
-    """Inverted index with BM25 weights over the remainders of one shard."""
 
     def __init__(self, rests: Sequence[np.ndarray], weights: Weights):
-        found = [weights.terms(r) for r in rests]
-        self.queries = [_asked(terms, weight) for terms, weight in found]
-        rows = np.repeat(np.arange(len(rests)), [len(t) for t, _ in found])
-        terms = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int64)
-        order = np.argsort(terms, kind="stable")
-        self.rows, self.weights = rows[order], np.concatenate([w for _, w in found])[order] if found else np.zeros(0)
-        self.starts = np.searchsorted(terms[order], np.arange(len(weights.idf) + 1))
         self.count = len(rests)
+        self.rows, terms, self.weights = weights.of(rests)
+        self.queries = np.split(terms, np.searchsorted(self.rows, np.arange(1, self.count))) if self.count else []
+        order = np.argsort(terms, kind="stable")
+        self.rows, self.weights = self.rows[order], self.weights[order]
+        self.starts = np.searchsorted(terms[order], np.arange(weights.vocabulary + 1))
+        common = np.flatnonzero(np.diff(self.starts) * COMMON >= max(1, self.count))
+        self.dense = np.zeros((len(common), self.count), np.float32)
+        self.slot = np.full(weights.vocabulary, -1)
+        self.slot[common] = np.arange(len(common))
+        for k, term in enumerate(common):
+            span = slice(self.starts[term], self.starts[term + 1])
+            self.dense[k, self.rows[span]] = self.weights[span]
+
+    def _rare(self, row: int) -> np.ndarray:
+        """BM25 scores of all rows for the terms of ``row`` that few rows have."""
+        terms = self.queries[row]
+        terms = terms[self.slot[terms] < 0]
+        begins, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.bincount(self.rows[at], self.weights[at], self.count)
+
+    def scores(self, row: int) -> np.ndarray:
+        """BM25 scores of all rows for all terms of ``row``."""
+        slots = self.slot[self.queries[row]]
+        total = np.zeros(self.count, np.float32)
+        for slot in slots[slots >= 0].tolist():
+            total += self.dense[slot]
+        return self._rare(row) + total
+
+    def partner(self, row: int, unused: np.ndarray) -> int | None:
+        """The unused row that shares most of the rare terms of ``row`` by weight, if any shares at least half."""
+        score = self._rare(row)
+        least, score = PARTNER * score[row], np.where(unused, score, 0.0)
+        best = int(score.argmax())
+        return best if score[best] > 0 and score[best] >= least else None
 
     def neighbours(self, row: int, unused: np.ndarray) -> np.ndarray:
-        """Unused rows that share a telling term with ``row``, best first, ties by row."""
-        spans = [np.arange(self.starts[t], self.starts[t + 1]) for t in self.queries[row]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        at = np.concatenate(spans)
-        score = np.bincount(self.rows[at], self.weights[at], self.count) * unused
+        """The ``RANKED`` best unused rows that share a term with ``row``, best first, ties by row."""
+        score = np.where(unused, self.scores(row), 0.0)
         found = np.flatnonzero(score > 0)
-        return found[np.lexsort((found, -score[found]))]
+        if len(found) > RANKED:
+            found = found[score[found] >= np.partition(score[found], len(found) - RANKED)[len(found) - RANKED]]
+        return found[np.lexsort((found, -score[found]))][:RANKED]
 
 
 class _Packer:
-    """Fills windows of one task; the open window goes on from shard to shard."""
+    """Fills the windows of one shard."""
 
     def __init__(self, window: int, weights: Weights, first_sequence: int):
         self.window, self.weights, self.sequence = window, weights, first_sequence
         self.open: list[tuple] = []  # (id, start, ids, tokens of the document)
         self.filled = 0
+        self.ids: list = []
+        self.rests: list[np.ndarray] = []
+        self.tokens: list[int] = []
+
+    def add(self, id_, whole: np.ndarray) -> Iterator[tuple]:
+        """Keeps the remainder of a document; its full windows are sequences of their own."""
+        for start in range(0, len(whole) - self.window + 1, self.window):
+            yield from self._closed([(id_, start, whole[start:start + self.window], len(whole))])
+        rest = _rest(whole, self.window)
+        if len(rest):
+            self.ids.append(id_)
+            self.rests.append(rest.copy())  # the document itself may be long
+            self.tokens.append(len(whole))
 
     def _closed(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -314,51 +342,40 @@ class _Packer:
             done, self.open, self.filled = list(self._closed(self.open)), [], 0
         return done, ids[len(fits):]
 
-    def shard(self, ids: list, documents: list[np.ndarray]) -> Iterator[tuple]:
-        for id_, whole in zip(ids, documents):
-            for start in range(0, len(whole) - self.window + 1, self.window):
-                yield from self._closed([(id_, start, whole[start:start + self.window], len(whole))])
-        rests = [_rest(d, self.window) for d in documents]
-        index, unused = _Index(rests, self.weights), np.array([len(r) > 0 for r in rests])
-        sizes, seed = np.array([len(r) for r in rests]), 0
-        seed_row = None  # the document that opened the window
+    def _place(self, row: int) -> Iterator[tuple]:
+        """Puts a remainder into the open window; what does not fit opens the next one."""
+        id_, rest, tokens = self.ids[row], self.rests[row], self.tokens[row]
+        done, left = self._put(id_, tokens - len(rest), rest, tokens)
+        yield from done
+        if len(left):
+            self._put(id_, tokens - len(left), left, tokens)
+
+    def packed(self) -> Iterator[tuple]:
+        """Windows of the shard. A document's close partner follows it; then come the neighbours of the seed that fit whole, best first; when
+        none does, the last document is the next seed, and its best neighbour is cut and opens the next window. Without a neighbour the next
+        unused document is taken."""
+        index, unused = Index(self.rests, self.weights), np.ones(len(self.rests), bool)
+        sizes = np.array([len(r) for r in self.rests], np.int64)
+        ranked, last, first = np.zeros(0, np.int64), None, 0
         while True:
-            while seed < len(rests) and not unused[seed]:
-                seed += 1
-            if seed == len(rests):
-                return
-            if seed_row is None:
-                seed_row, rows = seed, [seed]
-            else:
-                rows = self._greedy(index.neighbours(seed_row, unused).tolist(), sizes, self.window - self.filled) or [seed]
-            for row in rows:
-                unused[row] = False
-                whole = documents[row]
-                done, left = self._put(ids[row], len(whole) - sizes[row], rests[row], len(whole))
-                yield from done
-                if done:
-                    seed_row = None
-                if len(left):  # the cut document opens the next window
-                    self._put(ids[row], len(whole) - len(left), left, len(whole))
-                    seed_row = row
-                if done:
-                    break
-
-    @staticmethod
-    def _greedy(ranked: list[int], sizes: np.ndarray, room: int) -> list[int]:
-        """Neighbours, best first, that fit into the room whole; then the best of the others, which is cut."""
-        chosen, rest = [], None
-        for row in ranked:
-            if sizes[row] <= room:
-                chosen.append(row)
-                room -= int(sizes[row])
-            elif rest is None:
-                rest = row
-            if not room:
-                return chosen
-        return chosen + ([rest] if rest is not None else [])
-
-    def last(self) -> Iterator[tuple]:
+            row = index.partner(last, unused) if last is not None else None
+            if row is None:
+                fits = ranked[unused[ranked] & (sizes[ranked] <= self.window - self.filled)]
+                if not len(fits) and last is not None:
+                    ranked = fits = index.neighbours(last, unused)
+                if len(fits):
+                    row = int(fits[0])
+                else:
+                    while first < len(sizes) and not unused[first]:
+                        first += 1
+                    if first == len(sizes):
+                        yield from self._last()
+                        return
+                    row = first
+            unused[row], last = False, row
+            yield from self._place(row)
+
+    def _last(self) -> Iterator[tuple]:
         """The open window cut into sequences whose lengths are powers of two, so that none needs padding."""
         left = self.open
         for power in range(self.window.bit_length() - 1, -1, -1):
@@ -378,62 +395,60 @@ class _Packer:
 PIECES = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
-def _packed(window: int, weights: Weights):
+def _packed(window: int, weights: Weights, shard_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = kind = task = None
-        ids, documents, tokens = [], [], 0
+        kind, held = None, []
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
-        def rows(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-            held = []
+        def full(pieces: Iterator[tuple], least: int = 1024) -> Iterator[pa.RecordBatch]:
             for piece in pieces:
                 held.append(piece)
-                if len(held) == 1024:
-                    yield batch_of(held)
-                    held = []
-            if held:
-                yield batch_of(held)
+                if len(held) >= least:
+                    yield flushed()
 
-        def batch_of(held):
+        def flushed() -> pa.RecordBatch:
             columns = list(zip(*held))
-            types = (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", *PIECES])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, *types))], ["id", *PIECES])
+
+        packer = shard = None
         for batch in batches:
             kind = batch.schema.field(0).type
             for id_, raw, now in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                if now != task:
-                    if packer is not None:
-                        yield from rows(chain(packer.shard(ids, documents), packer.last()))
-                    packer, task = _Packer(window, weights, now << 40), now
-                    ids, documents, tokens = [], [], 0
-                ids.append(id_.as_py())
-                documents.append(np.frombuffer(raw.as_py(), weights.dtype))
-                tokens += len(documents[-1])
-                if tokens >= SHARD_TOKENS or len(ids) >= SHARD_ROWS:
-                    yield from rows(packer.shard(ids, documents))
-                    ids, documents, tokens = [], [], 0
+                if packer is not None and (now != shard or len(packer.rests) >= shard_rows):
+                    yield from full(packer.packed())
+                    packer = _Packer(window, weights, packer.sequence) if now == shard else None
+                if packer is None:
+                    packer, shard = _Packer(window, weights, now << 40), now
+                yield from full(packer.add(id_.as_py(), np.frombuffer(raw.as_py(), weights.dtype)))
         if packer is not None:
-            yield from rows(chain(packer.shard(ids, documents), packer.last()))
+            yield from full(packer.packed())
+        if held:
+            yield flushed()
     return run
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, window: int = 2048, end_id: int = 1,
-         rows_per_task: int = 20_000) -> DataFrame:
+         rows_per_task: int = 8_192, training_rows: int = 12_000) -> DataFrame:
     """Packs documents into sequences of ``window`` tokens; near documents, by BM25 over token ids, share sequences.
 
     Returns ``(id_col, start, length, ids, doc_tokens, sequence_id, offset)``, one row per piece: ``ids`` are little-endian unsigned
     32-bit, ``start`` counts the document's ids before the piece, ``offset`` the sequence's. Every id lies in exactly one piece.
 
     1. Texts are tokenised (``end_id`` after each) and written once; the number of remainders that hold each token is summed over all of
-       them, a table no longer than the vocabulary.
-    2. Full windows of long documents are sequences of their own. Every remainder asks an inverted index of all remainders, written in parts,
-       for its nearest; parts whose highest weights cannot reach those found are passed over. Remainders stand with their nearest, groups of
-       them with the nearest group; tasks are ``rows_per_task`` of that order, whatever the size and the cluster.
-    3. A task packs one shard of bounded size after another: an inverted index of the shard returns the unused neighbours of the seed;
-       those that fit are taken whole, then one is cut to fill the window and opens the next. A window stays open from shard to shard; the
-       last one of a task is cut into powers of two, which need no padding.
-
-    A NULL or empty text is the end id alone. Ties go to the order of tokens and hashes. Repeated rows are packed each by itself, NULL ids
-    stay NULL. A very long text is tokenised whole in one task. An empty table gives no piece. Extra columns are ignored.
+       them, a table no longer than the vocabulary. Full windows of long documents are sequences of their own; the remainders are packed.
+    2. Shards of near remainders: weight vectors are sketched to 256 numbers, k-means on about ``training_rows`` of them gives lists, and lists
+       are merged or cut to about ``rows_per_task`` remainders. A remainder is dealt to one shard by its own vector alone, so shards depend
+       neither on partitions nor on the cluster; documents are shuffled once.
+    3. A task makes an inverted index with BM25 weights of one shard after another, of ``rows_per_task`` remainders at most. All terms of a
+       seed are asked; its unused neighbours fill the window, best first: those that fit are taken whole, each followed by its close partner,
+       and the last of them is the next seed, whose best neighbour is cut and opens the next window. The last window of a shard is cut into
+       powers of two, which need no padding.
+
+    Neighbours in other shards are not found: on few documents there is one shard, on many a share of the nearest stands in others (README).
+    A NULL or empty text is the end id alone. Ties go to the order of codes and hashes. Repeated rows are packed each by itself, NULL ids stay
+    NULL. A very long text is tokenised whole in one task, but only its remainder is held for packing. An empty table gives no piece. Extra
+    columns are ignored.
     """
     from tokenizers import Tokenizer
 
@@ -442,11 +457,15 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     tokens = written(texts.mapInArrow(_tokenised(tokenizer, end_id, dtype), f"id {kind}, ids binary"), "tokens")
-    counts = tokens.select("ids").mapInArrow(_term_counts(window, dtype), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    rows = counts.collect()  # no longer than the vocabulary
-    weights = Weights([(r["term"], r["n"]) for r in rows], dtype)
+    counts = tokens.select("ids").mapInArrow(_term_counts(window, dtype, vocabulary), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    weights = Weights([(r["term"], r["n"]) for r in counts.collect()], dtype, vocabulary)  # no longer than the vocabulary
     tokens = tokens.withColumn("node", F.xxhash64("id", "ids"))
-    order = _ordered(tokens, links(tokens, window, weights), rows_per_task)
-    near = tokens.join(order, "node").repartition("task").sortWithinPartitions("task", "at").select("id", "ids", "task")
-    pieces = near.mapInArrow(_packed(window, weights), f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    lists = Lists(weights)
+    picked = tokens.where(hash_share(F.col("node"), min(1.0, training_rows / weights.rests))).select("ids").mapInArrow(_sampled(lists, window), "x binary, anchor bigint")
+    rows = sorted((bytes(r["x"]), r["anchor"]) for r in picked.collect())
+    lists.learn(np.frombuffer(b"".join(x for x, _ in rows), "<f4").reshape(-1, SKETCH).astype(np.float64), np.array([a for _, a in rows], np.int64), rows_per_task)
+    placed = tokens.select("id", "ids", "node").mapInArrow(_placed(lists, window), f"id {kind}, ids binary, node bigint, shard bigint, place bigint")
+    shards = int((lists.first + lists.number).max())
+    near = placed.repartition(min(2 * shards, MOST_PARTITIONS), "shard").sortWithinPartitions("shard", "place", "node").select("id", "ids", "shard")
+    pieces = near.mapInArrow(_packed(window, weights, rows_per_task), f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return pieces.withColumnRenamed("id", id_col)

@@ -3,7 +3,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from tabloom.llm.packing import TextIds, pack
+from tabloom.llm.packing import RANKED, Index, Lists, TextIds, Weights, _term_counts, pack
 from tests.llm.awkward import documents, empty, prose
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -86,27 +86,65 @@ def test_nearest_documents_of_other_index_parts_meet(spark):
     assert met >= 0.8, met  # a partner that only fits cut may stand in the next window
 
 
-def test_links_are_the_nearest_of_all_index_parts(spark):
-    from tabloom.llm.packing import LINKS, Weights, _asked, _term_counts, links
+def weighed(ids, vocabulary):
+    counts = [tuple(row) for b in _term_counts(64, "<u2", vocabulary)(iter([pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], ["ids"])]))
+              for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    return Weights(counts, "<u2", vocabulary)
 
+
+def brute_scores(ids):
+    """BM25 of every row for every row, from its published formula, over all terms."""
+    n, mean = len(ids), np.mean([len(x) for x in ids])
+    found = [dict(zip(*np.unique(x, return_counts=True))) for x in ids]
+    df = {}
+    for f in found:
+        for t in f:
+            df[t] = df.get(t, 0) + 1
+    weight = [{t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t, k in f.items()} for x, f in zip(ids, found)]
+    return np.array([[sum(w[t] for t in f if t in w) for w in weight] for f in found])
+
+
+def test_scores_are_bm25_over_all_terms():
     rng = np.random.default_rng(1)
-    ids = [rng.zipf(1.3, rng.integers(5, 60)).clip(max=500).astype("<u2") for _ in range(400)]
-    tokens = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(ids)], "node long, ids binary").repartition(5)
-    counts = tokens.select("ids").mapInArrow(_term_counts(64, "<u2"), "term bigint, n bigint").groupBy("term").sum("n").collect()
-    weights = Weights([tuple(r) for r in counts], "<u2")
-    found = {}
-    for r in links(tokens, 64, weights).where("b is not null").collect():
-        found.setdefault(r.a, []).append((r.score, r.b))
-    dense = np.zeros((400, 501))
-    for k, x in enumerate(ids):
-        terms, weight = weights.terms(x)
-        dense[k, terms] = weight
-    for k, x in enumerate(ids):
-        score = dense[:, _asked(*weights.terms(x))].sum(axis=1)
-        score[k] = 0
-        best = np.sort(score[score > 0])[::-1][:LINKS]
-        assert np.allclose(sorted((s for s, _ in found.get(k, [])), reverse=True), best, rtol=1e-5)
-        assert all(abs(score[b] - s) < 1e-4 for s, b in found.get(k, []))
+    ids = [rng.zipf(1.3, rng.integers(5, 60)).clip(max=500).astype("<u2") for _ in range(300)]
+    index, brute = Index(ids, weighed(ids, 512)), brute_scores(ids)
+    for row in range(300):
+        assert np.allclose(index.scores(row), brute[row], rtol=1e-4)
+        unused = rng.random(300) < 0.8
+        ranked, best = index.neighbours(row, unused), np.sort(np.where(unused, brute[row], 0))[::-1]
+        assert unused[ranked].all() and np.allclose(brute[row][ranked], best[:len(ranked)], rtol=1e-4) and len(ranked) == min(RANKED, (best > 0).sum())
+
+
+def test_shards_hold_most_of_the_nearest_documents():
+    rng = np.random.default_rng(2)
+    ids = []
+    for topic in range(12):  # topics share most words and have some of their own
+        own = rng.choice(400, 60, replace=False) + 100
+        ids += [np.concatenate([rng.zipf(1.2, 23).clip(max=99), rng.choice(own, 40)]).astype("<u2") for _ in range(100)]
+    order = rng.permutation(len(ids))
+    ids = [rng.permutation(ids[k]) for k in order]
+    lists = Lists(weighed(ids, 512))
+    lists.learn(*lists.sketched(ids[::2]), 300)
+    shard, _ = lists.placed(ids, np.arange(len(ids)) * 7919)
+    assert np.bincount(shard).max() <= 400 and len(np.unique(shard)) >= 4
+    brute = brute_scores(ids)
+    np.fill_diagonal(brute, -1)
+    near = np.argsort(-brute, axis=1)[:, :8]
+    assert (shard[near] == shard[:, None]).mean() >= 0.6
+
+
+def test_a_list_of_equal_documents_is_dealt_over_shards():
+    ids = [np.arange(40).astype("<u2")] * 3000 + [np.arange(50, 90).astype("<u2")] * 100
+    lists = Lists(weighed(ids, 128))
+    lists.learn(*lists.sketched(ids[::4]), 500)
+    shard, _ = lists.placed(ids, np.random.default_rng(0).integers(-2 ** 62, 2 ** 62, len(ids)))
+    assert np.bincount(shard[:3000], minlength=1).max() <= 700
+
+
+def test_full_shards_are_closed(spark):
+    df = documents(spark).where("doc_id is not null")
+    rows, sequences, found, padding = checked(df, window=64, rows_per_task=3)
+    assert padding == 0 and sum(r.length for r in rows) == sum(len(library(r.text)) + 1 for r in df.collect())
 
 
 @pytest.mark.parametrize("parts", [1, 7])
