@@ -23,7 +23,13 @@ class Quantiser:
         residuals = (units - self.centres[nearest(units, self.centres)])[:10_000]
         self.parts = [p for p in np.array_split(np.arange(units.shape[1]), SUBSPACES) if len(p)]
         self.books = [kmeans(residuals[:, p], CODES, seed + 1, rounds=6) for p in self.parts]
-        self.gaps = np.sqrt(((self.centres[:, None] - self.centres[None]) ** 2).sum(axis=2))
+        norms = (self.centres ** 2).sum(axis=1)
+        self.gaps = np.sqrt(np.maximum(0, norms[:, None] + norms[None] - 2 * self.centres @ self.centres.T))
+        # how much of the vectors' spread around their centres lies along the line between two centres, as a standard deviation
+        around = units - self.centres[nearest(units, self.centres)]
+        along = np.maximum(0, self.centres @ (around.T @ around) @ self.centres.T)
+        between = np.maximum(0, np.diag(along)[:, None] + np.diag(along)[None] - along - along.T)
+        self.spread = np.sqrt(between / max(float((around ** 2).sum()), 1e-300)) / np.where(self.gaps > 0, self.gaps, np.inf)
 
     def encode(self, units: np.ndarray):
         """List, codes, length of what the codes lose, and the part of the table distance that needs no query."""
@@ -34,17 +40,16 @@ class Quantiser:
         lost = np.sqrt(((residuals - decoded) ** 2).sum(axis=1))
         return home, codes.astype(np.uint8), lost, 2 * (self.centres[home] * decoded).sum(axis=1) + (decoded ** 2).sum(axis=1)
 
-    def probes(self, units: np.ndarray, home: np.ndarray, reach: float) -> np.ndarray:
-        """Lists behind whose bisecting plane a vector within ``reach`` along the plane's normal can lie: (rows, lists)."""
+    def probes(self, units: np.ndarray, home: np.ndarray, reach: float, slack: float | None) -> np.ndarray:
+        """Lists behind whose bisecting plane a vector within ``reach`` can lie: (rows, lists).
+
+        With ``slack``, the part of the way along the plane's normal is at most so many standard deviations of what it is in the sample.
+        """
         far = np.maximum(0, (units ** 2).sum(axis=1)[:, None] - 2 * units @ self.centres.T + (self.centres ** 2).sum(axis=1)[None])
         gaps = self.gaps[home]
         beyond = far - far[np.arange(len(units)), home][:, None]
-        return beyond <= 2 * reach * np.where(gaps > 0, gaps, np.inf) + ROUNDING
-
-
-def _share(slack: float | None, size: int) -> float:
-    """Part of a distance that bounds allow for along one direction: the whole of it unless ``slack`` is given."""
-    return 1.0 if slack is None else min(1.0, slack / np.sqrt(size))
+        share = 1.0 if slack is None else np.minimum(1.0, slack * self.spread[home])
+        return (beyond <= 2 * reach * share * gaps + ROUNDING) | (gaps == 0)
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -60,15 +65,16 @@ def _homed(quantiser: Quantiser, dtype: str, size: int):
     return run
 
 
-def _routed(quantiser: Quantiser, first: np.ndarray, number: np.ndarray, reach: float, dtype: str, size: int):
-    """Adds the blocks that hold the lists a vector probes."""
+def _routed(quantiser: Quantiser, first: np.ndarray, number: np.ndarray, reach: float, slack: float | None, dtype: str, size: int):
+    """Adds the blocks, from the vector's own on, that hold the lists it probes: of two blocks the first asks the second, once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 units = _units(matrix(part.column("vector"), dtype, size))
-                wanted = quantiser.probes(units, part.column("home").to_numpy(), reach)
+                wanted = quantiser.probes(units, part.column("home").to_numpy(), reach, slack)
                 lists = [np.unique(np.concatenate([np.arange(first[c], first[c] + number[c]) for c in np.flatnonzero(row)])) for row in wanted]
+                lists = [t[t >= own] for t, own in zip(lists, part.column("block").to_numpy())]
                 targets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "copies", "home", "block", "vector")), targets],
                                                  ["node", "copies", "home", "block", "vector", "targets"])
@@ -78,7 +84,6 @@ def _routed(quantiser: Quantiser, first: np.ndarray, number: np.ndarray, reach:
 def _block_links(quantiser: Quantiser, threshold: float, slack: float | None, dtype: str, size: int):
     """Links between the queries and the entries of one pair of blocks: weighted counts per query, and edges that span them."""
     radius = float(np.sqrt(2 - 2 * threshold))
-    share = _share(slack, size)
 
     def run(queries: pa.Table, entries: pa.Table) -> pa.Table:
         kind = entries.schema.field("node").type
@@ -88,18 +93,19 @@ def _block_links(quantiser: Quantiser, threshold: float, slack: float | None, dt
         asked, held = code[:len(asked)], code[len(asked):]
         q, x = matrix(queries.column("vector"), dtype, size), matrix(entries.column("vector"), dtype, size)
         q_unit, x_unit = _units(q), _units(x)
-        copies = entries.column("copies").to_numpy()
+        copies, q_copies = entries.column("copies").to_numpy(), queries.column("copies").to_numpy()
+        other = queries.num_rows > 0 and queries.column("asking")[0].as_py() != queries.column("asked")[0].as_py()
         home, codes, lost, fixed = quantiser.encode(x_unit)
         order = np.argsort(home, kind="stable")
         home, codes, lost, fixed, held, x_unit, copies = (a[order] for a in (home, codes, lost, fixed, held, x_unit, copies))
         lists, begins = np.unique(home, return_index=True)
         ends = np.append(begins[1:], len(home))
-        limit = radius ** 2 + lost ** 2 + 2 * radius * lost * share + ROUNDING
-        counts, edges = np.zeros(len(asked), np.int64), []
+        limit = (radius + lost) ** 2 + ROUNDING
+        counts, held_counts, edges = np.zeros(len(asked), np.int64), np.zeros(len(held), np.int64), []
         label = np.arange(len(names))
         for start in range(0, len(q), 256):
             part = q_unit[start:start + 256]
-            wanted = quantiser.probes(part, nearest(part, quantiser.centres), radius * share)[:, lists]
+            wanted = quantiser.probes(part, nearest(part, quantiser.centres), radius, slack)[:, lists]
             tables = [part[:, p] @ book.T for p, book in zip(quantiser.parts, quantiser.books)]
             far = (part ** 2).sum(axis=1)[:, None] - 2 * part @ quantiser.centres[lists].T + (quantiser.centres[lists] ** 2).sum(axis=1)[None]
             rows, cols = [], []
@@ -119,6 +125,8 @@ def _block_links(quantiser: Quantiser, threshold: float, slack: float | None, dt
             good = (exact >= threshold) & (asked[start + i] != held[j])
             i, j = i[good], j[good]
             np.add.at(counts, start + i, copies[j])
+            if other:  # the second block does not ask the first
+                np.add.at(held_counts, j, q_copies[start + i])
             left, right = asked[start + i], held[j]
             before = label.copy()
             while len(left):
@@ -131,14 +139,14 @@ def _block_links(quantiser: Quantiser, threshold: float, slack: float | None, dt
             moved = np.flatnonzero(before != label)
             edges.append(np.unique(np.stack([before[moved], label[moved]], axis=1), axis=0))
         edges = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-        some = np.flatnonzero(counts)
-        a = pa.array(names[np.append(asked[some], edges[:, 0])].tolist(), kind)
-        b = pa.array([None] * len(some) + names[edges[:, 1]].tolist(), kind)
-        return pa.table({"a": a, "b": b, "n": pa.array(np.append(counts[some], np.zeros(len(edges), np.int64)), pa.int64())})
+        some, back = np.flatnonzero(counts), np.flatnonzero(held_counts)
+        a = pa.array(names[np.concatenate([asked[some], held[back], edges[:, 0]])].tolist(), kind)
+        b = pa.array([None] * (len(some) + len(back)) + names[edges[:, 1]].tolist(), kind)
+        return pa.table({"a": a, "b": b, "n": pa.array(np.concatenate([counts[some], held_counts[back], np.zeros(len(edges), np.int64)]), pa.int64())})
     return run
 
 
-def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = 0.9, slack: float | None = None,
+def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = 0.9, slack: float | None = 4.5,
                            training_rows: int = 20_000, block_rows: int = 8192, seed: int = 0) -> DataFrame:
     """Links vectors whose cosine is ``threshold`` or more: ``(id_col, n_links, component_id, kept)``, one row per input row.
 
@@ -149,9 +157,10 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
        what the codes do not rule out is verified by the exact cosine in double precision.
     4. A pair of blocks returns counts and edges that span its links, never all pairs; components join the edges.
 
-    Probes and code distances are bounded by the triangle inequality, so no pair is missed, whatever directions the vectors vary in; the
-    price is that vectors that differ in many directions probe most lists. With ``slack``, both allow only for that many standard deviations
-    of a random direction's component: less work, but pairs are missed unless vectors vary alike in all dimensions.
+    Code distances are bounded by the triangle inequality and miss no pair. Probes allow for ``slack`` standard deviations along the line
+    between two centres, of which the sample's covariance says how much of a difference lies along it: vectors that vary in few directions
+    probe wider along these. Tests find every link of isotropic and of low-rank vectors; with ``slack=None`` probes are bounded by the triangle
+    inequality too, whatever the vectors, and most lists are probed.
 
     Vectors that are NULL, zero, of another length than most, or hold NULL or non-finite components link with nothing and are kept; so do
     rows with a NULL id (their component is NULL). Repeated rows are links of each other. Extra columns are ignored.
@@ -170,15 +179,15 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     homed = written(nodes.select("node", "copies", "vector").mapInArrow(_homed(quantiser, dtype, size), f"node {kind}, copies bigint, home bigint, vector binary"), "homed")
     counted = {r["home"]: r["n"] for r in homed.groupBy("home").agg(F.count("*").alias("n")).collect()}  # no longer than the lists
     first, number = blocks([counted.get(k, 0) for k in range(len(quantiser.centres))], chained(quantiser.centres), block_rows)
-    reach = float(np.sqrt(2 - 2 * threshold)) * _share(slack, size)
+    reach = float(np.sqrt(2 - 2 * threshold))
 
     starts, widths = (F.array(*[F.lit(int(x)) for x in a]) for a in (first, number))
     block = F.element_at(starts, F.col("home").cast("int") + 1) + F.pmod(F.xxhash64("node"), F.element_at(widths, F.col("home").cast("int") + 1))
     placed = homed.withColumn("block", block.cast("long"))
-    routed = placed.mapInArrow(_routed(quantiser, first, number, reach, dtype, size),
+    routed = placed.mapInArrow(_routed(quantiser, first, number, reach, slack, dtype, size),
                                f"node {kind}, copies bigint, home bigint, block bigint, vector binary, targets array<bigint>")
-    queries = routed.select("node", "vector", F.col("block").alias("asking"), F.explode("targets").alias("asked"))
-    met = routed.select(F.col("block").alias("asking"), F.explode("targets").alias("asked")).distinct()
+    queries = routed.select("node", "copies", "vector", F.col("block").alias("asking"), F.explode("targets").alias("asked"))
+    met = queries.select("asking", "asked").distinct()
     entries = placed.select("node", "copies", "home", "vector", F.col("block").alias("asked")).join(met, "asked")
     found = queries.groupBy("asking", "asked").cogroup(entries.groupBy("asking", "asked")).applyInArrow(
         _block_links(quantiser, threshold, slack, dtype, size), f"a {kind}, b {kind}, n bigint")
