@@ -37,7 +37,19 @@ def _js(n, tag, bins=10):
 
 def _ks(n, tag):
     return f"""{tag}_k AS (SELECT {n} AS v, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM s WHERE {n} IS NOT NULL GROUP BY 1),
-{tag}_ks AS (SELECT {r("max(abs(ca - cb))")} AS ks FROM (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () AS ca, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS cb FROM {tag}_k))"""
+{tag}_ks AS (SELECT {r("max(abs(ca - cb))")} AS ks, max(abs(ca - cb)) AS d, max(na) AS na, max(nb) AS nb FROM (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () AS ca, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM {tag}_k)),
+{tag}_p2 AS (SELECT {r(_ks_p("d", "na", "nb"))} AS p FROM {tag}_ks)"""
+
+
+def _ks_p(d, n, m):
+    """The alternating series of the asymptotic distribution; below 0.2 it is 1 to six digits."""
+    x = f"({d} * sqrt({n}::DOUBLE * {m} / ({n} + {m})))"
+    series = f"(SELECT sum((CASE WHEN t % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0 * t * t * {x} * {x})) FROM range(1, 100) g(t))"
+    return f"CASE WHEN {x} < 0.2 THEN 1.0 ELSE greatest(0, least(1, {series})) END"
+
+
+def _severity(psi, p):
+    return f"CASE WHEN {psi} > 0.2 OR {p} < 0.05 THEN 'HIGH' WHEN {psi} > 0.1 OR {p} < 0.1 THEN 'MODERATE' ELSE 'LOW' END"
 
 
 CAT = """k AS (SELECT event_type, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM s GROUP BY 1),
@@ -108,24 +120,28 @@ _COMPARE = ", ".join(f"{_psi(n, n)}, {_js(n, n)}, {_ks(n, n)}" for n in _NUMERIC
 
 def _moments(n):
     parts = ", ".join(f"{r(f'{fn}({n}) FILTER (side = {i})', 4)} AS {s}_{k}" for i, s in ((0, "ref"), (1, "cur")) for k, fn in (("mean", "avg"), ("std", "stddev_pop")))
-    return (f"SELECT '{n}' AS \"column\", (SELECT psi FROM {n}_psi) AS psi, (SELECT js FROM {n}_js) AS js_divergence, (SELECT ks FROM {n}_ks) AS ks_statistic, "
+    return (f"SELECT '{n}' AS \"column\", (SELECT psi FROM {n}_psi) AS psi, (SELECT js FROM {n}_js) AS js_divergence, (SELECT ks FROM {n}_ks) AS ks_statistic, (SELECT p FROM {n}_p2) AS ks_p_value, "
+            f"(SELECT {_severity('psi', 'p')} FROM {n}_psi, {n}_p2) AS severity, "
             f"{parts}, count({n}) FILTER (side = 0) AS ref_n, count({n}) FILTER (side = 1) AS cur_n FROM s")
 
 
 @query("compare_distributions", f"WITH {SIDES}, {_COMPARE} " + " UNION ALL ".join(_moments(n) for n in _NUMERIC))
 def compare_distributions(spark, sf):
-    return rounded(drift.compare_distributions(*halves(spark, sf)).drop("error", "ks_p_value", "severity"))
+    return rounded(drift.compare_distributions(*halves(spark, sf)).drop("error"))
 
 
 @query("drift_report_features", f"""WITH {SIDES}, {_COMPARE}, {CAT}
-""" + " UNION ALL ".join(f"""SELECT '{n}' AS "column", 'numeric' AS type, (SELECT psi FROM {n}_psi) AS psi, (SELECT ks FROM {n}_ks) AS statistic,
+""" + " UNION ALL ".join(f"""SELECT '{n}' AS "column", 'numeric' AS type, (SELECT psi FROM {n}_psi) AS psi, (SELECT ks FROM {n}_ks) AS statistic, (SELECT js FROM {n}_js) AS js_divergence, (SELECT p FROM {n}_p2) AS p_value,
+  (SELECT {_severity('psi', 'p')} FROM {n}_psi, {n}_p2) AS severity,
   {r(f"abs(avg({n}) FILTER (side = 1) - avg({n}) FILTER (side = 0)) / (abs(avg({n}) FILTER (side = 0)) + 1e-9) * 100", 2)} AS mean_shift_pct,
   CAST(NULL AS BIGINT) AS ref_unique FROM s""" for n in ("event_id", "user_id"))
-       + f" UNION ALL SELECT 'event_type', 'categorical', {CAT_PSI}, {CAT_CHI}, NULL, count(*) FILTER (a > 0) FROM k, t")
+       + f" UNION ALL SELECT 'event_type', 'categorical', {CAT_PSI}, {CAT_CHI}, NULL, NULL, NULL, NULL, count(*) FILTER (a > 0) FROM k, t")
 def drift_report_features(spark, sf):
     ref, cur = (df.drop("props") for df in halves(spark, sf))
     features, _ = drift.run_drift_report(ref, cur, "value")
-    return rounded(features.select("column", "type", "psi", "statistic", "mean_shift_pct", "ref_unique"))
+    numbers = F.col("type") == "numeric"  # SQL has no chi-square tail
+    return rounded(features.select("column", "type", "psi", "statistic", "js_divergence", F.when(numbers, F.col("p_value")).alias("p_value"),
+                                   F.when(numbers, F.col("severity")).alias("severity"), "mean_shift_pct", "ref_unique"))
 
 
 @query("drift_report_summary")

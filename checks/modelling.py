@@ -294,17 +294,58 @@ def isolation_forest_outliers(spark, sf):
 
 @query("cross_validate_model")
 def cross_validate_model(spark, sf):
-    return training.cross_validate_model(document_features(spark, sf), "toxic", "Logistic Regression", ["doc_id"], 3, parallelism=3)
+    return training.cross_validate_model(document_features(spark, sf), "toxic", "Logistic Regression", ["doc_id"], parallelism=3)
 
 
 @query("cross_validate_over_time")
 def cross_validate_over_time(spark, sf):
-    return training.cross_validate_model(sales(spark, sf), "price", "Ridge", ["o_orderkey"], 3, "o_orderdate", parallelism=3)
+    return training.cross_validate_model(sales(spark, sf), "price", "Ridge", ["o_orderkey"], time_column="o_orderdate", parallelism=3)
+
+
+LINE = """f AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_extendedprice AS price, l_quantity AS quantity, CAST('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber), 1, 8) AS BIGINT) % 5 AS fold FROM lineitem)"""
+
+
+def _line_scores(order):
+    return f"""s AS (SELECT g.fold, 1 - sum(pow(price - (slope * quantity + base), 2)) / sum(pow(price - mean, 2)) AS r2 FROM g JOIN held USING (fold) GROUP BY 1)
+SELECT 'Linear Regression' AS model, 'regression' AS task_type, '{order}' AS cv_type, 5::INT AS n_splits, 'r2' AS scoring, round(avg(r2), 4) + 0.0 AS mean_score, round(stddev_pop(r2), 4) + 0.0 AS std_score FROM s"""
+
+
+@query("cross_validate_line", f"""WITH {LINE},
+g AS (SELECT k.fold, regr_slope(price, quantity) AS slope, regr_intercept(price, quantity) AS base FROM f, range(5) k(fold) WHERE f.fold <> k.fold GROUP BY 1),
+held AS (SELECT *, avg(price) OVER (PARTITION BY fold) AS mean FROM f), {_line_scores('KFold')}""")
+def cross_validate_line(spark, sf):
+    """One feature: every fold's score in closed form."""
+    df = lines(spark, sf).select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    return training.cross_validate_model(df, "price", "Linear Regression", ["l_orderkey", "l_linenumber"], parallelism=3).drop("scores")
+
+
+@query("cross_validate_line_over_time", f"""WITH f AS MATERIALIZED (SELECT l_extendedprice AS price, l_quantity AS quantity, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS spot,
+  count(*) OVER () AS n, count(*) OVER () // 6 AS block FROM lineitem),
+g AS (SELECT k.fold, regr_slope(price, quantity) AS slope, regr_intercept(price, quantity) AS base FROM f, range(5) k(fold) WHERE spot < n - block * (5 - k.fold) GROUP BY 1),
+held AS (SELECT k.fold, price, quantity, avg(price) OVER (PARTITION BY k.fold) AS mean FROM f, range(5) k(fold) WHERE spot >= n - block * (5 - k.fold) AND spot < n - block * (4 - k.fold)),
+{_line_scores('TimeSeriesSplit')}""")
+def cross_validate_line_over_time(spark, sf):
+    df = lines(spark, sf).select("l_orderkey", "l_linenumber", "l_shipdate", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    return training.cross_validate_model(df, "price", "Linear Regression", ["l_orderkey", "l_linenumber"], time_column="l_shipdate", parallelism=3).drop("scores")
 
 
 @query("tune_hyperparameters")
 def tune_hyperparameters(spark, sf):
-    return training.tune_hyperparameters(sales(spark, sf).drop("o_orderdate"), "price", "Ridge", ["o_orderkey"], 3, 2)
+    return training.tune_hyperparameters(sales(spark, sf).drop("o_orderdate"), "price", "Ridge", ["o_orderkey"], parallelism=4)
+
+
+@query("tuned_point_is_refitted", "SELECT 5 AS points, true AS best_first, true AS as_listed, count(*) AS scored FROM lineitem")
+def tuned_point_is_refitted(spark, sf):
+    """All five points of the grid are listed, best first, and the first of them is what the returned model was fitted with."""
+    import json
+
+    df = lines(spark, sf).select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), "l_discount")
+    found = training.search_hyperparameters(df, "price", "Ridge", ["l_orderkey", "l_linenumber"], parallelism=4)
+    table = found.points.agg(F.count("*").cast("int").alias("points"), F.max_by("params", -F.col("rank")).alias("best"), F.max("mean_score").alias("top"),
+                             F.max_by("mean_score", -F.col("rank")).alias("first"))
+    scored = found.model.score(df).where(F.col("prediction").isNotNull()).agg(F.count("*").alias("scored"))
+    return table.crossJoin(scored).select("points", (F.col("top") == F.col("first")).alias("best_first"),
+                                          (F.col("best") == F.lit(json.dumps(found.best_params))).alias("as_listed"), "scored")
 
 
 def metrics_row(spark, metrics):

@@ -212,6 +212,55 @@ class FourierSvcModel(CustomModel):
         return out.withColumn("features", F.col("_plain")).drop("_plain")
 
 
+class _Trees:
+    """Fitted trees as arrays of nodes, scored together: one Arrow pass over the rows, however many trees there are."""
+
+    def __init__(self, models: list):
+        self.trees = []
+        for model in models:
+            nodes: list[list] = []
+            self._add(model._java_obj.rootNode(), nodes)
+            self.trees.append(nodes)
+
+    def _add(self, node, nodes: list[list]) -> int:
+        """Adds a node and what is below it: [feature, threshold or left categories, left, right, prediction]; a leaf has no feature."""
+        at = len(nodes)
+        nodes.append([None, None, at, at, float(node.prediction())])
+        if node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            if split.getClass().getSimpleName() == "ContinuousSplit":
+                nodes[at][:2] = [int(split.featureIndex()), float(split.threshold())]
+            else:
+                nodes[at][:2] = [int(split.featureIndex()), [float(v) for v in split.leftCategories()]]
+            nodes[at][2], nodes[at][3] = self._add(node.leftChild(), nodes), self._add(node.rightChild(), nodes)
+        return at
+
+    @staticmethod
+    def _descend(nodes: list[list], x: np.ndarray, at: int, rows: np.ndarray, out: np.ndarray) -> None:
+        feature, where, left, right, value = nodes[at]
+        if feature is None:
+            out[rows] = value
+            return
+        side = np.isin(x[rows, feature], where) if isinstance(where, list) else x[rows, feature] <= where
+        _Trees._descend(nodes, x, left, rows[side], out)
+        _Trees._descend(nodes, x, right, rows[~side], out)
+
+    def predictions(self, features: str = "features") -> Column:
+        """The prediction of every tree, as an array."""
+        trees = self.trees
+
+        @F.pandas_udf("array<double>")
+        def run(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=object)
+            x = np.stack(vectors.to_numpy()).astype(float)
+            out = np.empty((len(x), len(trees)))
+            for k, nodes in enumerate(trees):
+                _Trees._descend(nodes, x, 0, np.arange(len(x)), out[:, k])
+            return pd.Series(list(out), dtype=object)
+        return run(vector_to_array(features))
+
+
 class BoostedClassifier(CustomModel):
     """AdaBoost, SAMME (Zhu et al. 2009), on shallow weighted trees."""
 
@@ -246,14 +295,11 @@ class BoostedClassifier(CustomModel):
         return BoostedClassifier({"classes": classes, "alphas": alphas}, models)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        classes, out = self.params["classes"], df
-        votes = [F.lit(0.0)] * classes
-        total = sum(self.params["alphas"])
-        for i, (alpha, model) in enumerate(zip(self.params["alphas"], self.nested)):
-            copy = model.copy().setPredictionCol(f"_v{i}").setRawPredictionCol("").setProbabilityCol("")
-            out = copy.transform(out)
-            votes = [v + F.when(F.col(f"_v{i}") == k, alpha).otherwise(0.0) for k, v in enumerate(votes)]
-        return _probabilities(out, F.array(*[v / total for v in votes])).drop(*[f"_v{i}" for i in range(len(self.nested))])
+        classes, alphas = self.params["classes"], self.params["alphas"]
+        out = df.withColumn("_votes", _Trees(self.nested).predictions())
+        weighted = F.zip_with("_votes", F.array(*map(F.lit, alphas)), lambda v, w: F.struct(v.alias("v"), w.alias("w")))
+        votes = [F.aggregate(weighted, F.lit(0.0), lambda s, t: s + F.when(t["v"] == k, t["w"]).otherwise(0.0)) for k in range(classes)]
+        return _probabilities(out, F.array(*[v / sum(alphas) for v in votes])).drop("_votes")
 
 
 class BoostedRegressor(CustomModel):
@@ -289,15 +335,14 @@ class BoostedRegressor(CustomModel):
         return BoostedRegressor({"weights": weights}, models)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out, half = df, sum(self.params["weights"]) / 2
-        for i, model in enumerate(self.nested):
-            out = model.copy().setPredictionCol(f"_v{i}").transform(out)
-        pairs = F.array_sort(F.array(*[F.struct(F.col(f"_v{i}").alias("v"), F.lit(float(w)).alias("w"))
-                                       for i, w in enumerate(self.params["weights"])]))
+        half = sum(self.params["weights"]) / 2
+        out = df.withColumn("_votes", _Trees(self.nested).predictions())
+        weights = F.array(*[F.lit(float(w)) for w in self.params["weights"]])
+        pairs = F.array_sort(F.zip_with("_votes", weights, lambda v, w: F.struct(v.alias("v"), w.alias("w"))))
         start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("m"))
         median = F.aggregate(pairs, start, lambda a, p: F.struct(
             (a["s"] + p["w"]).alias("s"), F.coalesce(a["m"], F.when(a["s"] + p["w"] >= half, p["v"])).alias("m")))["m"]
-        return out.withColumn("prediction", median).drop(*[f"_v{i}" for i in range(len(self.nested))])
+        return out.withColumn("prediction", median).drop("_votes")
 
 
 class NeighbourModel(CustomModel):

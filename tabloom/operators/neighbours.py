@@ -6,21 +6,27 @@ triangle inequality then rules out every cell that lies farther away. The surviv
 cell) pairs meet in bounded blocks, each block keeps k candidates per left row, and a ranked window
 merges them. Cells of any size are split by a hash of the key, so a third of all rows at one point
 is spread over many tasks.
+
+With a restricting column, groups that fit a block are pooled, many to a block, and larger ones have
+cells of their own; the tables of both are DataFrames, so there may be any number of groups.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.columns import c
+from tabloom.session import cut_lineage
 
 BLOCK = 2_000                # rows per side of one distance block
-MAX_PIVOTS = 256
-MAX_GROUPS = 1_000           # values of the restricting column; the cell table is groups x pivots
+MAX_PIVOTS = 4_096
+ROUTED = 20_000              # left rows of a large group that are routed together
+ROUTE_CELLS = 4_000_000      # numbers held at once while bounds are worked out
 
 
 def _vector(df: DataFrame, features: list[str] | str) -> Column:
@@ -29,35 +35,45 @@ def _vector(df: DataFrame, features: list[str] | str) -> Column:
     return F.array(*[c(n).cast("double") for n in features])
 
 
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Accumulated by feature: exact for equal points, two dimensions in memory."""
-    total = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        total += (a[:, j, None] - b[None, :, j]) ** 2
-    return total
+    """By a matrix product, to about 1e-12 of the squared lengths."""
+    return np.maximum((a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1)[None], 0.0)
 
 
 def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, point_ids: np.ndarray, k: int,
                      exclude_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, point index, distance) of the k nearest points, ties to the smaller id."""
+    """(query index, point index, distance) of the k nearest points, ties to the smaller id.
+
+    A matrix product leaves the points near the k-th distance; their distances are added up feature by
+    feature, so equal points tie whatever block they are in.
+    """
     order = np.argsort(point_ids, kind="stable")
-    points, rows, cols, dist = points[order], [], [], []
+    points, point_ids, rows, cols, dist = points[order], point_ids[order], [], [], []
+    middle = points.mean(axis=0)
+    near, far = points - middle, queries - middle
+    longest = float((near * near).sum(axis=1).max(initial=0.0))
     step = max(1, 4_000_000 // max(len(points), 1))
     for start in range(0, len(queries), step):
-        d = squared_distances(queries[start:start + step], points)
+        some = far[start:start + step]
+        d = squared_distances(some, near)
         if exclude_same:
-            d[query_ids[start:start + step, None] == point_ids[order][None, :]] = np.inf
+            d[query_ids[start:start + step, None] == point_ids[None, :]] = np.inf
         if len(points) > k:
-            limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-11 * points.shape[1] * ((some * some).sum(axis=1) + longest)
             keep = (d <= limit[:, None]) & np.isfinite(d)
         else:
             keep = np.isfinite(d)
         r, p = np.nonzero(keep)
-        v = d[r, p]
+        v = np.zeros(len(r))
+        for j in range(points.shape[1]):
+            v += (queries[start + r, j] - points[p, j]) ** 2
         place = np.lexsort((p, v, r))
         r, p, v = r[place], p[place], v[place]
-        first = np.searchsorted(r, r, side="left")
-        top = np.arange(len(r)) - first < k
+        top = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
         rows.append(r[top] + start)
         cols.append(order[p[top]])
         dist.append(np.sqrt(v[top]))
@@ -66,95 +82,134 @@ def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, points: np.ndar
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
+class _Cells:
+    """Bounds of the cells of one group: pivot, smallest and largest distance to it, the few smallest ones."""
+
+    def __init__(self, pivots: np.ndarray, table: pd.DataFrame, need: int):
+        self.cell, self.low, self.high = table["cell"].to_numpy(), table["lo"].to_numpy(dtype=float), table["hi"].to_numpy(dtype=float)
+        self.near = np.array([(list(v) + [np.inf] * need)[:need] for v in table["near"]], dtype=float)
+        self.pivots, self.need = pivots[self.cell], need
+        self.longest = float((self.pivots * self.pivots).sum(axis=1).max(initial=0.0))
+
+    def wanted(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, cell) pairs that may hold one of a row's nearest."""
+        step = max(1, ROUTE_CELLS // (len(self.cell) * self.need))
+        for start in range(0, len(x), step):
+            some = x[start:start + step]
+            d = np.sqrt(squared_distances(some, self.pivots))
+            reach = (d[:, :, None] + self.near[None, :, :]).reshape(len(some), -1)
+            bound = np.partition(reach, self.need - 1, axis=1)[:, self.need - 1] if reach.shape[1] >= self.need else np.full(len(some), np.inf)
+            gap = np.maximum(np.maximum(d - self.high, self.low - d), 0.0)
+            allowance = 1e-6 * np.sqrt((some * some).sum(axis=1) + self.longest)  # roots of products near zero are coarse
+            row, hit = np.nonzero(gap <= (bound * (1 + 1e-9) + allowance + 1e-12)[:, None])
+            yield row + start, self.cell[hit]
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, features: list[str] | str, left_id: str, right_id: str,
              within: str | None = None, exclude_same: bool = False, block: int = BLOCK,
              max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(left_id, right_id, distance, rank): the k nearest right rows of each left row, all exact.
 
-    ``within`` restricts neighbours to rows with an equal value of that column. ``exclude_same``
-    leaves out the right row with the left row's own id.
+    ``within`` restricts neighbours to rows with an equal value of that column, of which there may be
+    any number; NULL is a value of its own. ``exclude_same`` leaves out the right row with the left row's own id.
     """
-    group = F.coalesce(F.concat(F.lit("="), c(within).cast("string")), F.lit("")) if within else F.lit("")  # NULL is a group of its own
+    group = F.coalesce(F.concat(F.lit("="), c(within).cast("string")), F.lit("")) if within else F.lit("")
     ids = {f.name: f.dataType for f in left.schema}, {f.name: f.dataType for f in right.schema}
     lefts = left.select(c(left_id).alias("lid"), _vector(left, features).alias("vec"), group.alias("grp"))
-    rights = right.select(c(right_id).alias("rid"), _vector(right, features).alias("vec"), group.alias("grp"))
+    rights = cut_lineage(right.select(c(right_id).alias("rid"), _vector(right, features).alias("vec"), group.alias("grp")))
     out = T.StructType([T.StructField("left_id", ids[0][left_id]), T.StructField("right_id", ids[1][right_id]),
                         T.StructField("distance", T.DoubleType())])
     rows = rights.count()
     if rows == 0:
         return left.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(1))
-    if within and rights.select("grp").distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        raise ValueError(f"'{within}' has more than {MAX_GROUPS} values.")
     need = k + 1 if exclude_same else k
     count = max(1, min(max_pivots, int(math.sqrt(rows / 4))))
     pivots = np.array([r[0] for r in rights.orderBy(F.xxhash64("rid"), "rid").limit(count).select("vec").collect()], dtype=float)
     pivots = np.unique(pivots, axis=0)
 
-    cell_schema = T.StructType(rights.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
+    if within:
+        # a small group goes to a pool with others, a large one keeps its name
+        sizes = rights.groupBy("grp").agg(F.count("*").alias("size"))
+        pools = -(-rows // block)
+        pool = F.when(F.col("size") > block, F.col("grp")).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("grp"), F.lit(pools)).cast("string")))
+        homes = cut_lineage(sizes.select("grp", pool.alias("home"), (F.col("size") > block).alias("large")))
+        rights, lefts = rights.join(homes, "grp"), lefts.join(homes, "grp")
+    else:
+        rights, lefts = (df.withColumn("home", F.lit("")).withColumn("large", F.lit(True)) for df in (rights, lefts))
 
     def assign(batches):
+        half = 0.5 * (pivots * pivots).sum(axis=1)
         for batch in batches:
             if len(batch):
-                d = squared_distances(np.stack(batch["vec"].to_numpy()).astype(float), pivots)
-                batch = batch.assign(cell=d.argmin(axis=1).astype("int32"), reach=np.sqrt(d.min(axis=1)))
+                x = _matrix(batch["vec"])
+                cell = np.where(batch["large"], (x @ pivots.T - half).argmax(axis=1), -1)
+                batch = batch.assign(cell=cell.astype("int32"), reach=np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1)))
             else:
                 batch = batch.assign(cell=pd.Series([], dtype="int32"), reach=pd.Series([], dtype=float))
             yield batch
 
-    placed = rights.mapInPandas(assign, cell_schema)
-    # per cell: size, extent and its few members nearest to the pivot (bounded: groups x pivots)
-    ranked = placed.select("grp", "cell", "reach", F.row_number().over(
-        Window.partitionBy("grp", "cell").orderBy("reach")).alias("rn")).where(F.col("rn") <= need)
-    close = {(r["grp"], r["cell"]): sorted(r["m"]) for r in
-             ranked.groupBy("grp", "cell").agg(F.collect_list("reach").alias("m")).collect()}
-    extents = {(r["grp"], r["cell"]): (r["n"], r["lo"], r["hi"]) for r in
-               placed.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect()}
-    by_group: dict[str, dict[str, np.ndarray]] = {}
-    for (g, cell), (n, lo, hi) in sorted(extents.items()):
-        entry = by_group.setdefault(g, {"cell": [], "lo": [], "hi": [], "near": []})
-        entry["cell"].append(cell), entry["lo"].append(lo), entry["hi"].append(hi)
-        near = close[(g, cell)]
-        entry["near"].append(near + [np.inf] * (need - len(near)))
-    by_group = {g: {name: np.array(v) for name, v in e.items()} for g, e in by_group.items()}
-
-    route_schema = T.StructType(lefts.schema.fields + [T.StructField("cell", T.IntegerType())])
-
-    def route(batches):
-        for batch in batches:
-            for g, part in batch.groupby("grp", sort=False):
-                cells = by_group.get(g)
-                if cells is None:
-                    continue
-                d = np.sqrt(squared_distances(np.stack(part["vec"].to_numpy()).astype(float), pivots))[:, cells["cell"]]
-                bound = np.full(len(d), np.inf)
-                for start in range(0, len(d), 512):
-                    reach = (d[start:start + 512, :, None] + cells["near"][None, :, :]).reshape(len(d[start:start + 512]), -1)
-                    bound[start:start + 512] = (np.partition(reach, need - 1, axis=1)[:, need - 1] if reach.shape[1] >= need else np.inf)
-                gap = np.maximum(np.maximum(d - cells["hi"], cells["lo"] - d), 0.0)
-                row, hit = np.nonzero(gap <= bound[:, None] * (1 + 1e-12) + 1e-12)
-                yield part.iloc[row].assign(cell=cells["cell"][hit].astype("int32"))
-
-    routed = lefts.mapInPandas(route, route_schema)
-    loads = {(r["grp"], r["cell"]): r["n"] for r in routed.groupBy("grp", "cell").agg(F.count("*").alias("n")).collect()}
-    # (group, cell) -> blocks per side; as many rows as there are cells
-    plan = left.sparkSession.createDataFrame(
-        [(g, cell, -(-n // block), -(-loads[(g, cell)] // block)) for (g, cell), (n, _, _) in extents.items() if (g, cell) in loads]
-        or [("", -1, 1, 1)], "grp string, cell int, r_blocks long, l_blocks long")
-    slot = lambda key, blocks: F.pmod(F.xxhash64(key, F.lit(17)), F.col(blocks))
-    everywhere = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    keys = ["grp", "cell", "r_block", "l_block"]
-    r_side = (placed.drop("reach").join(F.broadcast(plan), ["grp", "cell"]).withColumn("r_block", slot("rid", "r_blocks"))
-              .withColumn("l_block", everywhere("l_blocks")).select(*keys, "rid", F.col("vec").alias("rvec")))
-    l_side = (routed.join(F.broadcast(plan), ["grp", "cell"]).withColumn("l_block", slot("lid", "l_blocks"))
-              .withColumn("r_block", everywhere("r_blocks")).select(*keys, "lid", F.col("vec").alias("lvec")))
+    placed = rights.mapInPandas(assign, T.StructType(rights.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]))
+    placed = cut_lineage(placed) if within else placed
+    # the few smallest distances of a cell: those of every task first
+    part = F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")
+    smallest = lambda lists: F.slice(F.array_sort(F.flatten(F.collect_list(lists))), 1, need)
+    ranked = placed.withColumn("part", part).withColumn("rn", F.row_number().over(Window.partitionBy("home", "cell", "part").orderBy("reach"))).where(F.col("rn") <= need)
+    close = ranked.groupBy("home", "cell").agg(smallest(F.array("reach")).alias("near"))
+    extent = placed.groupBy("home", "cell").agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
+    cells = cut_lineage(extent.join(close, ["home", "cell"]))
+
+    fields = {f.name: f for f in lefts.schema}
+    routed_schema = T.StructType([fields["lid"], fields["vec"], fields["grp"], T.StructField("home", T.StringType()), T.StructField("cell", T.IntegerType())])
+
+    def dealt(rows: pd.DataFrame, bounds: _Cells) -> Iterator[pd.DataFrame]:
+        if len(rows):
+            for row, cell in bounds.wanted(_matrix(rows["vec"])):
+                yield rows.iloc[row][["lid", "vec", "grp", "home"]].assign(cell=cell.astype("int32"))
+
+    if within:
+        slots = cut_lineage(lefts.where("large").groupBy("home").agg(F.ceil(F.count("*") / ROUTED).cast("long").alias("slots")))
+        asked = lefts.where("large").join(slots, "home").select("lid", "vec", "grp", "home", F.pmod(F.xxhash64("lid"), F.col("slots")).alias("slot"))
+        numbers = slots.select(F.col("home").alias("_home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("_slot"))
+        offered = cells.where("cell >= 0").join(numbers, F.col("home") == F.col("_home")).select("_home", "_slot", "cell", "lo", "hi", "near")
+
+        def route(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            found = list(dealt(a, _Cells(pivots, b, need))) if len(b) else []
+            return pd.concat(found) if found else pd.DataFrame({n: [] for n in routed_schema.names})
+
+        large = asked.groupBy("home", "slot").cogroup(offered.groupBy("_home", "_slot")).applyInPandas(route, routed_schema)
+        small = lefts.where(~F.col("large")).select("lid", "vec", "grp", "home", F.lit(-1).alias("cell"))
+        routed = cut_lineage(large.unionByName(small))
+    else:
+        bounds = _Cells(pivots, cells.toPandas(), need)  # no longer than the pivots
+
+        def route(batches):
+            for batch in batches:
+                yield from dealt(batch, bounds)
+
+        routed = lefts.mapInPandas(route, routed_schema)
+    loads = routed.groupBy("home", "cell").agg(F.count("*").alias("load"))
+    blocks = lambda name: F.ceil(F.col(name) / block).cast("long")
+    plan = cells.join(loads, ["home", "cell"]).select("home", "cell", blocks("n").alias("r_blocks"), blocks("load").alias("l_blocks"))
+    slot = lambda key, number: F.pmod(F.xxhash64(key, F.lit(17)), F.col(number))
+    everywhere = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
+    keys = ["home", "cell", "r_block", "l_block"]
+    r_side = (placed.drop("reach", "large").join(plan, ["home", "cell"]).withColumn("r_block", slot("rid", "r_blocks"))
+              .withColumn("l_block", everywhere("l_blocks")).select(*keys, "rid", "grp", F.col("vec").alias("rvec")))
+    l_side = (routed.join(plan, ["home", "cell"]).withColumn("l_block", slot("lid", "l_blocks"))
+              .withColumn("r_block", everywhere("r_blocks")).select(*keys, "lid", "grp", F.col("vec").alias("lvec")))
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"left_id": [], "right_id": [], "distance": []})
-        lid, rid = a["lid"].to_numpy(), b["rid"].to_numpy()
-        q, p, d = nearest_in_block(np.stack(a["lvec"].to_numpy()).astype(float), lid,
-                                   np.stack(b["rvec"].to_numpy()).astype(float), rid, k, exclude_same)
-        return pd.DataFrame({"left_id": lid[q], "right_id": rid[p], "distance": d})
+        found = []
+        pairs = [(a, b)] if a["grp"].nunique() <= 1 and b["grp"].nunique() <= 1 else []
+        if not pairs:
+            others = dict(list(b.groupby("grp", sort=False)))
+            pairs = [(mine, others[g]) for g, mine in a.groupby("grp", sort=False) if g in others]
+        for mine, other in pairs:
+            if len(mine) and len(other) and mine["grp"].iloc[0] == other["grp"].iloc[0]:
+                lid, rid = mine["lid"].to_numpy(), other["rid"].to_numpy()
+                q, p, d = nearest_in_block(_matrix(mine["lvec"]), lid, _matrix(other["rvec"]), rid, k, exclude_same)
+                found.append(pd.DataFrame({"left_id": lid[q], "right_id": rid[p], "distance": d}))
+        return pd.concat(found) if found else pd.DataFrame({"left_id": [], "right_id": [], "distance": []})
 
     found = l_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(match, out)
     order = Window.partitionBy("left_id").orderBy("distance", "right_id")
