@@ -8,7 +8,8 @@ from pyspark import cloudpickle
 # code that runs in tasks travels with the job
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODULES = ("panels", "cleaning", "scaling", "encoding", "aggregates", "drifting", "statistics", "splitting", "sourcing", "neighbouring", "modelling", "composing", "invariants")
+MODULES = ("panels", "cleaning", "scaling", "encoding", "aggregates", "drifting", "statistics", "splitting", "sourcing", "neighbouring", "modelling", "composing", "invariants",
+           "planted")
 
 
 def load() -> None:

@@ -271,13 +271,13 @@ def select_k_best_mutual_information(spark, sf):
 @query("select_from_model")
 def select_from_model(spark, sf):
     df = lines(spark, sf).select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    return selection.select_from_model(df, "l_extendedprice", key=["l_orderkey"], trees=10, depth=5)
+    return selection.select_from_model(df, "l_extendedprice", key=["l_orderkey"])
 
 
 @query("rfe_select")
 def rfe_select(spark, sf):
     df = lines(spark, sf).select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    return selection.rfe_select(df, "l_extendedprice", 1, key=["l_orderkey"], trees=5, depth=4)
+    return selection.rfe_select(df, "l_extendedprice", 1, key=["l_orderkey"])
 
 
 @query("pca")
@@ -360,7 +360,7 @@ def voting_ensemble(spark, sf):
 @query("stacking_ensemble")
 def stacking_ensemble(spark, sf):
     return metrics_row(spark, training.build_ensemble(sales(spark, sf).drop("o_orderdate"), "price", ["Linear Regression", "Decision Tree"], ["o_orderkey"],
-                                                      "stacking", folds=3)[1])
+                                                      "stacking")[1])
 
 
 @query("score_new_rows")

@@ -29,6 +29,15 @@ def knn_join_within_class(spark, sf):
     return rounded(neighbours.knn_join(v, v, 3, "embedding", "vec_id", "vec_id", within="label", exclude_same=True, block=50))
 
 
+@query("knn_join_many_groups", f"""SELECT left_id, right_id, rank::INT AS rank, {r("d", 4)} AS distance FROM (
+  SELECT a.o_orderkey AS left_id, b.o_orderkey AS right_id, abs(a.o_totalprice - b.o_totalprice) AS d, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.o_totalprice - b.o_totalprice), b.o_orderkey) AS rank
+  FROM orders a JOIN orders b ON a.o_orderkey <> b.o_orderkey AND a.o_custkey = b.o_custkey) WHERE rank <= 3""")
+def knn_join_many_groups(spark, sf):
+    """A group per customer."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return rounded(neighbours.knn_join(o, o, 3, ["o_totalprice"], "o_orderkey", "o_orderkey", within="o_custkey", exclude_same=True), 4)
+
+
 @query("knn_join_customers", f"""WITH p AS (SELECT c_custkey, c_acctbal / 1000 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer),
 q AS (SELECT s_suppkey, s_acctbal / 1000 AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier)
 SELECT left_id, right_id, rank::INT AS rank, {r("d")} AS distance FROM (

@@ -54,12 +54,12 @@ def power_transform_box_cox(spark, sf):
 
 @query("quantile_transform")
 def quantile_transform(spark, sf):
-    return rounded(scale.quantile_transform(gappy(spark, sf).select(*BASE), "normal", 100, ["l_quantity", "l_extendedprice"]))
+    return rounded(scale.quantile_transform(gappy(spark, sf).select(*BASE), "normal", columns=["l_quantity", "l_extendedprice"]))
 
 
 @query("quantile_transform_uniform")
 def quantile_transform_uniform(spark, sf):
-    return rounded(scale.quantile_transform(gappy(spark, sf).select(*BASE), "uniform", 100, ["l_quantity", "l_extendedprice"]))
+    return rounded(scale.quantile_transform(gappy(spark, sf).select(*BASE), "uniform", columns=["l_quantity", "l_extendedprice"]))
 
 
 @query("log_transform", f"""SELECT c_custkey, c_acctbal, {r("ln(1 + greatest(c_acctbal, 0))")} AS c_acctbal_log1p FROM customer""")

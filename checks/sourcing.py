@@ -71,11 +71,22 @@ def read_sqlite(spark, sf):
     return sources.read_sqlite(spark, path, rows_per_partition=200).where("c_acctbal > 0")
 
 
-@query("list_sqlite_tables", "SELECT 'suppliers' AS \"table\" FROM supplier LIMIT 1")
+@query("list_sqlite_tables", """SELECT 'suppliers' AS "table", count(*) AS rows FROM supplier UNION ALL SELECT 'customers', count(*) FROM customer""")
 def list_sqlite_tables(spark, sf):
+    """Rows of two tables that lie in several files."""
     path = scratch(spark, "sqlite")
-    sqlite_files(table(spark, sf, "supplier").coalesce(1), path, "suppliers")
-    return sources.list_sqlite_tables(spark, path).select("table").distinct()
+    sqlite_files(table(spark, sf, "supplier").repartition(2), path, "suppliers")
+    sqlite_files(table(spark, sf, "customer").repartition(3), path, "customers")
+    return sources.list_sqlite_tables(spark, path).groupBy("table").agg(F.sum("rows").alias("rows"))
+
+
+@query("read_sqlite_mixed_files", """SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS size, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier""")
+def read_sqlite_mixed_files(spark, sf):
+    """Files of one table with other columns and types: the schema is that of all of them."""
+    path = scratch(spark, "sqlite")
+    sqlite_files(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("size"), F.col("c_mktsegment").alias("segment")).repartition(2), path, "parties")
+    sqlite_files(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("size")).repartition(2), path, "parties")
+    return sources.read_sqlite(spark, path, rows_per_partition=300)
 
 
 def workbook(frame):

@@ -7,7 +7,7 @@ from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, Str
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabloom.functions.columns import c, datetime_columns, is_numeric
-from tabloom.operators.impute import mode_value
+from tabloom.operators.impute import mode_values
 from tabloom.operators.quantiles import exact_quantiles
 
 HASH_SLOTS = 1 << 18
@@ -53,9 +53,9 @@ def build_preprocessor(train: DataFrame, features: list[str], output: str = "fea
             mean, spread = stats[f"m{i}"] or 0.0, stats[f"s{i}"] or 1.0
             pieces.append(f"(coalesce({_as_double(train, n)}, {fill[n]!r}D) - ({mean!r}D)) / ({spread!r}D) AS `_num_{i}`")
     index, hashed = [], []
+    modes = mode_values(train.select(*[c(n).cast("string").alias(n) for n in other]), other) if other else {}
     for i, n in enumerate(other):
-        mode = mode_value(train.select(c(n).cast("string").alias(n)), n)
-        pieces.append(f"coalesce(CAST({_sql_name(n)} AS STRING), {_sql_text('' if mode is None else mode)}) AS `_cat_{i}`")
+        pieces.append(f"coalesce(CAST({_sql_name(n)} AS STRING), {_sql_text(modes[n] or '')}) AS `_cat_{i}`")
         (hashed if n in hashed_columns else index).append(i)
     stages = [SQLTransformer(statement=f"SELECT {', '.join(pieces)} FROM __THIS__")]
     if index:

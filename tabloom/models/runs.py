@@ -16,7 +16,7 @@ RUNAWAY_GAP = 0.15
 
 
 def write_run(result, root: str) -> None:
-    """Appends a training result to the runs table."""
+    """Appends a training result to the runs table, and writes the test rows' labels and predictions beside it."""
     spark = result.train.sparkSession
     clean = lambda m: {k: float(v) for k, v in m.items() if v is not None}
     row = (result.run_id, result.trained_at, result.task_type, result.target_column, result.row_count, result.feature_columns,
@@ -24,6 +24,12 @@ def write_run(result, root: str) -> None:
            [(e["model"], e["status"], clean(e["metrics"]), e["error"]) for e in result.leaderboard],
            {k: str(v) for k, v in result.settings.items() if v is not None})
     spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(f"{root}/runs_table")
+    result.points().write.mode("overwrite").parquet(f"{root}/points/{result.run_id}")
+
+
+def read_points(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """Key, time, ``y_test`` and ``y_pred`` of a run's test rows."""
+    return spark.read.parquet(f"{root}/points/{run_id}")
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:

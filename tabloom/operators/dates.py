@@ -21,10 +21,25 @@ DATE_FORMATS = (
 FIRST_YEAR, LAST_YEAR = 1678, 2261
 
 
+# what a text must look like for the ISO forms, and for each layout, to be worth a try: a failed parse costs far more than a pattern
+ISO_SHAPE = r"^[+-]?\d{4,6}(-.*)?$|:"
+SHAPES = {
+    "M/d/yyyy": r"^\d+/\d+/\d+$",
+    "M/d/yyyy H:mm": r"^\d+/\d+/\d+ \d+:\d+$",
+    "M/d/yyyy H:mm:ss": r"^\d+/\d+/\d+ \d+:\d+:\d+$",
+    "yyyy/M/d": r"^\d{4,}/\d+/\d+$",
+    "yyyy/M/d H:mm:ss": r"^\d{4,}/\d+/\d+ \d+:\d+:\d+$",
+    "d-MMM-yyyy": r"^\d+-[^\d-]+-\d+$",
+    "MMM d, yyyy": r"^[^\d]+ \d+, \d+$",
+    "yyyyMMdd": r"^\d{8,}$",
+}
+
+
 def parse_timestamp(text: Column) -> Column:
-    """First layout that fits, NULL when none does."""
+    """First layout that fits, NULL when none does. A layout is tried only on texts of its shape."""
     trimmed = F.trim(text)
-    tries = [F.try_to_timestamp(trimmed)] + [F.try_to_timestamp(trimmed, F.lit(f)) for f in DATE_FORMATS]
+    tries = [F.when(trimmed.rlike(ISO_SHAPE), F.try_to_timestamp(trimmed))]
+    tries += [F.when(trimmed.rlike(SHAPES[f]), F.try_to_timestamp(trimmed, F.lit(f))) for f in DATE_FORMATS]
     stamp = F.coalesce(*tries)
     return F.when(F.year(stamp).between(FIRST_YEAR, LAST_YEAR), stamp)
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.columns import c, is_numeric, numeric_columns, replace_columns, unused_name
+from tabloom.operators.aggregate import column_values
 from tabloom.operators.fitted import Fitted
 from tabloom.operators.quantiles import exact_quantiles
 
@@ -20,11 +21,20 @@ def null_counts(df: DataFrame) -> dict[str, int]:
     return {n: row[f"c{i}"] for i, n in enumerate(df.columns)}
 
 
-def mode_value(df: DataFrame, column: str):
-    """Most frequent non-NULL value, the smallest on ties; None when there is none."""
-    top = (df.where(c(column).isNotNull()).groupBy(c(column).alias("v")).count()
-           .orderBy(F.desc("count"), "v").limit(1).collect())
-    return top[0]["v"] if top else None
+def mode_values(df: DataFrame, columns: list[str]) -> dict:
+    """{column: most frequent known value, the smallest on ties, or None} of all columns from one shuffle of their values.
+
+    Values are compared as text, which orders texts, booleans, dates and timestamps alike.
+    """
+    if not columns:
+        return {}
+    counted = column_values(df.select(*[c(n) for n in columns])).where(F.col("position") >= 0)
+    best = Window.partitionBy("position").orderBy(F.desc("copies"), "value")
+    top = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") == 1).collect()  # a row per column
+    texts = {columns[r["position"]]: r["value"] for r in top}
+    typed = [F.lit(texts[n]).cast(df.schema[n].dataType).alias(f"v{i}") for i, n in enumerate(columns) if n in texts]
+    row = df.sparkSession.range(1).select(*typed).first() if typed else {}
+    return {n: row[f"v{i}"] if n in texts else None for i, n in enumerate(columns)}
 
 
 def fit_impute_missing(df: DataFrame, columns: list[str] | None = None) -> Fitted:
@@ -32,7 +42,7 @@ def fit_impute_missing(df: DataFrame, columns: list[str] | None = None) -> Fitte
     gaps = [n for n, k in null_counts(df).items() if k and (columns is None or n in columns)]
     numeric = [n for n in gaps if is_numeric(df, n)]
     medians = {n: q[0] for n, q in exact_quantiles(df, numeric, [0.5]).items()}
-    modes = {n: mode_value(df, n) for n in gaps if n not in medians}
+    modes = mode_values(df, [n for n in gaps if n not in medians])
     fills = {n: v for n, v in {**medians, **modes}.items() if v is not None}
 
     def apply(other: DataFrame) -> DataFrame:

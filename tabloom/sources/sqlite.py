@@ -5,12 +5,16 @@ from __future__ import annotations
 import glob
 import os
 import sqlite3
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In,
                                     InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual)
 
 ROWS_PER_PARTITION = 500_000
+ROWS_PER_BATCH = 10_000
 
 
 def _quoted(name: str) -> str:
@@ -46,6 +50,30 @@ def _spark_type(declared: str) -> T.DataType:
     return T.StringType()
 
 
+def _columns(path: str, table: str) -> dict[str, T.DataType]:
+    with _connect(path) as db:
+        return {r[1]: _spark_type(r[2]) for r in db.execute(f"PRAGMA table_info({_quoted(table)})")}
+
+
+def _common(a: T.DataType | None, b: T.DataType) -> T.DataType:
+    """The type that holds a column declared differently in two files."""
+    if a is None or a == b:
+        return b
+    return T.DoubleType() if {type(a), type(b)} == {T.LongType, T.DoubleType} else T.StringType()
+
+
+_ARROW = {T.LongType: (pa.int64(), int), T.DoubleType: (pa.float64(), float), T.StringType: (pa.string(), str), T.BinaryType: (pa.binary(), bytes)}
+
+
+def _array(values: Sequence, kind: T.DataType) -> pa.Array:
+    """One column of a batch; values stored under another type than the declared one are converted one by one."""
+    arrow, convert = _ARROW[type(kind)]
+    try:
+        return pa.array(values, arrow)
+    except (pa.ArrowInvalid, pa.ArrowTypeError):
+        return pa.array([None if v is None else convert(v.encode() if convert is bytes and isinstance(v, str) else v) for v in values], arrow)
+
+
 class RowidRange(InputPartition):
     def __init__(self, path: str, low: int | None, high: int | None):
         self.path, self.low, self.high = path, low, high
@@ -88,17 +116,21 @@ class SqliteReader(DataSourceReader):
                 out += [RowidRange(path, at, min(at + self.step - 1, high)) for at in range(low, high + 1, self.step)]
         return out or [RowidRange(self.files[0], None, None)]
 
-    def read(self, partition: RowidRange):
-        wanted = ", ".join(_quoted(n) for n in self.schema.names)
-        clauses, values = [w for w, _ in self.where], [v for _, vs in self.where for v in vs]
+    def read(self, partition: RowidRange) -> Iterator[pa.RecordBatch]:
+        there = _columns(partition.path, self.table)
+        wanted = ", ".join(_quoted(n) if n in there else f"NULL AS {_quoted(n)}" for n in self.schema.names)
+        inner, values = f"SELECT {wanted} FROM {_quoted(self.table)}", []
         if partition.low is not None:
-            clauses.append("rowid BETWEEN ? AND ?")
+            inner += " WHERE rowid BETWEEN ? AND ?"
             values += [partition.low, partition.high]
-        sql = f"SELECT {wanted} FROM {_quoted(self.table)}" + (f" WHERE {' AND '.join(clauses)}" if clauses else "")
-        casts = [{T.LongType: int, T.DoubleType: float, T.StringType: str}.get(type(f.dataType)) for f in self.schema.fields]
+        # conditions see the selected columns, so that one a file lacks is NULL there
+        sql = f"SELECT * FROM ({inner})" + (f" WHERE {' AND '.join(w for w, _ in self.where)}" if self.where else "")
+        values += [v for _, vs in self.where for v in vs]
+        kinds = [f.dataType for f in self.schema.fields]
         with _connect(partition.path) as db:
-            for row in db.execute(sql, values):
-                yield tuple(None if v is None else cast(v) if cast else v for cast, v in zip(casts, row))
+            found = db.execute(sql, values)
+            while rows := found.fetchmany(ROWS_PER_BATCH):
+                yield pa.RecordBatch.from_arrays([_array(column, kind) for column, kind in zip(zip(*rows), kinds)], self.schema.names)
 
 
 class SqliteSource(DataSource):
@@ -108,23 +140,30 @@ class SqliteSource(DataSource):
     def name(cls) -> str:
         return "sqlite"
 
-    def _table(self) -> str:
-        tables = _tables(_files(self.options["path"])[0])
+    def _table(self) -> tuple[str, list[str]]:
+        """The table asked for, or the first by name, and the files that have it."""
+        found = {f: _tables(f) for f in _files(self.options["path"])}
+        names = sorted(set().union(*found.values()))
         wanted = self.options.get("table")
-        if wanted and wanted not in tables:
-            raise ValueError(f"No table is called {wanted!r}; there are: {tables}")
-        if not tables:
+        if wanted and wanted not in names:
+            raise ValueError(f"No table is called {wanted!r}; there are: {names}")
+        if not names:
             raise ValueError("The database is empty.")
-        return wanted or tables[0]
+        table = wanted or names[0]
+        return table, [f for f, tables in found.items() if table in tables]
 
     def schema(self) -> T.StructType:
-        with _connect(_files(self.options["path"])[0]) as db:
-            rows = db.execute(f"PRAGMA table_info({_quoted(self._table())})").fetchall()
-        return T.StructType([T.StructField(r[1], _spark_type(r[2])) for r in rows])
+        """The columns of all files, in the order they come; a file without one has NULLs there."""
+        table, files = self._table()
+        columns: dict[str, T.DataType] = {}
+        for file in files:
+            for name, kind in _columns(file, table).items():
+                columns[name] = _common(columns.get(name), kind)
+        return T.StructType([T.StructField(n, k) for n, k in columns.items()])
 
     def reader(self, schema: T.StructType) -> SqliteReader:
-        return SqliteReader(schema, _files(self.options["path"]), self._table(),
-                            int(self.options.get("rows_per_partition", ROWS_PER_PARTITION)))
+        table, files = self._table()
+        return SqliteReader(schema, files, table, int(self.options.get("rows_per_partition", ROWS_PER_PARTITION)))
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str | None = None,
@@ -137,9 +176,19 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None,
 
 
 def list_sqlite_tables(spark: SparkSession, path: str) -> DataFrame:
-    """(file, table) for every user table, ordered by name."""
-    rows = [(f, t) for f in _files(path) for t in _tables(f)]
-    return spark.createDataFrame(rows, "file string, table string").orderBy("file", "table")
+    """(file, table, rows) of every user table, ordered by name; tasks open the files and count."""
+    files = spark.createDataFrame([(f,) for f in _files(path)], "file string")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for file in batch["file"]:
+                tables = _tables(file)
+                with _connect(file) as db:
+                    found += [(file, t, db.execute(f"SELECT count(*) FROM {_quoted(t)}").fetchone()[0]) for t in tables]
+            yield pd.DataFrame(found, columns=["file", "table", "rows"])
+
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, "file").mapInPandas(look, "file string, table string, rows long").orderBy("file", "table")
 
 
 def register_sqlite_tables(spark: SparkSession, path: str) -> list[str]:

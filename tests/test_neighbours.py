@@ -32,6 +32,37 @@ def test_knn_with_fewer_rows_than_neighbours(spark):
     assert knn_join(df, df.limit(0), 5, ["x"], "id", "id").count() == 0
 
 
+def test_knn_within_groups_of_any_number_and_size(spark):
+    """Thousands of small groups, a few large ones with cells of their own, NULL as a group, and ids that do not meet."""
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 97 == 0 else f"g{i % 1500}", float(rng.normal()), float(rng.normal())) for i in range(4000)]
+    rows += [(10_000 + i, "large", float(rng.normal()), float(rng.normal())) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double")
+    got = {(r.left_id, r.right_id) for r in knn_join(df, df, 2, ["x", "y"], "id", "id", within="g", exclude_same=True, block=100).collect()}
+    want, groups = set(), {}
+    for row in rows:
+        groups.setdefault(row[1], []).append(row)
+    for members in groups.values():
+        points = np.array([m[2:] for m in members])
+        want |= {(members[i][0], members[j][0]) for i, j in brute(points, 2)}
+    assert got == want and len(groups) > 1000
+
+
+def test_few_pairs_are_compared():
+    from tabloom.operators.neighbours import _Cells
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(60, 3))[rng.integers(0, 60, 6000)] * 10 + rng.normal(size=(6000, 3)) * 0.1
+    pivots = points[rng.choice(6000, 300, replace=False)]
+    gap = np.sqrt(((points[:, None] - pivots[None]) ** 2).sum(axis=2))
+    home, reach = gap.argmin(axis=1), gap.min(axis=1)
+    table = pd.DataFrame([{"cell": k, "lo": reach[home == k].min(), "hi": reach[home == k].max(), "near": np.sort(reach[home == k])[:5]} for k in np.unique(home)])
+    sizes = np.bincount(home, minlength=300)
+    met = sum(int(sizes[cell].sum()) for _, cell in _Cells(pivots, table, 5).wanted(points[:500]))
+    assert met < 0.1 * 500 * 6000
+
+
 def test_lsh_recall(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))], "id long, x double, y double")
