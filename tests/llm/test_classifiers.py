@@ -75,6 +75,31 @@ def test_windows_cover_every_word():
         assert set(range(n)) <= {k for s in starts for k in range(s, s + WINDOW)} and np.all(np.diff(starts) == STRIDE)
 
 
+def test_a_passage_stands_whole_in_a_window_at_every_offset():
+    passage = WINDOW - STRIDE + 1  # longer ones may be cut by every window
+    for n in (33, 64, 65, 97, 200, 331):
+        starts = window_starts(n)
+        assert all(any(s <= at and at + passage <= s + WINDOW for s in starts) for at in range(n - passage + 1))
+
+
+def test_scores_are_the_highest_of_a_plain_loop_over_windows(spark):
+    docs, marks = corpus(spark, 80)
+    model = fit_toxicity(docs, marks)
+    texts = [prose(k, n) + (" vile scummy" if k % 2 else "") for k, n in enumerate((1, 5, 40, 64, 65, 130, 500))] + ["", " ?? ", "x" * 900]
+    plain = []
+    for text in texts:
+        words, tops = words_of(text), []
+        for at in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE):
+            part = words[at:at + WINDOW]
+            gates = model.reader.projected(part or ["x"])
+            logit = model.reader.forward(gates, np.arange(max(1, len(part)))[None, :], np.array([len(part)]))
+            tops.append(float(1 / (1 + np.exp(-float(logit[0])))))
+        plain.append(max(tops))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.s for r in df.select("doc_id", model.score(F.col("text")).alias("s")).orderBy("doc_id").collect()]
+    assert np.allclose(found, plain, atol=1e-4)
+
+
 def test_words_far_into_a_text_count(spark):
     docs, marks = corpus(spark)
     model = fit_toxicity(docs, marks)
@@ -99,6 +124,20 @@ def test_additive_model_learns_a_pair():
     assert (0, 1) in [(a, b) for a, b, *_ in model.pairs]
 
 
+def test_additive_scores_are_a_plain_walk_of_the_tables():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(600, 4)), np.zeros((50, 4)), np.repeat(rng.normal(size=(1, 4)), 50, axis=0)])
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0.3).astype(float)
+    model = fit_additive(x, y, rounds=20, pair_rounds=10)
+    for row, found in zip(x, model.score(x)):
+        total = model.base
+        for value, edges, table in zip(row, model.edges, model.tables):
+            total += table[sum(value >= e for e in edges)]
+        for a, b, cuts_a, cuts_b, table in model.pairs:
+            total += table[sum(row[a] >= e for e in cuts_a)][sum(row[b] >= e for e in cuts_b)]
+        assert abs(found - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_features_are_finite():
     for text in (None, "", "\n\n", "a", "\x00", "漢字" * 9, "!" * 1000):
         assert text_features(text).shape == (len(FEATURES),) and np.isfinite(text_features(text)).all()

@@ -99,3 +99,20 @@ def test_one_class_no_labels_no_rows(spark):
 def test_features_are_finite(spark):
     rows = lexical_features(pages(spark), "url", [(1.0, 0.5)] * 1024).select(*[f"f_{n}" for n in FEATURES]).collect()
     assert all(x is not None and np.isfinite(x) for r in rows for x in r)
+
+
+def test_filter_counts_match_sets_of_each_language():
+    rng = np.random.default_rng(0)
+    held = [rng.integers(1, 2 ** 63, n, dtype=np.uint64) for n in (3000, 500, 0, 1, 2000, 10, 700, 800, 900, 50)]  # more than eight languages, shared n-grams
+    held[4][:400] = held[0][:400]
+    filters = LanguageFilters([f"l{k}" for k in range(len(held))], held)
+    sets = [set(h.tolist()) for h in held]
+    for _ in range(20):
+        text = np.concatenate([rng.choice(held[0], 300), rng.choice(held[4], 200), rng.choice(held[8], 40), rng.integers(1, 2 ** 63, 400, dtype=np.uint64)])
+        exact = np.array([sum(g in s for g in text.tolist()) for s in sets])
+        claimed = filters.counts(text)
+        assert (np.abs(claimed - exact) <= 5 + 0.01 * len(text)).all() and claimed.argmax() == exact.argmax()
+        for k, s in enumerate(sets):  # a filter never misses what it holds
+            mine = np.array([g for g in text.tolist() if g in s], np.uint64)
+            if len(mine):
+                assert filters.counts(mine)[k] >= len(mine) - 1e-6
