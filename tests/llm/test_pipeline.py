@@ -19,6 +19,9 @@ CONTRACT = {
     "op8_inverted_multi_index": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     "op9_warc_chunked_records": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op10_quality_additive_model": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op11_dual_tree_codes": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    "op12_ns_bounds_clusters": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
+    "op13_winnowing_decontamination": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
 }
 
 
@@ -30,7 +33,7 @@ def test_contract(spark, name):
 
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} and "pipeline" in names
 
 
 @pytest.fixture(scope="module")
