@@ -89,6 +89,34 @@ def test_grouped_quantiles_with_one_hot_group(spark):
             assert np.allclose(a[g][1], b[g][1])
 
 
+def test_a_thousand_quantiles_need_few_expressions(spark):
+    """Every rank shares one sketch and one count a column, so many ranks cost no more passes or expressions than few."""
+    import time
+
+    rng = np.random.default_rng(2)
+    values = np.round(np.concatenate([rng.normal(size=6000), np.full(1500, 0.25)]), 3)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
+    probs = np.linspace(0, 0.999, 1000)
+    begun = time.monotonic()
+    found = exact_quantiles(df, ["x"], probs.tolist(), direct_rows=10, final_values=5)["x"]
+    assert time.monotonic() - begun < 60
+    ordered = np.append(np.sort(values), np.nan)
+    at = probs * (len(ordered) - 1)
+    low, high = ordered[np.floor(at).astype(int)], ordered[np.ceil(at).astype(int)]
+    assert np.allclose(found, low + (high - low) * (at - np.floor(at)))
+
+
+def test_grouped_quantiles_do_not_gather_a_group(spark):
+    df = spark.range(2000).selectExpr("CASE WHEN id % 5 = 0 THEN NULL ELSE 'hot' END AS g", "CAST(id * 37 % 1009 AS DOUBLE) AS x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = grouped_quantiles(df, ["g"], "x", [0.5], direct_rows=10)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.g: (r.n, r.q) for r in out.collect()} == {r.g: (r.n, r.q) for r in grouped_quantiles(df, ["g"], "x", [0.5]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_imputers_leave_no_gap(spark, mixed):
     gappy = mixed.select("id", F.when(F.col("id") % 5 != 0, F.col("a")).alias("a"), F.when(F.col("id") % 7 != 0, F.col("b")).alias("b"),
                          F.when(F.col("id") % 6 != 0, F.col("cat")).alias("cat"), F.lit(None).cast("double").alias("nothing"))
