@@ -119,3 +119,35 @@ def test_isolation_forest_drops_the_far_points(spark):
     assert not kept & {1000, 1001} and len(kept) >= 395
     scores = isolation.fit_isolation_forest(df, ["x", "y"]).transform(df)
     assert scores.where("id >= 1000").agg(F.min("anomaly_score")).first()[0] > scores.where("id < 1000").agg(F.avg("anomaly_score")).first()[0]
+
+
+def test_rows_without_far_neighbours_meet_wide_blocks(spark):
+    """Where no cell can be ruled out, a row is dealt to a few bundles of cells, not to every cell, and the answer stays exact."""
+    from tabloom.operators.neighbours import WIDE, _candidates
+
+    points = np.random.default_rng(3).normal(size=(1200, 16))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    found = _candidates(df, df, 2, "v", "id", "id", None, True, 10)
+    assert found.groupBy("left_id").count().agg({"count": "max"}).first()[0] <= 2 * 2 * (1200 / (WIDE * 10) + 1)
+    assert {(r.left_id, r.right_id) for r in knn_join(df, df, 2, "v", "id", "id", exclude_same=True, block=10).collect()} == brute(points, 2)
+
+
+def test_lsh_join_compares_buckets_in_blocks(spark):
+    """The k nearest of all rows that share a bucket in some table, rows that come twice included; no pair of a bucket becomes a row."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    points = np.random.default_rng(8).normal(size=(300, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    out = lsh_knn_join(df.union(df.where("id < 20")), df, 4, "v", "id", "id", 1.5, 0.5, tables=3)
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" in plan
+    ready = df.withColumn("f", array_to_vector("v"))
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=0.5, numHashTables=3, seed=42).fit(ready)
+    hashes = {r.id: [h[0] for h in r.h] for r in model.transform(ready).select("id", "h").collect()}
+    want = set()
+    for i in range(300):
+        d = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        near = sorted((d[j], j) for j in range(300) if d[j] < 1.5 and any(a == b for a, b in zip(hashes[i], hashes[j])))[:4]
+        want |= {(i, j, n + 1) for n, (_, j) in enumerate(near)}
+    assert {(r.left_id, r.right_id, r["rank"]) for r in out.collect()} == want
