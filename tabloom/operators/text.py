@@ -85,10 +85,18 @@ def _terms(df: DataFrame, column: str, key: str, ngram_range: tuple[int, int]) -
 
 
 def top_terms(df: DataFrame, column: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
-    """The most frequent terms: (term, total, documents), ties in term order."""
+    """The most frequent terms: (term, total, documents), ties in term order.
+
+    Where every key is there once, totals and documents are added up per task before terms are shuffled.
+    """
     require_column(df, column)
-    return (_terms(df, column, key, ngram_range).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("documents"))
-            .orderBy(F.desc("total"), "term").limit(int(max_features)))
+    last = lambda counted: counted.orderBy(F.desc("total"), "term").limit(int(max_features))
+    if not df.groupBy(c(key)).count().where("count > 1").isEmpty():
+        return last(_terms(df, column, key, ngram_range).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("documents")))
+    tokens = df.select(ngrams(words(c(column)), *ngram_range).alias("tokens"))
+    counts = lambda terms, total, met: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"), F.lit(met).alias("met")))
+    both = tokens.select(F.inline(F.concat(counts(F.col("tokens"), 1, 0), counts(F.array_distinct("tokens"), 0, 1))))
+    return last(both.groupBy("term").agg(F.sum("total").alias("total"), F.sum("met").alias("documents")))
 
 
 def _vocabulary(df: DataFrame, column: str, key: str, max_features: int, ngram_range: tuple[int, int]) -> list:

@@ -117,6 +117,16 @@ def test_grouped_quantiles_do_not_gather_a_group(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_top_terms_shuffle_no_pairs_of_documents_and_terms(spark):
+    from tabloom.operators.text import top_terms
+
+    rows = [(1, "a a b"), (None, "a"), (3, None), (4, ""), (5, "c b d")]
+    once, twice = (spark.createDataFrame(r, "id int, t string") for r in (rows, rows + [(1, "b c"), (None, "a d")]))
+    assert [tuple(r) for r in top_terms(once, "t", "id", 3).collect()] == [("a", 3, 2), ("b", 2, 2), ("c", 1, 1)]
+    assert [tuple(r) for r in top_terms(twice, "t", "id", 3).collect()] == [("a", 4, 2), ("b", 3, 2), ("c", 2, 2)]
+    assert "Aggregate [key" not in top_terms(once, "t", "id", 3)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_imputers_leave_no_gap(spark, mixed):
     gappy = mixed.select("id", F.when(F.col("id") % 5 != 0, F.col("a")).alias("a"), F.when(F.col("id") % 7 != 0, F.col("b")).alias("b"),
                          F.when(F.col("id") % 6 != 0, F.col("cat")).alias("cat"), F.lit(None).cast("double").alias("nothing"))
