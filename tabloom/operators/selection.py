@@ -16,6 +16,8 @@ from tabloom.operators.fitted import Fitted
 from tabloom.operators.quantiles import exact_quantiles
 from tabloom.operators.scale import fit_standard_scale
 
+ROWS_PER_TASK = 100_000      # a forest keeps a weight per row and tree
+
 
 def _setup(df: DataFrame, target: str, key: list[str] | None) -> tuple[DataFrame, list[str], str]:
     """(rows with a target and medians filled in, candidate columns, task)."""
@@ -79,10 +81,16 @@ def _forest(task: str, trees: int, seed: int, depth: int):
 def _assembled(filled: DataFrame, names: list[str], target: str, task: str) -> DataFrame:
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(filled)
     if task == "regression":
-        return ready.select("features", c(target).cast("double").alias("label"))
+        return _spread(ready.select("features", c(target).cast("double").alias("label")))
     classes = sorted(r[0] for r in filled.select(c(target).cast("string")).distinct().collect())
     index = F.array_position(F.array(*[F.lit(v) for v in classes]), c(target).cast("string")) - 1
-    return ready.select("features", index.cast("double").alias("label"))
+    return _spread(ready.select("features", index.cast("double").alias("label")))
+
+
+def _spread(table: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The table as it lies, or dealt to more tasks where one of them would hold too many rows."""
+    sizes = table.groupBy(F.spark_partition_id().alias("part")).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    return table.repartition(-(-sizes["rows"] // rows_per_task)) if (sizes["most"] or 0) > rows_per_task else table
 
 
 def importances(df: DataFrame, target: str, key: list[str] | None = None, trees: int = 100, seed: int = 42, depth: int = 10) -> dict[str, float]:

@@ -127,6 +127,20 @@ def test_top_terms_shuffle_no_pairs_of_documents_and_terms(spark):
     assert "Aggregate [key" not in top_terms(once, "t", "id", 3)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tasks_of_a_lookup_and_of_a_forest_grow_in_number_with_the_rows(spark):
+    from tabloom.operators import joins, selection
+
+    df = spark.range(900).select(F.col("id"), F.when(F.col("id") % 3 != 0, F.col("id") % 90).alias("k"))
+    table = df.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    out = joins.lookup_join(df, table, ["k"], "n", broadcast_rows=10, rows_per_task=50)
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.top) for r in out.collect()} == {(r.id, r.top) for r in joins.lookup_join(df, table, ["k"], "n").collect()}
+    points = df.selectExpr("id", "CAST(id AS DOUBLE) AS x", "CAST(id % 7 AS DOUBLE) AS y", "CAST(id < 450 AS INT) AS t").coalesce(1)
+    dealt = selection._spread(points, 100)
+    assert dealt.count() == 900 and dealt.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] <= 110
+    assert selection._spread(points, 1000) is points
+
+
 def test_imputers_leave_no_gap(spark, mixed):
     gappy = mixed.select("id", F.when(F.col("id") % 5 != 0, F.col("a")).alias("a"), F.when(F.col("id") % 7 != 0, F.col("b")).alias("b"),
                          F.when(F.col("id") % 6 != 0, F.col("cat")).alias("cat"), F.lit(None).cast("double").alias("nothing"))

@@ -83,6 +83,17 @@ def test_cv_tuning_and_ensembles(separable, linear):
         assert metrics["f1_weighted"] > 0.8
 
 
+@pytest.mark.parametrize("time_column", [None, "id"])
+def test_folds_are_filters_on_one_kept_table(linear, time_column):
+    """What is behind the table runs once, not in every pass of every fold."""
+    kept, folds = training._folds(linear.where("tenure >= 0"), ["id"], 3, time_column, 42)
+    try:
+        assert kept.storageLevel.useMemory and len(folds) == 3
+        assert all("InMemoryRelation" in part._jdf.queryExecution().withCachedData().toString() for pair in folds for part in pair)
+    finally:
+        kept.unpersist()
+
+
 def test_time_folds_expand(linear):
     folds = training.time_folds(linear, "id", ["id"], 4)
     assert [(a.count(), b.count()) for a, b in folds] == [(40, 40), (80, 40), (120, 40), (160, 40)]
