@@ -77,6 +77,38 @@ def test_far_donors_are_passed_over(spark):
     assert len(means) > 300 and all(abs(m - 100 * round(m / 100)) < 1 for m in means)
 
 
+def test_rows_meet_few_cells_of_a_table_and_all_that_matter():
+    """However many points there are, a row meets a few cells, and its k nearest points lie in these."""
+    rng = np.random.default_rng(9)
+    met = []
+    for depth in (7, 10):
+        points = rng.normal(size=(64 << depth, 3)) * [1.0, 5.0, 0.0]
+        table = masked.Halves(points[::8], np.array([0, 1]), depth, 4)
+        leaf = table.leaf(points)
+        some = np.unique(leaf)
+        ends = lambda g: np.array([g(points[leaf == k], axis=0) for k in some])
+        table.bounded(some, np.bincount(leaf)[some], ends(np.min), ends(np.max))
+        asking = rng.normal(size=(150, 3)) * [1.0, 5.0, 0.0]
+        row, cell = table.wanted(asking, 5)
+        pairs = set(zip(row.tolist(), cell.tolist()))
+        for i, x in enumerate(asking):
+            nearest = np.argsort(((points - x) ** 2).sum(axis=1))[:5]
+            assert {(i, int(leaf[j]) >> 4) for j in nearest} <= pairs
+        met.append(len(row) / len(asking))
+    assert max(met) < 4
+
+
+def test_few_patterns_with_many_ties_match_brute_force(spark):
+    """More equal points than neighbours, cells smaller than a pattern, a feature known nowhere beside its gap."""
+    rng = np.random.default_rng(10)
+    x = np.column_stack([rng.integers(0, 6, 700), rng.integers(0, 4, 700), rng.normal(size=700)]).astype(float)
+    x[::4, 2], x[1::9, 0], x[2::300] = np.nan, np.nan, np.nan
+    df, names = frame(spark, x)
+    got = {(r._id, f): r[f"_fill_{f}"] for r in masked.donor_means(df, "id", names, 4, 30).collect() for f in range(3) if r[f"_fill_{f}"] is not None}
+    want = brute_donors(x, 4)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def mice(x, order, rounds, ridge=1e-3):
     mean, spread = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
     z = (x - mean) / spread
