@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -11,6 +13,18 @@ HARD = ["a\x1cb c\x1dd\x1e e\x1f", "x\x85y\xa0z", " a b　c", "ÀÉÎ I'M DON'
         "é ́a ﬁ İI ǅ", "\x0ba\x0cb\x00c", "", "  \n ", None, "漢字かな 123 4a5b6 !!??..", "a᠎b﻿c", "\U0001F600 x", "z" * 300, "Straße. ÑANDÚ,*** ÷ a× İx ſt K Å ẞ <|ENDOFTEXT|> x<|y can't. o'' (a) a) 's. Ÿ!"]
 
 
+def test_index_is_made_in_little_more_than_it_holds():
+    rng = np.random.default_rng(3)
+    rests = [rng.integers(0, 40_000, 300).astype("<u2") for _ in range(8_192)]
+    weights = Weights([(t, 60) for t in range(40_000)] + [(-1, 300 * 8_192), (-2, 8_192)], "<u2", 49_152)
+    tracemalloc.start()
+    index = Index(rests, weights)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert index.count == 8_192 and peak < 90 << 20 and held < 50 << 20
+    assert index.starts[-1] == len(index.rows) == sum(len(np.unique(r)) for r in rests)
+
+
 def library(text):
     from tokenizers import Tokenizer
 
