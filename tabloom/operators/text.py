@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import c, existing, replace_columns, require_column
@@ -174,15 +175,17 @@ def lsa_text(df: DataFrame, column: str, key: str, n_components: int = 20, max_f
     The axes come from a randomised range finder over the sparse rows (``operators/sketch.py``); no features x features matrix is made.
     Signs make the largest loading positive; documents without a known term get zeros.
     """
-    from tabloom.operators.sketch import leading_axes, times
+    from tabloom.operators.sketch import leading_axes, sparse_parts, times
 
     ready = fit_tfidf_vectorize(df, column, key, max_features, ngram_range)
-    axes, _, parts = leading_axes(ready.transform(df), f"{column}_tfidf", len(ready.state["vocabulary"]), n_components)
+    weighted = ready.transform(df)
+    axes = leading_axes(weighted, f"{column}_tfidf", len(ready.state["vocabulary"]), n_components)[0]
     count = axes.shape[1]
 
-    @F.pandas_udf("array<double>")
-    def project(indices: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series(list(times(pd.DataFrame({"indices": indices, "values": values}), axes)), dtype=object)
+    @F.arrow_udf("array<double>")
+    def project(indices: pa.Array, values: pa.Array) -> pa.Array:
+        found = times(indices, values, axes)
+        return pa.ListArray.from_arrays(np.arange(0, found.size + 1, count, dtype=np.int32), found.ravel())
 
-    out = parts.withColumn("_lsa", project("indices", "values"))
+    out = weighted.withColumn("_lsa", project(*sparse_parts(f"{column}_tfidf")))
     return out.select(*[c(n) for n in df.columns], *[F.col("_lsa")[i].alias(f"lsa_{i + 1}") for i in range(count)])

@@ -1,8 +1,10 @@
 """Imputation by neighbours and by rounds of regressions; sketches, lagged sums, steps, profiles."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,28 @@ def test_axes_match_the_decomposition(spark):
     assert out.where("id > 900").select("lsa_1").distinct().collect()[0][0] == 0.0 and out.count() == 152
 
 
+@pytest.mark.parametrize("features, most", [(1_000, 40), (50_000, 90)])
+def test_a_pass_holds_a_slice_of_its_rows(features, most):
+    """A batch of long rows needs a few MB beside the features' own matrix, dense or not, and gives the plain product."""
+    rng = np.random.default_rng(0)
+    axes = rng.normal(size=(features, 30))
+    held = [np.sort(rng.choice(features, 150, replace=False)) for _ in range(6_000)] + [np.zeros(0, int)]
+    indices, values = pa.array([h.astype("int32") for h in held]), pa.array([rng.random(len(h)) for h in held])
+    batch = pa.RecordBatch.from_arrays([indices, values], ["indices", "values"])
+    tracemalloc.start()
+    out = next(sketch._there_and_back(axes)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < most << 20
+    back = np.zeros(axes.shape)
+    for h, v in zip(held[:500], values.to_pylist()):
+        back[h] += np.outer(v, np.asarray(v) @ axes[h])
+    few = next(sketch._there_and_back(axes)(iter([batch.slice(0, 500)])))
+    assert np.allclose(np.column_stack([few.column(1 + i).to_numpy() for i in range(30)]), back[few.column(0).to_numpy()])
+    assert out.num_rows == len(np.unique(np.concatenate(held)))
+    assert np.allclose(sketch.times(indices.slice(5_990), values.slice(5_990), axes)[9:], [np.asarray(values[5_999].as_py()) @ axes[held[5_999]], np.zeros(30)])
+
+
 @pytest.mark.parametrize("max_rows", [5_000_000, 60])
 def test_lagged_sums_give_every_normal_equation(spark, max_rows):
     rng = np.random.default_rng(6)
