@@ -148,10 +148,13 @@ def recipe(kind: str, df: DataFrame, target: str, key: list[str], text_column: s
     if kind not in {"classification", "regression", "text"}:
         raise ValueError("kind must be 'classification', 'regression' or 'text' (forecast_recipe for panels).")
     features = df.drop(*key)
+    if kind != "text":  # measured in many passes; texts would be written for a few
+        features = cut_lineage(features)
     found: dict[str, list] = {}
     for r in quality_recommendations(features, target).collect():
         found.setdefault(r["finding"], []).append(r["column"])
-    steps: list[tuple[str, dict]] = [("drop_duplicates", {})]
+    # later steps are fitted, so each of them reads its input
+    steps: list[tuple[str, dict]] = [("drop_duplicates", {}), ("materialize", {})]
     if "missing > 50 %" in found:
         steps.append(("drop_high_missing", {"threshold": 0.5}))
     if "constant" in found:

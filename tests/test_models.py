@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.models import catalogue, evaluate, runs, train as training
 from tabloom.operators import selection
+from tabloom.plans import recipes
 
 SMALL = {"Random Forest": {"n_estimators": 5, "max_depth": 4}, "AdaBoost": {"n_estimators": 4}, "MLP": {"hidden_layer_sizes": (4,), "max_iter": 30}}
 
@@ -122,3 +123,14 @@ def test_runs_table_round_trip(spark, linear, tmp_path):
     assert found.count() == 1 and missing == ["nope"]
     assert runs.inspect_run(table, result.run_id).first().successful_models[0] == "Linear Regression"
     assert {r.rule for r in runs.review_runs(table).collect()} >= {"suspicious score"}
+
+
+def test_a_run_reads_its_input_once(spark):
+    """Splits and fits of a run, and the fitted steps of a recipe, start from rows that are written once, not from the joins behind them."""
+    a = spark.range(300).selectExpr("id", "id % 7 + rand(1) AS x")
+    df = a.join(spark.range(300).selectExpr("id", "id * 2.0 AS price", "DATE'2020-01-01' + CAST(id AS INT) AS day").hint("merge"), "id")
+    result = training.train_candidates(df, training.TrainingSettings("price", ["id"], time_column="day"), include_models=["Baseline (Mean)"])
+    assert result.train.count() + result.test.count() == 300 and "Join" not in result.train._jdf.queryExecution().optimizedPlan().toString()
+    made = recipes.recipe("regression", df, "price", ["id"])
+    assert [n for n, _ in made.steps][:2] == ["drop_duplicates", "materialize"]
+    assert "Join" not in made.run(df)._jdf.queryExecution().optimizedPlan().toString()
