@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabloom.functions.columns import (c, categorical_columns, is_integer, is_numeric, numeric_columns, require_column,
                                        require_numeric, string_columns)
@@ -17,11 +19,11 @@ from tabloom.operators.impute import null_counts
 from tabloom.operators.joins import lookup_join
 from tabloom.operators.ordered import steps
 from tabloom.operators.quantiles import exact_quantiles, grouped_quantiles
-from tabloom.operators.scale import right_closed_code
 from tabloom.operators.series import adf_test
 
 # fixed values: largest Shapiro-Wilk sample and the advice texts
 SHAPIRO_ROWS = 5_000
+JOINT_CELLS = 100_000        # counts a task holds before it passes them on
 LOOKS_NORMAL = "Close to a normal distribution."
 NOT_NORMAL = "Far from a normal distribution; a log, power or quantile transform may help."
 
@@ -64,36 +66,65 @@ def correlation_significance(df: DataFrame, columns: list[str] | None = None) ->
     return _frame(df, rows, "col_a string, col_b string, r double, n long, p double")
 
 
-def _target_code(df: DataFrame, target: str, bins: int) -> Column:
-    if aggregate.infer_task_type(df, target) == "classification":
-        return c(target).cast("string")
-    edges = sorted({v for v in exact_quantiles(df, [target], [i / bins for i in range(bins + 1)])[target] if v is not None})
-    return right_closed_code(c(target).cast("double"), edges).cast("string")
+def _bins(x: np.ndarray, edges: list[float]) -> np.ndarray:
+    """``right_closed_code`` of values without NULL, -1 outside; NaN is the largest value, as in Spark."""
+    above = lambda e: (x > e) | (np.isnan(x) & ~np.isnan(e))
+    if len(edges) < 2:
+        return np.full(len(x), -1)
+    return np.where(~above(edges[-1]) & ((x >= edges[0]) | np.isnan(x)), sum((above(e).astype(np.int64) for e in edges[1:-1]), np.zeros(len(x), np.int64)), -1)
+
+
+def _joint_counts(edges: list[list[float]], target_edges: list[float] | None):
+    """Per task the rows of every (feature, bin, target bin or class); the last column is the target, its values are classes without edges."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, int] = {}
+
+        def rows() -> pa.RecordBatch:
+            feature, x, y = zip(*found) if found else ((), (), ())
+            out = pa.RecordBatch.from_arrays([pa.array(feature, pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.string()), pa.array(list(found.values()), pa.int64())],
+                                             ["feature", "x", "y", "n"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            if target_edges is None:
+                classes = batch.column(len(edges)).dictionary_encode()
+                code, names = classes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), classes.dictionary.to_pylist()
+            else:
+                code, names = _bins(batch.column(len(edges)).to_numpy(zero_copy_only=False), target_edges), [str(i) for i in range(len(target_edges))]
+            for i, mine in enumerate(edges):
+                width = len(mine) + 1
+                x = _bins(batch.column(i).to_numpy(zero_copy_only=False), mine) if len(mine) > 1 else np.zeros(len(code), np.int64)
+                counts = np.bincount((code + 1) * width + x + 1)
+                for cell in np.flatnonzero(counts).tolist():
+                    y, v = cell // width - 1, cell % width - 1
+                    key = i, None if v < 0 else v, None if y < 0 else names[y]
+                    found[key] = found.get(key, 0) + int(counts[cell])
+            if len(found) > JOINT_CELLS:
+                yield rows()
+        yield rows()
+    return run
 
 
 def mutual_information(df: DataFrame, target: str, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
     """Binned mutual information (nats) of each numeric feature with the target, medians filled in.
 
-    Rows become (feature, bin, target bin) counts in one partially aggregated shuffle; what is
-    left is at most features x bins x target classes.
+    One set of passes finds the edges of all features and of a numeric target. Tasks count their rows by (feature, bin, target bin),
+    at most features x bins x target classes, and these counts are added up.
     """
     require_column(df, target, "target_column")
     names = [n for n in numeric_columns(df, columns) if n != target]
     if not names:
         raise ValueError("No numeric column beside the target.")
     known = df.where(c(target).isNotNull())
-    y = _target_code(known, target, bins)
-    found = exact_quantiles(known, names, [i / bins for i in range(bins + 1)] + [0.5])
-    entries = []
-    for n in names:
-        edges = sorted({v for v in found[n][:-1] if v is not None})
-        if len(edges) < 2:
-            code = F.lit(0)
-        else:
-            code = right_closed_code(F.coalesce(c(n).cast("double"), F.lit(found[n][-1])), edges)
-        entries.append(F.struct(F.lit(n).alias("feature"), code.alias("x")))
-    cells = (known.select(y.alias("y"), F.explode(F.array(*entries)).alias("e"))
-             .groupBy("e.feature", "e.x", "y").agg(F.count("*").alias("n")))
+    classes = aggregate.infer_task_type(known, target) == "classification"
+    found = exact_quantiles(known, names if classes else [*names, target], [i / bins for i in range(bins + 1)] + [0.5])
+    edges = {n: sorted({v for v in q[:-1] if v is not None}) for n, q in found.items()}
+    values = [F.coalesce(c(n).cast("double"), F.lit(found[n][-1]).cast("double")).alias(f"v{i}") for i, n in enumerate(names)]
+    table = known.select(*values, c(target).cast("string" if classes else "double").alias("y"))
+    counted = table.mapInArrow(_joint_counts([edges[n] for n in names], None if classes else edges[target]), "feature int, x int, y string, n long")
+    cells = (counted.groupBy("feature", "x", "y").agg(F.sum("n").alias("n"))
+             .withColumn("feature", F.array(*[F.lit(n) for n in names])[F.col("feature")]))
     feature = Window.partitionBy("feature")
     total, nx, ny = F.sum("n").over(feature), F.sum("n").over(Window.partitionBy("feature", "x")), F.sum("n").over(Window.partitionBy("feature", "y"))
     term = F.col("n") / total * F.log(F.col("n") * total / (nx * ny))

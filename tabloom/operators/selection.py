@@ -19,12 +19,17 @@ from tabloom.operators.scale import fit_standard_scale
 ROWS_PER_TASK = 100_000      # a forest keeps a weight per row and tree
 
 
-def _setup(df: DataFrame, target: str, key: list[str] | None) -> tuple[DataFrame, list[str], str]:
-    """(rows with a target and medians filled in, candidate columns, task)."""
+def _candidates(df: DataFrame, target: str, key: list[str] | None) -> list[str]:
     require_column(df, target, "target_column")
     names = numeric_columns(df, exclude=[target, *(key or [])])
     if len(names) < 2:
         raise ValueError("Need at least 2 numeric feature columns for selection.")
+    return names
+
+
+def _setup(df: DataFrame, target: str, key: list[str] | None) -> tuple[DataFrame, list[str], str]:
+    """(rows with a target and medians filled in, candidate columns, task)."""
+    names = _candidates(df, target, key)
     known = df.where(c(target).isNotNull())
     medians = exact_quantiles(known, names, [0.5])
     filled = known.select(*[F.coalesce(c(n).cast("double"), F.lit(medians[n][0])).alias(n) for n in names], c(target))
@@ -65,7 +70,7 @@ def select_k_best(df: DataFrame, target: str, k: int | None = None, mutual_info:
     names = numeric_columns(df, exclude=[target, *(key or [])])
     k = max(1, min(int(k if k is not None else 10), len(names)))
     if mutual_info:
-        _setup(df, target, key)
+        _candidates(df, target, key)
         scores = {r["feature"]: r["mutual_information"] for r in mutual_information(df, target, names).collect()}
     else:
         scores = {r["feature"]: r["f"] for r in f_scores(df, target, key).collect()}

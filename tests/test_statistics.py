@@ -1,5 +1,7 @@
 """Tests, drift and exploratory statistics with known answers."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,43 @@ def test_shape_of_chart_data(spark):
     d = describe.violin_density(df, "x").orderBy("x").collect()
     assert abs(sum(r.density for r in d) * (d[1].x - d[0].x) - 1) < 0.05
     assert describe.histogram(df, "x", 7).agg(F.sum("count")).first()[0] == 1000
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_joint_counts_give_the_plain_information(spark, monkeypatch, classes):
+    """One set of passes finds all edges; NULLs take the median, a constant tells nothing."""
+    rng = np.random.default_rng(7)
+    rows = [(float(rng.normal()), None if i % 7 == 0 else float(i % 13), 1.0, f"k{i % 3}" if classes else float(rng.normal()) + i % 13) for i in range(600)]
+    df = spark.createDataFrame(rows, f"a double, b double, c double, y {'string' if classes else 'double'}")
+    calls, real = [], describe.exact_quantiles
+    monkeypatch.setattr(describe, "exact_quantiles", lambda *args: calls.append(1) or real(*args))
+    monkeypatch.setattr(describe, "JOINT_CELLS", 50)
+    got = {r.feature: r.mutual_information for r in describe.mutual_information(df, "y").collect()}
+
+    def binned(v):
+        edges = sorted(set(real(spark.createDataFrame([(x,) for x in v], "v double"), ["v"], [i / 10 for i in range(11)])["v"]))
+        return [sum(x > e for e in edges[1:-1]) for x in v]
+
+    y = [r[3] for r in rows] if classes else binned([r[3] for r in rows])
+    for i, n in enumerate("abc"):
+        known = sorted(r[i] for r in rows if r[i] is not None)
+        middle = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2 if n == "b" else 0.0
+        if n == "b":
+            edges = sorted(set(real(df, ["b"], [k / 10 for k in range(11)])["b"]))
+            x = [sum((middle if r[i] is None else r[i]) > e for e in edges[1:-1]) for r in rows]
+        else:
+            x = [0] * 600 if n == "c" else binned([r[i] for r in rows])
+        joint = {k: sum(p == k for p in zip(x, y)) for k in set(zip(x, y))}
+        want = sum(k / 600 * math.log(k * 600 / (x.count(p) * y.count(q))) for (p, q), k in joint.items())
+        assert abs(got[n] - max(want, 0.0)) < 1e-9
+    assert len(calls) == 1 and set(got) == {"a", "b", "c"}
+
+
+@pytest.mark.parametrize("edges", [[-1.0, 0.0, 0.5, 2.0], [-1.0, 0.0, float("nan")], [1.0]])
+def test_bins_of_tasks_are_those_of_the_expression(spark, edges):
+    from tabloom.operators.scale import right_closed_code
+
+    values = [-2.0, -1.0, -0.0, 0.3, 0.5, 2.0, 3.0, float("nan"), float("inf")]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    want = [r.code for r in df.select("i", right_closed_code(F.col("v"), edges).alias("code")).orderBy("i").collect()]
+    assert [None if k < 0 else k for k in describe._bins(np.array(values), edges).tolist()] == want
