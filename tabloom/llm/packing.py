@@ -29,7 +29,9 @@ ENDING = ".,!?;:|#$%&*\"()[]{}+=/~^@`-_\\"  # no apostrophe, which starts some p
 PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]{1,64}[.,!?;:|#$%&*\"()\[\]{}+=/~^@`\-_\\]*$"
 SAMPLES = ("Word", "straße.", "ÉTÉ!!", "niño,***", "a\")", "oneandanother###")
 # byte-level vocabularies write bytes outside printable Latin-1 as the characters from 256 on
-BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+BYTE_CHARACTERS = np.arange(256, dtype="<u4")
+_unprinted = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_CHARACTERS[_unprinted] = 256 + np.arange(len(_unprinted))
 
 
 class TextIds:
@@ -45,39 +47,50 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parted = Tokenizer.from_file(path), True
-        self.known: dict[str, bytes] = {}
+        self.known, self.known_sizes, self.known_ids = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int32)
         found = self._parts(pa.array(SAMPLES))
         self.parted = [x.tolist() for x in np.split(found[0], np.cumsum(found[1])[:-1])] == self._whole(SAMPLES)
 
     def _whole(self, parts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(parts), add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, as bytes; the first ones that come are kept."""
-        known, tokenize = self.known, self.tokenizer.model.tokenize
-        out = []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = array("I", [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS))]).tobytes()
-                if len(known) < WORDS_KEPT:
-                    known[word] = ids
-            out.append(ids)
-        return out
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the kept words and of ``words`` that are not among them, one after another, how many each has, and the place of ``words`` there.
+
+        The first words that come are kept.
+        """
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(place.is_null())
+        sizes, ids = array("i"), array("i")
+        tokenize = self.tokenizer.model.tokenize
+        for word in _byte_characters(new):
+            found = [t.id for t in tokenize(word)]
+            ids.fromlist(found)
+            sizes.append(len(found))
+        index = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        index[index < 0] = len(self.known) + np.arange(len(new))
+        sizes = np.append(self.known_sizes, np.frombuffer(sizes, np.int32))
+        ids = np.append(self.known_ids, np.frombuffer(ids, np.int32))
+        if room := min(len(new), WORDS_KEPT - len(self.known)):
+            self.known = pa.concat_arrays([self.known, new[:room]])
+            self.known_sizes = sizes[:len(self.known)].copy()
+            self.known_ids = ids[:self.known_sizes.sum()].copy()
+        return ids, sizes, index
 
     def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct parts one after another, and how many each has."""
         plain = pc.match_substring_regex(parts, PLAIN) if self.parted else pa.array(np.zeros(len(parts), bool))
         low = pc.utf8_lower(parts.filter(plain))
         words, ends = pc.utf8_rtrim(low, ENDING).dictionary_encode(), pc.utf8_ltrim(low, LETTERS).dictionary_encode()
-        pieces = self._words(words.dictionary.to_pylist())
-        pieces += [array("I", ids).tobytes() for ids in chain(self._whole(ends.dictionary.to_pylist()), self._whole(parts.filter(pc.invert(plain)).to_pylist()))]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // array("I").itemsize
-        values = np.frombuffer(b"".join(pieces), np.uint32).astype(np.int32)
+        values, sizes, place = self._words(words.dictionary)
+        asked = len(sizes)
+        others = self._whole(ends.dictionary.to_pylist()) + self._whole(parts.filter(pc.invert(plain)).to_pylist())
+        values = np.append(values, np.fromiter(chain.from_iterable(others), np.int32))
+        sizes = np.append(sizes, np.fromiter(map(len, others), np.int64, len(others)))
         first, second = np.full(len(parts), -1), np.full(len(parts), -1)
         plain = plain.to_numpy(zero_copy_only=False)
-        first[plain], second[plain] = words.indices.to_numpy(), ends.indices.to_numpy() + len(words.dictionary)
-        first[~plain] = np.arange((~plain).sum()) + len(words.dictionary) + len(ends.dictionary)
+        first[plain], second[plain] = place[words.indices.to_numpy()], ends.indices.to_numpy() + asked
+        first[~plain] = np.arange((~plain).sum()) + asked + len(ends.dictionary)
         both = np.stack([first, second], axis=1).ravel()
         return _gathered(values, sizes, both[both >= 0]), sizes[first] + np.where(second >= 0, sizes[second], 0)
 
@@ -92,6 +105,17 @@ class TextIds:
         return _gathered(values, sizes, index), stops[offsets - offsets[0]]
 
 
+def _byte_characters(words: pa.Array) -> list[str]:
+    """Words without spaces as the characters that stand for their bytes, all of them turned at once."""
+    if not len(words):
+        return []
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+    if not joined.isascii():
+        joined = BYTE_CHARACTERS[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        return joined.split(chr(BYTE_CHARACTERS[ord(" ")]))
+    return joined.split(" ")
+
+
 def _gathered(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Runs of ``values`` (of ``sizes``, one after another) in the order of ``index``."""
     total = int(sizes[index].sum())
@@ -192,10 +216,12 @@ class Lists:
         """
         rows, terms, weight = self.weights.of(rests)
         x = np.bincount(rows * SKETCH + self.place[terms], weight * self.sign[terms], len(rests) * SKETCH).reshape(-1, SKETCH)
-        order = np.lexsort((self.luck[terms] / np.maximum(weight, 1e-12), rows))
-        some, first = np.unique(rows[order], return_index=True)
         anchor = np.zeros(len(rests), np.int64)
-        anchor[some] = terms[order][first]
+        if len(rows):
+            draw = self.luck[terms] / np.maximum(weight, 1e-12)
+            begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))  # a row's terms stand side by side
+            least = np.flatnonzero(draw == np.repeat(np.minimum.reduceat(draw, begins), np.diff(np.append(begins, len(rows)))))[::-1]
+            anchor[rows[least]] = terms[least]  # of equal draws the smallest term is written last
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), anchor
 
     def learn(self, sample: np.ndarray, anchor: np.ndarray, rows: int, seed: int = 0) -> None:

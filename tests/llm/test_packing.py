@@ -5,6 +5,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
+from tabloom.llm import packing
 from tabloom.llm.packing import RANKED, Index, Lists, TextIds, Weights, _term_counts, pack
 from tests.llm.awkward import documents, empty, prose
 
@@ -57,6 +58,32 @@ def checked(df, window=2048, **options):
     return rows, sequences, documents_, padding
 
 
+def test_words_are_kept_in_arrays_and_asked_once(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 3_000)
+    tokens = TextIds(PATH)
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("aàeßnîrst"), rng.integers(1, 9))) for _ in range(4_000)]
+    for start in range(0, 4_000, 1_000):  # words come again, kept ones and others
+        texts = [" ".join(words[max(0, start - 500):start + 1_000]), None, "", words[start].upper() + "!"]
+        ids, bounds = tokens.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in tokens.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert len(tokens.known) == len(tokens.known_sizes) == len(set(tokens.known.to_pylist())) <= 3_000
+    assert tokens.known.nbytes + tokens.known_sizes.nbytes + tokens.known_ids.nbytes < 60 * len(tokens.known)
+
+
+def test_anchor_is_the_term_of_the_smallest_draw():
+    rng = np.random.default_rng(1)
+    rests = [rng.integers(0, 50, n).astype("<u2") for n in (0, 5, 40, 0, 1, 300, 0)]
+    weights = Weights([(t, 1 + t % 5) for t in range(50)] + [(-1, 346), (-2, 4)], "<u2", 50)
+    lists = Lists(weights)
+    lists.luck = np.round(lists.luck, 1)  # some draws are equal
+    rows, terms, weight = weights.of(rests)
+    draw = lists.luck[terms] / np.maximum(weight, 1e-12)
+    expected = [min(((draw[k], terms[k]) for k in np.flatnonzero(rows == row)), default=(0, 0))[1] for row in range(len(rests))]
+    assert lists.sketched(rests)[1].tolist() == expected
+    assert lists.sketched([rests[0]])[1].tolist() == [0]
+
+
 def test_every_id_once(spark):
     df = documents(spark)
     rows, sequences, found, padding = checked(df)
