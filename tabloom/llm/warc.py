@@ -93,11 +93,12 @@ def _written_archive(folder: str, date: str, level: int):
 def write_archives(chunks: DataFrame, folder: str, *, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
     """Writes chunk rows as ``.warc.gz`` files, one for each task, and returns their list ``(path, records, bytes)``.
 
-    A file is named by its task attempt and counts only if the list names it, so lost and repeated attempts leave no record twice.
+    A file is named by its task attempt and counts only if the list names it, so lost and repeated attempts leave no record twice. The list, a
+    row for each file, is one Parquet file.
     """
     system, root = FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    return written(chunks.mapInArrow(_written_archive(folder, date, level), "path string, records bigint, bytes bigint"), "archives")
+    return written(chunks.mapInArrow(_written_archive(folder, date, level), "path string, records bigint, bytes bigint").repartition(1), "archives")
 
 
 CHUNK_ROWS = pa.schema([("path", pa.string()), ("record", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("row_id", pa.string()),
@@ -189,6 +190,7 @@ def archived(df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_
     table = read_archives(write_archives(chunks, folder), folder)
     ends = written(table.where("last").select("record_id", "record_type", "row_id", "refers_to", "digest", (F.col("offset") + F.octet_length("data")).alias("bytes")), "records")
     originals = ends.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("row_id").alias("original"), F.col("bytes").alias("full"))
-    out = ends.join(originals.dropDuplicates(["refers_to"]), "refers_to", "left")
+    revisits = ends.where(F.col("refers_to").isNotNull()).join(originals.distinct(), "refers_to", "left")  # the others would all have one key
+    out = ends.where(F.col("refers_to").isNull()).withColumns({"original": F.lit(None).cast("string"), "full": F.lit(None).cast("long")}).unionByName(revisits)
     return out.select(F.col("row_id").cast(kind).alias(id_col), F.coalesce("full", "bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
                       "record_type", F.col("original").cast(kind).alias("refers_to"))

@@ -41,6 +41,24 @@ def test_empty_table(spark):
     assert archived(pages(spark).where("1 = 0")).collect() == []
 
 
+def test_records_without_a_reference_are_not_one_key(spark, tmp_path):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame([(i, "u", f"page {i % 300}") for i in range(310)], "page_id long, url string, html string")
+        out = archived(df, folder=f"file://{tmp_path}/archives")
+        assert sorted(tuple(r) for r in out.collect()) == sorted(expected([tuple(r) for r in df.collect()]))
+        found = out.where("record_type = 'response'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(found) > 1 and max(r["count"] for r in found) < 300
+        listed = write_archives(chunked_records(df.repartition(8), "page_id", "url", F.encode("html", "UTF-8")), f"file://{tmp_path}/more")
+        assert listed.count() > 1 and len(listed.inputFiles()) == 1  # a list of one Parquet file
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_chunks_and_files(spark, tmp_path):
     folder = f"file://{tmp_path}/archives"
     chunks = chunked_records(pages(spark), "page_id", "url", F.encode("html", "UTF-8"), chunk_bytes=1000)
