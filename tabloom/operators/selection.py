@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabloom.functions.columns import c, is_numeric, numeric_columns, require_column
 from tabloom.operators.aggregate import infer_task_type
+from tabloom.operators.binned_forest import binned_sums
 from tabloom.operators.clean import pairwise_correlations
 from tabloom.operators.describe import mutual_information
 from tabloom.operators.fitted import Fitted
@@ -83,13 +84,14 @@ def _forest(task: str, trees: int, seed: int, depth: int):
     return make(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label")
 
 
-def _assembled(filled: DataFrame, names: list[str], target: str, task: str) -> DataFrame:
+def _assembled(filled: DataFrame, names: list[str], target: str, task: str) -> tuple[DataFrame, int | None]:
+    """(features, label) of every row, and the number of classes."""
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(filled)
     if task == "regression":
-        return _spread(ready.select("features", c(target).cast("double").alias("label")))
+        return ready.select("features", c(target).cast("double").alias("label")), None
     classes = sorted(r[0] for r in filled.select(c(target).cast("string")).distinct().collect())
     index = F.array_position(F.array(*[F.lit(v) for v in classes]), c(target).cast("string")) - 1
-    return _spread(ready.select("features", index.cast("double").alias("label")))
+    return ready.select("features", index.cast("double").alias("label")), len(classes)
 
 
 def _spread(table: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -98,10 +100,42 @@ def _spread(table: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     return table.repartition(-(-sizes["rows"] // rows_per_task)) if (sizes["most"] or 0) > rows_per_task else table
 
 
+def _dealt(table: DataFrame) -> tuple[DataFrame, int]:
+    """The table, dealt anew where one task of it would have far more than its share of the rows, and their number."""
+    sizes = table.groupBy(F.spark_partition_id().alias("part")).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    rows, tasks = sizes["rows"] or 0, table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * tasks) if (sizes["most"] or 0) > max(ROWS_PER_TASK, 2 * rows // tasks) else table, rows
+
+
+class _Importances:
+    """Forest importances of any of the candidate columns: all from one pass over the rows where combinations of bins are few, else a forest
+    of the ML library on one cached vector table."""
+
+    def __init__(self, filled: DataFrame, names: list[str], target: str, task: str, trees: int, seed: int, depth: int):
+        self.task, self.trees, self.seed, self.depth = task, trees, seed, depth
+        ready, classes = _assembled(filled, names, target, task)
+        ready, rows = _dealt(ready)
+        self.sums = binned_sums(ready, len(names), rows, classes, trees, seed) if rows and trees > 1 and (classes is None or classes > 1) else None
+        self.table = None if self.sums else _spread(ready).withColumnRenamed("features", "all").persist()
+
+    def of(self, features: list[int]) -> list[float]:
+        if self.sums:
+            return self.sums.importances(features, self.depth)
+        sliced = VectorSlicer(inputCol="all", outputCol="features", indices=features).transform(self.table)
+        return _forest(self.task, self.trees, self.seed, self.depth).fit(sliced).featureImportances.toArray().tolist()
+
+    def release(self) -> None:
+        if self.table is not None:
+            self.table.unpersist()
+
+
 def importances(df: DataFrame, target: str, key: list[str] | None = None, trees: int = 100, seed: int = 42, depth: int = 10) -> dict[str, float]:
     filled, names, task = _setup(df, target, key)
-    model = _forest(task, trees, seed, depth).fit(_assembled(filled, names, target, task))
-    return dict(zip(names, model.featureImportances.toArray().tolist()))
+    forest = _Importances(filled, names, target, task, trees, seed, depth)
+    try:
+        return dict(zip(names, forest.of(list(range(len(names))))))
+    finally:
+        forest.release()
 
 
 def select_from_model(df: DataFrame, target: str, threshold="median", key: list[str] | None = None, trees: int = 100,
@@ -122,18 +156,17 @@ def select_from_model(df: DataFrame, target: str, threshold="median", key: list[
 
 def rfe_select(df: DataFrame, target: str, n_features_to_select: int | None = None, key: list[str] | None = None, step: int = 1,
                trees: int = 80, seed: int = 42, depth: int = 10) -> DataFrame:
-    """Drops the ``step`` weakest features per round; rounds slice one cached vector table."""
+    """Drops the ``step`` weakest features per round; all rounds use one table, of the sums of each tree or else of vectors."""
     filled, names, task = _setup(df, target, key)
     wanted = max(1, min(int(n_features_to_select if n_features_to_select is not None else 10), len(names)))
-    table = _assembled(filled, names, target, task).withColumnRenamed("features", "all").persist()
+    forest = _Importances(filled, names, target, task, trees, seed, depth)
     left = list(range(len(names)))
     while len(left) > wanted:
-        sliced = VectorSlicer(inputCol="all", outputCol="features", indices=left).transform(table)
-        values = _forest(task, trees, seed, depth).fit(sliced).featureImportances.toArray()
+        values = forest.of(left)
         drop = min(max(1, step), len(left) - wanted)
         weakest = sorted(range(len(left)), key=lambda i: (values[i], -left[i]))[:drop]
         left = [f for i, f in enumerate(left) if i not in weakest]
-    table.unpersist()
+    forest.release()
     return _keep(df, names, {names[i] for i in left})
 
 
