@@ -151,3 +151,50 @@ def test_lsh_join_compares_buckets_in_blocks(spark):
         near = sorted((d[j], j) for j in range(300) if d[j] < 1.5 and any(a == b for a, b in zip(hashes[i], hashes[j])))[:4]
         want |= {(i, j, n + 1) for n, (_, j) in enumerate(near)}
     assert {(r.left_id, r.right_id, r["rank"]) for r in out.collect()} == want
+
+
+def test_a_known_bound_and_the_planes_between_pivots_leave_few_cells():
+    """A row whose k-th distance is bounded by its own cell asks for about that cell alone, and for every cell with one of its k nearest."""
+    from tabloom.operators.neighbours import _Cells
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    points, asking = rng.normal(size=(20_000, 3)), rng.normal(size=(200, 3))
+    pivots = points[:100]
+    gap = np.sqrt(((points[:, None] - pivots[None]) ** 2).sum(axis=2))
+    home, reach = gap.argmin(axis=1), gap.min(axis=1)
+    table = pd.DataFrame([{"cell": k, "lo": reach[home == k].min(), "hi": reach[home == k].max(), "near": np.sort(reach[home == k])[:5]} for k in np.unique(home)])
+    cells = _Cells(pivots, table, 5)
+    every = np.sqrt(((asking[:, None] - points[None]) ** 2).sum(axis=2))
+    own = ((asking[:, None] - pivots[None]) ** 2).sum(axis=2).argmin(axis=1)
+    limit = np.array([np.sort(every[i][home == own[i]])[4] for i in range(200)])
+    met = {(int(i), int(b)) for rows, bundles in cells.wanted(asking, limit) for i, b in zip(rows, bundles)}
+    assert all((i, int(home[j])) in met for i in range(200) for j in np.argsort(every[i])[:5])
+    assert len(met) < 3 * 200 < sum(len(r) for r, _ in cells.wanted(asking))
+
+
+def test_rows_meet_a_block_of_their_own_cell_before_they_are_routed(spark):
+    """Points of few dimensions, ids that come twice, and a hot point: the same rows as by comparing all."""
+    rng = np.random.default_rng(12)
+    points = np.concatenate([np.tile([0.5, 0.5], (60, 1)), rng.uniform(size=(1500, 2)), [[40.0, 40.0]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "id long, x double, y double")
+    out = knn_join(df, df, 3, ["x", "y"], "id", "id", exclude_same=True, block=30)
+    assert {(r.left_id, r.right_id) for r in out.collect()} == brute(points, 3)
+    twice = knn_join(df.where("id < 80").union(df.where("id < 80")), df, 3, ["x", "y"], "id", "id", block=30)
+    assert twice.count() == 240
+
+
+def test_wide_blocks_grow_with_the_rows(spark, monkeypatch):
+    """A row is copied to as many blocks as there are tasks to fill, however small ``block`` is, and floats stay floats until compared."""
+    from tabloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "WIDE_TASKS", 1)
+    points = np.random.default_rng(6).normal(size=(1200, 16)).astype("float32")
+    df = spark.createDataFrame([(i, i % 2, p.tolist()) for i, p in enumerate(points)], "id long, g int, v array<float>")
+    assert df.select(neighbours._vector(df, "v")).dtypes[0][1] == "array<float>"
+    for within, share in ((None, 1), ("g", 2)):
+        found = neighbours._candidates(df, df, 2, "v", "id", "id", within, True, 5)
+        copies = found.groupBy("left_id").count().agg({"count": "max"}).first()[0] / 2
+        assert copies <= spark.sparkContext.defaultParallelism ** 0.5 + 2 < 1200 / share / (neighbours.WIDE * 5)
+    got = {(r.left_id, r.right_id) for r in knn_join(df, df, 2, "v", "id", "id", exclude_same=True, block=5).collect()}
+    assert got == brute(points.astype(float), 2)
